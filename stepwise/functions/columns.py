@@ -84,4 +84,4 @@ def gaussian(id_col, salt) -> Column:
 
 def format_2dp(x) -> Column:
     """S14 number format: two decimals, half-even, no grouping (``#0.00``)."""
-    return F.format_number(_c(x), "#0.00")
+    return F.call_function("format_number", _c(x), F.lit("#0.00"))

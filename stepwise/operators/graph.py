@@ -264,3 +264,36 @@ def cc_relax(solution: DataFrame, min_candidates: DataFrame, flag: str = "change
     better = F.coalesce(smaller("__cand", "comp"), F.lit(False))
     return j.select("v", F.when(better, F.col("__cand")).otherwise(F.col("comp")).alias("comp"),
                     better.alias(flag))
+
+
+# ---------------------------------------------------------------------------
+# per-edge forms over raw edges (one output row per edge, parallel edges apart)
+# ---------------------------------------------------------------------------
+
+def _per_edge(state: DataFrame, key: str, edges: DataFrame, with_degree: bool) -> DataFrame:
+    s, e = state.alias("__s"), edges.select("src", "dst").alias("__e")
+    j = s.join(e, F.col(f"__s.{key}") == F.col("__e.src"))
+    cols = [F.col(f"__s.{c}") for c in state.columns] + [F.col("__e.src"), F.col("__e.dst")]
+    out = j.select(*cols)
+    if with_degree:
+        out = out.join(out_degree(edges).alias("__d"), "src")
+    return out
+
+
+def rank_shares_per_edge(ranks: DataFrame, links: DataFrame) -> DataFrame:
+    """J4 per edge: ``(id=dst, share=rank/deg)``, one row per link."""
+    j = _per_edge(ranks, "id", links, True)
+    return j.select(F.col("dst").alias("id"), (F.col("rank") / F.col("deg")).alias("share"))
+
+
+def delta_shares_per_edge(deltas: DataFrame, links: DataFrame, d: float = DAMPENING) -> DataFrame:
+    """J5 per edge: ``(id=dst, share=d*delta/deg)``, one row per link."""
+    j = _per_edge(deltas, "id", links, True)
+    return j.select(F.col("dst").alias("id"),
+                    (F.lit(d) * F.col("delta") / F.col("deg")).alias("share"))
+
+
+def cc_candidates_per_edge(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """J1 per edge: ``(v=dst, comp)``, one row per edge."""
+    j = _per_edge(components, "v", edges, False)
+    return j.select(F.col("dst").alias("v"), "comp")
