@@ -28,6 +28,10 @@ from stepwise.session import default_partitions
 # A source is split only when it has more distinct targets than this and
 # more than its fair share (rows / partitions) of the link table.
 MIN_SPLIT_ROWS = 100_000
+# Target rows of the link table per partition when no count is given.
+ROWS_PER_PARTITION = 4_000_000
+# Hard bound on the broadcast hot-source table (two ints per row).
+MAX_HOT_SOURCES = 1_000_000
 
 
 # --------------------------------------------------------------------------- 
@@ -87,24 +91,40 @@ def undirected(edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 class Links:
-    """Loop-invariant edge table, partitioned on the join key and persisted."""
+    """Loop-invariant edge table, partitioned on the join key and persisted.
+
+    The edge list is shuffled once: parallel edges are folded into ``w`` and
+    the folded pairs are cached while the degree table, the hot sources and
+    the final link table are derived from them.  Without an explicit
+    ``partitions`` the count grows with the data (``ROWS_PER_PARTITION``).
+    """
 
     def __init__(self, edges: DataFrame, partitions: int | None = None,
-                 split_rows: int | None = None, persist: bool = True):
+                 split_rows: int | None = None, persist: bool = True,
+                 count_vertices: bool = False):
         spark = edges.sparkSession
-        self.partitions = partitions or default_partitions(spark)
         pairs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
+        if persist:
+            pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
         per_src = pairs.groupBy("src").agg(F.sum("w").alias("deg"),
                                           F.count(F.lit(1)).alias("npairs"))
+        if persist:
+            per_src = per_src.persist(StorageLevel.MEMORY_AND_DISK)
+        total = per_src.agg(F.sum("npairs")).first()[0] or 0
+        self.partitions = partitions or max(default_partitions(spark),
+                                            math.ceil(total / ROWS_PER_PARTITION))
         if split_rows is None:
-            total = per_src.agg(F.sum("npairs")).first()[0] or 0
             split_rows = max(MIN_SPLIT_ROWS, math.ceil(total / self.partitions))
         self.split_rows = split_rows
-        # Fewer than total / split_rows <= partitions rows: safe to broadcast.
+        # Fewer than total / split_rows rows (<= partitions with the default
+        # split_rows), checked against MAX_HOT_SOURCES before any broadcast.
         hot = (per_src.where(F.col("npairs") > split_rows)
                .select("src", F.ceil(F.col("npairs") / split_rows).cast("int").alias("nsalt")))
         self.hot = hot.persist(StorageLevel.MEMORY_AND_DISK) if persist else hot
         self.n_hot = self.hot.count()
+        if self.n_hot > MAX_HOT_SOURCES:
+            raise ValueError(f"{self.n_hot} hot sources exceed the broadcast bound; "
+                             "raise split_rows")
         if self.n_hot == 0:
             table = pairs.join(per_src.select("src", "deg"), "src") \
                 .withColumn("salt", F.lit(0))
@@ -119,9 +139,20 @@ class Links:
             table = table.repartition(self.partitions, "src", "salt")
             self.keys = ["src", "salt"]
         self.table = table.select("src", "salt", "dst", "w", "deg")
+        self.vertex_count = None
         if persist:
             self.table = self.table.persist(StorageLevel.MEMORY_AND_DISK)
             self.table.count()
+            if count_vertices:
+                self.vertex_count = self.count_vertices()
+            pairs.unpersist()
+            per_src.unpersist()
+
+    def count_vertices(self) -> int:
+        """Distinct ids among sources and targets (numPages)."""
+        t = self.table
+        return (t.select(F.col("src").alias("id")).union(t.select(F.col("dst").alias("id")))
+                .distinct().count())
 
     def _explode_salts(self, df: DataFrame, key: str) -> DataFrame:
         h = F.broadcast(self.hot.withColumnRenamed("src", "__hk"))

@@ -5,11 +5,10 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stepwise.operators import graph as g
-from stepwise.plans.iterate import (
-    IterationResult, ParquetStore, StateStore, bulk_iterate, delta_iterate,
-)
+from stepwise.plans.iterate import IterationResult, ParquetStore, StateStore, bulk_iterate
 
 
 def _prepare(edges: DataFrame, prepared: g.Links | None, directed: bool):
@@ -35,19 +34,27 @@ def components_bulk(edges: DataFrame, max_iter: int = 10, *, directed: bool = Fa
 
 def components_delta(edges: DataFrame, max_iter: int = 10, *, directed: bool = False,
                      store: StateStore | None = None, prepared: g.Links | None = None,
-                     solution_every: int = 1,
                      partitions: Callable[[int], int | None] | None = None) -> IterationResult:
-    """Only vertices whose component changed offer it again."""
-    und, lk = _prepare(edges, prepared, directed)
-    init = g.component_init(und)
+    """Only vertices whose component changed offer it again.
 
-    def step(sol: DataFrame, ws: DataFrame, i: int):
-        delta = g.cc_delta(g.cc_min_candidate(g.cc_candidates(ws, lk)), sol)
-        return delta, delta
+    The solution carries a ``changed`` flag; the workset of a step is the
+    flagged rows of the saved solution.  Candidate minima (J1, A1) are
+    compared and merged in one join (J2 + J3), so a superstep is one job and
+    the delta count comes from the same job.  Ends on an empty delta.
+    """
+    und, lk = _prepare(edges, prepared, directed)
+    init = g.component_init(und).withColumn("changed", F.lit(True))
 
-    return delta_iterate(init, init, step, max_iter, key="v", merge=g.cc_update,
-                         store=store, solution_every=solution_every,
-                         partitions=partitions, name="components")
+    def step(sol: DataFrame, i: int) -> DataFrame:
+        ws = sol.where(F.col("changed")).select("v", "comp")
+        mins = g.cc_min_candidate(g.cc_candidates(ws, lk))
+        return g.cc_relax(sol.select("v", "comp"), mins)
+
+    res = bulk_iterate(init, step, max_iter, stop_flag="changed", keep_flag=True,
+                       store=store, partitions=partitions, key="v", name="components")
+    res.counts = [("components-delta" if op == "components-criterion" else op, i, n)
+                  for op, i, n in res.counts]
+    return res
 
 
 def components_staged(edges: DataFrame, state_dir: str, max_iter: int = 10, *,

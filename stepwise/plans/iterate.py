@@ -75,7 +75,8 @@ class IterationResult:
 
 
 def save_counted(df: DataFrame, store: StateStore, name: str, iteration: int,
-                 flag: str | None = None) -> tuple[DataFrame, int, int | None]:
+                 flag: str | None = None,
+                 drop_flag: bool = True) -> tuple[DataFrame, int, int | None]:
     """Materialise ``df`` through ``store`` and count it in the same job.
 
     With ``flag`` (a boolean column) the number of true flags is observed as
@@ -90,7 +91,8 @@ def save_counted(df: DataFrame, store: StateStore, name: str, iteration: int,
     flagged = None
     if flag:
         flagged = int(got.get("flagged") or 0)
-        saved = saved.drop(flag)
+        if drop_flag:
+            saved = saved.drop(flag)
     return saved, int(got["rows"]), flagged
 
 
@@ -112,6 +114,7 @@ def bulk_iterate(initial: DataFrame,
                  store: StateStore | None = None,
                  partitions: Callable[[int], int | None] | None = None,
                  key: str | None = None,
+                 keep_flag: bool = False,
                  name: str = "state") -> IterationResult:
     """Bulk iteration: the whole state is replaced every superstep.
 
@@ -119,7 +122,9 @@ def bulk_iterate(initial: DataFrame,
     runs exactly ``max_iter`` steps (I1).  With it, the step adds a boolean
     column of that name; the loop ends after the first step in which no row
     has it set (I2: "criterion data set is empty"), or at ``max_iter``.
-    Superstep numbers start at 1.
+    Superstep numbers start at 1.  With ``keep_flag`` the flag stays in the
+    state between steps (a delta step reads it as its workset) and is
+    dropped from the final result only.
     """
     store = store or CheckpointStore()
     state = initial
@@ -128,13 +133,16 @@ def bulk_iterate(initial: DataFrame,
     i = 0
     for i in range(1, max_iter + 1):
         nxt = step(_repartition(state, partitions, i, key), i)
-        state, rows, flagged = save_counted(nxt, store, name, i, stop_flag)
+        state, rows, flagged = save_counted(nxt, store, name, i,
+                                            stop_flag, drop_flag=not keep_flag)
         counts.append((name, i, rows))
         if stop_flag:
             counts.append((name + "-criterion", i, flagged))
             if flagged == 0:
                 converged = True
                 break
+    if keep_flag and stop_flag and stop_flag in state.columns:
+        state = state.drop(stop_flag)
     return IterationResult(state, i, converged, counts)
 
 

@@ -23,8 +23,8 @@ def pagerank_bulk(links: DataFrame, num_pages: int | None = None, max_iter: int
     in a step leaves the state; the loop ends after the first step in which
     no page present in both steps moved by more than ``eps``.
     """
-    n = num_pages or g.num_vertices(links)
-    lk = prepared or g.Links(links)
+    lk = prepared or g.Links(links, count_vertices=num_pages is None)
+    n = num_pages or lk.vertex_count or lk.count_vertices()
 
     def step(ranks: DataFrame, i: int) -> DataFrame:
         return g.flag_changed(g.bulk_rank_step(ranks, lk, n, d), ranks, eps)
@@ -47,8 +47,8 @@ def pagerank_delta(links: DataFrame, num_pages: int | None = None, max_iter: int
     to the ranks of pages already in the solution (pages with out-links) and
     form the next workset, sinks included.  Ends on an empty workset.
     """
-    n = num_pages or g.num_vertices(links)
-    lk = prepared or g.Links(links)
+    lk = prepared or g.Links(links, count_vertices=num_pages is None)
+    n = num_pages or lk.vertex_count or lk.count_vertices()
     ranks = g.rank_init(links)
     deltas = g.delta_init(ranks, n)
 
