@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference has no streaming operator (no watermarks, windows, stateful
+operators or late data); its loops are bounded batch iterations, which live
+in ``stepwise.plans``.
+"""
