@@ -38,9 +38,9 @@ def changed(new, old, eps: float = EPSILON) -> Column:
     return F.abs(_c(new) - _c(old)) > F.lit(eps)
 
 
-def over_threshold(delta, t: float = DELTA_THRESHOLD) -> Column:
-    """Strict ``abs(delta) > t``."""
-    return F.abs(_c(delta)) > F.lit(t)
+def over_threshold(delta, t=DELTA_THRESHOLD) -> Column:
+    """Strict ``abs(delta) > t`` (``t`` a number or a column)."""
+    return F.abs(_c(delta)) > (t if isinstance(t, Column) else F.lit(t))
 
 
 def smaller(candidate, current) -> Column:

@@ -231,16 +231,25 @@ def flag_changed(new: DataFrame, old: DataFrame, eps: float = EPSILON,
 
 
 def delta_shares(deltas: DataFrame, links: Links, d: float = DAMPENING) -> DataFrame:
-    """``d * delta / outdegree`` to every target (``id, share``)."""
+    """``d * delta / outdegree`` to every target (``id, share``).
+
+    Extra state columns (a ``threshold`` tag) are carried along.
+    """
     j = links.join_state(deltas, "id")
-    return j.select(F.col("dst").alias("id"),
+    extra = [c for c in deltas.columns if c not in ("id", "delta")]
+    return j.select(*extra, F.col("dst").alias("id"),
                     (F.lit(d) * F.col("delta") / F.col("deg") * F.col("w")).alias("share"))
 
 
-def sum_and_filter(shares: DataFrame, threshold: float = DELTA_THRESHOLD) -> DataFrame:
-    """A3 + P7: sum of deltas per page, kept if ``abs(sum) > threshold``."""
-    s = shares.groupBy("id").agg(F.sum("share").alias("delta"))
-    return s.where(over_threshold("delta", threshold))
+def sum_and_filter(shares: DataFrame, threshold: float = DELTA_THRESHOLD,
+                   keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """A3 + P7: sum of deltas per page, kept if ``abs(sum) > threshold``.
+
+    With ``keys=("threshold", "id")`` the threshold is read from that column.
+    """
+    s = shares.groupBy(*keys).agg(F.sum("share").alias("delta"))
+    t = F.col("threshold") if "threshold" in keys else threshold
+    return s.where(over_threshold("delta", t))
 
 
 def apply_deltas(solution: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -248,14 +257,15 @@ def apply_deltas(solution: DataFrame, deltas: DataFrame) -> DataFrame:
     return solution.join(deltas, "id").select("id", (F.col("rank") + F.col("delta")).alias("rank"))
 
 
-def add_deltas(solution: DataFrame, deltas: DataFrame) -> DataFrame:
+def add_deltas(solution: DataFrame, deltas: DataFrame,
+               keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """J6 + J3 fused: every page of the solution, ``rank + delta`` where a delta exists.
 
     Deltas for pages outside the solution (sinks) are ignored, as the
     inner join of J6 drops them.
     """
-    j = solution.join(deltas.select("id", "delta"), "id", "left")
-    return j.select("id", F.when(F.col("delta").isNull(), F.col("rank"))
+    j = solution.join(deltas.select(*keys, "delta"), list(keys), "left")
+    return j.select(*keys, F.when(F.col("delta").isNull(), F.col("rank"))
                     .otherwise(F.col("rank") + F.col("delta")).alias("rank"))
 
 

@@ -309,15 +309,8 @@ def q_pagerank_active(spark, sf):
 
 @query("pagerank_threshold_sweep", sql.threshold_sweep(sql.SINK_LINKS, SWEEP_THRESHOLDS, SWEEP_STEPS))
 def q_threshold_sweep(spark, sf):
-    links = tb.sink_links(spark, sf)
-    lk = g.Links(links)
-    n = g.num_vertices(links)
-    out = None
-    for t in SWEEP_THRESHOLDS:
-        res = prp.pagerank_delta(links, n, SWEEP_STEPS, t, prepared=lk)
-        part = res.df.select(F.lit(t).alias("threshold"), "id", r6("rank").alias("rank"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    res = prp.pagerank_delta_sweep(tb.sink_links(spark, sf), SWEEP_THRESHOLDS, max_iter=SWEEP_STEPS)
+    return res.df.select("threshold", "id", r6("rank").alias("rank"))
 
 
 @query("repartitioned_pagerank", sql.pagerank_delta(sql.PR_LINKS, PR_STEPS))

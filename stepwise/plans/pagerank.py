@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stepwise.functions.columns import DAMPENING, DELTA_THRESHOLD, EPSILON
 from stepwise.operators import graph as g
@@ -76,3 +77,34 @@ def pagerank_staged(links: DataFrame, state_dir: str, num_pages: int | None = No
     return pagerank_delta(links, num_pages, max_iter, threshold, d,
                           store=ParquetStore(state_dir), prepared=prepared,
                           solution_every=1, partitions=partitions)
+
+
+def pagerank_delta_sweep(links: DataFrame, thresholds: list[float],
+                         num_pages: int | None = None, max_iter: int = 10,
+                         d: float = DAMPENING, store: StateStore | None = None,
+                         prepared: g.Links | None = None,
+                         solution_every: int = 5) -> IterationResult:
+    """E5 for several thresholds in one loop.
+
+    Ranks and deltas are tagged with their threshold (``threshold, id``
+    keys); every superstep advances all runs in one job and the loop ends
+    when every run's workset is empty.  The result is ``threshold, id, rank``
+    and equals separate runs.
+    """
+    lk = prepared or g.Links(links, count_vertices=num_pages is None)
+    n = num_pages or lk.vertex_count or lk.count_vertices()
+    tags = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
+    ranks = g.rank_init(links).select(tags, "id", "rank")
+    deltas = g.delta_init(ranks.select("id", "rank").distinct(), n) \
+        .select(tags, "id", "delta")
+    keys = ("threshold", "id")
+
+    def step(solution: DataFrame, workset: DataFrame, i: int):
+        new = g.sum_and_filter(g.delta_shares(workset, lk, d), keys=keys)
+        return new, new
+
+    res = delta_iterate(ranks, deltas, step, max_iter, key="id",
+                        merge=lambda s, dl: g.add_deltas(s, dl, keys),
+                        store=store, solution_every=solution_every, name="pagerank")
+    res.extra["num_pages"] = n
+    return res
