@@ -110,7 +110,8 @@ class Links:
                                           F.count(F.lit(1)).alias("npairs"))
         if persist:
             per_src = per_src.persist(StorageLevel.MEMORY_AND_DISK)
-        total = per_src.agg(F.sum("npairs")).first()[0] or 0
+        total, widest = per_src.agg(F.sum("npairs"), F.max("npairs")).first()
+        total, widest = total or 0, widest or 0
         self.partitions = partitions or max(default_partitions(spark),
                                             math.ceil(total / ROWS_PER_PARTITION))
         if split_rows is None:
@@ -121,7 +122,7 @@ class Links:
         hot = (per_src.where(F.col("npairs") > split_rows)
                .select("src", F.ceil(F.col("npairs") / split_rows).cast("int").alias("nsalt")))
         self.hot = hot.persist(StorageLevel.MEMORY_AND_DISK) if persist else hot
-        self.n_hot = self.hot.count()
+        self.n_hot = self.hot.count() if widest > split_rows else 0
         if self.n_hot > MAX_HOT_SOURCES:
             raise ValueError(f"{self.n_hot} hot sources exceed the broadcast bound; "
                              "raise split_rows")
@@ -139,14 +140,16 @@ class Links:
             table = table.repartition(self.partitions, "src", "salt")
             self.keys = ["src", "salt"]
         self.table = table.select("src", "salt", "dst", "w", "deg")
+        # one row per source: (src, deg); the start set of PageRank and components
+        self.sources = per_src.select("src", "deg")
         self.vertex_count = None
         if persist:
             self.table = self.table.persist(StorageLevel.MEMORY_AND_DISK)
-            self.table.count()
             if count_vertices:
-                self.vertex_count = self.count_vertices()
+                self.vertex_count = self.count_vertices()   # this scan fills the cache
+            else:
+                self.table.count()
             pairs.unpersist()
-            per_src.unpersist()
 
     def count_vertices(self) -> int:
         """Distinct ids among sources and targets (numPages)."""
@@ -182,6 +185,7 @@ class Links:
     def unpersist(self):
         self.table.unpersist()
         self.hot.unpersist()
+        self.sources.unpersist()
 
 
 # ---------------------------------------------------------------------------

@@ -28,7 +28,8 @@ def components_bulk(edges: DataFrame, max_iter: int = 10, *, directed: bool = Fa
     def step(sol: DataFrame, i: int) -> DataFrame:
         return g.cc_relax(sol, g.cc_min_candidate(g.cc_candidates(sol, lk)))
 
-    return bulk_iterate(g.component_init(und), step, max_iter, stop_flag="changed",
+    init = lk.sources.select(F.col("src").alias("v"), F.col("src").alias("comp"))
+    return bulk_iterate(init, step, max_iter, stop_flag="changed",
                         store=store, partitions=partitions, key="v", name="components")
 
 
@@ -43,7 +44,8 @@ def components_delta(edges: DataFrame, max_iter: int = 10, *, directed: bool = F
     the delta count comes from the same job.  Ends on an empty delta.
     """
     und, lk = _prepare(edges, prepared, directed)
-    init = g.component_init(und).withColumn("changed", F.lit(True))
+    init = lk.sources.select(F.col("src").alias("v"), F.col("src").alias("comp"),
+                             F.lit(True).alias("changed"))
 
     def step(sol: DataFrame, i: int) -> DataFrame:
         ws = sol.where(F.col("changed")).select("v", "comp")

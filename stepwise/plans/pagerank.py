@@ -30,7 +30,8 @@ def pagerank_bulk(links: DataFrame, num_pages: int | None = None, max_iter: int
     def step(ranks: DataFrame, i: int) -> DataFrame:
         return g.flag_changed(g.bulk_rank_step(ranks, lk, n, d), ranks, eps)
 
-    res = bulk_iterate(g.rank_init(links), step, max_iter, stop_flag="changed",
+    ranks = lk.sources.select(F.col("src").alias("id"), F.lit(1.0).alias("rank"))
+    res = bulk_iterate(ranks, step, max_iter, stop_flag="changed",
                        store=store, partitions=partitions, key="id", name="ranks")
     res.extra["num_pages"] = n
     return res
@@ -50,7 +51,7 @@ def pagerank_delta(links: DataFrame, num_pages: int | None = None, max_iter: int
     """
     lk = prepared or g.Links(links, count_vertices=num_pages is None)
     n = num_pages or lk.vertex_count or lk.count_vertices()
-    ranks = g.rank_init(links)
+    ranks = lk.sources.select(F.col("src").alias("id"), F.lit(1.0).alias("rank"))
     deltas = g.delta_init(ranks, n)
 
     def step(solution: DataFrame, workset: DataFrame, i: int):
@@ -94,9 +95,9 @@ def pagerank_delta_sweep(links: DataFrame, thresholds: list[float],
     lk = prepared or g.Links(links, count_vertices=num_pages is None)
     n = num_pages or lk.vertex_count or lk.count_vertices()
     tags = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
-    ranks = g.rank_init(links).select(tags, "id", "rank")
-    deltas = g.delta_init(ranks.select("id", "rank").distinct(), n) \
-        .select(tags, "id", "delta")
+    start = lk.sources.select(F.col("src").alias("id"), F.lit(1.0).alias("rank"))
+    ranks = start.select(tags, "id", "rank")
+    deltas = g.delta_init(start, n).select(tags, "id", "delta")
     keys = ("threshold", "id")
 
     def step(solution: DataFrame, workset: DataFrame, i: int):
