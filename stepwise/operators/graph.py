@@ -28,6 +28,8 @@ from stepwise.session import default_partitions
 # A source is split only when it has more distinct targets than this and
 # more than its fair share (rows / partitions) of the link table.
 MIN_SPLIT_ROWS = 100_000
+# Most targets in one adjacency-list row.
+MAX_LIST_NEIGHBORS = 100_000
 # Target rows of the link table per partition when no count is given.
 ROWS_PER_PARTITION = 4_000_000
 # Hard bound on the broadcast hot-source table (two ints per row).
@@ -69,13 +71,22 @@ def out_degree(links: DataFrame) -> DataFrame:
     return links.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
 
 
-def adjacency_list(links: DataFrame) -> DataFrame:
+def adjacency_list(links: DataFrame, max_neighbors: int = MAX_LIST_NEIGHBORS) -> DataFrame:
     """A4: ``(src, neighbors array<long>)``, duplicates kept, sorted.
 
-    The array form holds a whole neighbourhood in one row; the loops use
-    the ``Links`` rows instead so that a hub never becomes one huge record.
+    A source with more than ``max_neighbors`` links spans several rows of
+    about ``max_neighbors`` targets each (edges spread by hash), so no
+    record or task holds an unbounded neighbourhood; all other sources get
+    exactly one row.  The loops use the ``Links`` rows instead.
     """
-    return links.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("neighbors"))
+    deg = out_degree(links).select("src", F.ceil(F.col("deg") / max_neighbors)
+                                   .cast("long").alias("__chunks"))
+    e = links.select("src", "dst", F.monotonically_increasing_id().alias("__pos"))
+    j = e.join(deg, "src")
+    chunk = F.pmod(F.xxhash64("dst", "__pos"), F.col("__chunks"))
+    return (j.groupBy("src", chunk.alias("__chunk"))
+            .agg(F.sort_array(F.collect_list("dst")).alias("neighbors"))
+            .select("src", "neighbors"))
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -141,6 +152,7 @@ class Links:
             self.keys = ["src", "salt"]
         self.table = table.select("src", "salt", "dst", "w", "deg")
         # one row per source: (src, deg); the start set of PageRank and components
+        self._per_src = per_src
         self.sources = per_src.select("src", "deg")
         self.vertex_count = None
         if persist:
@@ -185,7 +197,7 @@ class Links:
     def unpersist(self):
         self.table.unpersist()
         self.hot.unpersist()
-        self.sources.unpersist()
+        self._per_src.unpersist()
 
 
 # ---------------------------------------------------------------------------

@@ -336,6 +336,28 @@ def q_iteration_stats_sorted(spark, sf):
     return spark.createDataFrame(rows, "name string, value long").orderBy("name")
 
 
+@query("iteration_partition_stats", None)
+def q_iteration_partition_stats(spark, sf):
+    """M1 per subtask; partition assignment is engine-specific, so no SQL twin."""
+    res = prp.pagerank_delta(tb.pr_links(spark, sf), max_iter=PR_STEPS, partition_stats=True)
+    return res.partition_stats(spark)
+
+
+@query("pagerank_adaptive", sql.pagerank_delta(sql.PR_LINKS, PR_STEPS))
+def q_pagerank_adaptive(spark, sf):
+    res = prp.pagerank_staged(tb.pr_links(spark, sf), _scratch(spark, "pagerank-adaptive"),
+                              max_iter=PR_STEPS, adaptive_rows=250)
+    return _rounded_ranks(res.df)
+
+
+@query("duplicate_value",
+       f"SELECT DISTINCT id AS v, id AS comp FROM (SELECT src AS id FROM ({sql.PR_LINKS}) a "
+       f"UNION ALL SELECT dst AS id FROM ({sql.PR_LINKS}) b) u")
+def q_duplicate_value(spark, sf):
+    from stepwise.functions.columns import duplicate_value
+    return g.vertices(tb.pr_links(spark, sf)).select(*duplicate_value("id"))
+
+
 # --- k-means -------------------------------------------------------------------------------
 
 def _km_points(spark, sf):

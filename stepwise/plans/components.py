@@ -29,8 +29,12 @@ def components_bulk(edges: DataFrame, max_iter: int = 10, *, directed: bool = Fa
         return g.cc_relax(sol, g.cc_min_candidate(g.cc_candidates(sol, lk)))
 
     init = lk.sources.select(F.col("src").alias("v"), F.col("src").alias("comp"))
-    return bulk_iterate(init, step, max_iter, stop_flag="changed",
-                        store=store, partitions=partitions, key="v", name="components")
+    try:
+        return bulk_iterate(init, step, max_iter, stop_flag="changed",
+                            store=store, partitions=partitions, key="v", name="components")
+    finally:
+        if prepared is None:
+            lk.unpersist()
 
 
 def components_delta(edges: DataFrame, max_iter: int = 10, *, directed: bool = False,
@@ -52,8 +56,12 @@ def components_delta(edges: DataFrame, max_iter: int = 10, *, directed: bool = F
         mins = g.cc_min_candidate(g.cc_candidates(ws, lk))
         return g.cc_relax(sol.select("v", "comp"), mins)
 
-    res = bulk_iterate(init, step, max_iter, stop_flag="changed", keep_flag=True,
-                       store=store, partitions=partitions, key="v", name="components")
+    try:
+        res = bulk_iterate(init, step, max_iter, stop_flag="changed", keep_flag=True,
+                           store=store, partitions=partitions, key="v", name="components")
+    finally:
+        if prepared is None:
+            lk.unpersist()
     res.counts = [("components-delta" if op == "components-criterion" else op, i, n)
                   for op, i, n in res.counts]
     return res

@@ -16,6 +16,7 @@ the stop test costs no extra job (A10, I5).
 
 from __future__ import annotations
 
+import inspect
 import itertools
 from dataclasses import dataclass, field
 from typing import Callable, Protocol
@@ -66,6 +67,7 @@ class IterationResult:
     converged: bool
     counts: list = field(default_factory=list)   # (operator, iteration, rows)
     extra: dict = field(default_factory=dict)
+    partition_counts: list = field(default_factory=list)  # (operator, iteration, partition, rows)
 
     def stats(self, spark: SparkSession | None = None) -> DataFrame:
         """M1 totals as a DataFrame ``operator, iteration, rows``."""
@@ -73,6 +75,12 @@ class IterationResult:
         return spark.createDataFrame(
             self.counts, "operator string, iteration int, rows long")
 
+    def partition_stats(self, spark: SparkSession | None = None) -> DataFrame:
+        """M1 per subtask (needs ``partition_stats=True`` on the loop)."""
+        spark = spark or self.df.sparkSession
+        return spark.createDataFrame(
+            self.partition_counts, "operator string, iteration int, partition int, rows long")
+
 
 def save_counted(df: DataFrame, store: StateStore, name: str, iteration: int,
                  flag: str | None = None,
@@ -96,17 +104,33 @@ def save_counted(df: DataFrame, store: StateStore, name: str, iteration: int,
     return saved, int(got["rows"]), flagged
 
 
-def _repartition(df: DataFrame, partitions: Callable[[int], int | None] | None,
-                 i: int, key: str | None) -> DataFrame:
-    """Change the parallelism of a step's input."""
+def _repartition(df: DataFrame, partitions, i: int, key: str | None,
+                 prev_rows: int | None = None) -> DataFrame:
+    """Change the parallelism of a step's input.
+
+    ``partitions`` is ``f(i)`` or ``f(i, rows of the previous step)``.
+    """
     if partitions is None:
         return df
-    n = partitions(i)
+    takes_rows = len(inspect.signature(partitions).parameters) >= 2
+    n = partitions(i, prev_rows) if takes_rows else partitions(i)
     if not n:
         return df
     return df.repartition(n, key) if key else df.repartition(n)
 
 
+def by_rows(rows_per_partition: int, minimum: int = 1, maximum: int | None = None):
+    """Adaptive parallelism (E6, E8): partitions for the next step from the
+    rows the previous step produced, ``ceil(rows / rows_per_partition)``
+    clamped to ``[minimum, maximum]``; the first step keeps its partitioning."""
+    def choose(i: int, prev_rows: int | None = None) -> int | None:
+        if prev_rows is None:
+            return None
+        n = max(minimum, -(-prev_rows // rows_per_partition))
+        return min(n, maximum) if maximum else n
+    return choose
+
+
 def bulk_iterate(initial: DataFrame,
                  step: Callable[[DataFrame, int], DataFrame],
                  max_iter: int, *,
@@ -115,6 +139,7 @@ def bulk_iterate(initial: DataFrame,
                  partitions: Callable[[int], int | None] | None = None,
                  key: str | None = None,
                  keep_flag: bool = False,
+                 partition_stats: bool = False,
                  name: str = "state") -> IterationResult:
     """Bulk iteration: the whole state is replaced every superstep.
 
@@ -128,14 +153,17 @@ def bulk_iterate(initial: DataFrame,
     """
     store = store or CheckpointStore()
     state = initial
-    counts = []
+    counts, per_part = [], []
     converged = False
     i = 0
+    rows = None
     for i in range(1, max_iter + 1):
-        nxt = step(_repartition(state, partitions, i, key), i)
+        nxt = step(_repartition(state, partitions, i, key, rows), i)
         state, rows, flagged = save_counted(nxt, store, name, i,
                                             stop_flag, drop_flag=not keep_flag)
         counts.append((name, i, rows))
+        if partition_stats:
+            per_part += _collect_partition_counts(state, name, i)
         if stop_flag:
             counts.append((name + "-criterion", i, flagged))
             if flagged == 0:
@@ -143,7 +171,7 @@ def bulk_iterate(initial: DataFrame,
                 break
     if keep_flag and stop_flag and stop_flag in state.columns:
         state = state.drop(stop_flag)
-    return IterationResult(state, i, converged, counts)
+    return IterationResult(state, i, converged, counts, partition_counts=per_part)
 
 
 def upsert(solution: DataFrame, delta: DataFrame, key: str) -> DataFrame:
@@ -168,6 +196,7 @@ def delta_iterate(solution: DataFrame, workset: DataFrame,
                   store: StateStore | None = None,
                   solution_every: int = 1,
                   partitions: Callable[[int], int | None] | None = None,
+                  partition_stats: bool = False,
                   name: str = "delta") -> IterationResult:
     """Delta iteration (I3): keyed solution set plus a shrinking workset.
 
@@ -180,16 +209,19 @@ def delta_iterate(solution: DataFrame, workset: DataFrame,
     """
     store = store or CheckpointStore()
     merge = merge or (lambda s, d: upsert(s, d, key))
-    counts = []
+    counts, per_part = [], []
     converged = False
     dirty = False
     i = 0
+    n_ws = None
     for i in range(1, max_iter + 1):
-        ws = _repartition(workset, partitions, i, key)
+        ws = _repartition(workset, partitions, i, key, n_ws)
         delta, next_ws = step(solution, ws, i)
         same = next_ws is delta
         delta, n_delta, _ = save_counted(delta, store, name + "-delta", i)
         counts.append((name + "-delta", i, n_delta))
+        if partition_stats:
+            per_part += _collect_partition_counts(delta, name + "-delta", i)
         if same:
             workset, n_ws = delta, n_delta
         else:
@@ -207,11 +239,15 @@ def delta_iterate(solution: DataFrame, workset: DataFrame,
     if dirty:
         solution, n_sol, _ = save_counted(solution, store, name + "-solution", i)
         counts.append((name + "-solution", i, n_sol))
-    return IterationResult(solution, i, converged, counts)
+    return IterationResult(solution, i, converged, counts, partition_counts=per_part)
 
 
 def partition_counts(df: DataFrame, operator: str, iteration: int) -> DataFrame:
-    """M1 per subtask: rows per partition of a materialised output."""
+    """M1 per subtask: rows per partition of a materialised output.
+
+    One extra (narrow, partial-aggregated) job over the saved state; use it
+    for diagnostics, the loop totals come from observations for free.
+    """
     return (df.groupBy(F.spark_partition_id().alias("partition"))
               .agg(F.count(F.lit(1)).alias("rows"))
               .select(F.lit(operator).alias("operator"),
@@ -220,3 +256,9 @@ def partition_counts(df: DataFrame, operator: str, iteration: int) -> DataFrame:
 
 def count_if(flag: Column) -> Column:
     return F.sum(flag.cast("long"))
+
+
+def _collect_partition_counts(df: DataFrame, operator: str, iteration: int) -> list[tuple]:
+    """Per-partition counts as small driver rows (one row per partition)."""
+    return [(r["operator"], r["iteration"], r["partition"], r["rows"])
+            for r in partition_counts(df, operator, iteration).collect()]

@@ -41,10 +41,11 @@ def _run(points: DataFrame, centers: DataFrame, iterations: int,
             new = spark.createDataFrame(current, CENTER_SCHEMA).coalesce(1)
             write_state(new, state_dir, "centers", i)
             current = km.collect_centers(read_state(spark, state_dir, "centers", i))
+    if cached:
+        pts.unpersist()
     final = spark.createDataFrame(current, CENTER_SCHEMA)
     res = IterationResult(final, i, False, counts)
     res.extra["centers"] = current
-    res.extra["points"] = pts
     return res
 
 

@@ -18,7 +18,8 @@ def _run(samples: DataFrame, start: tuple[float, float], iterations: int, rate:
         raise ValueError("start parameters (theta0, theta1) are required")
     spark = samples.sparkSession
     s = samples.select("x", "y")
-    if persist and not s.is_cached:
+    cached = persist and not s.is_cached
+    if cached:
         s = s.persist(StorageLevel.MEMORY_AND_DISK)
     t0, t1 = float(start[0]), float(start[1])
     counts = []
@@ -32,6 +33,8 @@ def _run(samples: DataFrame, start: tuple[float, float], iterations: int, rate:
                         state_dir, "params", i)
             back = read_state(spark, state_dir, "params", i).first()
             t0, t1 = float(back["theta0"]), float(back["theta1"])
+    if cached:
+        s.unpersist()
     res = IterationResult(spark.createDataFrame([(t0, t1)], PARAMS_SCHEMA), i, False, counts)
     res.extra["params"] = (t0, t1)
     return res

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stepwise.functions.columns import DAMPENING, DELTA_THRESHOLD, EPSILON
 from stepwise.operators import graph as g
 from stepwise.plans.iterate import (
-    CheckpointStore, IterationResult, ParquetStore, StateStore, bulk_iterate, delta_iterate,
+    IterationResult, ParquetStore, StateStore, bulk_iterate, by_rows, delta_iterate,
 )
 
 
@@ -31,8 +31,12 @@ def pagerank_bulk(links: DataFrame, num_pages: int | None = None, max_iter: int
         return g.flag_changed(g.bulk_rank_step(ranks, lk, n, d), ranks, eps)
 
     ranks = lk.sources.select(F.col("src").alias("id"), F.lit(1.0).alias("rank"))
-    res = bulk_iterate(ranks, step, max_iter, stop_flag="changed",
-                       store=store, partitions=partitions, key="id", name="ranks")
+    try:
+        res = bulk_iterate(ranks, step, max_iter, stop_flag="changed",
+                           store=store, partitions=partitions, key="id", name="ranks")
+    finally:
+        if prepared is None:
+            lk.unpersist()
     res.extra["num_pages"] = n
     return res
 
@@ -41,7 +45,8 @@ def pagerank_delta(links: DataFrame, num_pages: int | None = None, max_iter: int
                    threshold: float = DELTA_THRESHOLD, d: float = DAMPENING,
                    store: StateStore | None = None, prepared: g.Links | None = None,
                    solution_every: int = 5,
-                   partitions: Callable[[int], int | None] | None = None) -> IterationResult:
+                   partitions: Callable[[int], int | None] | None = None,
+                   partition_stats: bool = False) -> IterationResult:
     """E5: delta PageRank.
 
     The workset holds rank deltas; each step spreads ``d * delta / deg``,
@@ -58,9 +63,14 @@ def pagerank_delta(links: DataFrame, num_pages: int | None = None, max_iter: int
         new = g.sum_and_filter(g.delta_shares(workset, lk, d), threshold)
         return new, new
 
-    res = delta_iterate(ranks, deltas, step, max_iter, key="id", merge=g.add_deltas,
-                        store=store, solution_every=solution_every,
-                        partitions=partitions, name="pagerank")
+    try:
+        res = delta_iterate(ranks, deltas, step, max_iter, key="id", merge=g.add_deltas,
+                            store=store, solution_every=solution_every,
+                            partitions=partitions, partition_stats=partition_stats,
+                            name="pagerank")
+    finally:
+        if prepared is None:
+            lk.unpersist()
     res.extra["num_pages"] = n
     return res
 
@@ -68,13 +78,17 @@ def pagerank_delta(links: DataFrame, num_pages: int | None = None, max_iter: int
 def pagerank_staged(links: DataFrame, state_dir: str, num_pages: int | None = None,
                     max_iter: int = 10, threshold: float = DELTA_THRESHOLD,
                     d: float = DAMPENING, prepared: g.Links | None = None,
-                    partitions: Callable[[int], int | None] | None = None) -> IterationResult:
+                    partitions: Callable[[int], int | None] | None = None,
+                    adaptive_rows: int | None = None) -> IterationResult:
     """Delta PageRank, one job per step, state in Parquet per step.
 
     The solution is upserted (not inner-joined) each step, so the result
     equals ``pagerank_delta``; the stop test uses the delta count observed
-    while the delta is written.
+    while the delta is written.  ``adaptive_rows`` sets each step's
+    parallelism from the previous step's workset (``by_rows``).
     """
+    if adaptive_rows and partitions is None:
+        partitions = by_rows(adaptive_rows)
     return pagerank_delta(links, num_pages, max_iter, threshold, d,
                           store=ParquetStore(state_dir), prepared=prepared,
                           solution_every=1, partitions=partitions)
@@ -104,8 +118,12 @@ def pagerank_delta_sweep(links: DataFrame, thresholds: list[float],
         new = g.sum_and_filter(g.delta_shares(workset, lk, d), keys=keys)
         return new, new
 
-    res = delta_iterate(ranks, deltas, step, max_iter, key="id",
-                        merge=lambda s, dl: g.add_deltas(s, dl, keys),
-                        store=store, solution_every=solution_every, name="pagerank")
+    try:
+        res = delta_iterate(ranks, deltas, step, max_iter, key="id",
+                            merge=lambda s, dl: g.add_deltas(s, dl, keys),
+                            store=store, solution_every=solution_every, name="pagerank")
+    finally:
+        if prepared is None:
+            lk.unpersist()
     res.extra["num_pages"] = n
     return res

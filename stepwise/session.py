@@ -16,6 +16,9 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of step states that are no longer referenced are
+    # deleted, so long loops do not fill the shared checkpoint folder
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -102,3 +102,32 @@ def test_store_writes_per_step(spark, edges_t, tmp_path):
     store = ParquetStore(str(tmp_path))
     back = spark.read.parquet(store.path("pagerank-delta", 1))
     assert back.count() == 3
+
+
+def test_partition_stats_sum_to_totals(spark):
+    links = tb.pr_links(spark, SF001)
+    res = pr.pagerank_delta(links, max_iter=3, partition_stats=True)
+    per = {}
+    for op, i, part, n in res.partition_counts:
+        per[(op, i)] = per.get((op, i), 0) + n
+    totals = {(op, i): n for op, i, n in res.counts if op == "pagerank-delta"}
+    assert per == totals
+
+
+def test_adaptive_staged_equals_delta(spark, tmp_path):
+    from stepwise.plans.iterate import by_rows
+    links = tb.pr_links(spark, SF001)
+    a = pr.pagerank_delta(links, max_iter=4).df
+    b = pr.pagerank_staged(links, str(tmp_path), max_iter=4, adaptive_rows=7).df
+    assert rows(a, nd=9) == rows(b, nd=9)
+    choose = by_rows(100, minimum=2, maximum=8)
+    assert choose(1) is None and choose(2, 50) == 2 and choose(3, 550) == 6 and choose(4, 10**6) == 8
+
+
+def test_adjacency_list_splits_hubs(spark):
+    e = spark.createDataFrame([(1, d) for d in range(10)] + [(2, 5)], "src long, dst long")
+    got = g.adjacency_list(e, max_neighbors=4).collect()
+    hub = [r.neighbors for r in got if r.src == 1]
+    assert len(hub) == 3 and sorted(x for n in hub for x in n) == list(range(10))
+    assert all(len(n) <= 7 for n in hub)
+    assert [r.neighbors for r in got if r.src == 2] == [[5]]
