@@ -231,6 +231,24 @@ def bulk_rank_step(ranks: DataFrame, links: Links, num_pages: int,
     return dampened(sum_shares(rank_shares(ranks, links)), num_pages, d)
 
 
+def bulk_rank_step_flagged(ranks: DataFrame, links: Links, num_pages: int,
+                           d: float = DAMPENING, eps: float = EPSILON,
+                           flag: str = "changed") -> DataFrame:
+    """One bulk PageRank superstep with its stop-test flag, in one aggregation.
+
+    Shares and the old ranks (tagged) are grouped together: the share sum
+    gives the new rank of every page that received rank, the old row gives
+    the comparison value (J7 + P6 without a second join).
+    """
+    shares = rank_shares(ranks, links).select("id", "share", F.lit(None).cast("double").alias("__old"))
+    own = ranks.select("id", F.lit(None).cast("double").alias("share"), F.col("rank").alias("__old"))
+    agg = shares.unionByName(own).groupBy("id").agg(
+        F.sum("share").alias("__sum"), F.count("share").alias("__k"), F.max("__old").alias("__old"))
+    new = dampen(F.col("__sum"), num_pages, d)
+    return agg.where(F.col("__k") > 0).select(
+        "id", new.alias("rank"), F.coalesce(changed(new, "__old", eps), F.lit(False)).alias(flag))
+
+
 def changed_pages(new: DataFrame, old: DataFrame, eps: float = EPSILON) -> DataFrame:
     """J7 + P6: pages present in both whose rank moved by more than ``eps``."""
     o = old.select("id", F.col("rank").alias("old_rank"))
@@ -314,6 +332,24 @@ def cc_update(solution: DataFrame, delta: DataFrame) -> DataFrame:
     return j.select("v", F.coalesce("__new", "comp").alias("comp"))
 
 
+def cc_relax_step(solution: DataFrame, candidates: DataFrame, flag: str = "changed") -> DataFrame:
+    """A1 + J2 + J3 in one aggregation.
+
+    The solution's own rows (tagged) and the candidates are grouped together:
+    ``min`` over all of them is the new component, the own row is the old
+    one, so one shuffle (partial minima combine map-side) replaces the
+    min aggregation plus a join with the solution.  Candidates for vertices
+    outside the solution are dropped, as the inner join of J2 does.
+    """
+    own = solution.select("v", "comp", F.col("comp").alias("__old"))
+    cand = candidates.select("v", "comp", F.lit(None).cast(solution.schema["comp"].dataType)
+                             .alias("__old"))
+    agg = own.unionByName(cand).groupBy("v").agg(F.min("comp").alias("comp"),
+                                                 F.max("__old").alias("__old"))
+    return agg.where(F.col("__old").isNotNull()).select(
+        "v", "comp", smaller("comp", "__old").alias(flag))
+
+
 def cc_relax(solution: DataFrame, min_candidates: DataFrame, flag: str = "changed") -> DataFrame:
     """J2 + J3 in one join: ``least(current, candidate)`` and a changed flag."""
     m = min_candidates.select("v", F.col("comp").alias("__cand"))

@@ -26,7 +26,7 @@ def components_bulk(edges: DataFrame, max_iter: int = 10, *, directed: bool = Fa
     und, lk = _prepare(edges, prepared, directed)
 
     def step(sol: DataFrame, i: int) -> DataFrame:
-        return g.cc_relax(sol, g.cc_min_candidate(g.cc_candidates(sol, lk)))
+        return g.cc_relax_step(sol, g.cc_candidates(sol, lk))
 
     init = lk.sources.select(F.col("src").alias("v"), F.col("src").alias("comp"))
     try:
@@ -53,8 +53,7 @@ def components_delta(edges: DataFrame, max_iter: int = 10, *, directed: bool = F
 
     def step(sol: DataFrame, i: int) -> DataFrame:
         ws = sol.where(F.col("changed")).select("v", "comp")
-        mins = g.cc_min_candidate(g.cc_candidates(ws, lk))
-        return g.cc_relax(sol.select("v", "comp"), mins)
+        return g.cc_relax_step(sol.select("v", "comp"), g.cc_candidates(ws, lk))
 
     try:
         res = bulk_iterate(init, step, max_iter, stop_flag="changed", keep_flag=True,

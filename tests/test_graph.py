@@ -131,3 +131,19 @@ def test_adjacency_list_splits_hubs(spark):
     assert len(hub) == 3 and sorted(x for n in hub for x in n) == list(range(10))
     assert all(len(n) <= 7 for n in hub)
     assert [r.neighbors for r in got if r.src == 2] == [[5]]
+
+
+def test_fused_steps_match_joined_steps(spark):
+    from pyspark.sql import functions as F
+    und = g.undirected(tb.cc_edges(spark, SF001))
+    lk = g.Links(und)
+    sol = lk.sources.select(F.col("src").alias("v"), F.col("src").alias("comp"))
+    a = g.cc_relax(sol, g.cc_min_candidate(g.cc_candidates(sol, lk)))
+    b = g.cc_relax_step(sol, g.cc_candidates(sol, lk))
+    assert rows(a) == rows(b)
+    links = tb.pr_links(spark, SF001)
+    plk = g.Links(links)
+    r = plk.sources.select(F.col("src").alias("id"), F.lit(1.0).alias("rank"))
+    c = g.flag_changed(g.bulk_rank_step(r, plk, 2000), r)
+    d = g.bulk_rank_step_flagged(r, plk, 2000)
+    assert rows(c, nd=9) == rows(d, nd=9)
