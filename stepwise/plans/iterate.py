@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import inspect
 import itertools
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Callable, Protocol
 
@@ -104,19 +105,29 @@ def save_counted(df: DataFrame, store: StateStore, name: str, iteration: int,
     return saved, int(got["rows"]), flagged
 
 
-def _repartition(df: DataFrame, partitions, i: int, key: str | None,
-                 prev_rows: int | None = None) -> DataFrame:
-    """Change the parallelism of a step's input.
+@contextmanager
+def step_parallelism(spark: SparkSession, partitions, i: int, prev_rows: int | None = None):
+    """The shuffle parallelism of superstep ``i``.
 
-    ``partitions`` is ``f(i)`` or ``f(i, rows of the previous step)``.
+    ``partitions`` is ``f(i)`` or ``f(i, rows of the previous step)``; its
+    value is the ``spark.sql.shuffle.partitions`` used while the step is
+    planned and run (AQE may still coalesce), restored afterwards.  The
+    loop-invariant inputs keep their partitioning.
     """
-    if partitions is None:
-        return df
-    takes_rows = len(inspect.signature(partitions).parameters) >= 2
-    n = partitions(i, prev_rows) if takes_rows else partitions(i)
+    n = None
+    if partitions is not None:
+        takes_rows = len(inspect.signature(partitions).parameters) >= 2
+        n = partitions(i, prev_rows) if takes_rows else partitions(i)
     if not n:
-        return df
-    return df.repartition(n, key) if key else df.repartition(n)
+        yield None
+        return
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(int(n)))
+    try:
+        yield int(n)
+    finally:
+        spark.conf.set(key, old)
 
 
 def by_rows(rows_per_partition: int, minimum: int = 1, maximum: int | None = None):
@@ -157,10 +168,12 @@ def bulk_iterate(initial: DataFrame,
     converged = False
     i = 0
     rows = None
+    spark = initial.sparkSession
     for i in range(1, max_iter + 1):
-        nxt = step(_repartition(state, partitions, i, key, rows), i)
-        state, rows, flagged = save_counted(nxt, store, name, i,
-                                            stop_flag, drop_flag=not keep_flag)
+        with step_parallelism(spark, partitions, i, rows):
+            nxt = step(state, i)
+            state, rows, flagged = save_counted(nxt, store, name, i,
+                                                stop_flag, drop_flag=not keep_flag)
         counts.append((name, i, rows))
         if partition_stats:
             per_part += _collect_partition_counts(state, name, i)
@@ -214,25 +227,26 @@ def delta_iterate(solution: DataFrame, workset: DataFrame,
     dirty = False
     i = 0
     n_ws = None
+    spark = solution.sparkSession
     for i in range(1, max_iter + 1):
-        ws = _repartition(workset, partitions, i, key, n_ws)
-        delta, next_ws = step(solution, ws, i)
-        same = next_ws is delta
-        delta, n_delta, _ = save_counted(delta, store, name + "-delta", i)
-        counts.append((name + "-delta", i, n_delta))
-        if partition_stats:
-            per_part += _collect_partition_counts(delta, name + "-delta", i)
-        if same:
-            workset, n_ws = delta, n_delta
-        else:
-            workset, n_ws, _ = save_counted(next_ws, store, name + "-workset", i)
-            counts.append((name + "-workset", i, n_ws))
-        solution = merge(solution, delta)
-        dirty = True
-        if i % solution_every == 0:
-            solution, n_sol, _ = save_counted(solution, store, name + "-solution", i)
-            counts.append((name + "-solution", i, n_sol))
-            dirty = False
+        with step_parallelism(spark, partitions, i, n_ws):
+            delta, next_ws = step(solution, workset, i)
+            same = next_ws is delta
+            delta, n_delta, _ = save_counted(delta, store, name + "-delta", i)
+            counts.append((name + "-delta", i, n_delta))
+            if partition_stats:
+                per_part += _collect_partition_counts(delta, name + "-delta", i)
+            if same:
+                workset, n_ws = delta, n_delta
+            else:
+                workset, n_ws, _ = save_counted(next_ws, store, name + "-workset", i)
+                counts.append((name + "-workset", i, n_ws))
+            solution = merge(solution, delta)
+            dirty = True
+            if i % solution_every == 0:
+                solution, n_sol, _ = save_counted(solution, store, name + "-solution", i)
+                counts.append((name + "-solution", i, n_sol))
+                dirty = False
         if n_ws == 0:
             converged = True
             break

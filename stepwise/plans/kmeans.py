@@ -32,8 +32,10 @@ def _run(points: DataFrame, centers: DataFrame, iterations: int,
     i = 0
     for i in range(1, iterations + 1):
         step_pts = pts
-        if partitions is not None and partitions(i):
-            step_pts = pts.repartition(partitions(i))
+        n = partitions(i) if partitions is not None else None
+        if n:
+            # fewer tasks: merge cached partitions without a shuffle
+            step_pts = pts.coalesce(n) if n <= pts.rdd.getNumPartitions() else pts.repartition(n)
         rows = km.kmeans_step(step_pts, current).collect()   # k rows
         current = sorted((int(r["id"]), float(r["x"]), float(r["y"])) for r in rows)
         counts.append(("centers", i, len(current)))
