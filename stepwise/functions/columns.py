@@ -68,17 +68,25 @@ def gradient_step(theta0, theta1, x, y, rate: float = LEARNING_RATE) -> tuple[Co
 _TWO_52 = float(2 ** 52)
 
 
+def _digest(id_col, salt) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(salt)), _c(id_col).cast("string")))
+
+
+def _bits52(digest: Column, start: int) -> Column:
+    """13 hex digits (52 bits) of a digest, scaled to [0, 1)."""
+    return F.conv(F.substring(digest, start, 13), 16, 10).cast("double") / F.lit(_TWO_52)
+
+
 def uniform(id_col, salt) -> Column:
     """Uniform double in [0, 1) addressed by ``(salt, id)``."""
-    key = F.concat_ws(":", F.lit(str(salt)), _c(id_col).cast("string"))
-    bits = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double")
-    return bits / F.lit(_TWO_52)
+    return _bits52(_digest(id_col, salt), 1)
 
 
 def gaussian(id_col, salt) -> Column:
-    """Standard normal by Box-Muller over two addressed uniforms."""
-    u1 = F.lit(1.0) - uniform(id_col, f"{salt}a")      # (0, 1], safe for log
-    u2 = uniform(id_col, f"{salt}b")
+    """Standard normal by Box-Muller over the two halves of one digest."""
+    dg = _digest(id_col, salt)
+    u1 = F.lit(1.0) - _bits52(dg, 1)      # (0, 1], safe for log
+    u2 = _bits52(dg, 14)
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 

@@ -20,11 +20,16 @@ MAX_CENTERS = 1_000_000
 _FAR = 1.7976931348623157e308   # Double.MAX_VALUE: no finite distance -> -1
 
 
-def collect_centers(centers: DataFrame) -> list[tuple[int, float, float]]:
-    """The centers as driver-side tuples, sorted by id, after a size check."""
-    n = centers.count()
-    if n > MAX_CENTERS:
-        raise ValueError(f"{n} centers exceed the bound of {MAX_CENTERS}")
+def collect_centers(centers: DataFrame, bounded: bool = False) -> list[tuple[int, float, float]]:
+    """The centers as driver-side tuples, sorted by id, after a size check.
+
+    ``bounded`` skips the count when the caller knows the size already (the
+    centers of a k-means step are at most the k it started from).
+    """
+    if not bounded:
+        n = centers.count()
+        if n > MAX_CENTERS:
+            raise ValueError(f"{n} centers exceed the bound of {MAX_CENTERS}")
     return sorted((int(r["id"]), float(r["x"]), float(r["y"]))
                   for r in centers.select("id", "x", "y").collect())
 

@@ -36,13 +36,15 @@ def _run(points: DataFrame, centers: DataFrame, iterations: int,
         if n:
             # fewer tasks: merge cached partitions without a shuffle
             step_pts = pts.coalesce(n) if n <= pts.rdd.getNumPartitions() else pts.repartition(n)
-        rows = km.kmeans_step(step_pts, current).collect()   # k rows
-        current = sorted((int(r["id"]), float(r["x"]), float(r["y"])) for r in rows)
-        counts.append(("centers", i, len(current)))
+        new = km.kmeans_step(step_pts, current)
         if state_dir:
-            new = spark.createDataFrame(current, CENTER_SCHEMA).coalesce(1)
-            write_state(new, state_dir, "centers", i)
-            current = km.collect_centers(read_state(spark, state_dir, "centers", i))
+            # the step's job writes its k centers straight to the state folder
+            write_state(new.coalesce(1), state_dir, "centers", i)
+            current = km.collect_centers(read_state(spark, state_dir, "centers", i), bounded=True)
+        else:
+            current = sorted((int(r["id"]), float(r["x"]), float(r["y"]))
+                             for r in new.collect())              # k rows
+        counts.append(("centers", i, len(current)))
     if cached:
         pts.unpersist()
     final = spark.createDataFrame(current, CENTER_SCHEMA)

@@ -25,14 +25,15 @@ def _run(samples: DataFrame, start: tuple[float, float], iterations: int, rate:
     counts = []
     i = 0
     for i in range(1, iterations + 1):
-        row = lr.regression_step(s, t0, t1, rate).first()      # one row
+        new = lr.regression_step(s, t0, t1, rate)
+        if state_dir:
+            # the step's job writes the new parameters straight to the state folder
+            write_state(new.coalesce(1), state_dir, "params", i)
+            row = read_state(spark, state_dir, "params", i).first()
+        else:
+            row = new.first()                                      # one row
         t0, t1 = float(row["theta0"]), float(row["theta1"])
         counts.append(("params", i, 1))
-        if state_dir:
-            write_state(spark.createDataFrame([(t0, t1)], PARAMS_SCHEMA).coalesce(1),
-                        state_dir, "params", i)
-            back = read_state(spark, state_dir, "params", i).first()
-            t0, t1 = float(back["theta0"]), float(back["theta1"])
     if cached:
         s.unpersist()
     res = IterationResult(spark.createDataFrame([(t0, t1)], PARAMS_SCHEMA), i, False, counts)

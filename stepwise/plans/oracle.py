@@ -271,14 +271,18 @@ def lr_sums(start) -> str:
 
 # --- generators -----------------------------------------------------------------
 
-def uniform_sql(id_expr: str, salt: str) -> str:
-    return (f"CAST(CAST(('0x' || substr(md5('{salt}' || ':' || CAST({id_expr} AS VARCHAR)), 1, 13)) "
+def _bits_sql(id_expr: str, salt: str, start: int) -> str:
+    return (f"CAST(CAST(('0x' || substr(md5('{salt}' || ':' || CAST({id_expr} AS VARCHAR)), {start}, 13)) "
             f"AS BIGINT) AS DOUBLE) / {float(2 ** 52)!r}")
 
 
+def uniform_sql(id_expr: str, salt: str) -> str:
+    return _bits_sql(id_expr, salt, 1)
+
+
 def gaussian_sql(id_expr: str, salt: str) -> str:
-    u1 = f"(1.0::DOUBLE - {uniform_sql(id_expr, salt + 'a')})"
-    u2 = uniform_sql(id_expr, salt + "b")
+    u1 = f"(1.0::DOUBLE - {_bits_sql(id_expr, salt, 1)})"
+    u2 = _bits_sql(id_expr, salt, 14)
     return f"(sqrt(-2.0::DOUBLE * ln({u1})) * cos({2.0 * math.pi!r}::DOUBLE * {u2}))"
 
 
