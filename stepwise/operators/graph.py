@@ -101,6 +101,29 @@ def undirected(edges: DataFrame) -> DataFrame:
 # prepared links
 # ---------------------------------------------------------------------------
 
+STATE_ROW_BYTES = 32     # conservative size of one state row in a broadcast
+MAX_BROADCAST_STATE_ROWS = 100_000   # larger worksets are shuffled (no gain measured)
+
+
+def broadcast_rows(spark) -> int:
+    """Most state rows broadcast to the link table: the session's broadcast
+    threshold over ``STATE_ROW_BYTES`` (0 when broadcasting is disabled),
+    capped at ``MAX_BROADCAST_STATE_ROWS``."""
+    raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    try:
+        limit = int(raw)
+    except ValueError:
+        limit = _parse_bytes(raw)
+    return min(MAX_BROADCAST_STATE_ROWS, max(0, limit) // STATE_ROW_BYTES)
+
+
+def _parse_bytes(text: str) -> int:
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    t = text.strip().lower().rstrip("b") or "0"
+    mult = units.get(t[-1], 1) if t[-1].isalpha() else 1
+    return int(float(t[:-1] if t[-1].isalpha() else t) * mult)
+
+
 class Links:
     """Loop-invariant edge table, partitioned on the join key and persisted.
 
@@ -121,8 +144,10 @@ class Links:
                                           F.count(F.lit(1)).alias("npairs"))
         if persist:
             per_src = per_src.persist(StorageLevel.MEMORY_AND_DISK)
-        total, widest = per_src.agg(F.sum("npairs"), F.max("npairs")).first()
+        total, widest, n_src = per_src.agg(F.sum("npairs"), F.max("npairs"),
+                                           F.count(F.lit(1))).first()
         total, widest = total or 0, widest or 0
+        self.n_sources = int(n_src or 0)
         self.partitions = partitions or max(default_partitions(spark),
                                             math.ceil(total / ROWS_PER_PARTITION))
         if split_rows is None:
@@ -175,22 +200,27 @@ class Links:
         n = F.coalesce(F.col("nsalt"), F.lit(1))
         return j.select(*df.columns, F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"))
 
-    def join_state(self, state: DataFrame, key: str) -> DataFrame:
+    def join_state(self, state: DataFrame, key: str, rows: int | None = None) -> DataFrame:
         """Join per-vertex state (keyed by ``key``) to its out-links.
 
-        Output carries the state columns plus ``dst, w, deg``.  Only the state
-        side is shuffled; the persisted link table keeps its partitioning.
+        Output carries the state columns plus ``dst, w, deg``.  The persisted
+        link table is never shuffled.  The state side is broadcast when its
+        measured row count ``rows`` fits the session's broadcast threshold
+        (``broadcast_rows``); otherwise it is shuffled to the link partitioning
+        and used as the hash-join build side.
         """
         if self.n_hot:
             state = self._explode_salts(state, key)
             out_cols = [c for c in state.columns if c != "salt"]
         else:
             out_cols = state.columns
-        s, lt = state.alias("__s"), self.table.alias("__l")
+        small = rows is not None and rows <= broadcast_rows(state.sparkSession)
+        s = F.broadcast(state) if small else state.hint("shuffle_hash")
+        s, lt = s.alias("__s"), self.table.alias("__l")
         cond = F.col(f"__s.{key}") == F.col("__l.src")
         if self.n_hot:
             cond = cond & (F.col("__s.salt") == F.col("__l.salt"))
-        j = s.hint("shuffle_hash").join(lt, cond)
+        j = s.join(lt, cond)
         return j.select(*[F.col(f"__s.{c}") for c in out_cols],
                         F.col("__l.dst"), F.col("__l.w"), F.col("__l.deg"))
 
@@ -204,13 +234,13 @@ class Links:
 # PageRank (J4-J7, A2, A3)
 # ---------------------------------------------------------------------------
 
-def rank_shares(ranks: DataFrame, links: Links) -> DataFrame:
+def rank_shares(ranks: DataFrame, links: Links, rows: int | None = None) -> DataFrame:
     """Each page's rank split equally over its out-links (``id, share``).
 
     Parallel edges count separately (``w`` copies of ``rank/deg``).  Pages
     without out-links send nothing.
     """
-    j = links.join_state(ranks, "id")
+    j = links.join_state(ranks, "id", rows)
     return j.select(F.col("dst").alias("id"),
                     (F.col("rank") / F.col("deg") * F.col("w")).alias("share"))
 
@@ -226,9 +256,9 @@ def dampened(sums: DataFrame, num_pages: int, d: float = DAMPENING) -> DataFrame
 
 
 def bulk_rank_step(ranks: DataFrame, links: Links, num_pages: int,
-                   d: float = DAMPENING) -> DataFrame:
+                   d: float = DAMPENING, rows: int | None = None) -> DataFrame:
     """One bulk PageRank superstep: shares, sum, dampen."""
-    return dampened(sum_shares(rank_shares(ranks, links)), num_pages, d)
+    return dampened(sum_shares(rank_shares(ranks, links, rows)), num_pages, d)
 
 
 def bulk_rank_step_flagged(ranks: DataFrame, links: Links, num_pages: int,
@@ -264,12 +294,13 @@ def flag_changed(new: DataFrame, old: DataFrame, eps: float = EPSILON,
                     F.coalesce(changed("rank", "__old", eps), F.lit(False)).alias(flag))
 
 
-def delta_shares(deltas: DataFrame, links: Links, d: float = DAMPENING) -> DataFrame:
+def delta_shares(deltas: DataFrame, links: Links, d: float = DAMPENING,
+                 rows: int | None = None) -> DataFrame:
     """``d * delta / outdegree`` to every target (``id, share``).
 
     Extra state columns (a ``threshold`` tag) are carried along.
     """
-    j = links.join_state(deltas, "id")
+    j = links.join_state(deltas, "id", rows)
     extra = [c for c in deltas.columns if c not in ("id", "delta")]
     return j.select(*extra, F.col("dst").alias("id"),
                     (F.lit(d) * F.col("delta") / F.col("deg") * F.col("w")).alias("share"))
@@ -307,9 +338,9 @@ def add_deltas(solution: DataFrame, deltas: DataFrame,
 # connected components
 # ---------------------------------------------------------------------------
 
-def cc_candidates(components: DataFrame, links: Links) -> DataFrame:
+def cc_candidates(components: DataFrame, links: Links, rows: int | None = None) -> DataFrame:
     """Every neighbour of a vertex may take its component (``v, comp``)."""
-    j = links.join_state(components.withColumnRenamed("v", "__v"), "__v")
+    j = links.join_state(components.withColumnRenamed("v", "__v"), "__v", rows)
     return j.select(F.col("dst").alias("v"), "comp")
 
 

@@ -25,13 +25,14 @@ def components_bulk(edges: DataFrame, max_iter: int = 10, *, directed: bool = Fa
     """
     und, lk = _prepare(edges, prepared, directed)
 
-    def step(sol: DataFrame, i: int) -> DataFrame:
-        return g.cc_relax_step(sol, g.cc_candidates(sol, lk))
+    def step(sol: DataFrame, i: int, rows: int | None = None) -> DataFrame:
+        return g.cc_relax_step(sol, g.cc_candidates(sol, lk, rows))
 
     init = lk.sources.select(F.col("src").alias("v"), F.col("src").alias("comp"))
     try:
         return bulk_iterate(init, step, max_iter, stop_flag="changed",
-                            store=store, partitions=partitions, key="v", name="components")
+                            store=store, partitions=partitions, key="v",
+                            initial_rows=lk.n_sources, name="components")
     finally:
         if prepared is None:
             lk.unpersist()
@@ -51,13 +52,14 @@ def components_delta(edges: DataFrame, max_iter: int = 10, *, directed: bool = F
     init = lk.sources.select(F.col("src").alias("v"), F.col("src").alias("comp"),
                              F.lit(True).alias("changed"))
 
-    def step(sol: DataFrame, i: int) -> DataFrame:
-        ws = sol.where(F.col("changed")).select("v", "comp")
-        return g.cc_relax_step(sol.select("v", "comp"), g.cc_candidates(ws, lk))
+    def step(sol: DataFrame, i: int, rows: int | None = None) -> DataFrame:
+        ws = sol.where(F.col("changed")).select("v", "comp")     # rows = its size
+        return g.cc_relax_step(sol.select("v", "comp"), g.cc_candidates(ws, lk, rows))
 
     try:
         res = bulk_iterate(init, step, max_iter, stop_flag="changed", keep_flag=True,
-                           store=store, partitions=partitions, key="v", name="components")
+                           store=store, partitions=partitions, key="v",
+                           initial_rows=lk.n_sources, name="components")
     finally:
         if prepared is None:
             lk.unpersist()

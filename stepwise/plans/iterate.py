@@ -105,6 +105,12 @@ def save_counted(df: DataFrame, store: StateStore, name: str, iteration: int,
     return saved, int(got["rows"]), flagged
 
 
+def _wants_rows(step) -> bool:
+    """Steps may take ``rows=``: the measured row count of their input state
+    (workset) from the previous step, e.g. to broadcast a small workset."""
+    return "rows" in inspect.signature(step).parameters
+
+
 @contextmanager
 def step_parallelism(spark: SparkSession, partitions, i: int, prev_rows: int | None = None):
     """The shuffle parallelism of superstep ``i``.
@@ -151,30 +157,36 @@ def bulk_iterate(initial: DataFrame,
                  key: str | None = None,
                  keep_flag: bool = False,
                  partition_stats: bool = False,
+                 initial_rows: int | None = None,
                  name: str = "state") -> IterationResult:
     """Bulk iteration: the whole state is replaced every superstep.
 
-    ``step(state, i)`` returns the next state.  Without ``stop_flag`` the loop
+    ``step(state, i[, rows=n])`` returns the next state.  Without ``stop_flag`` the loop
     runs exactly ``max_iter`` steps (I1).  With it, the step adds a boolean
     column of that name; the loop ends after the first step in which no row
     has it set (I2: "criterion data set is empty"), or at ``max_iter``.
     Superstep numbers start at 1.  With ``keep_flag`` the flag stays in the
     state between steps (a delta step reads it as its workset) and is
-    dropped from the final result only.
+    dropped from the final result only.  A step that takes ``rows=`` gets
+    the measured size of its input: the state's row count, or with
+    ``keep_flag`` the number of flagged rows.
     """
     store = store or CheckpointStore()
     state = initial
     counts, per_part = [], []
     converged = False
     i = 0
-    rows = None
+    rows = initial_rows
     spark = initial.sparkSession
+    wants_rows = _wants_rows(step)
     for i in range(1, max_iter + 1):
         with step_parallelism(spark, partitions, i, rows):
-            nxt = step(state, i)
-            state, rows, flagged = save_counted(nxt, store, name, i,
-                                                stop_flag, drop_flag=not keep_flag)
-        counts.append((name, i, rows))
+            nxt = step(state, i, rows=rows) if wants_rows else step(state, i)
+            state, n_state, flagged = save_counted(nxt, store, name, i,
+                                                   stop_flag, drop_flag=not keep_flag)
+        # with keep_flag the flagged rows are the next step's workset
+        rows = flagged if keep_flag and stop_flag else n_state
+        counts.append((name, i, n_state))
         if partition_stats:
             per_part += _collect_partition_counts(state, name, i)
         if stop_flag:
@@ -210,6 +222,7 @@ def delta_iterate(solution: DataFrame, workset: DataFrame,
                   solution_every: int = 1,
                   partitions: Callable[[int], int | None] | None = None,
                   partition_stats: bool = False,
+                  initial_rows: int | None = None,
                   name: str = "delta") -> IterationResult:
     """Delta iteration (I3): keyed solution set plus a shrinking workset.
 
@@ -226,11 +239,13 @@ def delta_iterate(solution: DataFrame, workset: DataFrame,
     converged = False
     dirty = False
     i = 0
-    n_ws = None
+    n_ws = initial_rows
     spark = solution.sparkSession
+    wants_rows = _wants_rows(step)
     for i in range(1, max_iter + 1):
         with step_parallelism(spark, partitions, i, n_ws):
-            delta, next_ws = step(solution, workset, i)
+            delta, next_ws = (step(solution, workset, i, rows=n_ws) if wants_rows
+                              else step(solution, workset, i))
             same = next_ws is delta
             delta, n_delta, _ = save_counted(delta, store, name + "-delta", i)
             counts.append((name + "-delta", i, n_delta))

@@ -27,13 +27,14 @@ def pagerank_bulk(links: DataFrame, num_pages: int | None = None, max_iter: int
     lk = prepared or g.Links(links, count_vertices=num_pages is None)
     n = num_pages or lk.vertex_count or lk.count_vertices()
 
-    def step(ranks: DataFrame, i: int) -> DataFrame:
-        return g.flag_changed(g.bulk_rank_step(ranks, lk, n, d), ranks, eps)
+    def step(ranks: DataFrame, i: int, rows: int | None = None) -> DataFrame:
+        return g.flag_changed(g.bulk_rank_step(ranks, lk, n, d, rows), ranks, eps)
 
     ranks = lk.sources.select(F.col("src").alias("id"), F.lit(1.0).alias("rank"))
     try:
         res = bulk_iterate(ranks, step, max_iter, stop_flag="changed",
-                           store=store, partitions=partitions, key="id", name="ranks")
+                           store=store, partitions=partitions, key="id",
+                           initial_rows=lk.n_sources, name="ranks")
     finally:
         if prepared is None:
             lk.unpersist()
@@ -59,15 +60,15 @@ def pagerank_delta(links: DataFrame, num_pages: int | None = None, max_iter: int
     ranks = lk.sources.select(F.col("src").alias("id"), F.lit(1.0).alias("rank"))
     deltas = g.delta_init(ranks, n)
 
-    def step(solution: DataFrame, workset: DataFrame, i: int):
-        new = g.sum_and_filter(g.delta_shares(workset, lk, d), threshold)
+    def step(solution: DataFrame, workset: DataFrame, i: int, rows: int | None = None):
+        new = g.sum_and_filter(g.delta_shares(workset, lk, d, rows), threshold)
         return new, new
 
     try:
         res = delta_iterate(ranks, deltas, step, max_iter, key="id", merge=g.add_deltas,
                             store=store, solution_every=solution_every,
                             partitions=partitions, partition_stats=partition_stats,
-                            name="pagerank")
+                            initial_rows=lk.n_sources, name="pagerank")
     finally:
         if prepared is None:
             lk.unpersist()
@@ -114,14 +115,15 @@ def pagerank_delta_sweep(links: DataFrame, thresholds: list[float],
     deltas = g.delta_init(start, n).select(tags, "id", "delta")
     keys = ("threshold", "id")
 
-    def step(solution: DataFrame, workset: DataFrame, i: int):
-        new = g.sum_and_filter(g.delta_shares(workset, lk, d), keys=keys)
+    def step(solution: DataFrame, workset: DataFrame, i: int, rows: int | None = None):
+        new = g.sum_and_filter(g.delta_shares(workset, lk, d, rows), keys=keys)
         return new, new
 
     try:
         res = delta_iterate(ranks, deltas, step, max_iter, key="id",
                             merge=lambda s, dl: g.add_deltas(s, dl, keys),
-                            store=store, solution_every=solution_every, name="pagerank")
+                            store=store, solution_every=solution_every,
+                            initial_rows=lk.n_sources * len(thresholds), name="pagerank")
     finally:
         if prepared is None:
             lk.unpersist()
