@@ -53,13 +53,6 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.col("l_extendedprice") / F.lit(POINT_Y_SCALE)).alias("y"))
 
 
-def keyed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points with their row key ``(l_orderkey, l_linenumber)``."""
-    li = table(spark, sf_dir, "lineitem")
-    return li.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"),
-                     (F.col("l_extendedprice") / F.lit(POINT_Y_SCALE)).alias("y"))
-
-
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select((F.col("l_quantity") / F.lit(SAMPLE_X_SCALE)).alias("x"),

@@ -147,3 +147,17 @@ def test_fused_steps_match_joined_steps(spark):
     c = g.flag_changed(g.bulk_rank_step(r, plk, 2000), r)
     d = g.bulk_rank_step_flagged(r, plk, 2000)
     assert rows(c, nd=9) == rows(d, nd=9)
+
+
+@pytest.mark.parametrize("parts", ["3", "11"])
+def test_results_independent_of_shuffle_partitions(spark, parts):
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    base_pr = rows(pr.pagerank_delta(tb.pr_links(spark, SF001), max_iter=5).df, nd=9)
+    base_cc = rows(cc.components_bulk(tb.cc_edges(spark, SF001), 20).df)
+    spark.conf.set(key, parts)
+    try:
+        assert rows(pr.pagerank_delta(tb.pr_links(spark, SF001), max_iter=5).df, nd=9) == base_pr
+        assert rows(cc.components_bulk(tb.cc_edges(spark, SF001), 20).df) == base_cc
+    finally:
+        spark.conf.set(key, old)
