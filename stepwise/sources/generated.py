@@ -105,3 +105,15 @@ def regression_samples(spark: SparkSession, n: int, partitions: int | None = Non
 def uniform_for(id_df: DataFrame, salt: str = "u") -> DataFrame:
     """G7 as a column over given ids (``id, u``)."""
     return id_df.select("id", uniform("id", salt).alias("u"))
+
+
+def write_points(points: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Generated points as ``x y`` with two decimals."""
+    from stepwise.sources.text import write_formatted
+    write_formatted(points, path, ["x", "y"], mode=mode)
+
+
+def write_centers(centers: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Generated centers as ``id x y``; the id as a plain integer."""
+    from stepwise.sources.text import write_formatted
+    write_formatted(centers, path, ["x", "y"], id_col="id", mode=mode)
