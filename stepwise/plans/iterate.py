@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import inspect
 import itertools
+import time
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Callable, Protocol
@@ -69,6 +70,7 @@ class IterationResult:
     counts: list = field(default_factory=list)   # (operator, iteration, rows)
     extra: dict = field(default_factory=dict)
     partition_counts: list = field(default_factory=list)  # (operator, iteration, partition, rows)
+    step_ms: list = field(default_factory=list)           # (iteration, wall-clock ms)
 
     def stats(self, spark: SparkSession | None = None) -> DataFrame:
         """M1 totals as a DataFrame ``operator, iteration, rows``."""
@@ -76,6 +78,17 @@ class IterationResult:
         return spark.createDataFrame(
             self.counts, "operator string, iteration int, rows long")
 
+    def summary(self, spark: SparkSession | None = None) -> DataFrame:
+        """M5 for this loop: per iteration the wall-clock runtime, the rows
+        each output had, and the step's shuffle parallelism."""
+        spark = spark or self.df.sparkSession
+        rows = {}
+        for op, i, n in self.counts:
+            rows.setdefault(i, {})[op] = n
+        data = [(i, ms, par, rows.get(i, {})) for i, ms, par in self.step_ms]
+        return spark.createDataFrame(
+            data, "iteration int, runtime_ms long, parallelism int, rows map<string,long>")
+
     def partition_stats(self, spark: SparkSession | None = None) -> DataFrame:
         """M1 per subtask (needs ``partition_stats=True`` on the loop)."""
         spark = spark or self.df.sparkSession
@@ -179,11 +192,14 @@ def bulk_iterate(initial: DataFrame,
     rows = initial_rows
     spark = initial.sparkSession
     wants_rows = _wants_rows(step)
+    times = []
     for i in range(1, max_iter + 1):
-        with step_parallelism(spark, partitions, i, rows):
+        t0 = time.perf_counter()
+        with step_parallelism(spark, partitions, i, rows) as par:
             nxt = step(state, i, rows=rows) if wants_rows else step(state, i)
             state, n_state, flagged = save_counted(nxt, store, name, i,
                                                    stop_flag, drop_flag=not keep_flag)
+        times.append((i, int((time.perf_counter() - t0) * 1000), par or _shuffle_parts(spark)))
         # with keep_flag the flagged rows are the next step's workset
         rows = flagged if keep_flag and stop_flag else n_state
         counts.append((name, i, n_state))
@@ -196,7 +212,12 @@ def bulk_iterate(initial: DataFrame,
                 break
     if keep_flag and stop_flag and stop_flag in state.columns:
         state = state.drop(stop_flag)
-    return IterationResult(state, i, converged, counts, partition_counts=per_part)
+    return IterationResult(state, i, converged, counts, partition_counts=per_part,
+                           step_ms=times)
+
+
+def _shuffle_parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def upsert(solution: DataFrame, delta: DataFrame, key: str) -> DataFrame:
@@ -242,8 +263,10 @@ def delta_iterate(solution: DataFrame, workset: DataFrame,
     n_ws = initial_rows
     spark = solution.sparkSession
     wants_rows = _wants_rows(step)
+    times = []
     for i in range(1, max_iter + 1):
-        with step_parallelism(spark, partitions, i, n_ws):
+        t0 = time.perf_counter()
+        with step_parallelism(spark, partitions, i, n_ws) as par:
             delta, next_ws = (step(solution, workset, i, rows=n_ws) if wants_rows
                               else step(solution, workset, i))
             same = next_ws is delta
@@ -262,13 +285,15 @@ def delta_iterate(solution: DataFrame, workset: DataFrame,
                 solution, n_sol, _ = save_counted(solution, store, name + "-solution", i)
                 counts.append((name + "-solution", i, n_sol))
                 dirty = False
+        times.append((i, int((time.perf_counter() - t0) * 1000), par or _shuffle_parts(spark)))
         if n_ws == 0:
             converged = True
             break
     if dirty:
         solution, n_sol, _ = save_counted(solution, store, name + "-solution", i)
         counts.append((name + "-solution", i, n_sol))
-    return IterationResult(solution, i, converged, counts, partition_counts=per_part)
+    return IterationResult(solution, i, converged, counts, partition_counts=per_part,
+                           step_ms=times)
 
 
 def partition_counts(df: DataFrame, operator: str, iteration: int) -> DataFrame:

@@ -8,6 +8,7 @@ reads them back for the next step, so a step can be re-run from the files.
 
 from __future__ import annotations
 
+import time
 from typing import Callable
 
 from pyspark import StorageLevel
@@ -28,9 +29,10 @@ def _run(points: DataFrame, centers: DataFrame, iterations: int,
     if cached:
         pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
     current = km.collect_centers(centers)
-    counts = []
+    counts, times = [], []
     i = 0
     for i in range(1, iterations + 1):
+        t0 = time.perf_counter()
         step_pts = pts
         n = partitions(i) if partitions is not None else None
         if n:
@@ -45,10 +47,12 @@ def _run(points: DataFrame, centers: DataFrame, iterations: int,
             current = sorted((int(r["id"]), float(r["x"]), float(r["y"]))
                              for r in new.collect())              # k rows
         counts.append(("centers", i, len(current)))
+        times.append((i, int((time.perf_counter() - t0) * 1000),
+                      int(n or step_pts.rdd.getNumPartitions())))
     if cached:
         pts.unpersist()
     final = spark.createDataFrame(current, CENTER_SCHEMA)
-    res = IterationResult(final, i, False, counts)
+    res = IterationResult(final, i, False, counts, step_ms=times)
     res.extra["centers"] = current
     return res
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
@@ -22,9 +24,10 @@ def _run(samples: DataFrame, start: tuple[float, float], iterations: int, rate:
     if cached:
         s = s.persist(StorageLevel.MEMORY_AND_DISK)
     t0, t1 = float(start[0]), float(start[1])
-    counts = []
+    counts, times = [], []
     i = 0
     for i in range(1, iterations + 1):
+        started = time.perf_counter()
         new = lr.regression_step(s, t0, t1, rate)
         if state_dir:
             # the step's job writes the new parameters straight to the state folder
@@ -34,9 +37,11 @@ def _run(samples: DataFrame, start: tuple[float, float], iterations: int, rate:
             row = new.first()                                      # one row
         t0, t1 = float(row["theta0"]), float(row["theta1"])
         counts.append(("params", i, 1))
+        times.append((i, int((time.perf_counter() - started) * 1000), s.rdd.getNumPartitions()))
     if cached:
         s.unpersist()
-    res = IterationResult(spark.createDataFrame([(t0, t1)], PARAMS_SCHEMA), i, False, counts)
+    res = IterationResult(spark.createDataFrame([(t0, t1)], PARAMS_SCHEMA), i, False, counts,
+                          step_ms=times)
     res.extra["params"] = (t0, t1)
     return res
 

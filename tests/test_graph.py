@@ -161,3 +161,10 @@ def test_results_independent_of_shuffle_partitions(spark, parts):
         assert rows(cc.components_bulk(tb.cc_edges(spark, SF001), 20).df) == base_cc
     finally:
         spark.conf.set(key, old)
+
+
+def test_summary_has_one_row_per_step(spark, edges_t):
+    res = pr.pagerank_delta(edges_t, num_pages=5, threshold=0.1)
+    s = res.summary().orderBy("iteration").collect()
+    assert [r.iteration for r in s] == [1, 2, 3]
+    assert s[0].rows["pagerank-delta"] == 3 and all(r.runtime_ms >= 0 for r in s)
