@@ -80,9 +80,8 @@ def execution_summary(samples: DataFrame, timestamps: DataFrame | None = None) -
     avg = cpu_averages(samples)
     if timestamps is not None:
         rt = timestamps.groupBy("job", "iteration").agg(
-            F.floor((F.unix_micros(F.max("ts").cast("timestamp"))
-                     - F.unix_micros(F.min("ts").cast("timestamp"))) / 1000).cast("long")
-            .alias("runtime_ms"))
+            F.floor(F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 1000)
+            .cast("long").alias("runtime_ms"))
         avg = avg.join(rt, ["job", "iteration"], "left")
     overall = avg.groupBy("job").agg(F.avg("utilization").alias("job_utilization"))
     return avg.join(overall, "job")
