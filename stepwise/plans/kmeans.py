@@ -30,6 +30,7 @@ def _run(points: DataFrame, centers: DataFrame, iterations: int,
         pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
     current = km.collect_centers(centers)
     counts, times = [], []
+    base_parts = pts.rdd.getNumPartitions()
     i = 0
     for i in range(1, iterations + 1):
         t0 = time.perf_counter()
@@ -37,7 +38,7 @@ def _run(points: DataFrame, centers: DataFrame, iterations: int,
         n = partitions(i) if partitions is not None else None
         if n:
             # fewer tasks: merge cached partitions without a shuffle
-            step_pts = pts.coalesce(n) if n <= pts.rdd.getNumPartitions() else pts.repartition(n)
+            step_pts = pts.coalesce(n) if n <= base_parts else pts.repartition(n)
         new = km.kmeans_step(step_pts, current)
         if state_dir:
             # the step's job writes its k centers straight to the state folder
@@ -48,7 +49,7 @@ def _run(points: DataFrame, centers: DataFrame, iterations: int,
                              for r in new.collect())              # k rows
         counts.append(("centers", i, len(current)))
         times.append((i, int((time.perf_counter() - t0) * 1000),
-                      int(n or step_pts.rdd.getNumPartitions())))
+                      int(n or base_parts)))
     if cached:
         pts.unpersist()
     final = spark.createDataFrame(current, CENTER_SCHEMA)

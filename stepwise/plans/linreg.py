@@ -25,6 +25,7 @@ def _run(samples: DataFrame, start: tuple[float, float], iterations: int, rate:
         s = s.persist(StorageLevel.MEMORY_AND_DISK)
     t0, t1 = float(start[0]), float(start[1])
     counts, times = [], []
+    parts = s.rdd.getNumPartitions()
     i = 0
     for i in range(1, iterations + 1):
         started = time.perf_counter()
@@ -37,7 +38,7 @@ def _run(samples: DataFrame, start: tuple[float, float], iterations: int, rate:
             row = new.first()                                      # one row
         t0, t1 = float(row["theta0"]), float(row["theta1"])
         counts.append(("params", i, 1))
-        times.append((i, int((time.perf_counter() - started) * 1000), s.rdd.getNumPartitions()))
+        times.append((i, int((time.perf_counter() - started) * 1000), parts))
     if cached:
         s.unpersist()
     res = IterationResult(spark.createDataFrame([(t0, t1)], PARAMS_SCHEMA), i, False, counts,

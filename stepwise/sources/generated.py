@@ -86,8 +86,10 @@ def points_for(id_df: DataFrame, means: list[tuple[int, float, float]],
 def kmeans_points(spark: SparkSession, n: int, k: int, skew: list[int] | None = None,
                   partitions: int | None = None, stddev: float = RELATIVE_STDDEV,
                   value_range: float = DEFAULT_RANGE) -> DataFrame:
+    if not 1 <= k <= MAX_MEANS:
+        raise ValueError("between 1 and %d means are required" % MAX_MEANS)
     means = [(int(r["id"]), float(r["x"]), float(r["y"]))
-             for r in uniform_centers(spark, k, value_range=value_range).collect()]
+             for r in uniform_centers(spark, k, value_range=value_range).collect()]   # k rows
     return points_for(ids(spark, n, partitions), means, skew, stddev, value_range)
 
 
