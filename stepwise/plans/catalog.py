@@ -50,13 +50,18 @@ def query(name: str, oracle: str | None):
     def deco(fn):
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLE[name] = oracle
+            ORACLE[name] = sql.portable_round(oracle)
         return fn
     return deco
 
 
+_SCALE6 = 1_000_000.0
+
+
 def r6(c) -> F.Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """Six decimals as ``round(x * 1e6) / 1e6`` (same result in both engines)."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.round(x * F.lit(_SCALE6)) / F.lit(_SCALE6)
 
 
 def _scratch(spark: SparkSession, name: str) -> str:

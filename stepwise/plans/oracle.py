@@ -29,6 +29,35 @@ def with_ctes(ctes: list[str], body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
 
+def portable_round(sql: str, digits: int = 6) -> str:
+    """Rewrite every ``round(expr, 6)`` as ``round(expr * 1e6) / 1e6``.
+
+    Rounding a double to an integer is identical in Spark and DuckDB (half
+    away from zero on the same double); rounding to decimals is not (Spark
+    rounds the shortest decimal string, DuckDB the scaled binary value), so
+    both sides round through the scaled form.
+    """
+    token, scale = "round(", f"{10 ** digits}.0"
+    out, i = [], 0
+    while True:
+        j = sql.find(token, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        k, depth = j + len(token), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = sql[j + len(token):k - 1]
+        suffix = f", {digits}"
+        if inner.endswith(suffix):
+            expr = portable_round(inner[:-len(suffix)], digits)
+            out.append(sql[i:j] + f"(round(({expr}) * {scale}) / {scale})")
+        else:
+            out.append(sql[i:j] + token + portable_round(inner, digits) + ")")
+        i = k
+
+
 # --- PageRank ---------------------------------------------------------------
 
 def pr_base(links_sql: str, p: str = "") -> list[str]:
