@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwise.llm import pfair_mix, token_cache, url_sweep
+from stepwise.llm import labelled, line_crf, ngram_ratio, pfair_mix, token_cache, toxicity_fm, url_sweep
 from stepwise.llm.storage import table
 
 # The url rules of the contract: host, path, verdict.
@@ -25,6 +25,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = lambda c: labelled.fold(F.col(c), 3) == 1
+    model = line_crf.fit(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id"))
+    return (line_crf.score_documents(docs, model)
+            .select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every call fills a cache of its own, so its figures are those of a first run."""
     return token_cache.count_tokens(table(spark, sf_dir, "documents"),
@@ -41,10 +49,27 @@ def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair_mix.mix_sources(docs, pfair_mix.temperature_weights(docs, MIX_ALPHA))
 
 
+def op8_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = lambda c: labelled.fold(F.col(c), 5) == 0
+    model = toxicity_fm.fit(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id"))
+    return (toxicity_fm.score_documents(docs, model)
+            .select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted"))
+
+
+def op10_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ngram_ratio.fit(docs, ngram_ratio.trusted_sample(table(spark, sf_dir, "labels")))
+    return ngram_ratio.judge(docs, model).drop("score")
+
+
 QUERIES = {
+    "op2_line_crf": op2_line_crf,
     "op3_token_counts": op3_token_counts,
     "op5_url_filter": op5_url_filter,
     "op6_pfair_mix": op6_pfair_mix,
+    "op8_toxicity_fm": op8_toxicity_fm,
+    "op10_ngram_ratio": op10_ngram_ratio,
 }
 
 ORACLE = {

@@ -159,6 +159,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, cache_dir: str | None = Non
         _encode_batches(tokenizer), "digest binary, n_tokens long")
     # equal rows may stand for one content twice; the cache is read by maximum
     counts.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(cache_dir)
-    return (keyed.join(read_cache(spark, cache_dir, version), "digest")
+    # a written table of one row per digest lets a frequent content's join be split
+    known = saved(read_cache(spark, cache_dir, version)
+                  .join(keyed.select("digest").distinct(), "digest", "left_semi"), "token-counts")
+    return (keyed.join(known, "digest")
             .select(F.col("id").alias(id_col), "n_bytes", "n_tokens",
                     (F.col("n_tokens") > limit).alias("over_limit")))
