@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwise.llm import labelled, line_crf, ngram_ratio, pfair_mix, token_cache, toxicity_fm, url_sweep
+from stepwise.llm import (
+    labelled, line_crf, ngram_ratio, pfair_mix, piece_codec, token_cache, toxicity_fm, url_sweep)
 from stepwise.llm.storage import table
 
 # The url rules of the contract: host, path, verdict.
@@ -25,6 +26,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and hash of every text's piece ids, and whether decoding gives the text back."""
+    coded = piece_codec.encode_documents(table(spark, sf_dir, "documents"),
+                                         tokenizer_path("piece_bpe_32k.model"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"),
+                        F.xxhash64("ids").alias("ids_hash"),
+                        F.length("decoded").cast("long").alias("decoded_chars"), "exact")
+
+
 def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = lambda c: labelled.fold(F.col(c), 3) == 1
@@ -64,6 +74,7 @@ def op10_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_line_crf": op2_line_crf,
     "op3_token_counts": op3_token_counts,
     "op5_url_filter": op5_url_filter,
