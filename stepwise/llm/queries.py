@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwise.llm import (
-    labelled, line_crf, ngram_ratio, pfair_mix, piece_codec, token_cache, toxicity_fm, url_sweep)
+    int8_tiles, labelled, line_crf, ngram_ratio, pfair_mix, piece_codec, token_cache,
+    toxicity_fm, url_sweep)
 from stepwise.llm.storage import table
 
 # The url rules of the contract: host, path, verdict.
@@ -67,6 +68,10 @@ def op8_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted"))
 
 
+def op9_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return int8_tiles.link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op10_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = ngram_ratio.fit(docs, ngram_ratio.trusted_sample(table(spark, sf_dir, "labels")))
@@ -80,6 +85,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_pfair_mix": op6_pfair_mix,
     "op8_toxicity_fm": op8_toxicity_fm,
+    "op9_int8_tiles": op9_int8_tiles,
     "op10_ngram_ratio": op10_ngram_ratio,
 }
 
