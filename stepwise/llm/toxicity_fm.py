@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from stepwise.llm import labelled
 from stepwise.llm import textops as tx
+from stepwise.llm.storage import saved
 
 BITS = 18                   # hashed term space
 PREFIXES = (4, 5, 6)        # bytes of the word beginnings that are terms too
@@ -157,16 +158,37 @@ def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, *, max_docs: int = MAX_TRAIN_DOCS) -> Model:
     """Fit on at most ``max_docs`` labelled documents for which ``keep`` holds.
 
-    Only their hashed terms come to the driver, which fits the model.
+    Terms are counted over the sample on the cluster; only those neither rare
+    nor common come to the driver, which fits the model.
     """
     sample = labelled.sample_texts(docs, labels, "toxic", keep, max_docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = sample.mapInArrow(_term_batches, f"label_id {kind}, label int, terms array<int>").toPandas()
-    got = got.sort_values("label_id", kind="stable").reset_index(drop=True)
-    length = np.array([len(t) for t in got["terms"]], np.int64)
-    term = np.concatenate([np.asarray(t, np.int64) for t in got["terms"]]) if len(got) else np.zeros(0, np.int64)
-    return fit_arrays(np.repeat(np.arange(len(got)), length), term,
-                      got["label"].to_numpy(np.float64))
+    shape = f"label_id {kind}, label int, terms array<int>"
+    found = saved(sample.mapInArrow(_term_batches, shape), "terms")
+    n = found.count()
+    usual = (found.select(F.explode("terms").alias("term")).groupBy("term").count()
+             .where((F.col("count") >= MIN_DOCS) & (F.col("count") <= MAX_SHARE * n)).toArrow())
+    known = np.zeros(1 << BITS, bool)
+    known[usual.column("term").to_numpy()] = True
+    got = found.mapInArrow(_only(known), shape).orderBy("label_id").toArrow().combine_chunks()
+    lists = got.column("terms").combine_chunks() if n else pa.array([], pa.list_(pa.int32()))
+    doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    return fit_arrays(doc, lists.flatten().to_numpy(), got.column("label").to_numpy().astype(float))
+
+
+def _only(known: np.ndarray):
+    """Drops the terms that are not listed from the rows' term lists."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("terms")
+            term, off = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            keep = known[term]
+            ends = np.concatenate(([0], np.cumsum(keep)))[off]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("label_id"), batch.column("label"),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(term[keep], pa.int32()))],
+                ["label_id", "label", "terms"])
+    return run
 
 
 def score_documents(docs: DataFrame, model: Model, *, id_col: str = "doc_id",
