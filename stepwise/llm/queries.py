@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwise.llm import (
-    int8_tiles, labelled, line_crf, ngram_ratio, pfair_mix, piece_codec, token_cache,
-    toxicity_fm, url_sweep)
+    int8_tiles, labelled, line_crf, ngram_ratio, pfair_mix, piece_codec,
+    repeat_intervals, super_minhash, token_cache, toxicity_fm, url_sweep)
 from stepwise.llm.storage import table
 
 # The url rules of the contract: host, path, verdict.
@@ -50,6 +50,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return super_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_sweep.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -60,6 +64,13 @@ def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair_mix.mix_sources(docs, pfair_mix.temperature_weights(docs, MIX_ALPHA))
 
 
+def op7_repeat_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeat_intervals.repeat_spans(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = lambda c: labelled.fold(F.col(c), 5) == 0
@@ -82,8 +93,10 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_line_crf": op2_line_crf,
     "op3_token_counts": op3_token_counts,
+    "op4_super_minhash": op4_super_minhash,
     "op5_url_filter": op5_url_filter,
     "op6_pfair_mix": op6_pfair_mix,
+    "op7_repeat_intervals": op7_repeat_intervals,
     "op8_toxicity_fm": op8_toxicity_fm,
     "op9_int8_tiles": op9_int8_tiles,
     "op10_ngram_ratio": op10_ngram_ratio,
