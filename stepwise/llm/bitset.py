@@ -48,3 +48,16 @@ def contains(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     for p in _places(keys):
         ok &= (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
     return ok
+
+
+def passing(rows: DataFrame, key_col: str, bits, wanted: bool) -> DataFrame:
+    """Rows whose key the filter (a broadcast of ``build``) lets through, or the others.
+
+    A null key is never let through.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(key_col)
+            keep = contains(bits.value, keys.fill_null(0).to_numpy()) & ~np.asarray(keys.is_null())
+            yield batch.filter(pa.array(keep == wanted))
+    return rows.mapInArrow(run, rows.schema)

@@ -88,6 +88,11 @@ class Model:
     bias: float
     scale: tuple[float, float]  # slope and shift of the document's logit
 
+    @property
+    def learned(self) -> bool:
+        """False for the constant model of labels that are all alike."""
+        return self.scale[0] > 0
+
 
 def binned(f: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.stack([np.searchsorted(edges[j], f[:, j], "right") for j in range(f.shape[1])], 1)

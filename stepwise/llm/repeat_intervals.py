@@ -227,16 +227,6 @@ def _span_batches(bits):
     return run
 
 
-def _maybe(docs: DataFrame, bits, wanted: bool) -> DataFrame:
-    """Rows whose doc the filter lets through (or not); null ids are never let through."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("_doc")
-            keep = bitset.contains(bits.value, ids.fill_null(0).to_numpy()) & ~np.asarray(ids.is_null())
-            yield batch.filter(pa.array(keep == wanted))
-    return docs.mapInArrow(run, docs.schema)
-
-
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Text of the asked spans; a span that is not what was asked for is left out."""
     names = ["gram", "crowded", "doc", "start", "piece"]
@@ -327,7 +317,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
                  (F.col("kinds") > CROWD).alias("crowded")).alias("one"))
              .groupBy("doc").agg(F.collect_list("one").alias("asked")))     # bounded by the text's length
     asked = saved(asked, "asked")
-    near = _maybe(docs.withColumn("_doc", F.col("doc")), share(bitset.build(asked.select("doc"))), True)
+    near = bitset.passing(docs, "doc", share(bitset.build(asked.select("doc"))), True)
     cut = saved(near.join(asked.hint("shuffle_hash"), "doc").select("doc", "text", "asked")
                 .mapInArrow(_cut_batches, "gram long, crowded boolean, doc long, start long, piece binary"), "cut")
     parts = (cut.where("not crowded").repartition("gram").sortWithinPartitions("gram")
@@ -352,11 +342,11 @@ def _with_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = docs.withColumn("_doc", F.col(id_col).cast("long"))
     repeats = find_repeats(base.select(F.col("_doc").alias("doc"), F.col(text_col).alias("text")))
     bits = docs.sparkSession.sparkContext.broadcast(bitset.build(repeats.select("doc")))
-    touched = (_maybe(base, bits, True)
+    touched = (bitset.passing(base, "_doc", bits, True)
                .join(repeats.select(F.col("doc").alias("_doc"), F.col("runs").alias("_runs"))
                      .hint("shuffle_hash"), "_doc", "left")
                .select(*base.columns, "_runs"))
-    return touched.unionByName(_maybe(base, bits, False).withColumn("_runs", F.lit(None).cast(_RUNS)))
+    return touched.unionByName(bitset.passing(base, "_doc", bits, False).withColumn("_runs", F.lit(None).cast(_RUNS)))
 
 
 def _kept_bytes(buf: np.ndarray, off: np.ndarray, runs: pa.Array) -> tuple[np.ndarray, pa.Array, list[bytes]]:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepwise.llm import bitset
 from stepwise.llm import textops as tx
 from stepwise.llm.components import connected_components
 from stepwise.llm.storage import saved
@@ -245,3 +246,23 @@ def _link_buckets(rows: DataFrame, verify: _Verifier) -> DataFrame:
                            F.col("rep_b").alias("b"), F.col("n_b").alias("nb")))
             return links.unionByName(saved(verify.links(few), "links-last"))
         open_rows, turn = open_rows.drop("comp"), turn + 1
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+                share: int = SHARE) -> DataFrame:
+    """``docs`` with one document of each component (its smallest id) and one row per id.
+
+    Rows without id stay.  Only rows whose id is dropped or repeated, or looks
+    so to a filter of fixed size, are shuffled with their texts.
+    """
+    spark = docs.sparkSession
+    judged = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, share=share)
+    drop = saved(judged.where("not kept").select(F.col(id_col).cast("long").alias("_drop")).distinct(), "dropped")
+    often = (docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_drop"))
+             .count().where("count > 1").select("_drop"))
+    bits = spark.sparkContext.broadcast(bitset.build(drop.unionByName(often)))
+    marked = docs.withColumn("_doc", F.col(id_col).cast("long"))
+    suspect = (bitset.passing(marked, "_doc", bits, True)
+               .join(drop.hint("shuffle_hash"), F.col("_doc") == F.col("_drop"), "left_anti")
+               .dropDuplicates(["_doc"]))
+    return bitset.passing(marked, "_doc", bits, False).unionByName(suspect).drop("_doc")
