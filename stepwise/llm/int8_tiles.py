@@ -127,13 +127,13 @@ def link_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     Two vectors are linked if their cosine in double precision reaches the
     threshold (above 0).  A vector that is null, zero, or holds null or
     non-finite components is linked with nothing, and neither are vectors of
-    different lengths; repeated rows count as vectors of their own; other
+    different lengths or without id; repeated rows count as vectors of their own; other
     columns are ignored; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("id"),
                           F.col(vector_col).cast("array<float>").alias("vector"))
-    sound = F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)
+    sound = F.col("id").isNotNull() & F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x)
                                 & (F.abs(x) < float("inf")))
                        & F.exists("vector", lambda x: x != 0), F.lit(False))
     key = F.when(sound, F.sha2(F.concat_ws(",", F.transform("vector", lambda x: F.hex(

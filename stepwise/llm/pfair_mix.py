@@ -93,51 +93,51 @@ def mix_sources(docs: DataFrame, weights: dict, *, source_col: str = "source",
     is a seeded hash of id and row, so repeated rows are ties without effect.
     A null source is a source of its own; a source without a weight is an
     error; no documents give no rows.  Columns that carry one of the five
-    names are replaced.
+    names are replaced; names that start with ``__`` are reserved.
     """
     spark = docs.sparkSession
     made = ["mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_place"]
-    base = docs.drop(*made, "_h", "_r", "_b")
+    base = docs.drop(*made, "__h", "__r", "__b")
     # a document's place in its source: bucket offset + rank inside the bucket
     rows = base.count()
     buckets = max(4 * shuffle_partitions(spark), -(-rows // 20_000))
     ident = [F.col(id_col), F.lit(seed)]
     rest = [F.col(c) for c in base.columns if c != id_col and _hashable(base.schema[c].dataType)]
-    base = (base.withColumn("_h", F.xxhash64(*ident))
-            .withColumn("_r", F.xxhash64(F.lit(seed), *rest))
-            .withColumn("_b", F.pmod("_h", F.lit(buckets))))
-    counts = base.groupBy(F.col(source_col).alias("_s"), "_b").agg(F.count("*").alias("_n"))
-    ahead = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_s", F.col("_b").alias("_ob"),
-                            F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(source_col, "_b").orderBy("_h", id_col, "_r")
-    ranked = (base.withColumn("_k", F.row_number().over(inside) - 1)
-              .join(offsets, F.col(source_col).eqNullSafe(F.col("_s"))
-                    & (F.col("_b") == F.col("_ob")))
-              .withColumn("_rank", F.col("_before") + F.col("_k")))
+    base = (base.withColumn("__h", F.xxhash64(*ident))
+            .withColumn("__r", F.xxhash64(F.lit(seed), *rest))
+            .withColumn("__b", F.pmod("__h", F.lit(buckets))))
+    counts = base.groupBy(F.col(source_col).alias("__s"), "__b").agg(F.count("*").alias("__n"))
+    ahead = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__s", F.col("__b").alias("__ob"),
+                            F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(source_col, "__b").orderBy("__h", id_col, "__r")
+    ranked = (base.withColumn("__k", F.row_number().over(inside) - 1)
+              .join(offsets, F.col(source_col).eqNullSafe(F.col("__s"))
+                    & (F.col("__b") == F.col("__ob")))
+              .withColumn("__rank", F.col("__before") + F.col("__k")))
     blocks, period = integer_weights(weights, period)
     slots = spark.createDataFrame(
         [(s, blocks[s], *rest) for s, *rest in schedule(blocks, period)],
-        T.StructType([T.StructField("_src", docs.schema[source_col].dataType)]
+        T.StructType([T.StructField("__src", docs.schema[source_col].dataType)]
                      + [T.StructField(c, T.LongType())
-                        for c in ("_a", "_j", "_release", "_deadline", "_slot")]))
+                        for c in ("__a", "__j", "__release", "__deadline", "__slot")]))
     # at most one row per slot of a period: bounded by the period
-    known = F.broadcast(slots.select("_src", "_a").distinct())
-    block = F.expr(f"_rank div {int(block_docs)}")
-    placed = (ranked.join(known, F.col(source_col).eqNullSafe(F.col("_src")), "left")
-              .withColumn("_a", F.when(F.col("_a").isNull(), F.raise_error(
-                  F.lit("a source has no target weight"))).otherwise(F.col("_a")))
+    known = F.broadcast(slots.select("__src", "__a").distinct())
+    block = F.expr(f"__rank div {int(block_docs)}")
+    placed = (ranked.join(known, F.col(source_col).eqNullSafe(F.col("__src")), "left")
+              .withColumn("__a", F.when(F.col("__a").isNull(), F.raise_error(
+                  F.lit("a source has no target weight"))).otherwise(F.col("__a")))
               .withColumn("mix_block", block)
-              .withColumn("mix_place", F.col("_rank") % block_docs)
-              .withColumn("_cycle", F.expr("mix_block div _a"))
-              .withColumn("_in", F.col("mix_block") % F.col("_a")).drop("_src", "_a"))
-    out = placed.join(F.broadcast(slots.drop("_a")),
-                      F.col(source_col).eqNullSafe(F.col("_src")) & (F.col("_in") == F.col("_j")))
-    turn = F.col("_cycle") * F.lit(period)
-    return out.select(*[F.col(c) for c in docs.columns if c not in made and c not in ("_h", "_r", "_b")],
-                      "mix_block", (turn + F.col("_release")).alias("mix_release"),
-                      (turn + F.col("_deadline")).alias("mix_deadline"),
-                      (turn + F.col("_slot")).alias("mix_slot"),
+              .withColumn("mix_place", F.col("__rank") % block_docs)
+              .withColumn("__cycle", F.expr("mix_block div __a"))
+              .withColumn("__in", F.col("mix_block") % F.col("__a")).drop("__src", "__a"))
+    out = placed.join(F.broadcast(slots.drop("__a")),
+                      F.col(source_col).eqNullSafe(F.col("__src")) & (F.col("__in") == F.col("__j")))
+    turn = F.col("__cycle") * F.lit(period)
+    return out.select(*[F.col(c) for c in docs.columns if c not in made and c not in ("__h", "__r", "__b")],
+                      "mix_block", (turn + F.col("__release")).alias("mix_release"),
+                      (turn + F.col("__deadline")).alias("mix_deadline"),
+                      (turn + F.col("__slot")).alias("mix_slot"),
                       F.col("mix_place").cast("int").alias("mix_place"))
 
 

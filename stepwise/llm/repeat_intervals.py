@@ -339,14 +339,14 @@ _RUNS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struct
 
 def _with_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs plus _doc and _runs; only texts that may lose something are shuffled."""
-    base = docs.withColumn("_doc", F.col(id_col).cast("long"))
-    repeats = find_repeats(base.select(F.col("_doc").alias("doc"), F.col(text_col).alias("text")))
+    base = docs.withColumn("__doc", F.col(id_col).cast("long"))
+    repeats = find_repeats(base.select(F.col("__doc").alias("doc"), F.col(text_col).alias("text")))
     bits = docs.sparkSession.sparkContext.broadcast(bitset.build(repeats.select("doc")))
-    touched = (bitset.passing(base, "_doc", bits, True)
-               .join(repeats.select(F.col("doc").alias("_doc"), F.col("runs").alias("_runs"))
-                     .hint("shuffle_hash"), "_doc", "left")
-               .select(*base.columns, "_runs"))
-    return touched.unionByName(bitset.passing(base, "_doc", bits, False).withColumn("_runs", F.lit(None).cast(_RUNS)))
+    touched = (bitset.passing(base, "__doc", bits, True)
+               .join(repeats.select(F.col("doc").alias("__doc"), F.col("runs").alias("__runs"))
+                     .hint("shuffle_hash"), "__doc", "left")
+               .select(*base.columns, "__runs"))
+    return touched.unionByName(bitset.passing(base, "__doc", bits, False).withColumn("__runs", F.lit(None).cast(_RUNS)))
 
 
 def _kept_bytes(buf: np.ndarray, off: np.ndarray, runs: pa.Array) -> tuple[np.ndarray, pa.Array, list[bytes]]:
@@ -384,7 +384,7 @@ def repeat_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for part in tx.slices(batch, "text", SLICE_BYTES):
                 buf, off = tx.flat(part.column("text"))
-                _, merged, kept = _kept_bytes(buf, off, part.column("_runs"))
+                _, merged, kept = _kept_bytes(buf, off, part.column("__runs"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(np.diff(off)), merged, pa.array(kept, pa.binary())],
                     ["id", "n_bytes", "spans", "kept"])
@@ -400,7 +400,8 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """``docs`` with the repeats cut out of the text.
 
     Bytes of a character that was cut in two are dropped, a null text stays
-    null; for the rest see ``repeat_spans``.
+    null; names that start with ``__`` are reserved; for the rest see
+    ``repeat_spans``.
     """
     names, schema = docs.columns, docs.schema
     schema[text_col].nullable = True
@@ -409,7 +410,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for part in tx.slices(batch, text_col, SLICE_BYTES):
                 buf, off = tx.flat(part.column(text_col))
-                gone, _, kept = _kept_bytes(buf, off, part.column("_runs"))
+                gone, _, kept = _kept_bytes(buf, off, part.column("__runs"))
                 text = part.column(text_col)
                 if gone.any():
                     text = pc.if_else(text.is_null(), pa.scalar(None, pa.string()),

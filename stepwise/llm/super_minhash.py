@@ -183,8 +183,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Documents are linked if their shingle sets share at least ``share`` per
     cent of their union; component_id is the smallest id reachable.  A null
     or empty text, or one of blanks, is linked with nothing; repeated rows
-    stay, and rows with one id share a component; other columns are ignored;
-    an empty table gives no rows.
+    stay, and rows with one id share a component; a row without id is linked
+    with nothing; other columns are ignored; an empty table gives no rows.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = saved(base.mapInArrow(_sketch_batches, "id long, n_shingles long, set_key binary, "
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                    .select("set_key", F.coalesce("component", "rep").alias("component")), "labels")
     return (sketch.select("id", "n_shingles", "set_key").join(labels, "set_key", "left")
             .select(F.col("id").alias(id_col), "n_shingles",
-                    F.coalesce("component", "id").alias("component_id"))
+                    F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
             .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
 
 
@@ -252,17 +252,17 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 share: int = SHARE) -> DataFrame:
     """``docs`` with one document of each component (its smallest id) and one row per id.
 
-    Rows without id stay.  Only rows whose id is dropped or repeated, or looks
+    Rows without id stay; names that start with ``__`` are reserved.  Only rows whose id is dropped or repeated, or looks
     so to a filter of fixed size, are shuffled with their texts.
     """
     spark = docs.sparkSession
     judged = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, share=share)
-    drop = saved(judged.where("not kept").select(F.col(id_col).cast("long").alias("_drop")).distinct(), "dropped")
-    often = (docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_drop"))
-             .count().where("count > 1").select("_drop"))
+    drop = saved(judged.where("not kept").select(F.col(id_col).cast("long").alias("__drop")).distinct(), "dropped")
+    often = (docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__drop"))
+             .count().where("count > 1").select("__drop"))
     bits = spark.sparkContext.broadcast(bitset.build(drop.unionByName(often)))
-    marked = docs.withColumn("_doc", F.col(id_col).cast("long"))
-    suspect = (bitset.passing(marked, "_doc", bits, True)
-               .join(drop.hint("shuffle_hash"), F.col("_doc") == F.col("_drop"), "left_anti")
-               .dropDuplicates(["_doc"]))
-    return bitset.passing(marked, "_doc", bits, False).unionByName(suspect).drop("_doc")
+    marked = docs.withColumn("__doc", F.col(id_col).cast("long"))
+    suspect = (bitset.passing(marked, "__doc", bits, True)
+               .join(drop.hint("shuffle_hash"), F.col("__doc") == F.col("__drop"), "left_anti")
+               .dropDuplicates(["__doc"]))
+    return bitset.passing(marked, "__doc", bits, False).unionByName(suspect).drop("__doc")
