@@ -65,7 +65,7 @@ def run_kmeans(spark: SparkSession, a) -> None:
     if a.mode == "bulk":
         res = kmp.kmeans_bulk(points, centers, a.iterations)
     else:
-        res = kmp.kmeans_staged(points, centers, a.state, a.iterations)
+        res = kmp.kmeans_staged(points, centers, a.state, a.iterations, adaptive_rows=a.adaptive_rows)
     out = kmp.final_assignment(points, res).select("cluster", "x", "y")
     tx.write_rows(out, a.out, mode="overwrite" if a.overwrite else "errorifexists")
 
@@ -82,13 +82,13 @@ def run_linreg(spark: SparkSession, a) -> None:
 
 def run_gen_kmeans(spark: SparkSession, a) -> None:
     skew = [int(x) for x in a.skew.split(",")] if a.skew else None
-    pts = gen.kmeans_points(spark, a.points, a.k, skew, a.partitions, a.stddev, a.range)
+    pts = gen.kmeans_points(spark, a.points, a.k, skew, a.partitions, a.stddev, a.range, a.seed)
     gen.write_points(pts, f"{a.output}/points")
-    gen.write_centers(gen.start_centers(spark, a.k, a.range), f"{a.output}/centers")
+    gen.write_centers(gen.start_centers(spark, a.k, a.range, a.seed), f"{a.output}/centers")
 
 
 def run_gen_linreg(spark: SparkSession, a) -> None:
-    gen.write_points(gen.regression_samples(spark, a.points, a.partitions), f"{a.output}/data")
+    gen.write_points(gen.regression_samples(spark, a.points, a.partitions, a.seed), f"{a.output}/data")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -121,6 +121,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--mode", choices=["bulk", "staged"], default="bulk")
     s.add_argument("--iterations", type=int, default=10)
     s.add_argument("--state")
+    s.add_argument("--adaptive-rows", type=int, default=None)
     s.add_argument("--overwrite", action="store_true")
     s.set_defaults(fn=run_kmeans)
 
@@ -143,12 +144,14 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--range", type=float, default=gen.DEFAULT_RANGE)
     s.add_argument("--skew")
     s.add_argument("--partitions", type=int, default=None)
+    s.add_argument("--seed", type=int, default=0)
     s.set_defaults(fn=run_gen_kmeans)
 
     s = sub.add_parser("gen-linreg")
     s.add_argument("--points", type=int, required=True)
     s.add_argument("--output", required=True)
     s.add_argument("--partitions", type=int, default=None)
+    s.add_argument("--seed", type=int, default=0)
     s.set_defaults(fn=run_gen_linreg)
     return p
 

@@ -1,53 +1,47 @@
 """k-means operators: nearest center (J8), per-cluster sums (A5), means.
 
-The k current centers are small control data.  They are brought to the
-driver (count checked first) and folded into the plan as literals, so the
-assignment is one codegen'd expression per point - no join, no shuffle.
+The k current centers are small control data, brought to the driver after a
+check of their number.  A few centers are folded into the plan as literals, so
+the assignment is one codegen'd expression per point; many are broadcast as an
+array and compared batch by batch.  Neither joins nor shuffles points.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stepwise.functions.columns import distance
 
-# Up to this many centers the assignment is an unrolled literal expression;
-# above it a single array literal is scanned by a higher-order function.
+# Up to this many centers the assignment is an unrolled literal expression,
+# whose code grows with their number; above it a batch is a matrix of distances.
 MAX_UNROLLED_CENTERS = 100
-# Hard bound on centers brought to the driver.
+# Bound on centers brought to the driver and broadcast (24 bytes each).
 MAX_CENTERS = 1_000_000
+# Distances held at once by a task in the matrix form.
+MATRIX_CELLS = 2_000_000
 _FAR = 1.7976931348623157e308   # Double.MAX_VALUE: no finite distance -> -1
 
 
-def collect_centers(centers: DataFrame, bounded: bool = False) -> list[tuple[int, float, float]]:
-    """The centers as driver-side tuples, sorted by id, after a size check.
-
-    ``bounded`` skips the count when the caller knows the size already (the
-    centers of a k-means step are at most the k it started from).
-    """
-    if not bounded:
-        n = centers.count()
-        if n > MAX_CENTERS:
-            raise ValueError(f"{n} centers exceed the bound of {MAX_CENTERS}")
-    return sorted((int(r["id"]), float(r["x"]), float(r["y"]))
-                  for r in centers.select("id", "x", "y").collect())
+def collect_centers(centers: DataFrame) -> list[tuple[int, float, float]]:
+    """The centers as driver-side tuples, sorted by id; more than ``MAX_CENTERS`` is an error."""
+    rows = centers.select("id", "x", "y").take(MAX_CENTERS + 1)
+    if len(rows) > MAX_CENTERS:
+        raise ValueError(f"more than {MAX_CENTERS} centers")
+    return sorted((int(r["id"]), float(r["x"]), float(r["y"])) for r in rows)
 
 
 def nearest_center(centers: list[tuple[int, float, float]], x="x", y="y") -> Column:
-    """Id of the nearest center; ties go to the lowest id; -1 if none is finite."""
+    """J8 for a few centers: id of the nearest; ties go to the lowest id; -1 if none is finite."""
     if not centers:
         return F.lit(-1)
     xc, yc = F.col(x) if isinstance(x, str) else x, F.col(y) if isinstance(y, str) else y
-    if len(centers) <= MAX_UNROLLED_CENTERS:
-        best = F.array_min(F.array(*[
-            F.struct(distance(xc, yc, F.lit(cx), F.lit(cy)).alias("d"), F.lit(cid).alias("id"))
-            for cid, cx, cy in centers]))
-    else:
-        arr = F.array(*[F.struct(F.lit(cid).alias("id"), F.lit(cx).alias("x"),
-                                 F.lit(cy).alias("y")) for cid, cx, cy in centers])
-        best = F.array_min(F.transform(arr, lambda c: F.struct(
-            distance(xc, yc, c["x"], c["y"]).alias("d"), c["id"].alias("id"))))
+    best = F.array_min(F.array(*[
+        F.struct(distance(xc, yc, F.lit(cx), F.lit(cy)).alias("d"), F.lit(cid).alias("id"))
+        for cid, cx, cy in centers]))
     return F.when(best["d"] < F.lit(_FAR), best["id"]).otherwise(F.lit(-1))
 
 
@@ -62,8 +56,27 @@ def nearest_distance(centers: list[tuple[int, float, float]], x="x", y="y") -> C
 
 def assign(points: DataFrame, centers: list[tuple[int, float, float]],
            out: str = "cluster") -> DataFrame:
-    """Points with the id of their nearest center."""
-    return points.withColumn(out, nearest_center(centers))
+    """Points with the id of their nearest center."""
+    if len(centers) <= MAX_UNROLLED_CENTERS:
+        return points.withColumn(out, nearest_center(centers))
+    shared = points.sparkSession.sparkContext.broadcast(np.array(sorted(centers), dtype=np.float64))
+
+    def run(batches):
+        ids, cx, cy = shared.value.T
+        for batch in batches:
+            x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+            best = np.empty(len(x), np.int32)
+            step = max(1, MATRIX_CELLS // len(ids))
+            for i in range(0, len(x), step):
+                dx, dy = x[i:i + step, None] - cx, y[i:i + step, None] - cy
+                d = np.sqrt(dx * dx + dy * dy)
+                d[~(d < _FAR)] = np.inf
+                at = d.argmin(1)
+                best[i:i + step] = np.where(np.isfinite(d[np.arange(len(at)), at]), ids[at], -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best)], [*batch.schema.names, out])
+
+    fields = [f for f in points.schema.fields]
+    return points.mapInArrow(run, T.StructType(fields + [T.StructField(out, T.IntegerType())]))
 
 
 def cluster_sums(assigned: DataFrame, cluster: str = "cluster") -> DataFrame:

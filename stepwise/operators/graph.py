@@ -8,8 +8,8 @@ superstep shuffles only the small state side and the contributions.
 
 Skew: a source with very many distinct targets is split over several
 ``salt`` buckets; only those few hot sources have their state replicated
-per bucket.  The hot-source table has fewer rows than the link table has
-partitions, so it is broadcast with a bound that holds by construction.
+per bucket.  The hot-source table is broadcast up to a checked size and
+joined by a shuffle beyond it.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ MIN_SPLIT_ROWS = 100_000
 MAX_LIST_NEIGHBORS = 100_000
 # Target rows of the link table per partition when no count is given.
 ROWS_PER_PARTITION = 4_000_000
-# Hard bound on the broadcast hot-source table (two ints per row).
-MAX_HOT_SOURCES = 1_000_000
+# Most rows of the hot-source table that are broadcast (two ints per row).
+MAX_BROADCAST_HOT = 100_000
 
 
 # --------------------------------------------------------------------------- 
@@ -72,21 +72,22 @@ def out_degree(links: DataFrame) -> DataFrame:
 
 
 def adjacency_list(links: DataFrame, max_neighbors: int = MAX_LIST_NEIGHBORS) -> DataFrame:
-    """A4: ``(src, neighbors array<long>)``, duplicates kept, sorted.
+    """A4: ``(src, chunk, neighbors array<long>)``, parallel edges kept, sorted.
 
-    A source with more than ``max_neighbors`` links spans several rows of
-    about ``max_neighbors`` targets each (edges spread by hash), so no
-    record or task holds an unbounded neighbourhood; all other sources get
-    exactly one row.  The loops use the ``Links`` rows instead.
+    Every source has the chunks ``0 .. ceil(degree / max_neighbors) - 1`` (an
+    empty one is left out), each of about ``max_neighbors`` targets, so no
+    record holds an unbounded neighbourhood.  The chunk of a link is a hash of
+    its target and its number among parallel links, hence the same on a retry
+    and in any engine.  The loops use the ``Links`` rows instead.
     """
-    deg = out_degree(links).select("src", F.ceil(F.col("deg") / max_neighbors)
-                                   .cast("long").alias("__chunks"))
-    e = links.select("src", "dst", F.monotonically_increasing_id().alias("__pos"))
-    j = e.join(deg, "src")
-    chunk = F.pmod(F.xxhash64("dst", "__pos"), F.col("__chunks"))
-    return (j.groupBy("src", chunk.alias("__chunk"))
-            .agg(F.sort_array(F.collect_list("dst")).alias("neighbors"))
-            .select("src", "neighbors"))
+    pairs = links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
+    chunks = out_degree(links).select("src", F.ceil(F.col("deg") / F.lit(max_neighbors))
+                                      .cast("long").alias("__chunks"))
+    each = (pairs.join(chunks, "src")
+            .select("src", "dst", "__chunks", F.explode(F.sequence(F.lit(1).cast("long"), "w")).alias("__copy")))
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", "dst", "__copy")), 1, 8), 16, 10).cast("long")
+    return (each.groupBy("src", F.pmod(bits, F.col("__chunks")).alias("chunk"))
+            .agg(F.sort_array(F.collect_list("dst")).alias("neighbors")))
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -127,25 +128,22 @@ def _parse_bytes(text: str) -> int:
 class Links:
     """Loop-invariant edge table, partitioned on the join key and persisted.
 
-    The edge list is shuffled once: parallel edges are folded into ``w`` and
-    the folded pairs are cached while the degree table, the hot sources and
-    the final link table are derived from them.  Without an explicit
-    ``partitions`` the count grows with the data (``ROWS_PER_PARTITION``).
+    Out-degrees come from map-side sums; then the edges are shuffled once, to
+    ``(src, salt)``, and parallel edges are folded and degrees attached on
+    that partitioning.  Without an explicit ``partitions`` the count grows
+    with the data (``ROWS_PER_PARTITION``).  ``broadcast_state=False`` shuffles
+    the state of every superstep, however small.
     """
 
     def __init__(self, edges: DataFrame, partitions: int | None = None,
                  split_rows: int | None = None, persist: bool = True,
-                 count_vertices: bool = False):
+                 count_vertices: bool = False, broadcast_state: bool = True):
         spark = edges.sparkSession
-        pairs = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
-        if persist:
-            pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
-        per_src = pairs.groupBy("src").agg(F.sum("w").alias("deg"),
-                                          F.count(F.lit(1)).alias("npairs"))
+        self.broadcast_state = broadcast_state
+        per_src = out_degree(edges)
         if persist:
             per_src = per_src.persist(StorageLevel.MEMORY_AND_DISK)
-        total, widest, n_src = per_src.agg(F.sum("npairs"), F.max("npairs"),
-                                           F.count(F.lit(1))).first()
+        total, widest, n_src = per_src.agg(F.sum("deg"), F.max("deg"), F.count(F.lit(1))).first()
         total, widest = total or 0, widest or 0
         self.n_sources = int(n_src or 0)
         self.partitions = partitions or max(default_partitions(spark),
@@ -153,32 +151,24 @@ class Links:
         if split_rows is None:
             split_rows = max(MIN_SPLIT_ROWS, math.ceil(total / self.partitions))
         self.split_rows = split_rows
-        # Fewer than total / split_rows rows (<= partitions with the default
-        # split_rows), checked against MAX_HOT_SOURCES before any broadcast.
-        hot = (per_src.where(F.col("npairs") > split_rows)
-               .select("src", F.ceil(F.col("npairs") / split_rows).cast("int").alias("nsalt")))
+        hot = (per_src.where(F.col("deg") > split_rows)
+               .select("src", F.ceil(F.col("deg") / split_rows).cast("int").alias("nsalt")))
         self.hot = hot.persist(StorageLevel.MEMORY_AND_DISK) if persist else hot
-        self.n_hot = self.hot.count() if widest > split_rows else 0
-        if self.n_hot > MAX_HOT_SOURCES:
-            raise ValueError(f"{self.n_hot} hot sources exceed the broadcast bound; "
-                             "raise split_rows")
-        if self.n_hot == 0:
-            table = pairs.join(per_src.select("src", "deg"), "src") \
-                .withColumn("salt", F.lit(0))
-            table = table.repartition(self.partitions, "src")
-            self.keys = ["src"]
-        else:
-            salted = pairs.join(F.broadcast(self.hot), "src", "left").select(
-                "src", "dst", "w",
-                F.pmod(F.xxhash64("dst"), F.coalesce("nsalt", F.lit(1))).cast("int").alias("salt"))
-            degs = self._explode_salts(per_src.select("src", "deg"), "src")
-            table = salted.join(degs, ["src", "salt"])
-            table = table.repartition(self.partitions, "src", "salt")
-            self.keys = ["src", "salt"]
-        self.table = table.select("src", "salt", "dst", "w", "deg")
+        # buckets of the hot sources: how many rows more a salted state can have
+        self.n_hot, self.n_buckets = (int(x or 0) for x in self.hot.agg(
+            F.count(F.lit(1)), F.sum("nsalt")).first()) if widest > split_rows else (0, 0)
+        self.keys = ["src", "salt"] if self.n_hot else ["src"]
+        salted = self._with_salts(edges.select("src", "dst"), "src", F.pmod(
+            F.xxhash64("dst"), F.coalesce("nsalt", F.lit(1))).cast("int"))
+        degs = self._explode_salts(per_src, "src") if self.n_hot else per_src.withColumn("salt", F.lit(0))
+        table = (salted.repartition(self.partitions, *self.keys)
+                 .groupBy("src", "salt", "dst").agg(F.count(F.lit(1)).alias("w"))
+                 .join(degs.repartition(self.partitions, *self.keys).hint("shuffle_hash"),
+                       ["src", "salt"] if self.n_hot else "src")
+                 .select("src", salted["salt"] if self.n_hot else F.lit(0).alias("salt"), "dst", "w", "deg"))
+        self.table = table
         # one row per source: (src, deg); the start set of PageRank and components
-        self._per_src = per_src
-        self.sources = per_src.select("src", "deg")
+        self.sources = self._per_src = per_src
         self.vertex_count = None
         if persist:
             self.table = self.table.persist(StorageLevel.MEMORY_AND_DISK)
@@ -186,7 +176,14 @@ class Links:
                 self.vertex_count = self.count_vertices()   # this scan fills the cache
             else:
                 self.table.count()
-            pairs.unpersist()
+
+    @property
+    def layout(self) -> int | None:
+        """Partitions by ``src`` that loop state can keep between supersteps.
+
+        None with hot sources: their state must be spread anew in each step.
+        """
+        return None if self.n_hot else self.partitions
 
     def count_vertices(self) -> int:
         """Distinct ids among sources and targets (numPages)."""
@@ -194,19 +191,26 @@ class Links:
         return (t.select(F.col("src").alias("id")).union(t.select(F.col("dst").alias("id")))
                 .distinct().count())
 
-    def _explode_salts(self, df: DataFrame, key: str) -> DataFrame:
-        h = F.broadcast(self.hot.withColumnRenamed("src", "__hk"))
+    def _with_salts(self, df: DataFrame, key: str, salt) -> DataFrame:
+        """``df`` plus a ``salt`` column, an expression over ``nsalt`` (null if not hot)."""
+        if not self.n_hot:
+            return df.withColumn("salt", F.lit(0))
+        h = self.hot.withColumnRenamed("src", "__hk")
+        h = F.broadcast(h) if self.n_hot <= MAX_BROADCAST_HOT else h
         j = df.join(h, df[key] == h["__hk"], "left")
+        return j.select(*df.columns, salt.alias("salt"))
+
+    def _explode_salts(self, df: DataFrame, key: str) -> DataFrame:
         n = F.coalesce(F.col("nsalt"), F.lit(1))
-        return j.select(*df.columns, F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"))
+        return self._with_salts(df, key, F.explode(F.sequence(F.lit(0), n - 1)))
 
     def join_state(self, state: DataFrame, key: str, rows: int | None = None) -> DataFrame:
         """Join per-vertex state (keyed by ``key``) to its out-links.
 
         Output carries the state columns plus ``dst, w, deg``.  The persisted
         link table is never shuffled.  The state side is broadcast when its
-        measured row count ``rows`` fits the session's broadcast threshold
-        (``broadcast_rows``); otherwise it is shuffled to the link partitioning
+        measured row count ``rows``, with what salting can add, fits the
+        session's broadcast threshold (``broadcast_rows``); otherwise it is shuffled to the link partitioning
         and used as the hash-join build side.
         """
         if self.n_hot:
@@ -214,7 +218,8 @@ class Links:
             out_cols = [c for c in state.columns if c != "salt"]
         else:
             out_cols = state.columns
-        small = rows is not None and rows <= broadcast_rows(state.sparkSession)
+        small = (self.broadcast_state and rows is not None
+                 and rows + self.n_buckets <= broadcast_rows(state.sparkSession))
         s = F.broadcast(state) if small else state.hint("shuffle_hash")
         s, lt = s.alias("__s"), self.table.alias("__l")
         cond = F.col(f"__s.{key}") == F.col("__l.src")
@@ -237,7 +242,8 @@ class Links:
 def rank_shares(ranks: DataFrame, links: Links, rows: int | None = None) -> DataFrame:
     """Each page's rank split equally over its out-links (``id, share``).
 
-    Parallel edges count separately (``w`` copies of ``rank/deg``).  Pages
+    One row per different target; parallel edges count separately (``w``
+    copies of ``rank/deg``).  Pages
     without out-links send nothing.
     """
     j = links.join_state(ranks, "id", rows)
@@ -261,33 +267,10 @@ def bulk_rank_step(ranks: DataFrame, links: Links, num_pages: int,
     return dampened(sum_shares(rank_shares(ranks, links, rows)), num_pages, d)
 
 
-def bulk_rank_step_flagged(ranks: DataFrame, links: Links, num_pages: int,
-                           d: float = DAMPENING, eps: float = EPSILON,
-                           flag: str = "changed") -> DataFrame:
-    """One bulk PageRank superstep with its stop-test flag, in one aggregation.
-
-    Shares and the old ranks (tagged) are grouped together: the share sum
-    gives the new rank of every page that received rank, the old row gives
-    the comparison value (J7 + P6 without a second join).
-    """
-    shares = rank_shares(ranks, links).select("id", "share", F.lit(None).cast("double").alias("__old"))
-    own = ranks.select("id", F.lit(None).cast("double").alias("share"), F.col("rank").alias("__old"))
-    agg = shares.unionByName(own).groupBy("id").agg(
-        F.sum("share").alias("__sum"), F.count("share").alias("__k"), F.max("__old").alias("__old"))
-    new = dampen(F.col("__sum"), num_pages, d)
-    return agg.where(F.col("__k") > 0).select(
-        "id", new.alias("rank"), F.coalesce(changed(new, "__old", eps), F.lit(False)).alias(flag))
-
-
-def changed_pages(new: DataFrame, old: DataFrame, eps: float = EPSILON) -> DataFrame:
-    """J7 + P6: pages present in both whose rank moved by more than ``eps``."""
-    o = old.select("id", F.col("rank").alias("old_rank"))
-    return new.join(o, "id").where(changed("rank", "old_rank", eps)).select("id", "rank", "old_rank")
-
-
 def flag_changed(new: DataFrame, old: DataFrame, eps: float = EPSILON,
                  flag: str = "changed") -> DataFrame:
-    """New ranks plus a stop-test flag (pages new in this step are not compared)."""
+    """J7 + P6: new ranks plus a stop-test flag, true if the page was in the old
+    ranks and moved by more than ``eps`` (pages new in this step are not compared)."""
     o = old.select("id", F.col("rank").alias("__old"))
     j = new.join(o, "id", "left")
     return j.select("id", "rank",
@@ -317,11 +300,6 @@ def sum_and_filter(shares: DataFrame, threshold: float = DELTA_THRESHOLD,
     return s.where(over_threshold("delta", t))
 
 
-def apply_deltas(solution: DataFrame, deltas: DataFrame) -> DataFrame:
-    """``rank + delta`` for pages in both (``id, rank``)."""
-    return solution.join(deltas, "id").select("id", (F.col("rank") + F.col("delta")).alias("rank"))
-
-
 def add_deltas(solution: DataFrame, deltas: DataFrame,
                keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """J6 + J3 fused: every page of the solution, ``rank + delta`` where a delta exists.
@@ -329,7 +307,7 @@ def add_deltas(solution: DataFrame, deltas: DataFrame,
     Deltas for pages outside the solution (sinks) are ignored, as the
     inner join of J6 drops them.
     """
-    j = solution.join(deltas.select(*keys, "delta"), list(keys), "left")
+    j = solution.join(deltas.select(*keys, "delta").hint("shuffle_hash"), list(keys), "left")
     return j.select(*keys, F.when(F.col("delta").isNull(), F.col("rank"))
                     .otherwise(F.col("rank") + F.col("delta")).alias("rank"))
 
@@ -352,19 +330,19 @@ def cc_min_candidate(candidates: DataFrame) -> DataFrame:
 def cc_delta(min_candidates: DataFrame, solution: DataFrame) -> DataFrame:
     """J2 + P8: candidates smaller than the current component."""
     cur = solution.select("v", F.col("comp").alias("__cur"))
-    return (min_candidates.join(cur, "v")
+    return (cur.join(min_candidates.hint("shuffle_hash"), "v")
             .where(smaller("comp", "__cur")).select("v", "comp"))
 
 
 def cc_update(solution: DataFrame, delta: DataFrame) -> DataFrame:
-    """Component from the delta where present, else the old one."""
-    d = delta.select("v", F.col("comp").alias("__new"))
+    """Component from the delta where present, else the old one (``merge`` of the loop)."""
+    d = delta.select("v", F.col("comp").alias("__new")).hint("shuffle_hash")
     j = solution.join(d, "v", "left")
     return j.select("v", F.coalesce("__new", "comp").alias("comp"))
 
 
 def cc_relax_step(solution: DataFrame, candidates: DataFrame, flag: str = "changed") -> DataFrame:
-    """A1 + J2 + J3 in one aggregation.
+    """A1 + J2 + J3 in one aggregation, for the bulk loop.
 
     The solution's own rows (tagged) and the candidates are grouped together:
     ``min`` over all of them is the new component, the own row is the old
@@ -379,45 +357,3 @@ def cc_relax_step(solution: DataFrame, candidates: DataFrame, flag: str = "chang
                                                  F.max("__old").alias("__old"))
     return agg.where(F.col("__old").isNotNull()).select(
         "v", "comp", smaller("comp", "__old").alias(flag))
-
-
-def cc_relax(solution: DataFrame, min_candidates: DataFrame, flag: str = "changed") -> DataFrame:
-    """J2 + J3 in one join: ``least(current, candidate)`` and a changed flag."""
-    m = min_candidates.select("v", F.col("comp").alias("__cand"))
-    j = solution.join(m, "v", "left")
-    better = F.coalesce(smaller("__cand", "comp"), F.lit(False))
-    return j.select("v", F.when(better, F.col("__cand")).otherwise(F.col("comp")).alias("comp"),
-                    better.alias(flag))
-
-
-# ---------------------------------------------------------------------------
-# per-edge forms over raw edges (one output row per edge, parallel edges apart)
-# ---------------------------------------------------------------------------
-
-def _per_edge(state: DataFrame, key: str, edges: DataFrame, with_degree: bool) -> DataFrame:
-    s, e = state.alias("__s"), edges.select("src", "dst").alias("__e")
-    j = s.join(e, F.col(f"__s.{key}") == F.col("__e.src"))
-    cols = [F.col(f"__s.{c}") for c in state.columns] + [F.col("__e.src"), F.col("__e.dst")]
-    out = j.select(*cols)
-    if with_degree:
-        out = out.join(out_degree(edges).alias("__d"), "src")
-    return out
-
-
-def rank_shares_per_edge(ranks: DataFrame, links: DataFrame) -> DataFrame:
-    """J4 per edge: ``(id=dst, share=rank/deg)``, one row per link."""
-    j = _per_edge(ranks, "id", links, True)
-    return j.select(F.col("dst").alias("id"), (F.col("rank") / F.col("deg")).alias("share"))
-
-
-def delta_shares_per_edge(deltas: DataFrame, links: DataFrame, d: float = DAMPENING) -> DataFrame:
-    """J5 per edge: ``(id=dst, share=d*delta/deg)``, one row per link."""
-    j = _per_edge(deltas, "id", links, True)
-    return j.select(F.col("dst").alias("id"),
-                    (F.lit(d) * F.col("delta") / F.col("deg")).alias("share"))
-
-
-def cc_candidates_per_edge(components: DataFrame, edges: DataFrame) -> DataFrame:
-    """J1 per edge: ``(v=dst, comp)``, one row per edge."""
-    j = _per_edge(components, "v", edges, False)
-    return j.select(F.col("dst").alias("v"), "comp")

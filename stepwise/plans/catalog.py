@@ -8,8 +8,10 @@ rounded to 6 decimals on both sides.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 from typing import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,16 +36,17 @@ ORACLE: dict[str, str] = {}
 
 # Fixed parameters of the registered queries.
 PR_STEPS = 10
-SWEEP_THRESHOLDS = [0.5, 0.1, 0.01, 0.001]
+SWEEP_THRESHOLDS = [50.0, 10.0, 5.0, 0.9, 0.75, 0.5, 0.1, 0.01, 0.001, 0.0001]
 SWEEP_STEPS = 20
 CC_STEPS = 20
+SPLIT_ROWS = 3          # of the salted variants: most test sources count as hot
+LIST_ROWS = 4           # of the adjacency lists: most sources span several chunks
 KM_STEPS = 10
 KM_START = [(1, 10.0, 10.0), (2, 20.0, 30.0), (3, 30.0, 50.0), (4, 40.0, 70.0), (5, 50.0, 90.0)]
 LR_STEPS = 10
 LR_START = (0.0, 0.0)
 GEN_MEANS_K = 5
 GEN_SKEW = [5, 1, 1, 1, 2]
-CPU_CURRENT, CPU_SLOTS = 32, 320
 
 
 def query(name: str, oracle: str | None):
@@ -64,12 +67,37 @@ def r6(c) -> F.Column:
     return F.round(x * F.lit(_SCALE6)) / F.lit(_SCALE6)
 
 
+def _done(res):
+    """The result of a loop that must have converged; a cut-off one is no answer."""
+    if not res.converged:
+        raise RuntimeError(f"not converged after {res.iterations} supersteps")
+    return res
+
+
+@contextmanager
+def _folder(spark: SparkSession, name: str):
+    """A scratch folder in the shared checkpoint folder, deleted at the end."""
+    path = _scratch(spark, name)
+    try:
+        yield path
+    finally:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark, name)}/{uuid.uuid4().hex}"
 
 
 # --- sources and sinks (S1-S14) ----------------------------------------------
 
+def _through_file(spark, name, write, read) -> DataFrame:
+    """What a reader gives back from the files of a writer; the folder is deleted."""
+    with _folder(spark, name) as path:
+        write(path)
+        return read(path).checkpoint()
+
+
 def _edge_text(spark, sf):
     li = tb.table(spark, sf, "lineitem")
     line = F.when(F.col("l_linenumber") == 7,
@@ -83,7 +111,14 @@ def _edge_text(spark, sf):
 @query("edges_text_parse",
        "SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_linenumber <> 7")
 def q_edges_text_parse(spark, sf):
-    return tx.parse_edge_lines(_edge_text(spark, sf))
+    return _through_file(spark, "edges", _edge_text(spark, sf).write.text, lambda p: tx.read_edges(spark, p))
+
+
+@query("edges_text_undirected",
+       f"SELECT src, dst FROM ({sql.PR_LINKS}) a UNION ALL SELECT dst AS src, src AS dst FROM ({sql.PR_LINKS}) b")
+def q_edges_text_undirected(spark, sf):
+    return _through_file(spark, "edges", lambda p: tx.write_edges(tb.pr_links(spark, sf), p),
+                         lambda p: tx.read_undirected_edges(spark, p))
 
 
 @query("edges_undirected",
@@ -92,14 +127,10 @@ def q_edges_undirected(spark, sf):
     return g.undirected(tb.pr_links(spark, sf))
 
 
-def _roundtrip(df: DataFrame, schema) -> DataFrame:
-    line = F.concat_ws(" ", *[F.col(f.name).cast("string") for f in schema.fields])
-    return dl.parse_lines(df.select(line.alias("value")), schema)
-
-
 @query("csv_points_roundtrip", "SELECT l_quantity AS x, l_extendedprice / 1000.0 AS y FROM lineitem")
 def q_csv_points(spark, sf):
-    return _roundtrip(tb.points(spark, sf), dl.POINT_SCHEMA)
+    return _through_file(spark, "points", lambda p: tx.write_rows(tb.points(spark, sf), p),
+                         lambda p: dl.read_points(spark, p))
 
 
 @query("csv_centers_roundtrip",
@@ -108,26 +139,63 @@ def q_csv_centers(spark, sf):
     s = tb.table(spark, sf, "supplier").select(
         F.col("s_suppkey").cast("int").alias("id"), F.col("s_acctbal").alias("x"),
         F.col("s_nationkey").cast("double").alias("y"))
-    return _roundtrip(s, dl.CENTER_SCHEMA)
+    return _through_file(spark, "centers", lambda p: tx.write_rows(s, p), lambda p: dl.read_centers(spark, p))
 
 
 @query("params_text_roundtrip", "SELECT l_discount AS theta0, l_tax AS theta1 FROM lineitem")
 def q_params_text(spark, sf):
-    p = tb.table(spark, sf, "lineitem").select(F.col("l_discount").alias("theta0"),
-                                                F.col("l_tax").alias("theta1"))
-    return dl.parse_lines(tx.params_lines(p), dl.PARAMS_SCHEMA)
+    params = tb.table(spark, sf, "lineitem").select(F.col("l_discount").alias("theta0"),
+                                                     F.col("l_tax").alias("theta1"))
+    return _through_file(spark, "params", lambda p: tx.write_params(params, p), lambda p: dl.read_params(spark, p))
 
 
 @query("samples_roundtrip", sql.SAMPLES)
 def q_samples_roundtrip(spark, sf):
-    return _roundtrip(tb.samples(spark, sf), dl.SAMPLE_SCHEMA)
+    return _through_file(spark, "samples", lambda p: tx.write_rows(tb.samples(spark, sf), p),
+                         lambda p: dl.read_samples(spark, p))
+
+
+@query("rows_overwrite", "SELECT CAST(s_suppkey AS INTEGER) AS id, s_acctbal AS x, "
+                         "CAST(s_nationkey AS DOUBLE) AS y FROM supplier")
+def q_rows_overwrite(spark, sf):
+    """A second write to the folder replaces the first."""
+    s = tb.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("int").alias("id"), F.col("s_acctbal").alias("x"),
+                                               F.col("s_nationkey").cast("double").alias("y"))
+
+    def write(p):
+        tx.write_rows(s.union(s), p)
+        tx.write_rows(s, p)
+    return _through_file(spark, "overwrite", write, lambda p: dl.read_centers(spark, p))
+
+
+@query("rows_fail_if_present", "SELECT l_quantity AS x, l_extendedprice / 1000.0 AS y, true AS second_failed FROM lineitem")
+def q_rows_fail_if_present(spark, sf):
+    """A second write fails and leaves the first as it is."""
+    failed = []
+
+    def write(p):
+        tx.write_rows(tb.points(spark, sf), p, mode="errorifexists")
+        try:
+            tx.write_rows(tb.points(spark, sf), p, mode="errorifexists")
+        except AnalysisException as e:
+            failed.append("PATH_ALREADY_EXISTS" in str(e))
+    back = _through_file(spark, "present", write, lambda p: dl.read_points(spark, p))
+    return back.withColumn("second_failed", F.lit(failed == [True]))
+
+
+@query("formatted_file", "SELECT CAST(printf('%.2f', l_quantity) AS DOUBLE) AS x, "
+                         "CAST(printf('%.2f', l_extendedprice) AS DOUBLE) AS y FROM lineitem")
+def q_formatted_file(spark, sf):
+    """Two decimals written to files and read back."""
+    li = tb.table(spark, sf, "lineitem")
+    return _through_file(spark, "formatted", lambda p: tx.write_formatted(li, p, ["l_quantity", "l_extendedprice"]),
+                         lambda p: dl.read_points(spark, p))
 
 
 @query("state_roundtrip", "SELECT DISTINCT l_partkey AS id, 1.0::DOUBLE AS rank FROM lineitem")
 def q_state_roundtrip(spark, sf):
-    root = _scratch(spark, "state_roundtrip")
-    st.write_state(g.rank_init(tb.pr_links(spark, sf)), root, "ranks", 1)
-    return st.read_state(spark, root, "ranks", 1)
+    return _through_file(spark, "state", lambda p: st.write_state(g.rank_init(tb.pr_links(spark, sf)), p, "ranks", 1),
+                         lambda p: st.read_state(spark, p, "ranks", 1))
 
 
 @query("formatted_points", "SELECT printf('%.2f %.2f', l_quantity, l_extendedprice) AS value FROM lineitem")
@@ -156,10 +224,9 @@ def q_delta_init(spark, sf):
     return d.select("id", r6("delta").alias("delta"))
 
 
-@query("adjacency_list",
-       f"SELECT src, list_sort(list(dst)) AS neighbors FROM ({sql.PR_LINKS}) l GROUP BY src")
+@query("adjacency_list", sql.adjacency(sql.PR_LINKS, LIST_ROWS))
 def q_adjacency_list(spark, sf):
-    return g.adjacency_list(tb.pr_links(spark, sf))
+    return g.adjacency_list(tb.pr_links(spark, sf), LIST_ROWS)
 
 
 @query("out_degree", f"SELECT src, count(*) AS deg FROM ({sql.PR_LINKS}) l GROUP BY src")
@@ -169,68 +236,102 @@ def q_out_degree(spark, sf):
 
 # --- connected components ----------------------------------------------------------
 
-def _cc_init(spark, sf):
-    und = g.undirected(tb.cc_edges(spark, sf))
-    return und, g.component_init(und)
+def _cc_first(spark, sf, **links):
+    """Links and the first solution, as the loops start."""
+    lk = g.Links(g.undirected(tb.cc_edges(spark, sf)), **links)
+    return lk, lk.sources.select(F.col("src").alias("v"), F.col("src").alias("comp"))
 
 
 @query("cc_candidates", sql.CC_CANDIDATES)
 def q_cc_candidates(spark, sf):
-    und, init = _cc_init(spark, sf)
-    return g.cc_candidates_per_edge(init, und)
+    lk, init = _cc_first(spark, sf)
+    return g.cc_candidates(init, lk, lk.n_sources)
 
 
 @query("cc_min_candidate", sql.CC_MIN)
 def q_cc_min(spark, sf):
-    und, init = _cc_init(spark, sf)
-    return g.cc_min_candidate(g.cc_candidates_per_edge(init, und))
+    lk, init = _cc_first(spark, sf)
+    return g.cc_min_candidate(g.cc_candidates(init, lk, lk.n_sources))
 
 
 @query("cc_delta", sql.CC_DELTA)
 def q_cc_delta(spark, sf):
-    und, init = _cc_init(spark, sf)
-    return g.cc_delta(g.cc_min_candidate(g.cc_candidates_per_edge(init, und)), init)
+    lk, init = _cc_first(spark, sf)
+    return g.cc_delta(g.cc_min_candidate(g.cc_candidates(init, lk, lk.n_sources)), init)
 
 
 @query("cc_update", sql.CC_UPDATE)
 def q_cc_update(spark, sf):
-    und, init = _cc_init(spark, sf)
-    delta = g.cc_delta(g.cc_min_candidate(g.cc_candidates_per_edge(init, und)), init)
-    return g.cc_update(init, delta)
+    lk, init = _cc_first(spark, sf)
+    return g.cc_update(init, g.cc_delta(g.cc_min_candidate(g.cc_candidates(init, lk, lk.n_sources)), init))
+
+
+@query("cc_relax", sql.CC_RELAX)
+def q_cc_relax(spark, sf):
+    lk, init = _cc_first(spark, sf)
+    return g.cc_relax_step(init, g.cc_candidates(init, lk, lk.n_sources))
 
 
 @query("cc_bulk", sql.components(CC_STEPS))
 def q_cc_bulk(spark, sf):
-    return cc.components_bulk(tb.cc_edges(spark, sf), CC_STEPS).df
+    return _done(cc.components_bulk(tb.cc_edges(spark, sf), CC_STEPS)).df
 
 
 @query("cc_delta_iter", sql.components(CC_STEPS))
 def q_cc_delta_iter(spark, sf):
-    return cc.components_delta(tb.cc_edges(spark, sf), CC_STEPS).df
+    return _done(cc.components_delta(tb.cc_edges(spark, sf), CC_STEPS)).df
 
 
 @query("cc_staged", sql.components(CC_STEPS))
 def q_cc_staged(spark, sf):
-    return cc.components_staged(tb.cc_edges(spark, sf), _scratch(spark, "cc"), CC_STEPS).df
+    return _done(cc.components_staged(tb.cc_edges(spark, sf), _scratch(spark, "cc"), CC_STEPS)).df
+
+
+def _scale_links(edges: DataFrame, split_rows: int | None = None) -> g.Links:
+    """Links as at scale: every state is shuffled, and with ``split_rows`` hot sources are salted."""
+    lk = g.Links(edges, split_rows=split_rows, broadcast_state=False, count_vertices=True)
+    if split_rows and not lk.n_hot:
+        raise RuntimeError("no source is hot; the salted plan would not run")
+    return lk
+
+
+@query("cc_delta_shuffled", sql.components(CC_STEPS))
+def q_cc_delta_shuffled(spark, sf):
+    und = g.undirected(tb.cc_edges(spark, sf))
+    return _done(cc.components_delta(und, CC_STEPS, directed=True, prepared=_scale_links(und))).df
+
+
+@query("cc_delta_salted", sql.components(CC_STEPS))
+def q_cc_delta_salted(spark, sf):
+    und = g.undirected(tb.cc_edges(spark, sf))
+    return _done(cc.components_delta(und, CC_STEPS, directed=True, prepared=_scale_links(und, SPLIT_ROWS))).df
+
+
+@query("cc_counters", sql.cc_delta_counters(CC_STEPS))
+def q_cc_counters(spark, sf):
+    """M1 of the components loop: rows in and out of every operator that ran."""
+    res = _done(cc.components_delta(tb.cc_edges(spark, sf), CC_STEPS))
+    return res.stats().where("operator <> 'components-solution'")
 
 
 # --- PageRank ------------------------------------------------------------------------
 
 def _pr_step_inputs(spark, sf):
     links = tb.pr_links(spark, sf)
-    return links, g.rank_init(links), g.num_vertices(links)
+    lk = g.Links(links, count_vertices=True)
+    return lk, lk.sources.select(F.col("src").alias("id"), F.lit(1.0).alias("rank")), lk.vertex_count
 
 
 @query("pr_shares", sql.PR_SHARES)
 def q_pr_shares(spark, sf):
-    links, ranks, _ = _pr_step_inputs(spark, sf)
-    s = g.rank_shares_per_edge(ranks, links)
+    lk, ranks, _ = _pr_step_inputs(spark, sf)
+    s = g.rank_shares(ranks, lk, lk.n_sources)
     return s.select("id", r6("share").alias("share"))
 
 
 def _pr_sums(spark, sf):
-    links, ranks, n = _pr_step_inputs(spark, sf)
-    return g.sum_shares(g.rank_shares_per_edge(ranks, links)), ranks, n
+    lk, ranks, n = _pr_step_inputs(spark, sf)
+    return g.sum_shares(g.rank_shares(ranks, lk, lk.n_sources)), ranks, n
 
 
 @query("pr_sum", sql.PR_SUM)
@@ -248,8 +349,8 @@ def q_pr_dampen(spark, sf):
 @query("pr_changed", sql.PR_CHANGED)
 def q_pr_changed(spark, sf):
     sums, ranks, n = _pr_sums(spark, sf)
-    ch = g.changed_pages(g.dampened(sums, n), ranks)
-    return ch.select("id", r6("rank").alias("rank"), r6("old_rank").alias("old_rank"))
+    ch = g.flag_changed(g.dampened(sums, n), ranks)
+    return ch.select("id", r6("rank").alias("rank"), "changed")
 
 
 def _rounded_ranks(df: DataFrame) -> DataFrame:
@@ -262,28 +363,28 @@ def q_pagerank_bulk(spark, sf):
 
 
 def _deltas0(spark, sf):
-    links, ranks, n = _pr_step_inputs(spark, sf)
-    return links, ranks, g.delta_init(ranks, n)
+    lk, ranks, n = _pr_step_inputs(spark, sf)
+    return lk, ranks, g.delta_init(ranks, n)
 
 
 @query("prd_shares", sql.PRD_SHARES)
 def q_prd_shares(spark, sf):
-    links, _, w0 = _deltas0(spark, sf)
-    return g.delta_shares_per_edge(w0, links).select("id", r6("share").alias("share"))
+    lk, _, w0 = _deltas0(spark, sf)
+    return g.delta_shares(w0, lk, rows=lk.n_sources).select("id", r6("share").alias("share"))
 
 
 @query("prd_sum_filter", sql.PRD_SUM_FILTER)
 def q_prd_sum_filter(spark, sf):
-    links, _, w0 = _deltas0(spark, sf)
-    d = g.sum_and_filter(g.delta_shares_per_edge(w0, links))
+    lk, _, w0 = _deltas0(spark, sf)
+    d = g.sum_and_filter(g.delta_shares(w0, lk, rows=lk.n_sources))
     return d.select("id", r6("delta").alias("delta"))
 
 
 @query("prd_update", sql.PRD_UPDATE)
 def q_prd_update(spark, sf):
-    links, ranks, w0 = _deltas0(spark, sf)
-    d = g.sum_and_filter(g.delta_shares_per_edge(w0, links))
-    return _rounded_ranks(g.apply_deltas(ranks, d))
+    lk, ranks, w0 = _deltas0(spark, sf)
+    d = g.sum_and_filter(g.delta_shares(w0, lk, rows=lk.n_sources))
+    return _rounded_ranks(g.add_deltas(ranks, d))
 
 
 @query("pagerank_delta", sql.pagerank_delta(sql.PR_LINKS, PR_STEPS))
@@ -301,20 +402,36 @@ def _delta_counts(res) -> list[tuple[int, int]]:
     return [(i, n) for op, i, n in res.counts if op == "pagerank-delta"]
 
 
-def _padded_counts(res, steps: int) -> list[tuple[int, int]]:
-    got = dict(_delta_counts(res))
-    return [(i, got.get(i, 0)) for i in range(1, steps + 1)]
-
-
 @query("pagerank_active_pages", sql.pagerank_active(sql.PR_LINKS, PR_STEPS))
 def q_pagerank_active(spark, sf):
     res = prp.pagerank_delta(tb.pr_links(spark, sf), max_iter=PR_STEPS)
-    return spark.createDataFrame(_padded_counts(res, PR_STEPS), "iteration int, active_pages long")
+    return spark.createDataFrame(_delta_counts(res), "iteration int, active_pages long")
+
+
+@query("pagerank_bulk_shuffled", sql.pagerank_bulk(sql.SINK_LINKS, PR_STEPS))
+def q_pagerank_bulk_shuffled(spark, sf):
+    links = tb.sink_links(spark, sf)
+    lk = _scale_links(links)
+    return _rounded_ranks(prp.pagerank_bulk(links, lk.vertex_count, PR_STEPS, prepared=lk).df)
+
+
+@query("pagerank_shuffled", sql.pagerank_delta(sql.PR_LINKS, PR_STEPS))
+def q_pagerank_shuffled(spark, sf):
+    links = tb.pr_links(spark, sf)
+    lk = _scale_links(links)
+    return _rounded_ranks(prp.pagerank_delta(links, lk.vertex_count, PR_STEPS, prepared=lk).df)
+
+
+@query("pagerank_salted", sql.pagerank_delta(sql.PR_LINKS, PR_STEPS))
+def q_pagerank_salted(spark, sf):
+    links = tb.pr_links(spark, sf)
+    lk = _scale_links(links, SPLIT_ROWS)
+    return _rounded_ranks(prp.pagerank_delta(links, lk.vertex_count, PR_STEPS, prepared=lk).df)
 
 
 @query("pagerank_threshold_sweep", sql.threshold_sweep(sql.SINK_LINKS, SWEEP_THRESHOLDS, SWEEP_STEPS))
 def q_threshold_sweep(spark, sf):
-    res = prp.pagerank_delta_sweep(tb.sink_links(spark, sf), SWEEP_THRESHOLDS, max_iter=SWEEP_STEPS)
+    res = _done(prp.pagerank_delta_sweep(tb.sink_links(spark, sf), SWEEP_THRESHOLDS, max_iter=SWEEP_STEPS))
     return res.df.select("threshold", "id", r6("rank").alias("rank"))
 
 
@@ -327,25 +444,30 @@ def q_repartitioned_pagerank(spark, sf):
 
 # --- counters (M1, M2) ------------------------------------------------------------------
 
-@query("iteration_stats", sql.pagerank_active(sql.PR_LINKS, PR_STEPS, label=True))
-def q_iteration_stats(spark, sf):
+def _pagerank_counters(spark, sf) -> DataFrame:
     res = prp.pagerank_delta(tb.pr_links(spark, sf), max_iter=PR_STEPS)
-    rows = [("pagerank-delta", i, n) for i, n in _padded_counts(res, PR_STEPS)]
-    return spark.createDataFrame(rows, "operator string, iteration int, rows long")
+    return res.stats().where("operator <> 'pagerank-solution'")
+
+
+@query("iteration_stats", sql.pagerank_counters(sql.PR_LINKS, PR_STEPS))
+def q_iteration_stats(spark, sf):
+    """M1: rows in and out of every operator, executed supersteps only, and the first workset."""
+    return _pagerank_counters(spark, sf)
 
 
-@query("iteration_stats_sorted", sql.pagerank_sorted_counters(sql.PR_LINKS, PR_STEPS))
+@query("iteration_stats_sorted", sql.pagerank_counters(sql.PR_LINKS, PR_STEPS, dump=True))
 def q_iteration_stats_sorted(spark, sf):
-    res = prp.pagerank_delta(tb.pr_links(spark, sf), max_iter=PR_STEPS)
-    rows = [(f"pagerank-delta-iter_{i}", n) for i, n in _padded_counts(res, PR_STEPS)]
-    return spark.createDataFrame(rows, "name string, value long").orderBy("name")
+    """M2: the dump of all counters, sorted by name."""
+    c = _pagerank_counters(spark, sf)
+    return c.select(F.concat_ws("", "operator", F.lit("-iter_"), "iteration").alias("name"),
+                    F.col("rows").alias("value")).orderBy("name")
 
 
-@query("iteration_partition_stats", None)
+@query("iteration_partition_stats", sql.delta_totals(sql.PR_LINKS, PR_STEPS))
 def q_iteration_partition_stats(spark, sf):
-    """M1 per subtask; partition assignment is engine-specific, so no SQL twin."""
+    """M1 per subtask, summed over the partitions, whose assignment is engine-specific."""
     res = prp.pagerank_delta(tb.pr_links(spark, sf), max_iter=PR_STEPS, partition_stats=True)
-    return res.partition_stats(spark)
+    return res.partition_stats().groupBy("operator", "iteration").agg(F.sum("rows").alias("rows"))
 
 
 @query("pagerank_adaptive", sql.pagerank_delta(sql.PR_LINKS, PR_STEPS))
@@ -404,14 +526,31 @@ def _start_centers(spark):
 def q_kmeans_bulk(spark, sf):
     pts = _km_points(spark, sf)
     res = kmp.kmeans_bulk(pts, _start_centers(spark), KM_STEPS)
-    return kmp.final_assignment(pts, res).select("x", "y", "cluster")
+    return kmp.final_assignment(res.extra["points"], res).select("x", "y", "cluster")
+
+
+@query("kmeans_many_centers", sql.km_assignment(sql.MANY_CENTERS, 2))
+def q_kmeans_many_centers(spark, sf):
+    pts = _km_points(spark, sf)
+    start = tb.table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("int").alias("id"), (F.col("c_custkey") % 50 + 0.5).alias("x"),
+        (F.col("c_custkey") % 97 + 0.25).alias("y"))
+    res = kmp.kmeans_bulk(pts, start, 2)
+    return kmp.final_assignment(res.extra["points"], res).select("x", "y", "cluster")
+
+
+@query("kmeans_adaptive", sql.km_assignment(KM_START, KM_STEPS))
+def q_kmeans_adaptive(spark, sf):
+    pts = _km_points(spark, sf)
+    res = kmp.kmeans_staged(pts, _start_centers(spark), _scratch(spark, "kmeans"), KM_STEPS, adaptive_rows=20_000)
+    return kmp.final_assignment(res.extra["points"], res).select("x", "y", "cluster")
 
 
 @query("kmeans_staged", sql.km_assignment(KM_START, KM_STEPS))
 def q_kmeans_staged(spark, sf):
     pts = _km_points(spark, sf)
     res = kmp.kmeans_staged(pts, _start_centers(spark), _scratch(spark, "kmeans"), KM_STEPS)
-    return kmp.final_assignment(pts, res).select("x", "y", "cluster")
+    return kmp.final_assignment(res.extra["points"], res).select("x", "y", "cluster")
 
 
 @query("kmeans_centers", sql.km_centers(KM_START, KM_STEPS))
@@ -476,16 +615,28 @@ def q_gen_start_centers(spark, sf):
     return _rounded_xy(gen.centers_for(_supplier_ids(spark, sf), "start"))
 
 
-def _gen_means(spark) -> list[tuple[int, float, float]]:
-    rows = gen.uniform_centers(spark, GEN_MEANS_K).collect()
+def _gen_means(spark, k: int) -> list[tuple[int, float, float]]:
+    rows = gen.uniform_centers(spark, k).collect()      # k rows
     return sorted((int(r["id"]), float(r["x"]), float(r["y"])) for r in rows)
 
 
 @query("gen_points_skewed",
-       sql.gen_points(sql.ROW_IDS, GEN_MEANS_K, gen.mean_weights(GEN_MEANS_K, GEN_SKEW),
-                      gen.RELATIVE_STDDEV * gen.DEFAULT_RANGE))
+       sql.gen_points(sql.ROW_IDS, "SELECT range AS id FROM range(5)", "CASE id WHEN 0 THEN 5 WHEN 4 THEN 2 ELSE 1 END"))
 def q_gen_points_skewed(spark, sf):
-    return _rounded_xy(gen.points_for(tb.row_ids(spark, sf), _gen_means(spark), GEN_SKEW))
+    return _rounded_xy(gen.points_for(tb.row_ids(spark, sf), _gen_means(spark, GEN_MEANS_K), GEN_SKEW))
+
+
+@query("gen_points_many_means",
+       sql.gen_points(sql.ROW_IDS, "SELECT range AS id FROM range((SELECT count(*) FROM part))", "1 + id % 7"))
+def q_gen_points_many_means(spark, sf):
+    k = tb.table(spark, sf, "part").count()
+    return _rounded_xy(gen.points_for(tb.row_ids(spark, sf), _gen_means(spark, min(k, gen.MAX_MEANS)),
+                                      [1 + i % 7 for i in range(k)]))
+
+
+@query("gen_samples_seeded", sql.gen_samples(sql.ROW_IDS, "42/samples"))
+def q_gen_samples_seeded(spark, sf):
+    return _rounded_xy(gen.samples_for(tb.row_ids(spark, sf), seed=42))
 
 
 @query("gen_samples", sql.gen_samples(sql.ROW_IDS))
@@ -517,6 +668,11 @@ def q_runtime_report(spark, sf):
     return rp.runtime_report(tb.experiments(spark, sf), tb.experiment_runs(spark, sf))
 
 
+@query("runtime_report_suite", RUNTIME_SQL.replace("GROUP BY", "WHERE c_mktsegment = 'BUILDING'\nGROUP BY"))
+def q_runtime_report_suite(spark, sf):
+    return rp.runtime_report(tb.experiments(spark, sf), tb.experiment_runs(spark, sf), "BUILDING")
+
+
 CPU_AVG_CTE = ("wa AS MATERIALIZED (SELECT job, iteration, worker, avg(sample) AS worker_avg "
                f"FROM ({sql.CPU}) c GROUP BY job, iteration, worker), "
                "ca AS MATERIALIZED (SELECT job, iteration, avg(worker_avg) AS utilization, "
@@ -530,16 +686,19 @@ def q_cpu_averages(spark, sf):
     return a.select("job", "iteration", r6("utilization").alias("utilization"), "workers")
 
 
+JOBS_SQL = ("SELECT job, CAST(length(job) * 4 AS INTEGER) AS current, 320 AS slots FROM "
+            "(SELECT event_type AS job FROM events UNION SELECT o_orderpriority AS job FROM orders) u")
 PROPOSAL_SQL = (
-    f"WITH {CPU_AVG_CTE}, raw AS (SELECT job, iteration, utilization, "
-    f"CAST(floor((utilization / {rp.TARGET_UTILIZATION!r}::DOUBLE) * {CPU_CURRENT}) AS INTEGER) AS p FROM ca) "
-    f"SELECT job, iteration, round(utilization, 6) AS utilization, "
-    f"CAST(greatest(least(p, {CPU_SLOTS}), {rp.MIN_PARALLELISM}) AS INTEGER) AS parallelism FROM raw")
+    f"WITH {CPU_AVG_CTE}, raw AS (SELECT j.job, ca.iteration, ca.utilization, j.slots, "
+    f"CAST(floor((ca.utilization / 0.7::DOUBLE) * j.current) AS INTEGER) AS p "
+    f"FROM ({JOBS_SQL}) j LEFT JOIN ca ON ca.job = j.job) "
+    "SELECT job, iteration, round(utilization, 6) AS utilization, "
+    "CAST(CASE WHEN p IS NULL THEN -1 ELSE greatest(least(p, slots), 8) END AS INTEGER) AS parallelism FROM raw")
 
 
 @query("parallelism_proposal", PROPOSAL_SQL)
 def q_parallelism_proposal(spark, sf):
-    p = rp.parallelism_proposal(tb.cpu_samples(spark, sf), CPU_CURRENT, CPU_SLOTS)
+    p = rp.parallelism_proposal(tb.cpu_samples(spark, sf), tb.job_slots(spark, sf))
     return p.select("job", "iteration", r6("utilization").alias("utilization"), "parallelism")
 
 
@@ -548,14 +707,15 @@ SUMMARY_SQL = (
     f"FROM ({sql.CPU}) c GROUP BY job, iteration), "
     "ov AS (SELECT job, avg(utilization) AS job_utilization FROM ca GROUP BY job) "
     "SELECT ca.job, ca.iteration, ca.workers, round(ca.utilization, 6) AS utilization, rt.runtime_ms, "
-    "round(ov.job_utilization, 6) AS job_utilization FROM ca JOIN rt USING (job, iteration) "
-    "JOIN ov ON ov.job = ca.job")
+    "round(ov.job_utilization, 6) AS job_utilization, j.current AS parallelism "
+    "FROM ca JOIN rt USING (job, iteration) JOIN ov ON ov.job = ca.job "
+    f"JOIN ({JOBS_SQL}) j ON j.job = ca.job")
 
 
 @query("execution_summary", SUMMARY_SQL)
 def q_execution_summary(spark, sf):
     e = tb.table(spark, sf, "events")
     ts = e.select(F.col("event_type").alias("job"), F.dayofyear("ts").alias("iteration"), "ts")
-    s = rp.execution_summary(tb.cpu_samples(spark, sf), ts)
+    s = rp.execution_summary(tb.cpu_samples(spark, sf), ts, tb.job_slots(spark, sf))
     return s.select("job", "iteration", "workers", r6("utilization").alias("utilization"),
-                    "runtime_ms", r6("job_utilization").alias("job_utilization"))
+                    "runtime_ms", r6("job_utilization").alias("job_utilization"), "parallelism")

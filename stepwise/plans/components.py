@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepwise.operators import graph as g
-from stepwise.plans.iterate import IterationResult, ParquetStore, StateStore, bulk_iterate
+from stepwise.plans.iterate import IterationResult, ParquetStore, StateStore, bulk_iterate, delta_iterate
 
 
 def _prepare(edges: DataFrame, prepared: g.Links | None, directed: bool):
@@ -31,7 +31,7 @@ def components_bulk(edges: DataFrame, max_iter: int = 10, *, directed: bool = Fa
     init = lk.sources.select(F.col("src").alias("v"), F.col("src").alias("comp"))
     try:
         return bulk_iterate(init, step, max_iter, stop_flag="changed",
-                            store=store, partitions=partitions, key="v",
+                            store=store, partitions=partitions, layout=lk.layout,
                             initial_rows=lk.n_sources, name="components")
     finally:
         if prepared is None:
@@ -40,41 +40,45 @@ def components_bulk(edges: DataFrame, max_iter: int = 10, *, directed: bool = Fa
 
 def components_delta(edges: DataFrame, max_iter: int = 10, *, directed: bool = False,
                      store: StateStore | None = None, prepared: g.Links | None = None,
-                     partitions: Callable[[int], int | None] | None = None) -> IterationResult:
+                     solution_every: int = 5,
+                     partitions: Callable[[int], int | None] | None = None,
+                     partition_stats: bool = False) -> IterationResult:
     """Only vertices whose component changed offer it again.
 
-    The solution carries a ``changed`` flag; the workset of a step is the
-    flagged rows of the saved solution.  Candidate minima (J1, A1) are
-    compared and merged in one join (J2 + J3), so a superstep is one job and
-    the delta count comes from the same job.  Ends on an empty delta.
+    A step joins the workset to its links (J1), takes the minimum per target
+    (A1) and keeps what is smaller than the solution's component (J2); that is
+    the delta and the next workset.  Deltas are merged (J3) into the solution
+    when they are read, and the merged solution is saved every
+    ``solution_every`` steps.  Ends on an empty delta.
     """
     und, lk = _prepare(edges, prepared, directed)
-    init = lk.sources.select(F.col("src").alias("v"), F.col("src").alias("comp"),
-                             F.lit(True).alias("changed"))
+    init = lk.sources.select(F.col("src").alias("v"), F.col("src").alias("comp"))
 
-    def step(sol: DataFrame, i: int, rows: int | None = None) -> DataFrame:
-        ws = sol.where(F.col("changed")).select("v", "comp")     # rows = its size
-        return g.cc_relax_step(sol.select("v", "comp"), g.cc_candidates(ws, lk, rows))
+    def step(sol: DataFrame, ws: DataFrame, i: int, rows: int | None = None, meter=None):
+        offers = meter(g.cc_candidates(meter(ws, "workset-in"), lk, rows), "candidates-out")
+        delta = g.cc_delta(meter(g.cc_min_candidate(offers), "minima-out"), sol)
+        return delta, delta
 
     try:
-        res = bulk_iterate(init, step, max_iter, stop_flag="changed", keep_flag=True,
-                           store=store, partitions=partitions, key="v",
-                           initial_rows=lk.n_sources, name="components")
+        return delta_iterate(init, init, step, max_iter, key="v", merge=g.cc_update,
+                             store=store, solution_every=solution_every, partitions=partitions,
+                             layout=lk.layout, partition_stats=partition_stats,
+                             initial_rows=lk.n_sources, name="components")
     finally:
         if prepared is None:
             lk.unpersist()
-    res.counts = [("components-delta" if op == "components-criterion" else op, i, n)
-                  for op, i, n in res.counts]
-    return res
 
 
 def components_staged(edges: DataFrame, state_dir: str, max_iter: int = 10, *,
                       directed: bool = False, prepared: g.Links | None = None,
+                      solution_every: int = 5,
                       partitions: Callable[[int], int | None] | None = None) -> IterationResult:
-    """The delta job with delta and solution written per step.
+    """The delta job with its state in files: the delta of every step
+    (``components-delta``) and the merged solution every ``solution_every``
+    steps and at the end (``components-solution``).
 
     Stops on an empty delta (the result is the same as running all steps).
     """
     return components_delta(edges, max_iter, directed=directed,
                             store=ParquetStore(state_dir), prepared=prepared,
-                            partitions=partitions)
+                            solution_every=solution_every, partitions=partitions)

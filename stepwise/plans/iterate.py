@@ -16,6 +16,7 @@ the stop test costs no extra job (A10, I5).
 
 from __future__ import annotations
 
+import functools
 import inspect
 import itertools
 import time
@@ -23,7 +24,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Callable, Protocol
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stepwise.session import checkpoint_dir
@@ -32,14 +33,19 @@ _obs_ids = itertools.count()
 
 
 class StateStore(Protocol):
+    keeps_layout: bool      # whether saved state is still hash-partitioned
+
     def save(self, df: DataFrame, name: str, iteration: int) -> DataFrame: ...
 
 
 class CheckpointStore:
-    """Native iteration state: eager reliable checkpoint (shared storage)."""
+    """Native iteration state: eager reliable checkpoint (shared storage).
+
+    State saved from a plan without adaptive execution keeps the hash
+    partitioning of that plan.
+    """
 
-    def __init__(self, spark: SparkSession | None = None):
-        self._spark = spark
+    keeps_layout = True
 
     def save(self, df: DataFrame, name: str, iteration: int) -> DataFrame:
         checkpoint_dir(df.sparkSession)
@@ -49,6 +55,8 @@ class CheckpointStore:
 class ParquetStore:
     """Staged iteration state: ``<root>/<name>/iteration_<i>`` Parquet."""
 
+    keeps_layout = False
+
     def __init__(self, root: str):
         self.root = root.rstrip("/")
 
@@ -61,6 +69,27 @@ class ParquetStore:
         return df.sparkSession.read.schema(df.schema).parquet(p)
 
 
+class DriverStore:
+    """State of a few rows (centers, parameters) kept on the driver.
+
+    ``rows`` holds the last state, so the next step can fold it into its plan;
+    more than ``limit`` rows are an error.  ``then`` writes it somewhere first.
+    """
+
+    keeps_layout = False
+
+    def __init__(self, limit: int, then: StateStore | None = None):
+        self.limit, self.then = limit, then
+
+    def save(self, df: DataFrame, name: str, iteration: int) -> DataFrame:
+        if self.then:
+            df = self.then.save(df.coalesce(1), name, iteration)
+        rows = df.collect() if self.then else df.limit(self.limit + 1).collect()
+        if len(rows) > self.limit:
+            raise ValueError(f"{name}: more than {self.limit} rows for the driver")
+        return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 @dataclass
 class IterationResult:
     """Outcome of a loop: final state, steps run, convergence and counters."""
@@ -69,7 +98,7 @@ class IterationResult:
     converged: bool
     counts: list = field(default_factory=list)   # (operator, iteration, rows)
     extra: dict = field(default_factory=dict)
-    partition_counts: list = field(default_factory=list)  # (operator, iteration, partition, rows)
+    partition_counts: list = field(default_factory=list)  # one DataFrame per step, see partition_stats
     step_ms: list = field(default_factory=list)           # (iteration, wall-clock ms)
 
     def stats(self, spark: SparkSession | None = None) -> DataFrame:
@@ -89,16 +118,14 @@ class IterationResult:
         return spark.createDataFrame(
             data, "iteration int, runtime_ms long, parallelism int, rows map<string,long>")
 
-    def partition_stats(self, spark: SparkSession | None = None) -> DataFrame:
-        """M1 per subtask (needs ``partition_stats=True`` on the loop)."""
-        spark = spark or self.df.sparkSession
-        return spark.createDataFrame(
-            self.partition_counts, "operator string, iteration int, partition int, rows long")
+    def partition_stats(self) -> DataFrame:
+        """M1 per subtask (needs ``partition_stats=True`` on the loop): a
+        distributed table ``operator, iteration, partition, rows``."""
+        return functools.reduce(DataFrame.unionByName, self.partition_counts)
 
 
 def save_counted(df: DataFrame, store: StateStore, name: str, iteration: int,
-                 flag: str | None = None,
-                 drop_flag: bool = True) -> tuple[DataFrame, int, int | None]:
+                 flag: str | None = None) -> tuple[DataFrame, int, int | None]:
     """Materialise ``df`` through ``store`` and count it in the same job.
 
     With ``flag`` (a boolean column) the number of true flags is observed as
@@ -110,43 +137,80 @@ def save_counted(df: DataFrame, store: StateStore, name: str, iteration: int,
     obs = Observation(f"{name}_{iteration}_{next(_obs_ids)}")
     saved = store.save(df.observe(obs, *metrics), name, iteration)
     got = obs.get
-    flagged = None
-    if flag:
-        flagged = int(got.get("flagged") or 0)
-        if drop_flag:
-            saved = saved.drop(flag)
-    return saved, int(got["rows"]), flagged
+    if not flag:
+        return saved, int(got["rows"]), None
+    return saved.drop(flag), int(got["rows"]), int(got.get("flagged") or 0)
+
+
+def _extras(step, **offered) -> dict:
+    """The offered arguments that a step takes.
 
+    ``rows``: the measured row count of its input state (workset) from the
+    previous step, e.g. to broadcast a small workset.  ``meter``: counts an
+    intermediate output.
+    """
+    takes = inspect.signature(step).parameters
+    return {k: v for k, v in offered.items() if k in takes}
+
+
+class Meter:
+    """Counts rows of a step's operators in the job that runs the step (M1)."""
+
+    def __init__(self):
+        self._seen: list[tuple[str, Observation]] = []
+
+    def __call__(self, df: DataFrame, operator: str) -> DataFrame:
+        obs = Observation(f"{operator}_{next(_obs_ids)}")
+        self._seen.append((operator, obs))
+        return df.observe(obs, F.count(F.lit(1)).alias("rows"))
 
-def _wants_rows(step) -> bool:
-    """Steps may take ``rows=``: the measured row count of their input state
-    (workset) from the previous step, e.g. to broadcast a small workset."""
-    return "rows" in inspect.signature(step).parameters
+    def take(self, iteration: int) -> list[tuple[str, int, int]]:
+        """Counters since the last call."""
+        # adaptive execution drops an operator whose input turned out empty; it has no metrics
+        got = [(op, iteration, int(obs.get["rows"]) if obs._jo.getRow().schema() else 0)
+               for op, obs in self._seen]
+        self._seen = []
+        return got
 
 
 @contextmanager
-def step_parallelism(spark: SparkSession, partitions, i: int, prev_rows: int | None = None):
-    """The shuffle parallelism of superstep ``i``.
+def _conf(spark: SparkSession, **settings):
+    """Session settings (dots written as ``__``) for the time of a step."""
+    names = {k.replace("__", "."): v for k, v in settings.items()}
+    old = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+@contextmanager
+def step_plan(spark: SparkSession, partitions, i: int, prev_rows: int | None = None,
+              layout: int | None = None):
+    """The shuffle parallelism of superstep ``i``, yielded.
 
     ``partitions`` is ``f(i)`` or ``f(i, rows of the previous step)``; its
     value is the ``spark.sql.shuffle.partitions`` used while the step is
-    planned and run (AQE may still coalesce), restored afterwards.  The
-    loop-invariant inputs keep their partitioning.
+    planned and run (AQE may still coalesce), restored afterwards.  Without
+    one, ``layout`` plans the step for exactly that many partitions and
+    without adaptive execution, so saved state keeps its partitioning and the
+    next step does not shuffle it again.
     """
     n = None
     if partitions is not None:
         takes_rows = len(inspect.signature(partitions).parameters) >= 2
         n = partitions(i, prev_rows) if takes_rows else partitions(i)
-    if not n:
-        yield None
-        return
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(int(n)))
-    try:
-        yield int(n)
-    finally:
-        spark.conf.set(key, old)
+    if n:
+        with _conf(spark, spark__sql__shuffle__partitions=str(int(n))):
+            yield int(n)
+    elif layout:
+        with _conf(spark, spark__sql__shuffle__partitions=str(layout), spark__sql__adaptive__enabled="false"):
+            yield layout
+    else:
+        yield _shuffle_parts(spark)
 
 
 def by_rows(rows_per_partition: int, minimum: int = 1, maximum: int | None = None):
@@ -167,53 +231,34 @@ def bulk_iterate(initial: DataFrame,
                  stop_flag: str | None = None,
                  store: StateStore | None = None,
                  partitions: Callable[[int], int | None] | None = None,
-                 key: str | None = None,
-                 keep_flag: bool = False,
-                 partition_stats: bool = False,
+                 layout: int | None = None,
                  initial_rows: int | None = None,
                  name: str = "state") -> IterationResult:
     """Bulk iteration: the whole state is replaced every superstep.
 
-    ``step(state, i[, rows=n])`` returns the next state.  Without ``stop_flag`` the loop
-    runs exactly ``max_iter`` steps (I1).  With it, the step adds a boolean
-    column of that name; the loop ends after the first step in which no row
-    has it set (I2: "criterion data set is empty"), or at ``max_iter``.
-    Superstep numbers start at 1.  With ``keep_flag`` the flag stays in the
-    state between steps (a delta step reads it as its workset) and is
-    dropped from the final result only.  A step that takes ``rows=`` gets
-    the measured size of its input: the state's row count, or with
-    ``keep_flag`` the number of flagged rows.
+    ``step(state, i[, rows=n][, meter=m])`` returns the next state.  Without
+    ``stop_flag`` the loop runs exactly ``max_iter`` steps (I1).  With it, the
+    step adds a boolean column of that name; the loop ends after the first
+    step in which no row has it set (I2: "criterion data set is empty"), or at
+    ``max_iter``.  Superstep numbers start at 1.
     """
     store = store or CheckpointStore()
-    state = initial
-    counts, per_part = [], []
-    converged = False
-    i = 0
-    rows = initial_rows
+    state, rows, converged, i = initial, initial_rows, False, 0
     spark = initial.sparkSession
-    wants_rows = _wants_rows(step)
-    times = []
+    counts, times, meter = [], [], Meter()
     for i in range(1, max_iter + 1):
         t0 = time.perf_counter()
-        with step_parallelism(spark, partitions, i, rows) as par:
-            nxt = step(state, i, rows=rows) if wants_rows else step(state, i)
-            state, n_state, flagged = save_counted(nxt, store, name, i,
-                                                   stop_flag, drop_flag=not keep_flag)
-        times.append((i, int((time.perf_counter() - t0) * 1000), par or _shuffle_parts(spark)))
-        # with keep_flag the flagged rows are the next step's workset
-        rows = flagged if keep_flag and stop_flag else n_state
-        counts.append((name, i, n_state))
-        if partition_stats:
-            per_part += _collect_partition_counts(state, name, i)
+        with step_plan(spark, partitions, i, rows, layout if store.keeps_layout else None) as par:
+            nxt = step(state, i, **_extras(step, rows=rows, meter=meter))
+            state, rows, flagged = save_counted(nxt, store, name, i, stop_flag)
+        times.append((i, int((time.perf_counter() - t0) * 1000), par))
+        counts += meter.take(i) + [(name, i, rows)]
         if stop_flag:
             counts.append((name + "-criterion", i, flagged))
             if flagged == 0:
                 converged = True
                 break
-    if keep_flag and stop_flag and stop_flag in state.columns:
-        state = state.drop(stop_flag)
-    return IterationResult(state, i, converged, counts, partition_counts=per_part,
-                           step_ms=times)
+    return IterationResult(state, i, converged, counts, step_ms=times)
 
 
 def _shuffle_parts(spark: SparkSession) -> int:
@@ -242,55 +287,55 @@ def delta_iterate(solution: DataFrame, workset: DataFrame,
                   store: StateStore | None = None,
                   solution_every: int = 1,
                   partitions: Callable[[int], int | None] | None = None,
+                  layout: int | None = None,
                   partition_stats: bool = False,
                   initial_rows: int | None = None,
                   name: str = "delta") -> IterationResult:
     """Delta iteration (I3): keyed solution set plus a shrinking workset.
 
-    ``step(solution, workset, i)`` returns ``(delta, next_workset)``; the
-    delta is merged into the solution by ``merge`` (default: upsert by key)
-    and the loop ends when the next workset is empty, or at ``max_iter``.
-    ``solution_every`` saves the merged solution only every n-th step - for
-    steps that never read the solution (delta PageRank) the merges then form
-    a short chain of co-partitioned joins instead of a rewrite per step.
+    ``step(solution, workset, i[, rows=n][, meter=m])`` returns ``(delta,
+    next_workset)``; the delta is merged into the solution by ``merge``
+    (default: upsert by key) and the loop ends when the next workset is empty,
+    or at ``max_iter``.  ``solution_every`` saves the merged solution only
+    every n-th step; in between it is a short chain of joins of the last saved
+    solution with the saved deltas, so a step writes no more than its delta.
+    The size of the first workset is counted too (``<name>-initial``, A9).
     """
     store = store or CheckpointStore()
     merge = merge or (lambda s, d: upsert(s, d, key))
-    counts, per_part = [], []
-    converged = False
-    dirty = False
-    i = 0
-    n_ws = initial_rows
     spark = solution.sparkSession
-    wants_rows = _wants_rows(step)
-    times = []
+    converged = dirty = False
+    i, n_ws = 0, initial_rows
+    counts, per_part, times, meter = [], [], [], Meter()
+    if n_ws is not None:
+        counts.append((name + "-initial", 0, n_ws))
     for i in range(1, max_iter + 1):
         t0 = time.perf_counter()
-        with step_parallelism(spark, partitions, i, n_ws) as par:
-            delta, next_ws = (step(solution, workset, i, rows=n_ws) if wants_rows
-                              else step(solution, workset, i))
+        with step_plan(spark, partitions, i, n_ws, layout if store.keeps_layout else None) as par:
+            delta, next_ws = step(solution, workset, i, **_extras(step, rows=n_ws, meter=meter))
             same = next_ws is delta
             delta, n_delta, _ = save_counted(delta, store, name + "-delta", i)
-            counts.append((name + "-delta", i, n_delta))
+            counts += meter.take(i) + [(name + "-delta", i, n_delta)]
             if partition_stats:
-                per_part += _collect_partition_counts(delta, name + "-delta", i)
+                per_part.append(partition_counts(delta, name + "-delta", i))
             if same:
                 workset, n_ws = delta, n_delta
             else:
                 workset, n_ws, _ = save_counted(next_ws, store, name + "-workset", i)
                 counts.append((name + "-workset", i, n_ws))
-            solution = merge(solution, delta)
-            dirty = True
-            if i % solution_every == 0:
+            if n_delta:
+                solution, dirty = merge(solution, delta), True
+            if dirty and i % solution_every == 0:
                 solution, n_sol, _ = save_counted(solution, store, name + "-solution", i)
                 counts.append((name + "-solution", i, n_sol))
                 dirty = False
-        times.append((i, int((time.perf_counter() - t0) * 1000), par or _shuffle_parts(spark)))
+        times.append((i, int((time.perf_counter() - t0) * 1000), par))
         if n_ws == 0:
             converged = True
             break
     if dirty:
-        solution, n_sol, _ = save_counted(solution, store, name + "-solution", i)
+        with step_plan(spark, partitions, i, n_ws, layout if store.keeps_layout else None):
+            solution, n_sol, _ = save_counted(solution, store, name + "-solution", i)
         counts.append((name + "-solution", i, n_sol))
     return IterationResult(solution, i, converged, counts, partition_counts=per_part,
                            step_ms=times)
@@ -299,20 +344,10 @@ def delta_iterate(solution: DataFrame, workset: DataFrame,
 def partition_counts(df: DataFrame, operator: str, iteration: int) -> DataFrame:
     """M1 per subtask: rows per partition of a materialised output.
 
-    One extra (narrow, partial-aggregated) job over the saved state; use it
-    for diagnostics, the loop totals come from observations for free.
+    One narrow, partial-aggregated pass over the saved state when it is read;
+    use it for diagnostics, the loop totals come from observations for free.
     """
     return (df.groupBy(F.spark_partition_id().alias("partition"))
               .agg(F.count(F.lit(1)).alias("rows"))
               .select(F.lit(operator).alias("operator"),
                       F.lit(iteration).alias("iteration"), "partition", "rows"))
-
-
-def count_if(flag: Column) -> Column:
-    return F.sum(flag.cast("long"))
-
-
-def _collect_partition_counts(df: DataFrame, operator: str, iteration: int) -> list[tuple]:
-    """Per-partition counts as small driver rows (one row per partition)."""
-    return [(r["operator"], r["iteration"], r["partition"], r["rows"])
-            for r in partition_counts(df, operator, iteration).collect()]

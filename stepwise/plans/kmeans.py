@@ -8,75 +8,82 @@ reads them back for the next step, so a step can be re-run from the files.
 
 from __future__ import annotations
 
-import time
+import inspect
 from typing import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from stepwise.operators import clustering as km
-from stepwise.plans.iterate import IterationResult
-from stepwise.sources.delimited import CENTER_SCHEMA
-from stepwise.sources.state import read_state, write_state
-
-
-def _run(points: DataFrame, centers: DataFrame, iterations: int,
-         state_dir: str | None, partitions: Callable[[int], int | None] | None,
-         persist: bool) -> IterationResult:
-    spark = points.sparkSession
-    pts = points.select("x", "y")
-    cached = persist and not pts.is_cached
-    if cached:
-        pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
-    current = km.collect_centers(centers)
-    counts, times = [], []
-    base_parts = pts.rdd.getNumPartitions()
-    i = 0
-    for i in range(1, iterations + 1):
-        t0 = time.perf_counter()
-        step_pts = pts
-        n = partitions(i) if partitions is not None else None
-        if n:
-            # fewer tasks: merge cached partitions without a shuffle
-            step_pts = pts.coalesce(n) if n <= base_parts else pts.repartition(n)
-        new = km.kmeans_step(step_pts, current)
-        if state_dir:
-            # the step's job writes its k centers straight to the state folder
-            write_state(new.coalesce(1), state_dir, "centers", i)
-            current = km.collect_centers(read_state(spark, state_dir, "centers", i), bounded=True)
-        else:
-            current = sorted((int(r["id"]), float(r["x"]), float(r["y"]))
-                             for r in new.collect())              # k rows
-        counts.append(("centers", i, len(current)))
-        times.append((i, int((time.perf_counter() - t0) * 1000),
-                      int(n or base_parts)))
-    if cached:
-        pts.unpersist()
-    final = spark.createDataFrame(current, CENTER_SCHEMA)
-    res = IterationResult(final, i, False, counts, step_ms=times)
-    res.extra["centers"] = current
+from stepwise.plans.iterate import (
+    DriverStore, IterationResult, ParquetStore, StateStore, bulk_iterate, by_rows,
+)
+
+
+def spread(points: DataFrame, persist: bool) -> tuple[DataFrame, bool]:
+    """Points over at least one partition per core, persisted unless the caller did.
+
+    The loop reads them in every step, so one shuffle of a table of few files
+    pays at once.
+    """
+    if points.is_cached:
+        return points, False
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    if points.rdd.getNumPartitions() < cores:
+        points = points.repartition(cores)
+    return (points.persist(StorageLevel.MEMORY_AND_DISK), True) if persist else (points, False)
+
+
+def _run(points: DataFrame, centers: DataFrame, iterations: int, then: StateStore | None,
+         partitions: Callable | None, persist: bool) -> IterationResult:
+    pts, cached = spread(points if points.is_cached else points.select("x", "y"), persist)
+    n_points = pts.count() if partitions is not None else None       # fills the cache
+    base = pts.rdd.getNumPartitions()
+
+    def step(state: DataFrame, i: int) -> DataFrame:
+        part = pts
+        if partitions is not None:
+            both = len(inspect.signature(partitions).parameters) >= 2
+            n = partitions(i, n_points) if both else partitions(i)
+            # fewer tasks: merge cached partitions without a shuffle; never reshuffle points
+            part = pts.coalesce(n) if n and n < base else pts
+        return km.kmeans_step(part, km.collect_centers(state))
+
+    res = bulk_iterate(centers.select("id", "x", "y"), step, iterations,
+                       store=DriverStore(km.MAX_CENTERS, then), name="centers")
+    res.extra["centers"] = km.collect_centers(res.df)
+    res.extra["points"] = pts
+    res.extra["release"] = pts.unpersist if cached else (lambda: None)
     return res
 
 
 def kmeans_bulk(points: DataFrame, centers: DataFrame, iterations: int = 10, *,
-                partitions: Callable[[int], int | None] | None = None,
-                persist: bool = True) -> IterationResult:
-    """``iterations`` k-means steps (I1); ``df`` holds the final centers."""
+                partitions: Callable | None = None, persist: bool = True) -> IterationResult:
+    """``iterations`` k-means steps (I1); ``df`` holds the final centers.
+
+    The points stay persisted for ``final_assignment``; ``extra["release"]()``
+    frees them.
+    """
     return _run(points, centers, iterations, None, partitions, persist)
 
 
-def kmeans_staged(points: DataFrame, centers: DataFrame, state_dir: str,
-                  iterations: int = 10, *,
-                  partitions: Callable[[int], int | None] | None = None,
+def kmeans_staged(points: DataFrame, centers: DataFrame, state_dir: str, iterations: int = 10, *,
+                  partitions: Callable | None = None, adaptive_rows: int | None = None,
                   persist: bool = True) -> IterationResult:
     """The same steps with centers written per step.
 
-    The final assignment uses the state of the last step.
+    ``adaptive_rows`` sizes every step by ``by_rows`` over the points.  The
+    final assignment uses the state of the last step.
     """
-    return _run(points, centers, iterations, state_dir, partitions, persist)
+    if adaptive_rows and partitions is None:
+        partitions = by_rows(adaptive_rows)
+    return _run(points, centers, iterations, ParquetStore(state_dir), partitions, persist)
 
 
 def final_assignment(points: DataFrame, result: IterationResult,
                      out: str = "cluster") -> DataFrame:
-    """E7 tail: every point with the id of its nearest final center."""
+    """E7 tail: every point with the id of its nearest final center.
+
+    Reads the loop's persisted points when ``points`` is the loop's input.
+    """
     return km.assign(points, result.extra["centers"], out)

@@ -2,48 +2,32 @@
 
 from __future__ import annotations
 
-import time
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from stepwise.functions.columns import LEARNING_RATE
 from stepwise.operators import regression as lr
-from stepwise.plans.iterate import IterationResult
+from stepwise.plans.iterate import DriverStore, IterationResult, ParquetStore, StateStore, bulk_iterate
+from stepwise.plans.kmeans import spread
 from stepwise.sources.delimited import PARAMS_SCHEMA
-from stepwise.sources.state import read_state, write_state
 
 
 def _run(samples: DataFrame, start: tuple[float, float], iterations: int, rate: float,
-         state_dir: str | None, persist: bool) -> IterationResult:
+         then: StateStore | None, persist: bool) -> IterationResult:
     if start is None:
         raise ValueError("start parameters (theta0, theta1) are required")
-    spark = samples.sparkSession
-    s = samples.select("x", "y")
-    cached = persist and not s.is_cached
-    if cached:
-        s = s.persist(StorageLevel.MEMORY_AND_DISK)
-    t0, t1 = float(start[0]), float(start[1])
-    counts, times = [], []
-    parts = s.rdd.getNumPartitions()
-    i = 0
-    for i in range(1, iterations + 1):
-        started = time.perf_counter()
-        new = lr.regression_step(s, t0, t1, rate)
-        if state_dir:
-            # the step's job writes the new parameters straight to the state folder
-            write_state(new.coalesce(1), state_dir, "params", i)
-            row = read_state(spark, state_dir, "params", i).first()
-        else:
-            row = new.first()                                      # one row
-        t0, t1 = float(row["theta0"]), float(row["theta1"])
-        counts.append(("params", i, 1))
-        times.append((i, int((time.perf_counter() - started) * 1000), parts))
-    if cached:
-        s.unpersist()
-    res = IterationResult(spark.createDataFrame([(t0, t1)], PARAMS_SCHEMA), i, False, counts,
-                          step_ms=times)
-    res.extra["params"] = (t0, t1)
+    s, cached = spread(samples if samples.is_cached else samples.select("x", "y"), persist)
+
+    def step(state: DataFrame, i: int) -> DataFrame:
+        now = state.first()                                        # one row
+        return lr.regression_step(s, float(now["theta0"]), float(now["theta1"]), rate)
+
+    first = samples.sparkSession.createDataFrame([tuple(map(float, start))], PARAMS_SCHEMA)
+    try:
+        res = bulk_iterate(first, step, iterations, store=DriverStore(1, then), name="params")
+    finally:
+        if cached:
+            s.unpersist()
+    res.extra["params"] = tuple(res.df.first())
     return res
 
 
@@ -57,4 +41,4 @@ def linreg_staged(samples: DataFrame, start: tuple[float, float], state_dir: str
                   iterations: int = 10, rate: float = LEARNING_RATE,
                   persist: bool = True) -> IterationResult:
     """The same steps with the parameters written per step (I4)."""
-    return _run(samples, start, iterations, rate, state_dir, persist)
+    return _run(samples, start, iterations, rate, ParquetStore(state_dir), persist)

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import math
 
-from stepwise.functions.columns import DAMPENING, DELTA_THRESHOLD, EPSILON, LEARNING_RATE
-
-D = f"{DAMPENING!r}::DOUBLE"
+# Fixed values of the jobs, written here a second time on purpose.
+D = "0.85::DOUBLE"
+DELTA_THRESHOLD = 0.1
+EPSILON = 0.0001
+LEARNING_RATE = 0.01
 
 PR_LINKS = "SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem"
 SINK_LINKS = "SELECT o_custkey AS src, o_orderkey AS dst FROM orders"
@@ -90,25 +92,51 @@ def pagerank_delta(links_sql: str = PR_LINKS, steps: int = 10,
     return with_ctes(ctes, f"SELECT id, round(rank, 6) AS rank FROM s{steps}")
 
 
+def _executed(i: int) -> str:
+    """A step runs if its workset (the delta before) has rows."""
+    return f"EXISTS (SELECT 1 FROM w{i-1})"
+
+
 def pagerank_active(links_sql: str = PR_LINKS, steps: int = 10,
-                    threshold: float = DELTA_THRESHOLD, label: bool = False) -> str:
+                    threshold: float = DELTA_THRESHOLD) -> str:
     ctes = pr_base(links_sql) + pr_delta_steps(steps, threshold)
-    if label:
-        parts = [f"SELECT 'pagerank-delta' AS operator, CAST({i} AS INTEGER) AS iteration, "
-                 f"count(*) AS rows FROM w{i}" for i in range(1, steps + 1)]
-    else:
-        parts = [f"SELECT CAST({i} AS INTEGER) AS iteration, count(*) AS active_pages FROM w{i}"
-                 for i in range(1, steps + 1)]
+    parts = [f"SELECT CAST({i} AS INTEGER) AS iteration, (SELECT count(*) FROM w{i}) AS active_pages "
+             f"WHERE {_executed(i)}" for i in range(1, steps + 1)]
     return with_ctes(ctes, "\nUNION ALL\n".join(parts))
 
 
-def pagerank_sorted_counters(links_sql: str = PR_LINKS, steps: int = 10,
-                             threshold: float = DELTA_THRESHOLD) -> str:
+def _pagerank_counters(steps: int, solution_every: int = 5) -> list[tuple[str, int, str, str]]:
+    """(operator, iteration, count, condition) of every counter of the delta loop."""
+    out = [("initial", 0, "SELECT count(*) FROM w0", "true")]
+    for i in range(1, steps + 1):
+        shares = f"SELECT count(*) FROM w{i-1} w JOIN pairs p ON p.src = w.id"
+        out += [("workset-in", i, f"SELECT count(*) FROM w{i-1}", _executed(i)),
+                ("shares-out", i, shares, _executed(i)),
+                ("delta", i, f"SELECT count(*) FROM w{i}", _executed(i))]
+    return out
+
+
+def pagerank_counters(links_sql: str = PR_LINKS, steps: int = 10, threshold: float = DELTA_THRESHOLD,
+                      dump: bool = False) -> str:
+    ctes = pr_base(links_sql) + pr_delta_steps(steps, threshold) + [
+        "pairs AS MATERIALIZED (SELECT DISTINCT src, dst FROM links)"]
+    full = {"initial": "pagerank-initial", "delta": "pagerank-delta"}
+    parts = []
+    for op, i, count, cond in _pagerank_counters(steps):
+        name = full.get(op, op)
+        cols = (f"'{name}-iter_{i}' AS name, ({count}) AS value" if dump else
+                f"'{name}' AS operator, CAST({i} AS INTEGER) AS iteration, ({count}) AS rows")
+        parts.append(f"SELECT {cols} WHERE {cond}")
+    body = "\nUNION ALL\n".join(parts)
+    return with_ctes(ctes, f"SELECT name, value FROM ({body}) t ORDER BY name" if dump else body)
+
+
+def delta_totals(links_sql: str = PR_LINKS, steps: int = 10, threshold: float = DELTA_THRESHOLD) -> str:
+    """Rows per step over all partitions; a partition without rows has no counter."""
     ctes = pr_base(links_sql) + pr_delta_steps(steps, threshold)
-    parts = [f"SELECT 'pagerank-delta-iter_{i}' AS name, count(*) AS value FROM w{i}"
-             for i in range(1, steps + 1)]
-    return with_ctes(ctes, "SELECT name, value FROM (" + "\nUNION ALL\n".join(parts)
-                     + ") t ORDER BY name")
+    parts = [f"SELECT 'pagerank-delta' AS operator, CAST({i} AS INTEGER) AS iteration, "
+             f"(SELECT count(*) FROM w{i}) AS rows WHERE EXISTS (SELECT 1 FROM w{i})" for i in range(1, steps + 1)]
+    return with_ctes(ctes, "\nUNION ALL\n".join(parts))
 
 
 def threshold_sweep(links_sql: str, thresholds: list[float], steps: int) -> str:
@@ -138,6 +166,17 @@ def pagerank_bulk(links_sql: str = PR_LINKS, steps: int = 10, eps: float = EPSIL
     return with_ctes(ctes, "\nUNION ALL\n".join(parts))
 
 
+def adjacency(links_sql: str, rows: int) -> str:
+    """Chunk = leading 32 bits of md5("<target>:<number among parallel links>"), modulo the chunks."""
+    bits = "CAST('0x' || substr(md5(dst || ':' || copy), 1, 8) AS BIGINT)"
+    return with_ctes(
+        [f"links AS MATERIALIZED ({links_sql})",
+         "each AS (SELECT src, dst, row_number() OVER (PARTITION BY src, dst) AS copy, "
+         "count(*) OVER (PARTITION BY src) AS deg FROM links)"],
+        f"SELECT src, {bits} % CAST(ceil(deg / {rows}.0) AS BIGINT) AS chunk, list_sort(list(dst)) AS neighbors "
+        "FROM each GROUP BY ALL")
+
+
 # --- single PageRank steps ---------------------------------------------------
 
 def pr_one_step(body: str, delta: bool = False) -> str:
@@ -147,9 +186,10 @@ def pr_one_step(body: str, delta: bool = False) -> str:
     return with_ctes(ctes, body)
 
 
+PAIRS = "(SELECT src, dst, count(*) AS w FROM links GROUP BY src, dst)"
 PR_SHARES = pr_one_step(
-    "SELECT l.dst AS id, round(s.rank / d.deg, 6) AS share FROM s0 s "
-    "JOIN links l ON l.src = s.id JOIN deg d ON d.src = l.src")
+    "SELECT l.dst AS id, round(s.rank / d.deg * l.w, 6) AS share FROM s0 s "
+    f"JOIN {PAIRS} l ON l.src = s.id JOIN deg d ON d.src = l.src")
 PR_SUM_CTE = ("sums AS MATERIALIZED (SELECT l.dst AS id, sum(s.rank / d.deg) AS rank FROM s0 s "
               "JOIN links l ON l.src = s.id JOIN deg d ON d.src = l.src GROUP BY l.dst)")
 PR_SUM = with_ctes(pr_base(PR_LINKS) + [PR_SUM_CTE], "SELECT id, round(rank, 6) AS rank FROM sums")
@@ -159,14 +199,14 @@ PR_DAMPEN = with_ctes(pr_base(PR_LINKS) + [PR_SUM_CTE, PR_DAMPEN_CTE],
                       "SELECT id, round(rank, 6) AS rank FROM damp")
 PR_CHANGED = with_ctes(
     pr_base(PR_LINKS) + [PR_SUM_CTE, PR_DAMPEN_CTE],
-    f"SELECT a.id, round(a.rank, 6) AS rank, round(b.rank, 6) AS old_rank FROM damp a "
-    f"JOIN s0 b ON a.id = b.id WHERE abs(a.rank - b.rank) > {EPSILON!r}")
+    f"SELECT a.id, round(a.rank, 6) AS rank, coalesce(abs(a.rank - b.rank) > {EPSILON!r}, false) AS changed "
+    f"FROM damp a LEFT JOIN s0 b ON a.id = b.id")
 PRD_SHARES = pr_one_step(
-    f"SELECT l.dst AS id, round({D} * w.delta / d.deg, 6) AS share FROM w0 w "
-    f"JOIN links l ON l.src = w.id JOIN deg d ON d.src = l.src", delta=True)
+    f"SELECT l.dst AS id, round({D} * w.delta / d.deg * l.w, 6) AS share FROM w0 w "
+    f"JOIN {PAIRS} l ON l.src = w.id JOIN deg d ON d.src = l.src", delta=True)
 PRD_SUM_FILTER = pr_one_step("SELECT id, round(delta, 6) AS delta FROM w1", delta=True)
 PRD_UPDATE = pr_one_step(
-    "SELECT s.id, round(s.rank + w.delta, 6) AS rank FROM s0 s JOIN w1 w ON s.id = w.id", delta=True)
+    "SELECT id, round(rank, 6) AS rank FROM s1", delta=True)
 
 
 # --- connected components -----------------------------------------------------
@@ -193,16 +233,41 @@ def components(steps: int = 20, edges_sql: str = CC_EDGES) -> str:
     return with_ctes(cc_base(edges_sql) + cc_steps(steps), f"SELECT v, comp FROM s{steps}")
 
 
-CC_CANDIDATES = with_ctes(cc_base(), "SELECT e.dst AS v, s.comp FROM s0 s JOIN e ON e.src = s.v")
+def cc_delta_counters(steps: int = 20, edges_sql: str = CC_EDGES) -> str:
+    """Rows in and out of the operators of the delta loop, executed steps only."""
+    ctes = cc_base(edges_sql) + cc_steps(steps) + ["pairs AS MATERIALIZED (SELECT DISTINCT src, dst FROM e)"]
+    ctes.append("w0 AS MATERIALIZED (SELECT v, comp FROM s0)")
+    parts = ["SELECT 'components-initial' AS operator, CAST(0 AS INTEGER) AS iteration, count(*) AS rows FROM w0"]
+    for i in range(1, steps + 1):
+        ctes.append(f"w{i} AS MATERIALIZED (SELECT a.v, a.comp FROM s{i} a JOIN s{i-1} b ON a.v = b.v "
+                    "WHERE a.comp < b.comp)")
+        ctes.append(f"o{i} AS MATERIALIZED (SELECT p.dst AS v, w.comp FROM w{i-1} w JOIN pairs p ON p.src = w.v)")
+        for op, what in (("workset-in", f"w{i-1}"), ("candidates-out", f"o{i}"),
+                         ("minima-out", f"(SELECT DISTINCT v FROM o{i}) m"), ("components-delta", f"w{i}")):
+            parts.append(f"SELECT '{op}' AS operator, CAST({i} AS INTEGER) AS iteration, "
+                         f"(SELECT count(*) FROM {what}) AS rows WHERE EXISTS (SELECT 1 FROM w{i-1})")
+    return with_ctes(ctes, "\nUNION ALL\n".join(parts))
+
+
+CC_CANDIDATES = with_ctes(cc_base(), "SELECT e.dst AS v, s.comp FROM s0 s "
+                          "JOIN (SELECT DISTINCT src, dst FROM e) e ON e.src = s.v")
 CC_MIN = with_ctes(cc_base() + cc_steps(1), "SELECT v, comp FROM m1")
 CC_DELTA = with_ctes(cc_base() + cc_steps(1),
                      "SELECT m.v, m.comp FROM m1 m JOIN s0 s ON m.v = s.v WHERE m.comp < s.comp")
+CC_RELAX = with_ctes(cc_base() + cc_steps(1), "SELECT s1.v, s1.comp, s1.comp < s0.comp AS changed "
+                     "FROM s1 JOIN s0 ON s0.v = s1.v")
 CC_UPDATE = with_ctes(cc_base() + cc_steps(1), "SELECT v, comp FROM s1")
 
 
+MANY_CENTERS = ("SELECT c_custkey AS id, c_custkey % 50 + 0.5::DOUBLE AS x, c_custkey % 97 + 0.25::DOUBLE AS y "
+                "FROM customer")
+
+
 # --- k-means -----------------------------------------------------------------
 
-def km_base(centers: list[tuple[int, float, float]]) -> list[str]:
+def km_base(centers: list[tuple[int, float, float]] | str) -> list[str]:
+    if isinstance(centers, str):
+        return [f"pts AS MATERIALIZED ({POINTS})", f"c0 AS MATERIALIZED ({centers})"]
     vals = ", ".join(f"({i}, {x!r}::DOUBLE, {y!r}::DOUBLE)" for i, x, y in centers)
     return [f"pts AS MATERIALIZED ({POINTS})",
             f"c0 AS MATERIALIZED (SELECT * FROM (VALUES {vals}) v(id, x, y))"]
@@ -323,23 +388,22 @@ def gen_centers(ids_sql: str, salt: str, value_range: float = 100.0) -> str:
             f"FROM ({ids_sql}) t")
 
 
-def gen_points(ids_sql: str, k: int, probs: list[float], sd: float,
+def gen_points(ids_sql: str, means_ids_sql: str, weight_sql: str, sd: float = 8.0,
                means_salt: str = "centers", value_range: float = 100.0,
                salt: str = "points") -> str:
-    cum, acc = [], 0.0
-    for p in probs:
-        acc += p
-        cum.append(acc)
-    u = uniform_sql("id", salt + "c")
-    case = "CASE " + " ".join(f"WHEN {u} < {c!r} THEN {i}" for i, c in enumerate(cum)) + \
-        f" ELSE {len(probs) - 1} END"
+    """Points around means with the given ids 0 .. k-1 and weights (an expression over id)."""
     half = value_range / 2.0
     means = (f"SELECT id, {uniform_sql('id', means_salt + 'x')} * {value_range!r} - {half!r} AS x, "
-             f"{uniform_sql('id', means_salt + 'y')} * {value_range!r} - {half!r} AS y "
-             f"FROM (SELECT CAST(range AS BIGINT) AS id FROM range({k})) r")
-    return (f"SELECT p.id, round({gaussian_sql('p.id', salt + 'x')} * {sd!r} + m.x, 6) AS x, "
-            f"round({gaussian_sql('p.id', salt + 'y')} * {sd!r} + m.y, 6) AS y "
-            f"FROM (SELECT id, {case} AS w FROM ({ids_sql}) t) p JOIN ({means}) m ON m.id = p.w")
+             f"{uniform_sql('id', means_salt + 'y')} * {value_range!r} - {half!r} AS y, {weight_sql} AS weight "
+             f"FROM ({means_ids_sql}) r")
+    return with_ctes(
+        [f"m AS MATERIALIZED ({means})",
+         "b AS MATERIALIZED (SELECT *, (sum(weight) OVER (ORDER BY id) - weight) / (SELECT sum(weight) FROM m)::DOUBLE "
+         "AS lo, sum(weight) OVER (ORDER BY id) / (SELECT sum(weight) FROM m)::DOUBLE AS hi FROM m)",
+         f"p AS MATERIALIZED (SELECT id, {uniform_sql('id', salt + 'c')} AS u FROM ({ids_sql}) t)"],
+        f"SELECT p.id, round({gaussian_sql('p.id', salt + 'x')} * {sd!r} + b.x, 6) AS x, "
+        f"round({gaussian_sql('p.id', salt + 'y')} * {sd!r} + b.y, 6) AS y "
+        "FROM p JOIN b ON p.u >= b.lo AND p.u < b.hi")
 
 
 def gen_samples(ids_sql: str, salt: str = "samples") -> str:

@@ -33,7 +33,7 @@ def pagerank_bulk(links: DataFrame, num_pages: int | None = None, max_iter: int
     ranks = lk.sources.select(F.col("src").alias("id"), F.lit(1.0).alias("rank"))
     try:
         res = bulk_iterate(ranks, step, max_iter, stop_flag="changed",
-                           store=store, partitions=partitions, key="id",
+                           store=store, partitions=partitions, layout=lk.layout,
                            initial_rows=lk.n_sources, name="ranks")
     finally:
         if prepared is None:
@@ -60,14 +60,15 @@ def pagerank_delta(links: DataFrame, num_pages: int | None = None, max_iter: int
     ranks = lk.sources.select(F.col("src").alias("id"), F.lit(1.0).alias("rank"))
     deltas = g.delta_init(ranks, n)
 
-    def step(solution: DataFrame, workset: DataFrame, i: int, rows: int | None = None):
-        new = g.sum_and_filter(g.delta_shares(workset, lk, d, rows), threshold)
+    def step(solution: DataFrame, workset: DataFrame, i: int, rows: int | None = None, meter=None):
+        shares = meter(g.delta_shares(meter(workset, "workset-in"), lk, d, rows), "shares-out")
+        new = g.sum_and_filter(shares, threshold)
         return new, new
 
     try:
         res = delta_iterate(ranks, deltas, step, max_iter, key="id", merge=g.add_deltas,
                             store=store, solution_every=solution_every,
-                            partitions=partitions, partition_stats=partition_stats,
+                            partitions=partitions, layout=lk.layout, partition_stats=partition_stats,
                             initial_rows=lk.n_sources, name="pagerank")
     finally:
         if prepared is None:
@@ -122,7 +123,7 @@ def pagerank_delta_sweep(links: DataFrame, thresholds: list[float],
     try:
         res = delta_iterate(ranks, deltas, step, max_iter, key="id",
                             merge=lambda s, dl: g.add_deltas(s, dl, keys),
-                            store=store, solution_every=solution_every,
+                            store=store, solution_every=solution_every, layout=lk.layout,
                             initial_rows=lk.n_sources * len(thresholds), name="pagerank")
     finally:
         if prepared is None:

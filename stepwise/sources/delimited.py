@@ -7,7 +7,6 @@ reference (S8) are plain renames and live in the schemas below.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 POINT_SCHEMA = T.StructType([T.StructField("x", T.DoubleType()),
@@ -44,9 +43,3 @@ def read_params(spark: SparkSession, path: str) -> DataFrame:
     """S11 read back: ``theta0 theta1``."""
     return _read(spark, path, PARAMS_SCHEMA)
 
-
-def parse_lines(lines: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:
-    """The same parse over a DataFrame of text lines (one blank between fields)."""
-    parts = F.split(F.col(column), " ")
-    return lines.select(*[parts.getItem(i).cast(f.dataType).alias(f.name)
-                          for i, f in enumerate(schema.fields)])

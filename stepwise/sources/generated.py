@@ -9,6 +9,7 @@ long ``id`` column.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,12 @@ DEFAULT_RANGE = 100.0        # centers lie in [-range/2, range/2)
 RELATIVE_STDDEV = 0.08       # point stddev = 0.08 * range
 SLOPE = 2.0                  # regression data: y = 2x + 0.01 * noise
 NOISE = 0.01
-MAX_MEANS = 10_000           # bound on means folded into the point expression
+MAX_MEANS = 10_000           # bound on means folded into the plan as one array
+
+
+def seeded(salt: str, seed: int) -> str:
+    """Salt of a run: seed 0 is the plain salt, every other seed its own data."""
+    return f"{seed}/{salt}" if seed else salt
 
 
 def ids(spark: SparkSession, n: int, partitions: int | None = None) -> DataFrame:
@@ -27,9 +33,10 @@ def ids(spark: SparkSession, n: int, partitions: int | None = None) -> DataFrame
     return spark.range(0, n, 1, partitions)
 
 
-def centers_for(id_df: DataFrame, salt: str = "centers", value_range: float = DEFAULT_RANGE) -> DataFrame:
+def centers_for(id_df: DataFrame, salt: str = "centers", value_range: float = DEFAULT_RANGE,
+                seed: int = 0) -> DataFrame:
     """G1: one uniform 2-D mean per id in ``[-range/2, range/2)`` (``id, x, y``)."""
-    half = value_range / 2.0
+    half, salt = value_range / 2.0, seeded(salt, seed)
     return id_df.select(
         F.col("id").cast("int").alias("id"),
         (uniform("id", salt + "x") * F.lit(value_range) - F.lit(half)).alias("x"),
@@ -37,13 +44,14 @@ def centers_for(id_df: DataFrame, salt: str = "centers", value_range: float = DE
 
 
 def uniform_centers(spark: SparkSession, k: int, salt: str = "centers",
-                    value_range: float = DEFAULT_RANGE) -> DataFrame:
-    return centers_for(ids(spark, k, 1), salt, value_range)
+                    value_range: float = DEFAULT_RANGE, seed: int = 0) -> DataFrame:
+    return centers_for(ids(spark, k, 1), salt, value_range, seed)
 
 
-def start_centers(spark: SparkSession, k: int, value_range: float = DEFAULT_RANGE) -> DataFrame:
+def start_centers(spark: SparkSession, k: int, value_range: float = DEFAULT_RANGE,
+                  seed: int = 0) -> DataFrame:
     """A second, independent draw used as start centers."""
-    return uniform_centers(spark, k, "start", value_range)
+    return uniform_centers(spark, k, "start", value_range, seed)
 
 
 def mean_weights(k: int, skew: list[int] | None) -> list[float]:
@@ -54,29 +62,32 @@ def mean_weights(k: int, skew: list[int] | None) -> list[float]:
 
 
 def _choose(u: Column, probs: list[float]) -> Column:
-    """Index of the first mean whose cumulative probability exceeds ``u``."""
-    expr = F.lit(len(probs) - 1)
-    cum = 0.0
-    bounds = []
-    for i, p in enumerate(probs):
-        cum += p
-        bounds.append((i, cum))
-    for i, c in reversed(bounds):
-        expr = F.when(u < F.lit(c), F.lit(i)).otherwise(expr)
-    return expr
+    """Index of the first mean whose cumulative probability exceeds ``u``.
+
+    A guide over equal slices of [0, 1) gives the bounds that lie in the slice
+    of ``u``, so a row compares a few bounds however many means there are.
+    The number of slices is a power of two, so no slice edge is rounded.
+    """
+    bounds = np.cumsum(np.asarray(probs, np.float64))
+    k = len(bounds)
+    slices = 1 << (2 * k - 1).bit_length()
+    guide = np.searchsorted(bounds, np.arange(slices + 1) / slices, "right").astype(np.int32)
+    cell = F.floor(u * F.lit(slices)).cast("int")
+    lo, hi = F.element_at(F.lit(guide), cell + 1), F.element_at(F.lit(guide), cell + 2)
+    passed = F.size(F.filter(F.slice(F.lit(bounds), lo + 1, hi - lo), lambda c: c <= u))
+    return F.least(lo + passed, F.lit(k - 1))
 
 
 def points_for(id_df: DataFrame, means: list[tuple[int, float, float]],
                skew: list[int] | None = None, stddev: float = RELATIVE_STDDEV,
-               value_range: float = DEFAULT_RANGE, salt: str = "points") -> DataFrame:
+               value_range: float = DEFAULT_RANGE, salt: str = "points", seed: int = 0) -> DataFrame:
     """G2 + G3: Gaussian points around skew-weighted means (``id, x, y``)."""
     if not means or len(means) > MAX_MEANS:
         raise ValueError("between 1 and %d means are required" % MAX_MEANS)
-    sd = stddev * value_range
+    sd, salt = stddev * value_range, seeded(salt, seed)
     probs = mean_weights(len(means), skew)
     which = _choose(uniform("id", salt + "c"), probs)
-    mx = F.element_at(F.array(*[F.lit(float(m[1])) for m in means]), which + 1)
-    my = F.element_at(F.array(*[F.lit(float(m[2])) for m in means]), which + 1)
+    mx, my = (F.element_at(F.lit(np.array([m[j] for m in means], np.float64)), which + 1) for j in (1, 2))
     return id_df.select(
         "id",
         (gaussian("id", salt + "x") * F.lit(sd) + mx).alias("x"),
@@ -85,23 +96,25 @@ def points_for(id_df: DataFrame, means: list[tuple[int, float, float]],
 
 def kmeans_points(spark: SparkSession, n: int, k: int, skew: list[int] | None = None,
                   partitions: int | None = None, stddev: float = RELATIVE_STDDEV,
-                  value_range: float = DEFAULT_RANGE) -> DataFrame:
+                  value_range: float = DEFAULT_RANGE, seed: int = 0) -> DataFrame:
     if not 1 <= k <= MAX_MEANS:
         raise ValueError("between 1 and %d means are required" % MAX_MEANS)
     means = [(int(r["id"]), float(r["x"]), float(r["y"]))
-             for r in uniform_centers(spark, k, value_range=value_range).collect()]   # k rows
-    return points_for(ids(spark, n, partitions), means, skew, stddev, value_range)
+             for r in uniform_centers(spark, k, value_range=value_range, seed=seed).collect()]   # k rows
+    return points_for(ids(spark, n, partitions), means, skew, stddev, value_range, seed=seed)
 
 
-def samples_for(id_df: DataFrame, salt: str = "samples") -> DataFrame:
+def samples_for(id_df: DataFrame, salt: str = "samples", seed: int = 0) -> DataFrame:
     """``x`` standard normal, ``y = 2x + 0.01 * noise`` (``id, x, y``)."""
+    salt = seeded(salt, seed)
     x = gaussian("id", salt + "x")
     return id_df.select("id", x.alias("x"),
                         (F.lit(SLOPE) * x + F.lit(NOISE) * gaussian("id", salt + "y")).alias("y"))
 
 
-def regression_samples(spark: SparkSession, n: int, partitions: int | None = None) -> DataFrame:
-    return samples_for(ids(spark, n, partitions))
+def regression_samples(spark: SparkSession, n: int, partitions: int | None = None,
+                       seed: int = 0) -> DataFrame:
+    return samples_for(ids(spark, n, partitions), seed=seed)
 
 
 def uniform_for(id_df: DataFrame, salt: str = "u") -> DataFrame:

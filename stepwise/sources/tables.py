@@ -24,6 +24,8 @@ SAMPLE_X_SCALE = 50.0
 SAMPLE_Y_SCALE = 100000.0
 CPU_WORKERS = 8
 CPU_SCALE = 500.0
+JOB_CURRENT = 4
+JOB_SLOTS = 320
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +62,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stable long id per lineitem row (``l_orderkey * 8 + l_linenumber``)."""
+    """A stable long per lineitem row (``l_orderkey * 8 + l_linenumber``); rows that
+    share both keys share it, and then also their generated values."""
     li = table(spark, sf_dir, "lineitem")
     return li.select((F.col("l_orderkey") * F.lit(8) + F.col("l_linenumber")).alias("id"))
 
@@ -83,3 +86,12 @@ def cpu_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.dayofyear("ts").alias("iteration"),
                     F.pmod(F.col("user_id"), F.lit(CPU_WORKERS)).cast("string").alias("worker"),
                     (F.col("value") / F.lit(CPU_SCALE)).alias("sample"))
+
+
+def job_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(job, current, slots)``: the event types, and the order priorities as jobs without samples."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("job")).distinct()
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("job")).distinct()
+    return (e.unionByName(o)
+            .select("job", (F.length("job") * F.lit(JOB_CURRENT)).cast("int").alias("current"),
+                    F.lit(JOB_SLOTS).alias("slots")))

@@ -44,6 +44,11 @@ def edge_lines(edges: DataFrame, extra: str | None = None) -> DataFrame:
     return edges.select(F.concat_ws(FIELD_SEP, *cols).alias("value"))
 
 
+def write_edges(edges: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """S1 written: TAB-separated edge text."""
+    edge_lines(edges).write.mode(mode).text(path)
+
+
 def write_rows(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """S9 (``overwrite``) / S10 (``errorifexists``): blank-separated rows."""
     df.write.mode(mode).option("sep", OUT_SEP).option("header", "false").csv(path)

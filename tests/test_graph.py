@@ -52,12 +52,11 @@ def test_f4_delta_values(spark, edges_t):
 
 def test_f5_parallel_edges(spark):
     e = spark.createDataFrame([(1, 2), (1, 2), (1, 3)], "src long, dst long")
-    assert rows(g.adjacency_list(e)) == [(1, [2, 2, 3])]
+    assert rows(g.adjacency_list(e)) == [(1, 0, [2, 2, 3])]
     assert rows(g.out_degree(e)) == [(1, 3)]
     s = g.sum_shares(g.rank_shares(g.rank_init(e), g.Links(e)), "share", "share")
     assert rows(s, nd=9) == [(2, round(2 / 3, 9)), (3, round(1 / 3, 9))]
-    per_edge = g.rank_shares_per_edge(g.rank_init(e), e)
-    assert per_edge.count() == 3
+    assert g.rank_shares(g.rank_init(e), g.Links(e)).count() == 2       # parallel edges are folded
 
 
 def test_f6_threshold_strict(spark):
@@ -108,8 +107,8 @@ def test_partition_stats_sum_to_totals(spark):
     links = tb.pr_links(spark, SF001)
     res = pr.pagerank_delta(links, max_iter=3, partition_stats=True)
     per = {}
-    for op, i, part, n in res.partition_counts:
-        per[(op, i)] = per.get((op, i), 0) + n
+    for r in res.partition_stats().collect():
+        per[(r.operator, r.iteration)] = per.get((r.operator, r.iteration), 0) + r.rows
     totals = {(op, i): n for op, i, n in res.counts if op == "pagerank-delta"}
     assert per == totals
 
@@ -125,28 +124,75 @@ def test_adaptive_staged_equals_delta(spark, tmp_path):
 
 
 def test_adjacency_list_splits_hubs(spark):
-    e = spark.createDataFrame([(1, d) for d in range(10)] + [(2, 5)], "src long, dst long")
-    got = g.adjacency_list(e, max_neighbors=4).collect()
-    hub = [r.neighbors for r in got if r.src == 1]
-    assert len(hub) == 3 and sorted(x for n in hub for x in n) == list(range(10))
-    assert all(len(n) <= 7 for n in hub)
-    assert [r.neighbors for r in got if r.src == 2] == [[5]]
-
-
-def test_fused_steps_match_joined_steps(spark):
+    e = spark.createDataFrame([(1, d) for d in range(100)] + [(1, 7)] * 3 + [(2, 5)], "src long, dst long")
+    got = g.adjacency_list(e, max_neighbors=20).collect()
+    hub = {r.chunk: r.neighbors for r in got if r.src == 1}
+    assert set(hub) == set(range(6))
+    assert sorted(x for n in hub.values() for x in n) == sorted([*range(100), 7, 7, 7])
+    assert all(len(n) <= 40 and n == sorted(n) for n in hub.values())
+    assert [(r.chunk, r.neighbors) for r in got if r.src == 2] == [(0, [5])]
+    again = g.adjacency_list(e.repartition(7), max_neighbors=20).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_delta_and_bulk_steps_agree(spark):
     from pyspark.sql import functions as F
     und = g.undirected(tb.cc_edges(spark, SF001))
     lk = g.Links(und)
     sol = lk.sources.select(F.col("src").alias("v"), F.col("src").alias("comp"))
-    a = g.cc_relax(sol, g.cc_min_candidate(g.cc_candidates(sol, lk)))
-    b = g.cc_relax_step(sol, g.cc_candidates(sol, lk))
-    assert rows(a) == rows(b)
-    links = tb.pr_links(spark, SF001)
-    plk = g.Links(links)
-    r = plk.sources.select(F.col("src").alias("id"), F.lit(1.0).alias("rank"))
-    c = g.flag_changed(g.bulk_rank_step(r, plk, 2000), r)
-    d = g.bulk_rank_step_flagged(r, plk, 2000)
-    assert rows(c, nd=9) == rows(d, nd=9)
+    offers = g.cc_candidates(sol, lk)
+    a = g.cc_update(sol, g.cc_delta(g.cc_min_candidate(offers), sol))
+    assert rows(a) == rows(g.cc_relax_step(sol, offers).drop("changed"))
+
+
+def _chain(spark, n, extra=0):
+    """A path 0 - 1 - ... - n and many settled pairs beside it."""
+    e = [(i, i + 1) for i in range(n)] + [(10_000 + 2 * i, 10_001 + 2 * i) for i in range(extra)]
+    return spark.createDataFrame(e, "src long, dst long")
+
+
+def test_delta_components_save_only_the_workset(spark):
+    res = cc.components_delta(_chain(spark, 12, extra=500), 20)
+    assert res.converged
+    saved = {i: n for op, i, n in res.counts if op == "components-delta"}
+    # the path loses one changed vertex a step; the pairs beside it settle in step 1
+    assert saved[1] == 512 and [saved[i] for i in range(2, 13)] == list(range(11, 0, -1)) and saved[13] == 0
+    solutions = [i for op, i, _ in res.counts if op == "components-solution"]
+    assert solutions == [5, 10, 13]
+    assert dict((op, n) for op, i, n in res.counts if i == 0)["components-initial"] == 1013
+    assert {r.comp for r in res.df.where("v <= 12").collect()} == {0}
+
+
+def _exchanges(df):
+    """Exchanges of a plan, not counting those behind a cached table."""
+    seen, stack = 0, [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        seen += "Exchange" in node.nodeName()
+        stack += [node.children().apply(i) for i in range(node.children().size())]
+    return seen
+
+
+def test_state_keeps_its_partitioning(spark):
+    """With layout a step shuffles only what it produces, never the state it reads."""
+    from stepwise.plans.iterate import CheckpointStore, step_plan
+    lk = g.Links(g.undirected(tb.cc_edges(spark, SF001)), broadcast_state=False)
+    assert lk.layout == lk.partitions and lk.n_hot == 0
+    F = g.F
+    save, step = CheckpointStore().save, lambda ws, sol: g.cc_delta(g.cc_min_candidate(g.cc_candidates(ws, lk)), sol)
+    with step_plan(spark, None, 1, None, lk.layout):
+        start = lk.sources.select(F.col("src").alias("v"), F.col("src").alias("comp"))
+        delta = save(step(start, start), "d", 1)
+        sol = save(g.cc_update(start, delta), "s", 1)
+        delta = save(step(delta, sol), "d", 2)
+        assert _exchanges(step(delta, g.cc_update(sol, delta))) == 1        # candidates to their targets
+
+
+def test_links_shuffle_the_edges_once(spark):
+    lk = g.Links(tb.pr_links(spark, SF001), persist=False)
+    plan = lk.table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1        # the edges
+    assert plan.count("ENSURE_REQUIREMENTS") == 1       # the degrees, after partial counts
 
 
 @pytest.mark.parametrize("parts", ["3", "11"])

@@ -67,3 +67,36 @@ def test_centers_in_range(spark):
     lo, hi = c.agg(F.least(F.min("x"), F.min("y")), F.greatest(F.max("x"), F.max("y"))).first()
     assert -50.0 <= lo and hi < 50.0
     assert rows(gen.start_centers(spark, 5)) != rows(gen.uniform_centers(spark, 5))
+
+
+def test_median_without_buffer(spark):
+    import random
+    import statistics
+    r = random.Random(3)
+    times = [r.choice([5, 70_000, 70_001, 2_000_000_000, -3, 65_535, 65_536]) for _ in range(301)]
+    for part in (times, times[:300], times[:2], times[:1]):
+        assert _report(spark, part).p50_time == statistics.median(part)
+
+
+def test_choice_of_many_means(spark):
+    k = 10_000
+    pts = gen.points_for(gen.ids(spark, 3000, 4), [(i, float(i), 0.0) for i in range(k)],
+                         [1 + i % 7 for i in range(k)], stddev=0.0)
+    u = {r.id: r.u for r in gen.uniform_for(gen.ids(spark, 3000, 4), "pointsc").collect()}
+    import bisect
+    import itertools
+    cum = list(itertools.accumulate(gen.mean_weights(k, [1 + i % 7 for i in range(k)])))
+    for row in pts.collect():
+        assert row.x == min(bisect.bisect_right(cum, u[row.id]), k - 1)
+
+
+def test_seed_gives_other_data(spark):
+    a, b = (rows(gen.kmeans_points(spark, 20, 3, seed=s)) for s in (0, 1))
+    assert a == rows(gen.kmeans_points(spark, 20, 3)) and a != b
+
+
+def test_proposal_without_samples(spark):
+    s = spark.createDataFrame([("j", 1, "a", 0.35)], "job string, iteration int, worker string, sample double")
+    jobs = spark.createDataFrame([("j", 32, 320), ("idle", 32, 320)], "job string, current int, slots int")
+    got = {r.job: r.parallelism for r in rp.parallelism_proposal(s, jobs).collect()}
+    assert got == {"j": 16, "idle": -1}

@@ -65,9 +65,3 @@ def test_state_roundtrip(spark, tmp_path):
     back = st.read_state(spark, str(tmp_path), "ranks", 3)
     assert rows(back) == [(1, 1.0), (2, 0.5)]
     assert back.schema == st.STATE_SCHEMAS["ranks"]
-
-
-def test_parse_lines_matches_reader(spark):
-    lines = spark.createDataFrame([("1 6.2 3.2",)], "value string")
-    assert rows(dl.parse_lines(lines, dl.CENTER_SCHEMA)) == [(1, 6.2, 3.2)]
-    assert F is not None
