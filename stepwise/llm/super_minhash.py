@@ -7,12 +7,12 @@ the estimate less variable than independent hashes, and a document stops as
 soon as every slot has a value, since later visits offer larger ones.
 
 Documents with equal shingle sets are folded first.  Sets that share a band
-are candidates: in every bucket all members are verified against one centre
-on their full sets, and verified links form components.  A bucket whose
-members then lie in one component is settled.  For the others the remaining
-pairs between components are verified one by one if there are few, else with
-a further centre first; so no pair of a bucket is skipped and no bucket is
-expanded into all pairs.
+are candidates.  In every bucket all members are verified against one centre
+on their full sets, and verified links form components; a bucket whose members
+then lie in one component is settled.  Of the other buckets, members that the
+triangle inequality of the Jaccard distance to the centre leaves possible are
+compared in tiles of full sets, which hand back links between components and
+never pairs.  So no pair of a bucket is skipped, and no bucket is expanded.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ BANDS, ROWS = 32, 6         # P(a pair with similarity 0.85 shares no band) < 3e
 SLOTS = BANDS * ROWS
 SHARE = 85                  # per cent of the union that linked sets have in common
 SLICE_BYTES = 4 << 20
+SIDE = 512                  # members of a tile side
+COLUMNS = 4096              # shingles compared at once in a tile
 EAGER = 6                   # visits made without a permutation table
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 _WAY = U64(48)              # a value is visit number << 48 | 48 random bits
@@ -154,26 +156,48 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["id", "set_key", "shingles"])
 
 
-def _fits(share: int):
-    """Whether two sizes leave room for the share at all."""
-    return (100 * F.least("na", "nb") >= share * F.greatest("na", "nb"))
-
-
-class _Verifier:
-    """Full sets of the documents in some bucket, and links confirmed on them."""
-
-    def __init__(self, sets: DataFrame, share: int):
-        self.sets, self.share = sets, share
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, na, b, nb) whose sets share enough, as (src, dst)."""
-        one = lambda c: self.sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"))
-        both = (pairs.where(_fits(self.share)).select("a", "b").distinct()
-                .join(one("b"), "b").join(one("a"), "a"))
-        common = F.size(F.array_intersect("sa", "sb"))
-        union = F.size("sa") + F.size("sb") - common
-        return both.where(100 * common >= self.share * union).select(
-            F.col("a").alias("src"), F.col("b").alias("dst"))
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with common (shared shingles) and either (their union)."""
+    one = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}"))
+    both = pairs.select("a", "b").distinct().join(one("b"), "b").join(one("a"), "a")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return (both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
+            .select("a", "b", "common", (F.col("total") - F.col("common")).alias("either")))
+
+
+def _tile_links(share: int):
+    def run(key, rows):
+        """Links between components among the members of one tile.
+
+        A tile of a side with itself compares all its members, any other tile
+        those of different sides.
+        """
+        rows = rows.sort_by("rep").combine_chunks()
+        cross = key[1].as_py() != key[2].as_py()
+        lists = rows.column("shingles").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        side, comp = rows.column("side").to_numpy(), rows.column("comp").to_numpy()
+        n = len(size)
+        common = np.zeros((n, n), np.float64)
+        who = np.repeat(np.arange(n), size)
+        _, what, seen = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        keep = seen[what] > 1                       # a shingle of one member is common to nobody
+        who, what = who[keep], (np.cumsum(seen > 1) - 1)[what[keep]]
+        order = np.argsort(what, kind="stable")
+        who, what = who[order], what[order]
+        for c in range(0, int(what[-1]) + 1 if len(what) else 0, COLUMNS):
+            a, b = np.searchsorted(what, (c, c + COLUMNS))
+            has = np.zeros((n, COLUMNS), np.float32)
+            has[who[a:b], what[a:b] - c] = 1.0
+            common += has @ has.T                   # exact: counts below 2**24
+        mask = 100 * common >= share * (size[:, None] + size[None] - common)
+        if cross:
+            mask &= side[:, None] != side[None]
+        label = np.unique(comp, return_inverse=True)[1]
+        src, dst = np.nonzero(mask & (label[:, None] < label[None]))
+        one = tx.first_of(label[src], label[dst])       # one link for two components
+        return pa.table({"src": pa.array(comp[src[one]]), "dst": pa.array(comp[dst[one]])})
+    return run
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -201,8 +225,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                  .mapInArrow(_set_batches, "id long, set_key binary, shingles array<long>")
                  .join(wanted.withColumnRenamed("wanted_key", "set_key"), ["id", "set_key"])
                  .dropDuplicates(["id", "set_key"]).select("id", "shingles"), "sets")
-    found = _link_buckets(buckets.select("band", "rep", "n"), _Verifier(sets, share))
-    comp = connected_components(found)
+    comp = _bucket_components(buckets.select("band", "rep", "n"), sets, share)
     labels = saved(classes.select("set_key", "rep")
                    .join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left")
                    .select("set_key", F.coalesce("component", "rep").alias("component")), "labels")
@@ -212,40 +235,51 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             .withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id"))))
 
 
-def _link_buckets(rows: DataFrame, verify: _Verifier) -> DataFrame:
-    """Links that connect all that verified pairs inside buckets connect."""
-    open_rows, links, turn = rows, None, 0
-    while True:
-        centres = open_rows.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("c"))
-        pairs = (open_rows.join(centres, "band").where("rep != c.rep")
-                 .select(F.col("c.rep").alias("a"), F.col("c.n").alias("na"),
-                         F.col("rep").alias("b"), F.col("n").alias("nb")))
-        new = saved(verify.links(pairs), f"links-{turn}")
-        links = new if links is None else links.unionByName(new)
-        comp = connected_components(links)
-        # members of unsettled buckets; the centre has met everyone and leaves
-        rest = (open_rows.join(centres.select("band", F.col("c.rep").alias("centre")), "band")
-                .where("rep != centre").select("band", "rep", "n")
-                .join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-                .select("band", "rep", "n", F.coalesce("component", "rep").alias("comp")))
-        rest = saved(rest, f"rest-{turn}")
-        groups = rest.groupBy("band", "comp").agg(F.count("*").alias("k"))
-        unsettled = saved(groups.groupBy("band").agg(F.count("*").alias("comps"), F.sum("k").alias("k"),
-                                                     F.sum(F.col("k") * F.col("k")).alias("k2"))
-                          .where("comps > 1"), f"unsettled-{turn}")
-        left = unsettled.agg(F.sum((F.col("k") * F.col("k") - F.col("k2")) / 2).alias("pairs"),
-                             F.sum("k").alias("rows")).first()
-        if not left.rows:
-            return links
-        open_rows = saved(rest.join(unsettled.select("band"), "band"), f"open-{turn}")
-        if left.pairs <= 4 * left.rows:
-            a, b = (open_rows.select("band", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "comp")])
-                    for s in "ab")
-            few = (a.join(b, "band").where("rep_a < rep_b and comp_a != comp_b")
-                   .select(F.col("rep_a").alias("a"), F.col("n_a").alias("na"),
-                           F.col("rep_b").alias("b"), F.col("n_b").alias("nb")))
-            return links.unionByName(saved(verify.links(few), "links-last"))
-        open_rows, turn = open_rows.drop("comp"), turn + 1
+def _bucket_components(rows: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """(id, component) of the members (band, rep, n) that are linked inside buckets."""
+    centres = rows.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("c"))
+    rows = saved(rows.join(centres, "band").select(
+        "band", "rep", "n", F.col("c.rep").alias("centre"), F.col("c.n").alias("nc")), "members")
+    room = 100 * F.least("n", "nc") >= share * F.greatest("n", "nc")
+    met = saved(_compared(rows.where(room & (F.col("rep") != F.col("centre")))
+                          .select(F.col("centre").alias("a"), F.col("rep").alias("b")), sets), "compared")
+    comp = connected_components(met.where(100 * F.col("common") >= share * F.col("either"))
+                                .select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    known = comp.select(F.col("id").alias("rep"), F.col("component").alias("comp"))
+    rows = rows.join(known, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    home = known.select(F.col("rep").alias("centre"), F.col("comp").alias("home"))
+    rows = rows.join(home, "centre", "left").withColumn("home", F.coalesce("home", "centre"))
+    # unsettled buckets, and what the distances to the centre leave possible in them
+    near = met.select(F.col("a").alias("centre"), F.col("b").alias("rep"),
+                      (1 - F.col("common") / F.col("either")).alias("d"))
+    away = F.col("comp") != F.col("home")
+    rows = rows.join(near, ["centre", "rep"], "left").withColumn(
+        "low", F.when(F.col("rep") == F.col("centre"), 0.0)
+        .otherwise(F.coalesce("d", 1 - F.least("n", "nc") / F.greatest("n", "nc")))).withColumn(
+        "high", F.when(F.col("rep") == F.col("centre"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
+    rows = saved(rows, "placed")
+    reach = 1 - share / 100 + 1e-9
+    strays = rows.where(away).groupBy("band").agg(F.min("low").alias("closest"))
+    left = rows.join(strays, "band").where(away | (F.col("high") + reach >= F.col("closest")))
+    left = saved(left.select("band", "rep", "comp"), "left")
+    # bands often gather the same members: one bucket stands for all of these
+    groups = (left.groupBy("band").agg(F.count("*").alias("k"), F.countDistinct("comp").alias("comps"),
+                                       F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("one"),
+                                       F.sum(F.xxhash64("rep", F.lit(1)).cast("decimal(20,0)")).alias("two"))
+              .where("comps > 1").groupBy("k", "one", "two").agg(F.min("band").alias("band")))
+    sides = F.ceil(F.col("k") / SIDE).cast("long")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1))
+    tiles = (left.join(groups.select("band", sides.alias("sides")), "band")
+             .withColumn("side", F.pmod(F.xxhash64("rep"), "sides")).withColumn("other", other)
+             .select("band", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"),
+                     "side", "rep", "comp")
+             .join(sets.select(F.col("id").alias("rep"), "shingles"), "rep"))
+    more = saved(tiles.groupBy("band", "i", "j").applyInArrow(_tile_links(share), "src long, dst long"), "tile-links")
+    joined = connected_components(more)
+    top = joined.select(F.col("id").alias("component"), F.col("component").alias("top"))
+    both = (comp.join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+            .unionByName(joined.join(comp, "id", "left_anti")))
+    return both
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
