@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepwise.llm import textops as tx
 from stepwise.llm.components import connected_components
 from stepwise.llm.storage import saved
 
@@ -60,17 +61,29 @@ class Side:
         self.q, self.scale, self.rest = quantise(self.unit)
 
 
-def linked(a: Side, b: Side, rows: slice, cols: slice, threshold: float) -> np.ndarray:
-    """Mask of the pairs with cosine >= threshold in a part of the tile."""
-    near = integer_products(a.q[rows], b.q[cols]) * (a.scale[rows, None] * b.scale[None, cols])
-    ra, rb = a.rest[rows, None], b.rest[None, cols]
-    bound = ra + rb + 3.0 * ra * rb + SLACK
-    mask = near >= threshold
-    i, j = np.nonzero(np.abs(near - threshold) <= bound)
-    for k in range(0, len(i), 1 << 18):
-        x, y = i[k:k + (1 << 18)], j[k:k + (1 << 18)]
-        exact = np.einsum("ij,ij->i", a.unit[rows][x], b.unit[cols][y])
-        mask[x, y] = exact >= threshold
+def linked(a: Side, b: Side, rows: slice, cols: slice, threshold: float) -> np.ndarray | None:
+    """Mask of the pairs with cosine >= threshold in a part of the tile, None without any.
+
+    One comparison with the least product that any pair of the part would need
+    leaves few pairs; each of these is settled by its own bound, or in double
+    precision where the bound does not tell.
+    """
+    product = integer_products(a.q[rows], b.q[cols])
+    ra, rb, sa, sb = a.rest[rows], b.rest[cols], a.scale[rows], b.scale[cols]
+    widest = ra.max() + rb.max() + 3.0 * ra.max() * rb.max() + SLACK
+    least = max(0.0, threshold - widest) / (sa.max() * sb.max()) * (1 - SLACK)
+    possible = np.flatnonzero(product.reshape(-1) >= least)
+    if not len(possible):
+        return None
+    mask = np.zeros(product.shape, bool)
+    for k in range(0, len(possible), 1 << 18):
+        i, j = np.divmod(possible[k:k + (1 << 18)], product.shape[1])
+        near = product[i, j] * (sa[i] * sb[j])
+        bound = ra[i] + rb[j] + 3.0 * ra[i] * rb[j] + SLACK
+        hit = near - bound >= threshold
+        unsure = np.flatnonzero(~hit & (near + bound >= threshold))
+        hit[unsure] = np.einsum("ij,ij->i", a.unit[rows][i[unsure]], b.unit[cols][j[unsure]]) >= threshold
+        mask[i[hit], j[hit]] = True
     return mask
 
 
@@ -102,21 +115,23 @@ def tile_links(a: Side, b: Side, same: bool, threshold: float):
         for c in range(0, nb, COLS):
             rows, cols = slice(r, min(na, r + ROWS)), slice(c, min(nb, c + COLS))
             mask = linked(a, b, rows, cols, threshold)
-            if same:
+            if mask is not None and same:
                 mask &= np.arange(rows.start, rows.stop)[:, None] != np.arange(cols.start, cols.stop)[None]
-            if not mask.any():
+            if mask is None or not mask.any():
                 continue
             count_a[rows] += (mask * b.copies[None, cols]).sum(1)
             if not same:
                 count_b[cols] += (mask * a.copies[rows, None]).sum(0)
-            while True:     # join each row to one partner of another label, until there is none
+            while True:     # join each row and column to one partner of another label
                 other = mask & (label[rows][:, None] != label[shift + c:shift + cols.stop][None])
-                i = np.flatnonzero(other.any(1))
+                i, j = np.flatnonzero(other.any(1)), np.flatnonzero(other.any(0))
                 if not len(i):
                     break
-                u, v = r + i, shift + c + other[i].argmax(1)
-                forest.append(np.stack((u, v), 1))
-                label = _merge(label, u, v)
+                u = r + np.concatenate((i, other[:, j].argmax(0)))
+                v = shift + c + np.concatenate((other[i].argmax(1), j))
+                one = tx.first_of(label[u], label[v])       # one link for two labels
+                forest.append(np.stack((u[one], v[one]), 1))
+                label = _merge(label, u[one], v[one])
     return count_a, count_b, np.concatenate(forest) if forest else np.zeros((0, 2), np.int64)
 
 
