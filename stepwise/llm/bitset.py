@@ -15,49 +15,48 @@ from pyspark.sql import functions as F
 
 from stepwise.llm import textops as tx
 
-BITS = 27                   # 16 MB
+BITS = 27                   # default size: 16 MB
 _BUCKET = 32_768            # bits of one bitmap of the engine
 
 
-def _places(keys: np.ndarray) -> list[np.ndarray]:
+def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     h = tx.mix64(keys.astype(np.int64).view(tx.U64))
-    return [(h >> tx.U64(64 - BITS)).astype(np.int64), (h & tx.U64((1 << BITS) - 1)).astype(np.int64)]
+    return [(h >> tx.U64(64 - bits)).astype(np.int64), (h & tx.U64((1 << bits) - 1)).astype(np.int64)]
 
 
-def _place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = batch.column(0).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(keys)))], ["place"])
-
-
-def build(keys: DataFrame) -> np.ndarray:
+def build(keys: DataFrame, bits: int = BITS) -> np.ndarray:
     """Bits of all keys (one long column without nulls)."""
-    maps = (keys.mapInArrow(_place_batches, "place long")
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_places(key, bits)))], ["place"])
+
+    maps = (keys.mapInArrow(places, "place long")
             # the engine's buckets and positions count from 1
             .groupBy(F.bitmap_bucket_number(F.col("place") + 1).alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("place") + 1)).alias("bits")))
-    out = np.zeros((1 << BITS) // 8, np.uint8)
-    for bucket, bits in zip(*maps.toArrow().to_pydict().values()):
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for bucket, part in zip(*maps.toArrow().to_pydict().values()):
         at = (bucket - 1) * _BUCKET // 8
-        out[at:at + len(bits)] = np.frombuffer(bits, np.uint8)
+        out[at:at + len(part)] = np.frombuffer(part, np.uint8)
     return out
 
 
-def contains(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def contains(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
     ok = np.ones(len(keys), bool)
-    for p in _places(keys):
-        ok &= (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+    for p in _places(keys, (len(filled) * 8).bit_length() - 1):
+        ok &= (filled[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
     return ok
 
 
-def passing(rows: DataFrame, key_col: str, bits, wanted: bool) -> DataFrame:
-    """Rows whose key the filter (a broadcast of ``build``) lets through, or the others.
+def lets_through(filled: np.ndarray, keys: pa.Array) -> np.ndarray:
+    """``contains`` of a nullable column; a null is never let through."""
+    return contains(filled, keys.fill_null(0).to_numpy()) & ~np.asarray(keys.is_null())
+
 
-    A null key is never let through.
-    """
+def passing(rows: DataFrame, key_col: str, filled, wanted: bool) -> DataFrame:
+    """Rows whose key the filter (a broadcast of ``build``) lets through, or the others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(key_col)
-            keep = contains(bits.value, keys.fill_null(0).to_numpy()) & ~np.asarray(keys.is_null())
-            yield batch.filter(pa.array(keep == wanted))
+            yield batch.filter(pa.array(lets_through(filled.value, batch.column(key_col)) == wanted))
     return rows.mapInArrow(run, rows.schema)

@@ -39,10 +39,11 @@ LENGTH = 100                # bytes of a repeat
 GRAM = 32                   # bytes of an anchor gram
 WINDOWS = LENGTH - GRAM + 1
 WIDTH = LENGTH + WINDOWS - 1        # longest span
+DOC_BITS = 25               # of the filters over documents: 4 MB
 CROWD = 4096                # spans of one gram that are sorted in one task
-CHUNK_BYTES = 1 << 20       # text of one suffix array
-SLICE_BYTES = 4 << 20       # positions in a slice must fit in 24 bits
-_POSITION = U64((1 << 24) - 1)
+CHUNK_BYTES = 1 << 19       # text of one suffix array
+SLICE_BYTES = 1 << 20       # also the piece of a long text that is hashed at once
+_POSITION = U64((1 << 24) - 1)      # a piece's places fit in 24 bits
 _END = 0xFF                 # no byte of UTF-8 text
 _CODE_2 = tx.mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
@@ -65,7 +66,7 @@ def spans(buf: np.ndarray, off: np.ndarray):
     overlap by one string, so that long documents need no more memory.
     """
     parts = []
-    step = (1 << 24) - 2 * WIDTH
+    step = SLICE_BYTES
     for a in range(0, max(len(buf), 1), step):
         parts.append(_spans_of_piece(buf, off, a, min(len(buf), a + step + LENGTH - 1)))
     return [np.concatenate(x) for x in zip(*parts)]
@@ -120,9 +121,9 @@ def suffix_array(buf: np.ndarray, off: np.ndarray):
     left = np.where(at > off[text], buf[np.maximum(at - 1, 0)].astype(np.int64), -1 - text)
     width = int(size.max())
     rest = off[text + 1] - at
-    cols = np.arange(width)
-    rows = np.where(cols < rest[:, None], buf[np.minimum(at[:, None] + cols, len(buf) - 1)], np.uint8(_END))
-    rows = np.ascontiguousarray(rows)
+    padded = np.concatenate((buf, np.full(width, _END, np.uint8)))
+    rows = np.lib.stride_tricks.sliding_window_view(padded, width)[at]      # a copy of the suffixes
+    rows[np.arange(width) >= rest[:, None]] = _END
     order = np.argsort(rows.view(f"S{width}").reshape(-1), kind="stable")
     rows, text, at, left, rest = rows[order], text[order], at[order], left[order], rest[order]
     differ = rows[1:] != rows[:-1]
@@ -317,7 +318,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
                  (F.col("kinds") > CROWD).alias("crowded")).alias("one"))
              .groupBy("doc").agg(F.collect_list("one").alias("asked")))     # bounded by the text's length
     asked = saved(asked, "asked")
-    near = bitset.passing(docs, "doc", share(bitset.build(asked.select("doc"))), True)
+    near = bitset.passing(docs, "doc", share(bitset.build(asked.select("doc"), DOC_BITS)), True)
     cut = saved(near.join(asked.hint("shuffle_hash"), "doc").select("doc", "text", "asked")
                 .mapInArrow(_cut_batches, "gram long, crowded boolean, doc long, start long, piece binary"), "cut")
     parts = (cut.where("not crowded").repartition("gram").sortWithinPartitions("gram")
@@ -337,16 +338,31 @@ def find_repeats(docs: DataFrame) -> DataFrame:
 _RUNS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def _with_runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs plus _doc and _runs; only texts that may lose something are shuffled."""
+def _cut_out(docs: DataFrame, id_col: str, text_col: str, cut, schema: T.StructType) -> DataFrame:
+    """``cut`` (record batch with __runs to record batch) over all documents.
+
+    Only texts that may lose something are shuffled; the others are cut with
+    no runs where they are read.
+    """
     base = docs.withColumn("__doc", F.col(id_col).cast("long"))
     repeats = find_repeats(base.select(F.col("__doc").alias("doc"), F.col(text_col).alias("text")))
-    bits = docs.sparkSession.sparkContext.broadcast(bitset.build(repeats.select("doc")))
+    bits = docs.sparkSession.sparkContext.broadcast(bitset.build(repeats.select("doc"), DOC_BITS))
     touched = (bitset.passing(base, "__doc", bits, True)
                .join(repeats.select(F.col("doc").alias("__doc"), F.col("runs").alias("__runs"))
                      .hint("shuffle_hash"), "__doc", "left")
                .select(*base.columns, "__runs"))
-    return touched.unionByName(bitset.passing(base, "__doc", bits, False).withColumn("__runs", F.lit(None).cast(_RUNS)))
+
+    def run(rest: bool):
+        def batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if rest:
+                    batch = batch.filter(pa.array(~bitset.lets_through(bits.value, batch.column("__doc"))))
+                for part in tx.slices(batch, text_col, SLICE_BYTES):
+                    yield cut(part)
+        return batches
+
+    others = base.withColumn("__runs", F.lit(None).cast(_RUNS))
+    return touched.mapInArrow(run(False), schema).unionByName(others.mapInArrow(run(True), schema))
 
 
 def _kept_bytes(buf: np.ndarray, off: np.ndarray, runs: pa.Array) -> tuple[np.ndarray, pa.Array, list[bytes]]:
@@ -380,20 +396,17 @@ def repeat_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     kind = docs.schema[id_col].dataType
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tx.slices(batch, "text", SLICE_BYTES):
-                buf, off = tx.flat(part.column("text"))
-                _, merged, kept = _kept_bytes(buf, off, part.column("__runs"))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(np.diff(off)), merged, pa.array(kept, pa.binary())],
-                    ["id", "n_bytes", "spans", "kept"])
+    def cut(part: pa.RecordBatch) -> pa.RecordBatch:
+        buf, off = tx.flat(part.column("text"))
+        _, merged, kept = _kept_bytes(buf, off, part.column("__runs"))
+        return pa.RecordBatch.from_arrays(
+            [part.column("id"), pa.array(np.diff(off)), merged, pa.array(kept, pa.binary())],
+            ["id", "n_bytes", "spans", "kept"])
 
-    return (_with_runs(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
-            .mapInArrow(run, T.StructType([
-                T.StructField("id", kind), T.StructField("n_bytes", T.LongType()),
-                T.StructField("spans", _RUNS), T.StructField("kept", T.BinaryType())]))
-            .withColumnRenamed("id", id_col))
+    return _cut_out(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", cut,
+                    T.StructType([T.StructField("id", kind), T.StructField("n_bytes", T.LongType()),
+                                  T.StructField("spans", _RUNS), T.StructField("kept", T.BinaryType())])
+                    ).withColumnRenamed("id", id_col)
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -406,16 +419,13 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     names, schema = docs.columns, docs.schema
     schema[text_col].nullable = True
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tx.slices(batch, text_col, SLICE_BYTES):
-                buf, off = tx.flat(part.column(text_col))
-                gone, _, kept = _kept_bytes(buf, off, part.column("__runs"))
-                text = part.column(text_col)
-                if gone.any():
-                    text = pc.if_else(text.is_null(), pa.scalar(None, pa.string()),
-                                      pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()))
-                yield pa.RecordBatch.from_arrays(
-                    [text if c == text_col else part.column(c) for c in names], names)
+    def cut(part: pa.RecordBatch) -> pa.RecordBatch:
+        buf, off = tx.flat(part.column(text_col))
+        gone, _, kept = _kept_bytes(buf, off, part.column("__runs"))
+        text = part.column(text_col)
+        if gone.any():
+            text = pc.if_else(text.is_null(), pa.scalar(None, pa.string()),
+                              pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()))
+        return pa.RecordBatch.from_arrays([text if c == text_col else part.column(c) for c in names], names)
 
-    return _with_runs(docs, id_col, text_col).mapInArrow(run, schema)
+    return _cut_out(docs, id_col, text_col, cut, schema)

@@ -294,7 +294,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     drop = saved(judged.where("not kept").select(F.col(id_col).cast("long").alias("__drop")).distinct(), "dropped")
     often = (docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__drop"))
              .count().where("count > 1").select("__drop"))
-    bits = spark.sparkContext.broadcast(bitset.build(drop.unionByName(often)))
+    bits = spark.sparkContext.broadcast(bitset.build(drop.unionByName(often), 25))
     marked = docs.withColumn("__doc", F.col(id_col).cast("long"))
     suspect = (bitset.passing(marked, "__doc", bits, True)
                .join(drop.hint("shuffle_hash"), F.col("__doc") == F.col("__drop"), "left_anti")
