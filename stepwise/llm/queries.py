@@ -102,7 +102,41 @@ QUERIES = {
     "op10_ngram_ratio": op10_ngram_ratio,
 }
 
+# Smallest id reachable over the links x - y of a table l, for ids of a table n.
+_REACH = """
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach AS (SELECT id, id AS r FROM n UNION SELECT reach.id, e.y FROM reach JOIN e ON e.x = reach.r),
+comp AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)"""
+
 ORACLE = {
+    "op4_super_minhash": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, least(len(ws), 5) AS size, array_to_string(ws[i:i + 4], ' ') AS sh
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM w WHERE len(ws) > 0) t),
+n AS MATERIALIZED (
+  SELECT w.doc_id AS id, coalesce(k, 0) AS n_shingles
+  FROM w LEFT JOIN (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id) c ON c.doc_id = w.doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+      FROM s a JOIN s b ON a.sh = b.sh AND a.size = b.size AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM c JOIN n a ON a.id = x JOIN n b ON b.id = y
+                   WHERE 100 * k >= 85 * (a.n_shingles + b.n_shingles - k)),""" + _REACH + """
+SELECT n.id AS doc_id, n_shingles, component_id, n.id = component_id AS kept FROM n JOIN comp USING (id)""",
+    "op9_int8_tiles": """
+WITH RECURSIVE n AS (SELECT vec_id AS id FROM embeddings),
+v AS MATERIALIZED (
+  SELECT vec_id, d FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS d FROM embeddings
+                         WHERE len(embedding) = list_count(embedding)) t
+  WHERE list_dot_product(d, d) > 0 AND isfinite(list_dot_product(d, d))),
+l AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id < b.vec_id
+  WHERE CASE WHEN len(a.d) = len(b.d) THEN list_cosine_similarity(a.d, b.d) >= 0.9 ELSE false END),""" + _REACH + """,
+k AS (SELECT x AS id, count(*) AS n_links FROM e GROUP BY x)
+SELECT comp.id AS vec_id, coalesce(n_links, 0) AS n_links, component_id, comp.id = component_id AS kept
+FROM comp LEFT JOIN k USING (id)""",
     "op5_url_filter": r"""
 WITH p AS (
   SELECT page_id,

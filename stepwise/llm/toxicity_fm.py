@@ -19,13 +19,15 @@ from stepwise.llm import labelled
 from stepwise.llm import textops as tx
 from stepwise.llm.storage import saved
 
-BITS = 18                   # hashed term space
+BITS = 20                   # hashed term space
 PREFIXES = (4, 5, 6)        # bytes of the word beginnings that are terms too
 FACTORS = 4
-MIN_DOCS = 8                # sample documents a term must occur in
+MIN_DOCS = 5                # sample documents a term must occur in
 MAX_SHARE = 0.2             # share of the sample beyond which a term says nothing
+USUAL_SHARE = 0.05          # share from which a term is kept whatever its label counts
+RARE_CHI2 = 10.0            # a rarer term must go with a label: its 2 x 2 statistic
 MAX_TRAIN_DOCS = 20_000     # labelled documents used for fitting
-EPOCHS = 12
+EPOCHS = 30
 SLICE_BYTES = 4 << 20
 
 # Terms are runs of letters, digits and bytes of non-ASCII characters.
@@ -36,17 +38,17 @@ _TERM[48:58] = _TERM[65:91] = _TERM[97:123] = _TERM[128:] = True
 @dataclass
 class Model:
     bias: float
-    linear: np.ndarray          # 2**BITS, 0 for terms that were not learned
-    pairs: np.ndarray           # 2**BITS x FACTORS
-    known: np.ndarray           # learned terms
+    slot: np.ndarray            # 2**BITS: row of a learned term, else -1
+    linear: np.ndarray          # one weight per learned term
+    pairs: np.ndarray           # learned terms x FACTORS
     scale: tuple[float, float] = (1.0, 0.0)     # slope and shift before the sigmoid
 
 
-def terms(buf: np.ndarray, off: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def terms(buf: np.ndarray, off: np.ndarray, slot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(document, hashed term) once per different term, sorted.
 
     The terms of a word are the word and, for longer words, its first bytes,
-    so that forms of one stem share a term.  ``known`` keeps listed terms only.
+    so that forms of one stem share a term.  ``slot`` keeps learned terms only.
     """
     starts, ends = tx.segments(_TERM[buf], off)
     doc = tx.owners(off, starts) << BITS
@@ -55,56 +57,55 @@ def terms(buf: np.ndarray, off: np.ndarray, known: np.ndarray | None = None) ->
         long = ends - starts > n if n else slice(None)
         h = tx.span_hash(buf, starts[long], starts[long] + n if n else ends, tx.LOWER_CODE)
         h = (tx.mix64(h + tx.U64(n)) >> tx.U64(64 - BITS)).astype(np.int64)
-        parts.append((doc[long] | h) if known is None else (doc[long] | h)[known[h]])
+        parts.append((doc[long] | h) if slot is None else (doc[long] | h)[slot[h] >= 0])
     both = np.sort(np.concatenate(parts))
     both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
 def margins(model: Model, doc: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-    """Bias, linear part and pair part of every document's different terms."""
-    z = model.bias + np.bincount(doc, model.linear[term], n)
+    """Bias, linear part and pair part of every document's different learned terms."""
+    row = model.slot[term]
+    z = model.bias + np.bincount(doc, model.linear[row], n)
     for f in range(model.pairs.shape[1]):
-        v = model.pairs[term, f]
+        v = model.pairs[row, f]
         z += 0.5 * (np.bincount(doc, v, n) ** 2 - np.bincount(doc, v * v, n))
     return z
 
 
 def scores(model: Model, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Probability of toxicity of every document of a batch."""
-    doc, term = terms(buf, off, model.known)
+    doc, term = terms(buf, off, model.slot)
     z = model.scale[0] * margins(model, doc, term, len(off) - 1) + model.scale[1]
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
 def fit_arrays(doc: np.ndarray, term: np.ndarray, label: np.ndarray, seed: int = 7,
-               rate: float = 0.3, pair_rate: float = 0.01, decay: float = 1e-2,
+               rate: float = 0.3, pair_rate: float = 0.01, decay: float = 3e-3,
                pair_decay: float = 1e-2) -> Model:
     """Adagrad on logistic loss over mini-batches of documents.
 
-    Terms of fewer than MIN_DOCS documents, or of more than MAX_SHARE of
-    them, get no weight.  Without both
-    labels the model is the constant of the label share.
+    Terms of fewer than MIN_DOCS documents or of more than MAX_SHARE of them
+    get no weight, and neither do rare terms that go with neither label.
+    Every fifth document is kept to set slope and shift of the sigmoid.
+    Without both labels the model is the constant of the label share.
     """
     n, size = len(label), 1 << BITS
     share = (label.sum() + 0.5) / (n + 1.0)
-    model = Model(float(np.log(share / (1 - share))), np.zeros(size), np.zeros((size, FACTORS)),
-                  np.zeros(size, bool))
+    model = Model(float(np.log(share / (1 - share))), np.full(size, -1, np.int32), np.zeros(0),
+                  np.zeros((0, FACTORS)))
     if n == 0 or label.min() == label.max():
         return model
-    found = np.bincount(term, minlength=size)
-    common = (found >= MIN_DOCS) & (found <= MAX_SHARE * n)
-    keep = common[term]
-    doc, term = doc[keep], term[keep]
-    rng = np.random.default_rng(seed)
-    weight = min(4.0, max(1.0, (n - label.sum()) / label.sum()))       # toxic texts are rare
-    fitted = np.flatnonzero(np.arange(n) % 5)      # every fifth document sets slope and shift
-    ids = np.flatnonzero(common)
+    learn = np.arange(n) % 5 > 0
+    ids = _useful(doc, term, label, learn)
     if not len(ids):
         return model
-    local = np.zeros(size, np.int64)
-    local[ids] = np.arange(len(ids))
-    term = local[term]
+    model.slot[ids] = np.arange(len(ids))
+    keep = model.slot[term] >= 0
+    doc, term = doc[keep], model.slot[term[keep]]
+    rng = np.random.default_rng(seed)
+    weight = min(4.0, max(1.0, (n - label.sum()) / label.sum()))       # toxic texts are rare
+    fitted = np.flatnonzero(learn)
     w, v = np.zeros(len(ids)), rng.normal(0, 0.01, (len(ids), FACTORS))
     b, gb, gw, gv = model.bias, 1.0, np.full(len(ids), 1e-3), np.full((len(ids), FACTORS), 1e-1)
     first = np.searchsorted(doc, np.arange(n + 1))
@@ -131,11 +132,8 @@ def fit_arrays(doc: np.ndarray, term: np.ndarray, label: np.ndarray, seed: int =
             db = g.sum()
             gb += db ** 2
             b -= rate * db / np.sqrt(gb)
-    model.bias = float(b)
-    model.linear[ids] = w
-    model.pairs[ids] = v
-    model.known[ids] = True
-    rest = np.flatnonzero(np.arange(n) % 5 == 0)
+    model.bias, model.linear, model.pairs = float(b), w, v
+    rest = np.flatnonzero(~learn)
     length = first[rest + 1] - first[rest]
     z = margins(model, np.repeat(np.arange(len(rest)), length),
                 ids[term[tx.spread(first[rest], length)]], len(rest))
@@ -144,6 +142,19 @@ def fit_arrays(doc: np.ndarray, term: np.ndarray, label: np.ndarray, seed: int =
     return model
 
 
+def _useful(doc: np.ndarray, term: np.ndarray, label: np.ndarray, learn: np.ndarray) -> np.ndarray:
+    """Terms that get a weight, counted over the documents that are learned from."""
+    size, n, yes = 1 << BITS, learn.sum(), label[learn].sum()
+    at = learn[doc]
+    found = np.bincount(term[at], minlength=size).astype(float)
+    toxic = np.bincount(term[at], label[doc[at]], size)
+    expected = found * yes / n
+    spread = expected * (1 - yes / n) * (1 - found / n)
+    chi2 = np.divide((toxic - expected) ** 2, spread, out=np.zeros(size), where=spread > 0)
+    usual = found >= USUAL_SHARE * n
+    return np.flatnonzero((found >= MIN_DOCS) & (found <= MAX_SHARE * n) & (usual | (chi2 >= RARE_CHI2)))
+
+
 def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in tx.slices(batch, "text", SLICE_BYTES):
