@@ -284,7 +284,8 @@ def q_cc_delta_iter(spark, sf):
 
 @query("cc_staged", sql.components(CC_STEPS))
 def q_cc_staged(spark, sf):
-    return _done(cc.components_staged(tb.cc_edges(spark, sf), _scratch(spark, "cc"), CC_STEPS)).df
+    with _folder(spark, "cc") as path:
+        return _done(cc.components_staged(tb.cc_edges(spark, sf), path, CC_STEPS)).df.checkpoint()
 
 
 def _scale_links(edges: DataFrame, split_rows: int | None = None) -> g.Links:
@@ -394,8 +395,8 @@ def q_pagerank_delta(spark, sf):
 
 @query("pagerank_staged", sql.pagerank_delta(sql.PR_LINKS, PR_STEPS))
 def q_pagerank_staged(spark, sf):
-    res = prp.pagerank_staged(tb.pr_links(spark, sf), _scratch(spark, "pagerank"), max_iter=PR_STEPS)
-    return _rounded_ranks(res.df)
+    with _folder(spark, "pagerank") as path:
+        return _rounded_ranks(prp.pagerank_staged(tb.pr_links(spark, sf), path, max_iter=PR_STEPS).df).checkpoint()
 
 
 def _delta_counts(res) -> list[tuple[int, int]]:
@@ -472,9 +473,9 @@ def q_iteration_partition_stats(spark, sf):
 
 @query("pagerank_adaptive", sql.pagerank_delta(sql.PR_LINKS, PR_STEPS))
 def q_pagerank_adaptive(spark, sf):
-    res = prp.pagerank_staged(tb.pr_links(spark, sf), _scratch(spark, "pagerank-adaptive"),
-                              max_iter=PR_STEPS, adaptive_rows=250)
-    return _rounded_ranks(res.df)
+    with _folder(spark, "pagerank-adaptive") as path:
+        res = prp.pagerank_staged(tb.pr_links(spark, sf), path, max_iter=PR_STEPS, adaptive_rows=250)
+        return _rounded_ranks(res.df).checkpoint()
 
 
 @query("duplicate_value",
@@ -542,14 +543,16 @@ def q_kmeans_many_centers(spark, sf):
 @query("kmeans_adaptive", sql.km_assignment(KM_START, KM_STEPS))
 def q_kmeans_adaptive(spark, sf):
     pts = _km_points(spark, sf)
-    res = kmp.kmeans_staged(pts, _start_centers(spark), _scratch(spark, "kmeans"), KM_STEPS, adaptive_rows=20_000)
+    with _folder(spark, "kmeans") as path:
+        res = kmp.kmeans_staged(pts, _start_centers(spark), path, KM_STEPS, adaptive_rows=20_000)
     return kmp.final_assignment(res.extra["points"], res).select("x", "y", "cluster")
 
 
 @query("kmeans_staged", sql.km_assignment(KM_START, KM_STEPS))
 def q_kmeans_staged(spark, sf):
     pts = _km_points(spark, sf)
-    res = kmp.kmeans_staged(pts, _start_centers(spark), _scratch(spark, "kmeans"), KM_STEPS)
+    with _folder(spark, "kmeans") as path:
+        res = kmp.kmeans_staged(pts, _start_centers(spark), path, KM_STEPS)
     return kmp.final_assignment(res.extra["points"], res).select("x", "y", "cluster")
 
 
@@ -588,8 +591,8 @@ def q_linreg_bulk(spark, sf):
 
 @query("linreg_staged", sql.linreg(LR_START, LR_STEPS))
 def q_linreg_staged(spark, sf):
-    res = lrp.linreg_staged(tb.samples(spark, sf), LR_START, _scratch(spark, "linreg"), LR_STEPS)
-    return _rounded_params(res.df)
+    with _folder(spark, "linreg") as path:
+        return _rounded_params(lrp.linreg_staged(tb.samples(spark, sf), LR_START, path, LR_STEPS).df)
 
 
 # --- generators (G1-G7) -----------------------------------------------------------------------

@@ -72,8 +72,9 @@ class ParquetStore:
 class DriverStore:
     """State of a few rows (centers, parameters) kept on the driver.
 
-    ``rows`` holds the last state, so the next step can fold it into its plan;
-    more than ``limit`` rows are an error.  ``then`` writes it somewhere first.
+    For steps that give no more rows than the state they start from, whose
+    size the caller has checked; more than ``limit`` rows are an error all the
+    same.  ``then`` writes the state somewhere first and reads it back.
     """
 
     keeps_layout = False
@@ -84,7 +85,7 @@ class DriverStore:
     def save(self, df: DataFrame, name: str, iteration: int) -> DataFrame:
         if self.then:
             df = self.then.save(df.coalesce(1), name, iteration)
-        rows = df.collect() if self.then else df.limit(self.limit + 1).collect()
+        rows = df.collect()
         if len(rows) > self.limit:
             raise ValueError(f"{name}: more than {self.limit} rows for the driver")
         return df.sparkSession.createDataFrame(rows, df.schema)

@@ -8,12 +8,8 @@ from pyspark.sql import types as T
 from stepwise.sources.delimited import CENTER_SCHEMA, PARAMS_SCHEMA
 
 STATE_SCHEMAS = {
-    "components": T.StructType([T.StructField("v", T.LongType()),
-                                T.StructField("comp", T.LongType())]),
     "ranks": T.StructType([T.StructField("id", T.LongType()),
                            T.StructField("rank", T.DoubleType())]),
-    "deltas": T.StructType([T.StructField("id", T.LongType()),
-                            T.StructField("delta", T.DoubleType())]),
     "centers": CENTER_SCHEMA,
     "params": PARAMS_SCHEMA,
 }
