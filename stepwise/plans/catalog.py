@@ -633,8 +633,7 @@ def q_gen_points_skewed(spark, sf):
        sql.gen_points(sql.ROW_IDS, "SELECT range AS id FROM range((SELECT count(*) FROM part))", "1 + id % 7"))
 def q_gen_points_many_means(spark, sf):
     k = tb.table(spark, sf, "part").count()
-    return _rounded_xy(gen.points_for(tb.row_ids(spark, sf), _gen_means(spark, min(k, gen.MAX_MEANS)),
-                                      [1 + i % 7 for i in range(k)]))
+    return _rounded_xy(gen.points_for(tb.row_ids(spark, sf), _gen_means(spark, k), [1 + i % 7 for i in range(k)]))
 
 
 @query("gen_samples_seeded", sql.gen_samples(sql.ROW_IDS, "42/samples"))
@@ -706,7 +705,8 @@ def q_parallelism_proposal(spark, sf):
 
 
 SUMMARY_SQL = (
-    f"WITH {CPU_AVG_CTE}, rt AS (SELECT job, iteration, CAST((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS BIGINT) AS runtime_ms "
+    f"WITH {CPU_AVG_CTE}, rt AS (SELECT job, iteration, "
+    "CAST((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000 AS BIGINT) AS runtime_ms "
     f"FROM ({sql.CPU}) c GROUP BY job, iteration), "
     "ov AS (SELECT job, avg(utilization) AS job_utilization FROM ca GROUP BY job) "
     "SELECT ca.job, ca.iteration, ca.workers, round(ca.utilization, 6) AS utilization, rt.runtime_ms, "

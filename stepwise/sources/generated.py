@@ -10,7 +10,8 @@ long ``id`` column.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwise.functions.columns import gaussian, uniform
@@ -20,7 +21,7 @@ DEFAULT_RANGE = 100.0        # centers lie in [-range/2, range/2)
 RELATIVE_STDDEV = 0.08       # point stddev = 0.08 * range
 SLOPE = 2.0                  # regression data: y = 2x + 0.01 * noise
 NOISE = 0.01
-MAX_MEANS = 10_000           # bound on means folded into the plan as one array
+MAX_MEANS = 100_000          # bound on means, whose table is broadcast
 
 
 def seeded(salt: str, seed: int) -> str:
@@ -61,21 +62,25 @@ def mean_weights(k: int, skew: list[int] | None) -> list[float]:
     return [x / total for x in w]
 
 
-def _choose(u: Column, probs: list[float]) -> Column:
-    """Index of the first mean whose cumulative probability exceeds ``u``.
+def _mean_cells(means: list[tuple[int, float, float]], probs: list[float]) -> tuple[pa.Table, int]:
+    """Rows (cell, lo, hi, mx, my): the means by the equal slices of [0, 1) that
+    their share of it touches, and the number of slices.
 
-    A guide over equal slices of [0, 1) gives the bounds that lie in the slice
-    of ``u``, so a row compares a few bounds however many means there are.
-    The number of slices is a power of two, so no slice edge is rounded.
+    A number u belongs to the mean with lo <= u < hi.  There are at most
+    slices + means rows, however the weights are spread; the number of slices
+    is a power of two, so no slice edge is rounded.
     """
-    bounds = np.cumsum(np.asarray(probs, np.float64))
-    k = len(bounds)
-    slices = 1 << (2 * k - 1).bit_length()
-    guide = np.searchsorted(bounds, np.arange(slices + 1) / slices, "right").astype(np.int32)
-    cell = F.floor(u * F.lit(slices)).cast("int")
-    lo, hi = F.element_at(F.lit(guide), cell + 1), F.element_at(F.lit(guide), cell + 2)
-    passed = F.size(F.filter(F.slice(F.lit(bounds), lo + 1, hi - lo), lambda c: c <= u))
-    return F.least(lo + passed, F.lit(k - 1))
+    hi = np.cumsum(np.asarray(probs, np.float64))
+    lo = np.concatenate(([0.0], hi[:-1]))
+    hi[-1] = np.inf
+    slices = 1 << (2 * len(hi) - 1).bit_length()
+    first = np.floor(lo * slices).astype(np.int64)
+    last = np.minimum(np.ceil(hi * slices) - 1, slices - 1).astype(np.int64)
+    count = np.where(hi > lo, np.maximum(last - first + 1, 0), 0)       # a mean without weight has none
+    of = np.repeat(np.arange(len(hi)), count)
+    cell = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + first[of]
+    x, y = (np.array([m[j] for m in means], np.float64) for j in (1, 2))
+    return pa.table({"cell": cell, "lo": lo[of], "hi": hi[of], "mx": x[of], "my": y[of]}), slices
 
 
 def points_for(id_df: DataFrame, means: list[tuple[int, float, float]],
@@ -86,12 +91,14 @@ def points_for(id_df: DataFrame, means: list[tuple[int, float, float]],
         raise ValueError("between 1 and %d means are required" % MAX_MEANS)
     sd, salt = stddev * value_range, seeded(salt, seed)
     probs = mean_weights(len(means), skew)
-    which = _choose(uniform("id", salt + "c"), probs)
-    mx, my = (F.element_at(F.lit(np.array([m[j] for m in means], np.float64)), which + 1) for j in (1, 2))
-    return id_df.select(
-        "id",
-        (gaussian("id", salt + "x") * F.lit(sd) + mx).alias("x"),
-        (gaussian("id", salt + "y") * F.lit(sd) + my).alias("y"))
+    cells, slices = _mean_cells(means, probs)
+    # bounded by MAX_MEANS, so it is broadcast
+    table = F.broadcast(id_df.sparkSession.createDataFrame(cells))
+    drawn = id_df.select("id", uniform("id", salt + "c").alias("u"))
+    return (drawn.withColumn("cell", F.floor(F.col("u") * F.lit(slices))).join(table, "cell")
+            .where("u >= lo and u < hi")
+            .select("id", (gaussian("id", salt + "x") * F.lit(sd) + F.col("mx")).alias("x"),
+                    (gaussian("id", salt + "y") * F.lit(sd) + F.col("my")).alias("y")))
 
 
 def kmeans_points(spark: SparkSession, n: int, k: int, skew: list[int] | None = None,

@@ -79,7 +79,7 @@ def test_median_without_buffer(spark):
 
 
 def test_choice_of_many_means(spark):
-    k = 10_000
+    k = gen.MAX_MEANS
     pts = gen.points_for(gen.ids(spark, 3000, 4), [(i, float(i), 0.0) for i in range(k)],
                          [1 + i % 7 for i in range(k)], stddev=0.0)
     u = {r.id: r.u for r in gen.uniform_for(gen.ids(spark, 3000, 4), "pointsc").collect()}
