@@ -38,7 +38,6 @@ from stepwise.llm.textops import U64
 LENGTH = 100                # bytes of a repeat
 GRAM = 32                   # bytes of an anchor gram
 WINDOWS = LENGTH - GRAM + 1
-WIDTH = LENGTH + WINDOWS - 1        # longest span
 DOC_BITS = 25               # of the filters over documents: 4 MB
 CROWD = 4096                # spans of one gram that are sorted in one task
 CHUNK_BYTES = 1 << 19       # text of one suffix array
