@@ -31,6 +31,11 @@ def collect_centers(centers: DataFrame) -> list[tuple[int, float, float]]:
     rows = centers.select("id", "x", "y").take(MAX_CENTERS + 1)
     if len(rows) > MAX_CENTERS:
         raise ValueError(f"more than {MAX_CENTERS} centers")
+    return center_rows(rows)
+
+
+def center_rows(rows) -> list[tuple[int, float, float]]:
+    """Center rows as tuples, sorted by id."""
     return sorted((int(r["id"]), float(r["x"]), float(r["y"])) for r in rows)
 
 

@@ -74,13 +74,14 @@ class DriverStore:
 
     For steps that give no more rows than the state they start from, whose
     size the caller has checked; more than ``limit`` rows are an error all the
-    same.  ``then`` writes the state somewhere first and reads it back.
+    same.  ``last`` holds the rows for the next step's plan.  ``then`` writes
+    the state somewhere first and reads it back.
     """
 
     keeps_layout = False
 
     def __init__(self, limit: int, then: StateStore | None = None):
-        self.limit, self.then = limit, then
+        self.limit, self.then, self.last = limit, then, None
 
     def save(self, df: DataFrame, name: str, iteration: int) -> DataFrame:
         if self.then:
@@ -88,6 +89,7 @@ class DriverStore:
         rows = df.collect()
         if len(rows) > self.limit:
             raise ValueError(f"{name}: more than {self.limit} rows for the driver")
+        self.last = rows
         return df.sparkSession.createDataFrame(rows, df.schema)
 
 

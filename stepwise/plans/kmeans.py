@@ -47,11 +47,13 @@ def _run(points: DataFrame, centers: DataFrame, iterations: int, then: StateStor
             n = partitions(i, n_points) if both else partitions(i)
             # fewer tasks: merge cached partitions without a shuffle; never reshuffle points
             part = pts.coalesce(n) if n and n < base else pts
-        return km.kmeans_step(part, km.collect_centers(state))
+        return km.kmeans_step(part, current(state))
 
-    res = bulk_iterate(centers.select("id", "x", "y"), step, iterations,
-                       store=DriverStore(km.MAX_CENTERS, then), name="centers")
-    res.extra["centers"] = km.collect_centers(res.df)
+    store = DriverStore(km.MAX_CENTERS, then)
+    current = lambda state: (km.collect_centers(state) if store.last is None
+                             else km.center_rows(store.last))
+    res = bulk_iterate(centers.select("id", "x", "y"), step, iterations, store=store, name="centers")
+    res.extra["centers"] = current(res.df)
     res.extra["points"] = pts
     res.extra["release"] = pts.unpersist if cached else (lambda: None)
     return res

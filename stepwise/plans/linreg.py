@@ -18,16 +18,17 @@ def _run(samples: DataFrame, start: tuple[float, float], iterations: int, rate:
     s, cached = spread(samples if samples.is_cached else samples.select("x", "y"), persist)
 
     def step(state: DataFrame, i: int) -> DataFrame:
-        now = state.first()                                        # one row
+        now = store.last[0] if store.last else state.first()       # one row
         return lr.regression_step(s, float(now["theta0"]), float(now["theta1"]), rate)
 
     first = samples.sparkSession.createDataFrame([tuple(map(float, start))], PARAMS_SCHEMA)
+    store = DriverStore(1, then)
     try:
-        res = bulk_iterate(first, step, iterations, store=DriverStore(1, then), name="params")
+        res = bulk_iterate(first, step, iterations, store=store, name="params")
     finally:
         if cached:
             s.unpersist()
-    res.extra["params"] = tuple(res.df.first())
+    res.extra["params"] = tuple(store.last[0] if store.last else res.df.first())
     return res
 
 
