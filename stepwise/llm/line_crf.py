@@ -26,7 +26,7 @@ BINS = 12                   # quantile bins of a feature
 MAX_TRAIN_DOCS = 8_000      # labelled documents used for fitting
 STEPS = 150                 # gradient steps
 RIDGE = 1e-3
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True

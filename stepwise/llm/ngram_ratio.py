@@ -23,7 +23,7 @@ BUCKET_BITS = 16
 SMOOTHING = 0.5             # pseudo count of every bucket
 THRESHOLD = -0.5            # mean log ratio below which a document is dropped
 MAX_TRUSTED = 20_000        # trusted documents behind the target multinomial
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True

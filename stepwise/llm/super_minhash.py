@@ -35,7 +35,7 @@ SHINGLE = 5                 # words
 BANDS, ROWS = 32, 6         # P(a pair with similarity 0.85 shares no band) < 3e-7
 SLOTS = BANDS * ROWS
 SHARE = 85                  # per cent of the union that linked sets have in common
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 SIDE = 512                  # members of a tile side
 COLUMNS = 4096              # shingles compared at once in a tile
 EAGER = 6                   # visits made without a permutation table

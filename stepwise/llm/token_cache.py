@@ -28,7 +28,7 @@ from stepwise.llm.textops import slices
 _CACHE = "version string, digest binary, n_tokens long"
 _BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 # Words remembered by a task; the memo starts again beyond that.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 400_000
 
 
 @functools.lru_cache(maxsize=8)
@@ -114,7 +114,7 @@ def _encode_batches(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(path)
         for batch in batches:
-            for part in slices(batch, "content", 8 << 20):
+            for part in slices(batch, "content", 2 << 20):
                 n = counter.count(part.column("content").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])

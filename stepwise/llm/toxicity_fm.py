@@ -28,7 +28,7 @@ USUAL_SHARE = 0.05          # share from which a term is kept whatever its label
 RARE_CHI2 = 10.0            # a rarer term must go with a label: its 2 x 2 statistic
 MAX_TRAIN_DOCS = 20_000     # labelled documents used for fitting
 EPOCHS = 30
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 # Terms are runs of letters, digits and bytes of non-ASCII characters.
 _TERM = np.zeros(256, bool)
