@@ -17,7 +17,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    Cuts the lineage; a lost executor rereads the files.
+    Cuts the lineage; a lost executor rereads the files.  The folder stays, as
+    results are read from it later; clear ``llm-*`` with the checkpoints.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
@@ -25,12 +26,6 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder that ``shared_path`` handed out."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
