@@ -375,17 +375,20 @@ def encode_documents(docs: DataFrame, model: str, *, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(model)
-        for batch in batches:
-            for part in tx.slices(batch, "text", SLICE_BYTES):
-                texts = [x or "" for x in part.column("text").to_pylist()]
-                ids, off = codec.encode(texts)
-                decoded = codec.decode(ids, off)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"),
-                     pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32())),
-                     pa.array(decoded, pa.string()),
-                     pa.array([a == b.replace(SPACE, " ") for a, b in zip(decoded, texts)])],
-                    ["id", "ids", "decoded", "exact"])
+        try:
+            for batch in batches:
+                for part in tx.slices(batch, "text", SLICE_BYTES):
+                    texts = [x or "" for x in part.column("text").to_pylist()]
+                    ids, off = codec.encode(texts)
+                    decoded = codec.decode(ids, off)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("id"),
+                         pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32())),
+                         pa.array(decoded, pa.string()),
+                         pa.array([a == b.replace(SPACE, " ") for a, b in zip(decoded, texts)])],
+                        ["id", "ids", "decoded", "exact"])
+        finally:
+            codec.memo.clear()      # the worker lives on with other stages
 
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
             .mapInArrow(run, f"id {kind}, ids array<int>, decoded string, exact boolean")
