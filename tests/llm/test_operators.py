@@ -239,6 +239,34 @@ def test_mix_places_every_document_once(spark):
         pfair_mix.mix_sources(df, {"a": 1.0}).collect()
 
 
+def test_mix_stays_within_a_block_of_the_true_weights(spark):
+    names = [f"s{i:02}" for i in range(20)]
+    rows = [(i, names[0] if i % 3 == 0 else names[i % 20]) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(4)
+    weights = pfair_mix.temperature_weights(df, queries.MIX_ALPHA)
+    mixed = pfair_mix.mix_sources(df, weights, block_docs=1).collect()
+    total = sum(map(Fraction, weights.values()))
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    left, served = dict.fromkeys(names, 0), dict.fromkeys(names, 0)
+    for _, s in rows:
+        left[s] += 1
+    order = sorted((r.mix_slot, r.source) for r in mixed)
+    assert len({slot for slot, _ in order}) == len(rows)
+    for slot, s in order:
+        served[s] += 1
+        if served[s] == left[s]:
+            break
+        assert all(abs(share[k] * (slot + 1) - served[k]) < 1 for k in names)
+    assert sum(served.values()) > 8_000
+    # the order is the same whatever the number of hash ranges
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        assert sorted(mixed) == sorted(pfair_mix.mix_sources(df, weights, block_docs=1).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 # -- repeats -------------------------------------------------------------------------
 
 def _repeating(n=60, seed=3):
