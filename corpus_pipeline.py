@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run``
 writes it as Parquet to the shared folder and rereads it for the next one.
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``; the last one
+gives every document its place in the mixture.
 """
 
 from __future__ import annotations
@@ -46,21 +47,34 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             .withColumn("n_chars", F.length("text").cast("long")))
 
 
+def _mixed(docs: DataFrame) -> DataFrame:
+    """``docs`` in mixture order (temperature weights of the sources), with their places."""
+    docs = _known(docs)
+    mixed = pfair_mix.mix_sources(docs, pfair_mix.temperature_weights(docs, MIX_ALPHA))
+    return pfair_mix.in_mix_order(mixed)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lays all documents out in mixture order (temperature weights of the sources).
+    """Lays all documents out in mixture order.
 
-    The order of files and rows is the mixture: any prefix holds each source
-    to within a block of its target share until a source has run out.
+    The columns of ``documents`` have no room for the place, and a reader may
+    take the files in another order; ``pieces`` finds the same places again.
     """
-    docs = _known(docs)
-    mixed = pfair_mix.mix_sources(docs, pfair_mix.temperature_weights(docs, MIX_ALPHA))
-    return pfair_mix.in_mix_order(mixed).select(*COLUMNS)
+    return _mixed(docs).select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, and whether decoding gives its text back."""
-    coded = piece_codec.encode_documents(_known(docs), tokenizer_path("piece_bpe_32k.model"))
-    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "exact")
+    """Piece ids of every document, whether decoding gives its text back, and its place.
+
+    By (mix_slot, mix_place) any prefix holds each source to within a block of
+    its target share until a source has run out.  Each file is sorted by them
+    and holds a range of its own.
+    """
+    key = F.struct("doc_id", "mix_slot", "mix_place")
+    coded = piece_codec.encode_documents(_mixed(docs).withColumn("doc_id", key),
+                                         tokenizer_path("piece_bpe_32k.model"))
+    return coded.select("doc_id.doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "exact",
+                        "doc_id.mix_slot", "doc_id.mix_place")
 
 
 STAGES = [

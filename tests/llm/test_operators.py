@@ -431,3 +431,30 @@ def test_pipeline_stage_by_stage(spark, texts):
     out = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id: r.ids for r in out} == {i: lib.encode(t) for i, t in kept.items()}
     assert len(out) == len(kept) and all(r.exact and r.n_pieces == len(r.ids) for r in out)
+
+
+def test_pipeline_rows_carry_the_mixture(spark):
+    out = corpus_pipeline.run(spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source")
+    rows = out.join(docs, "doc_id").orderBy("mix_slot", "mix_place").select("source", "mix_slot", "mix_place").collect()
+    assert len({(r.mix_slot, r.mix_place) for r in rows}) == len(rows) == out.count()
+    left = {}
+    for r in rows:
+        left[r.source] = left.get(r.source, 0) + 1
+    weights = {s: float(n) ** queries.MIX_ALPHA for s, n in left.items()}
+    share = {s: w / sum(weights.values()) for s, w in weights.items()}
+    served = dict.fromkeys(left, 0)
+    for n, r in enumerate(rows, 1):
+        served[r.source] += 1
+        if served[r.source] == left[r.source]:
+            break
+        # 16 documents of a block, and up to 16 of the open one
+        assert all(abs(share[s] * n - served[s]) < 32 for s in share)
+        if r.mix_place == 15:
+            assert all(abs(share[s] * n - served[s]) < 16 for s in share)
+    # every file is sorted and holds a range of its own
+    parts = {}
+    for r in out.select(F.input_file_name().alias("f"), "mix_slot", "mix_place").collect():
+        parts.setdefault(r.f.rpartition("/")[2], []).append((r.mix_slot, r.mix_place))
+    assert all(p == sorted(p) for p in parts.values())
+    assert sorted(sum(parts.values(), [])) == sum((parts[f] for f in sorted(parts)), [])
