@@ -15,14 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepwise.llm import labelled
+from stepwise.llm import bitset
 from stepwise.llm import textops as tx
 
 GRAM = 4                    # bytes of an n-gram
 BUCKET_BITS = 16
 SMOOTHING = 0.5             # pseudo count of every bucket
 THRESHOLD = -0.5            # mean log ratio below which a document is dropped
-MAX_TRUSTED = 20_000        # trusted documents behind the target multinomial
 SLICE_BYTES = 1 << 20
 
 _SYMBOL = np.zeros(256, bool)
@@ -100,13 +99,22 @@ def fit(docs: DataFrame, trusted_ids: DataFrame, text_col: str = "text",
         id_col: str = "doc_id") -> np.ndarray:
     """Log ratio per bucket; all zero when no trusted document has an n-gram.
 
-    Counts cover every document.  The model has 2**16 buckets whatever the
-    corpus, which bounds what comes back to the driver.
+    Counts cover every document and every trusted one.  The model has 2**16
+    buckets whatever the corpus, which bounds what comes back to the driver.
+    Only rows whose id is trusted, or looks so to a filter of fixed size, are
+    shuffled with their texts.
     """
-    base = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"))
-    marked = (base.join(F.broadcast(trusted_ids.select("label_id", F.lit(True).alias("trusted"))),
-                        "label_id", "left")
-              .select("text", F.coalesce("trusted", F.lit(False)).alias("trusted")))
+    spark = docs.sparkSession
+    ids = trusted_ids.where("label_id is not null").select("label_id").distinct()
+    bits = spark.sparkContext.broadcast(bitset.build(ids.select(F.xxhash64("label_id"))))
+    base = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text"),
+                       F.xxhash64(F.col(id_col).try_cast(ids.schema["label_id"].dataType)).alias("__key"))
+    suspect = (bitset.passing(base, "__key", bits, True)
+               .join(ids.withColumn("trusted", F.lit(True)).hint("shuffle_hash"), "label_id", "left")
+               # every counting task sends a table of its own, so a few tasks read all shuffle partitions
+               .coalesce(2 * spark.sparkContext.defaultParallelism))
+    marked = (bitset.passing(base, "__key", bits, False).select("text", F.lit(False).alias("trusted"))
+              .unionByName(suspect.select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))))
     counts = (marked.mapInArrow(_count_batches, "bucket int, raw long, trusted long")
               .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
               .toPandas())
@@ -172,6 +180,6 @@ def judge(docs: DataFrame, model: np.ndarray, *, id_col: str = "doc_id",
             .withColumnRenamed("id", id_col))
 
 
-def trusted_sample(labels: DataFrame, max_docs: int = MAX_TRUSTED) -> DataFrame:
-    """Ids of trusted documents (label quality 1), at most ``max_docs``."""
-    return labelled.sample_ids(labels, "quality", F.col("quality") == 1, max_docs)
+def trusted_sample(labels: DataFrame) -> DataFrame:
+    """Ids of all trusted documents (label quality 1)."""
+    return labels.where("doc_id is not null and quality = 1").select(F.col("doc_id").alias("label_id")).distinct()

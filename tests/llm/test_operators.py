@@ -412,6 +412,19 @@ def test_ratio_counts_every_document(spark):
     assert score[1] > 0 > score[3]
 
 
+def test_every_trusted_document_counts(spark):
+    n = 20_500
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"))
+    labels = docs.select("doc_id", F.when(F.col("doc_id") < n - 5, 1).otherwise(0).alias("quality"))
+    model = ngram_ratio.fit(docs, ngram_ratio.trusted_sample(labels.unionByName(labels)))
+    raw, good = np.zeros(len(model)), np.zeros(len(model))
+    h, fits = ngram_ratio.gram_buckets(*tx.flat(pa.array([f"text number {i}" for i in range(n)])))
+    np.add.at(raw, h[fits], 1)
+    h, fits = ngram_ratio.gram_buckets(*tx.flat(pa.array([f"text number {i}" for i in range(n - 5)])))
+    np.add.at(good, h[fits], 1)
+    assert np.allclose(model, ngram_ratio.log_ratio(good, raw), rtol=0, atol=1e-12)
+
+
 # -- pipeline -----------------------------------------------------------------------------------------
 
 def test_pipeline_stage_by_stage(spark, texts):
