@@ -633,7 +633,8 @@ def q_gen_points_skewed(spark, sf):
        sql.gen_points(sql.ROW_IDS, "SELECT range AS id FROM range((SELECT count(*) FROM part))", "1 + id % 7"))
 def q_gen_points_many_means(spark, sf):
     k = tb.table(spark, sf, "part").count()
-    return _rounded_xy(gen.points_for(tb.row_ids(spark, sf), _gen_means(spark, k), [1 + i % 7 for i in range(k)]))
+    means = gen.centers_for(gen.ids(spark, k)).withColumn("weight", (1 + F.col("id") % 7).cast("long"))
+    return _rounded_xy(gen.points_for_table(tb.row_ids(spark, sf), means))
 
 
 @query("gen_samples_seeded", sql.gen_samples(sql.ROW_IDS, "42/samples"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepwise.functions.columns import gaussian, uniform
@@ -21,7 +21,8 @@ DEFAULT_RANGE = 100.0        # centers lie in [-range/2, range/2)
 RELATIVE_STDDEV = 0.08       # point stddev = 0.08 * range
 SLOPE = 2.0                  # regression data: y = 2x + 0.01 * noise
 NOISE = 0.01
-MAX_MEANS = 100_000          # bound on means, whose table is broadcast
+MAX_MEANS = 100_000          # bound on means of a list, whose table is broadcast
+MEANS_RANGE = 10_000         # ids of one range of a table of means
 
 
 def seeded(salt: str, seed: int) -> str:
@@ -101,6 +102,39 @@ def points_for(id_df: DataFrame, means: list[tuple[int, float, float]],
                     (gaussian("id", salt + "y") * F.lit(sd) + F.col("my")).alias("y")))
 
 
+def points_for_table(id_df: DataFrame, means: DataFrame, stddev: float = RELATIVE_STDDEV,
+                     value_range: float = DEFAULT_RANGE, salt: str = "points", seed: int = 0) -> DataFrame:
+    """``points_for`` with any number of means, as a table (id, x, y, weight).
+
+    Ids are whole numbers and weights whole numbers >= 0, one row per id.  The
+    cumulative weights are sums over id ranges plus sums inside a range, and
+    points meet their mean by a join on the slice of [0, 1) they fall in.
+    """
+    sd, salt = stddev * value_range, seeded(salt, seed)
+    k, total = means.agg(F.count("*"), F.sum("weight")).first()
+    if not k or not total:
+        raise ValueError("at least one mean with a weight is required")
+    slices = 1 << (2 * k - 1).bit_length()
+    span = means.withColumn("__range", F.floor(F.col("id") / F.lit(MEANS_RANGE)))
+    ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)    # one row per range
+    before = (span.groupBy("__range").agg(F.sum("weight").alias("__sum"))
+              .select("__range", F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__before")))
+    inside = Window.partitionBy("__range").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    share = lambda c: c.cast("double") / F.lit(float(total))
+    cells = (span.withColumn("__upto", F.sum("weight").over(inside)).join(before, "__range")
+             .where("weight > 0").withColumn("__upto", F.col("__upto") + F.col("__before"))
+             .select(F.col("x").alias("mx"), F.col("y").alias("my"),
+                     share(F.col("__upto") - F.col("weight")).alias("lo"), share(F.col("__upto")).alias("hi"))
+             .withColumn("cell", F.explode(F.sequence(
+                 F.floor(F.col("lo") * slices),
+                 F.least(F.ceil(F.col("hi") * slices) - 1, F.lit(slices - 1))))))
+    drawn = id_df.select("id", uniform("id", salt + "c").alias("u"))
+    return (drawn.withColumn("cell", F.floor(F.col("u") * F.lit(slices))).join(cells, "cell")
+            .where("u >= lo and u < hi")
+            .select("id", (gaussian("id", salt + "x") * F.lit(sd) + F.col("mx")).alias("x"),
+                    (gaussian("id", salt + "y") * F.lit(sd) + F.col("my")).alias("y")))
+
+
 def kmeans_points(spark: SparkSession, n: int, k: int, skew: list[int] | None = None,
                   partitions: int | None = None, stddev: float = RELATIVE_STDDEV,
                   value_range: float = DEFAULT_RANGE, seed: int = 0) -> DataFrame:

@@ -90,6 +90,19 @@ def test_choice_of_many_means(spark):
         assert row.x == min(bisect.bisect_right(cum, u[row.id]), k - 1)
 
 
+def test_choice_of_a_table_of_means(spark):
+    import bisect
+    import itertools
+    k = 2 * gen.MAX_MEANS
+    means = gen.ids(spark, k).select("id", F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"),
+                                     (F.col("id") % 7).alias("weight"))
+    got = gen.points_for_table(gen.ids(spark, 3000, 4), means, stddev=0.0).collect()
+    u = {r.id: r.u for r in gen.uniform_for(gen.ids(spark, 3000, 4), "pointsc").collect()}
+    cum = list(itertools.accumulate(i % 7 for i in range(k)))
+    hi = [c / float(cum[-1]) for c in cum]
+    assert {r.id: r.x for r in got} == {i: bisect.bisect_right(hi, v) for i, v in u.items()} and len(got) == 3000
+
+
 def test_seed_gives_other_data(spark):
     a, b = (rows(gen.kmeans_points(spark, 20, 3, seed=s)) for s in (0, 1))
     assert a == rows(gen.kmeans_points(spark, 20, 3)) and a != b
