@@ -39,7 +39,7 @@ def run_pagerank(spark: SparkSession, a) -> None:
     if a.mode == "bulk":
         res = pr.pagerank_bulk(links, a.num_pages, a.max_iter)
     elif a.mode == "delta":
-        res = pr.pagerank_delta(links, a.num_pages, a.max_iter, a.threshold)
+        res = pr.pagerank_delta(links, a.num_pages, a.max_iter, a.threshold, counters=True)
     else:
         res = pr.pagerank_staged(links, a.state, a.num_pages, a.max_iter, a.threshold,
                                  adaptive_rows=a.adaptive_rows)
@@ -52,7 +52,7 @@ def run_components(spark: SparkSession, a) -> None:
     if a.mode == "bulk":
         res = cc.components_bulk(edges, a.max_iter)
     elif a.mode == "delta":
-        res = cc.components_delta(edges, a.max_iter)
+        res = cc.components_delta(edges, a.max_iter, counters=True)
     else:
         res = cc.components_staged(edges, a.state, a.max_iter)
     tx.write_rows(res.df.select("v", "comp"), a.out)

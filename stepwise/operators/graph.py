@@ -14,10 +14,11 @@ joined by a shuffle beyond it.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from stepwise.functions.columns import (
@@ -34,6 +35,12 @@ MAX_LIST_NEIGHBORS = 100_000
 ROWS_PER_PARTITION = 4_000_000
 # Most rows of the hot-source table that are broadcast (two ints per row).
 MAX_BROADCAST_HOT = 100_000
+# Most rows that a tail step, which looks up its keys, brings to the driver.
+MAX_TAIL_ROWS = 100_000
+# Most keys in a filter of a scan.
+MAX_KEYS = 1000
+# Links from which on looking up few keys in files is faster than scanning a cached table.
+LOOKUP_LINKS = 50_000_000
 
 
 # --------------------------------------------------------------------------- 
@@ -132,12 +139,15 @@ class Links:
     ``(src, salt)``, and parallel edges are folded and degrees attached on
     that partitioning.  Without an explicit ``partitions`` the count grows
     with the data (``ROWS_PER_PARTITION``).  ``broadcast_state=False`` shuffles
-    the state of every superstep, however small.
+    the state of every superstep, however small.  ``save`` (a function of a
+    table, its key and the number of partitions) puts the table into files by
+    hash bucket instead of the cache, where few sources can be looked up, if
+    there are at least ``save_from`` links; links of hot sources stay in the cache.
     """
 
     def __init__(self, edges: DataFrame, partitions: int | None = None,
                  split_rows: int | None = None, persist: bool = True,
-                 count_vertices: bool = False, broadcast_state: bool = True):
+                 count_vertices: bool = False, broadcast_state: bool = True, save=None, save_from: int = 0):
         spark = edges.sparkSession
         self.broadcast_state = broadcast_state
         per_src = out_degree(edges)
@@ -145,7 +155,7 @@ class Links:
             per_src = per_src.persist(StorageLevel.MEMORY_AND_DISK)
         total, widest, n_src = per_src.agg(F.sum("deg"), F.max("deg"), F.count(F.lit(1))).first()
         total, widest = total or 0, widest or 0
-        self.n_sources = int(n_src or 0)
+        self.n_sources, self.widest = int(n_src or 0), int(widest)
         self.partitions = partitions or max(default_partitions(spark),
                                             math.ceil(total / ROWS_PER_PARTITION))
         if split_rows is None:
@@ -170,7 +180,12 @@ class Links:
         # one row per source: (src, deg); the start set of PageRank and components
         self.sources = self._per_src = per_src
         self.vertex_count = None
-        if persist:
+        self.in_files = save is not None and total >= save_from and not self.n_hot
+        if self.in_files:
+            self.table = save(table.drop("salt"), "src", self.partitions).withColumn("salt", F.lit(0))
+            if count_vertices:
+                self.vertex_count = self.count_vertices()
+        elif persist:
             self.table = self.table.persist(StorageLevel.MEMORY_AND_DISK)
             if count_vertices:
                 self.vertex_count = self.count_vertices()   # this scan fills the cache
@@ -229,6 +244,16 @@ class Links:
         return j.select(*[F.col(f"__s.{c}") for c in out_cols],
                         F.col("__l.dst"), F.col("__l.w"), F.col("__l.deg"))
 
+    def few(self, rows: list) -> bool:
+        """Whether the links of these state rows can be looked up and their targets brought to the driver."""
+        return self.in_files and len(rows) <= MAX_KEYS and len(rows) * self.widest <= MAX_TAIL_ROWS
+
+    def of(self, rows: DataFrame, key: str, keys: list) -> DataFrame:
+        """As ``join_state`` for a few rows with the given keys: reads the buckets and pages of these keys only."""
+        found = self.table.where(F.col("src").isin(keys))
+        return (found.join(F.broadcast(rows), found["src"] == rows[key])
+                .select(*[rows[c] for c in rows.columns], "dst", "w", "deg"))
+
     def unpersist(self):
         self.table.unpersist()
         self.hot.unpersist()
@@ -300,6 +325,14 @@ def sum_and_filter(shares: DataFrame, threshold: float = DELTA_THRESHOLD,
     return s.where(over_threshold("delta", t))
 
 
+def fold_deltas(log: list[DataFrame], keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """One delta of several: their sums."""
+    if len(log) == 1:
+        return log[0]
+    every = functools.reduce(DataFrame.unionByName, [d.select(*keys, "delta") for d in log])
+    return every.groupBy(*keys).agg(F.sum("delta").alias("delta"))
+
+
 def add_deltas(solution: DataFrame, deltas: DataFrame,
                keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """J6 + J3 fused: every page of the solution, ``rank + delta`` where a delta exists.
@@ -334,6 +367,36 @@ def cc_delta(min_candidates: DataFrame, solution: DataFrame) -> DataFrame:
             .where(smaller("comp", "__cur")).select("v", "comp"))
 
 
+def cc_tail(solution: DataFrame, rows: list, links: Links, meter) -> list | None:
+    """J1 + A1 + J2 for a few changed vertices: keys are looked up, nothing is scanned whole.
+
+    The smallest offers come to the driver (at most ``MAX_TAIL_ROWS``), as do
+    those that change a component; None if there could be more.
+    """
+    if not links.few(rows):
+        return None
+    spark, schema = solution.sparkSession, "__v long, comp long"
+    ws = meter(spark.createDataFrame([(r["v"], r["comp"]) for r in rows], schema), "workset-in")
+    offers = meter(links.of(ws, "__v", [r["v"] for r in rows]).select(F.col("dst").alias("v"), "comp"),
+                   "candidates-out")
+    smallest = meter(cc_min_candidate(offers), "minima-out").collect()
+    if not smallest:
+        return []
+    keys, offered = [r["v"] for r in smallest], [(r["v"], r["comp"]) for r in smallest]
+    if len(keys) <= MAX_KEYS:
+        solution = solution.where(F.col("v").isin(keys))
+    better = F.broadcast(spark.createDataFrame(offered, "v long, offer long"))
+    return [Row(v=r["v"], comp=r["offer"]) for r in solution.join(better, "v")
+            .where(smaller("offer", "comp")).select("v", "offer").collect()]
+
+
+def cc_fold(log: list[DataFrame]) -> DataFrame:
+    """One delta of several: components only get smaller."""
+    if len(log) == 1:
+        return log[0]
+    return cc_min_candidate(functools.reduce(DataFrame.unionByName, [d.select("v", "comp") for d in log]))
+
+
 def cc_update(solution: DataFrame, delta: DataFrame) -> DataFrame:
     """Component from the delta where present, else the old one (``merge`` of the loop)."""
     d = delta.select("v", F.col("comp").alias("__new")).hint("shuffle_hash")
@@ -341,19 +404,25 @@ def cc_update(solution: DataFrame, delta: DataFrame) -> DataFrame:
     return j.select("v", F.coalesce("__new", "comp").alias("comp"))
 
 
-def cc_relax_step(solution: DataFrame, candidates: DataFrame, flag: str = "changed") -> DataFrame:
+def cc_relax_step(solution: DataFrame, candidates: DataFrame, flag: str = "changed", meter=None) -> DataFrame:
     """A1 + J2 + J3 in one aggregation, for the bulk loop.
 
     The solution's own rows (tagged) and the candidates are grouped together:
     ``min`` over all of them is the new component, the own row is the old
     one, so one shuffle (partial minima combine map-side) replaces the
     min aggregation plus a join with the solution.  Candidates for vertices
-    outside the solution are dropped, as the inner join of J2 does.
+    outside the solution are dropped, as the inner join of J2 does.  ``meter``
+    counts the vertices that got an offer (the minima of A1).
     """
     own = solution.select("v", "comp", F.col("comp").alias("__old"))
     cand = candidates.select("v", "comp", F.lit(None).cast(solution.schema["comp"].dataType)
                              .alias("__old"))
-    agg = own.unionByName(cand).groupBy("v").agg(F.min("comp").alias("comp"),
-                                                 F.max("__old").alias("__old"))
+    both = own.unionByName(cand)
+    least, old = F.min("comp").alias("comp"), F.max("__old").alias("__old")
+    if meter is None:
+        agg = both.groupBy("v").agg(least, old)
+    else:
+        agg = meter(both.groupBy("v").agg(least, old, F.bool_or(F.col("__old").isNull()).alias("__offered")),
+                    "minima-out", F.col("__offered"))
     return agg.where(F.col("__old").isNotNull()).select(
         "v", "comp", smaller("comp", "__old").alias(flag))

@@ -311,7 +311,24 @@ def q_cc_delta_salted(spark, sf):
 @query("cc_counters", sql.cc_delta_counters(CC_STEPS))
 def q_cc_counters(spark, sf):
     """M1 of the components loop: rows in and out of every operator that ran."""
-    res = _done(cc.components_delta(tb.cc_edges(spark, sf), CC_STEPS))
+    res = _done(cc.components_delta(tb.cc_edges(spark, sf), CC_STEPS, counters=True))
+    return res.stats().where("operator <> 'components-solution'")
+
+
+@query("cc_delta_lookup", sql.components(CC_STEPS))
+def q_cc_delta_lookup(spark, sf):
+    """E2 as for large graphs: links and state in files by hash bucket, late steps look up their keys."""
+    res = _done(cc.components_delta(tb.cc_edges(spark, sf), CC_STEPS, lookup=True))
+    out = res.df.checkpoint()
+    res.extra["release"]()
+    return out
+
+
+@query("cc_lookup_counters", sql.cc_delta_counters(CC_STEPS))
+def q_cc_lookup_counters(spark, sf):
+    """M1 of the same loop: the counters do not depend on the form of a step."""
+    res = _done(cc.components_delta(tb.cc_edges(spark, sf), CC_STEPS, lookup=True, counters=True))
+    res.extra["release"]()
     return res.stats().where("operator <> 'components-solution'")
 
 
@@ -446,7 +463,7 @@ def q_repartitioned_pagerank(spark, sf):
 # --- counters (M1, M2) ------------------------------------------------------------------
 
 def _pagerank_counters(spark, sf) -> DataFrame:
-    res = prp.pagerank_delta(tb.pr_links(spark, sf), max_iter=PR_STEPS)
+    res = prp.pagerank_delta(tb.pr_links(spark, sf), max_iter=PR_STEPS, counters=True)
     return res.stats().where("operator <> 'pagerank-solution'")
 
 

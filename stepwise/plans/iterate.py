@@ -7,8 +7,11 @@ DataFrames.  Lineage is cut each step by a state store:
   ``spark.checkpoint.dir`` (the "native" iteration).
 * ``ParquetStore`` - one Parquet directory per step and output (the
   "staged" iteration: one job per step, state through files).
+* ``BucketStore`` - Parquet tables hash-bucketed by the state's key and sorted
+  in every bucket: read without a shuffle, and a filter on few keys reads the
+  buckets and pages that hold them only.
 
-Both survive the loss of an executor: the state lives in shared storage,
+All survive the loss of an executor: the state lives in shared storage,
 never in executor memory only.  Row counts per output and step come from an
 ``Observation`` attached to the very action that materialises the state, so
 the stop test costs no extra job (A10, I5).
@@ -20,6 +23,7 @@ import functools
 import inspect
 import itertools
 import time
+import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Callable, Protocol
@@ -31,6 +35,11 @@ from stepwise.session import checkpoint_dir
 
 _obs_ids = itertools.count()
 
+# Small pages, so that a filter on few keys of sorted files skips most rows.
+PAGES = {"parquet.page.row.count.limit": "512"}
+# A workset of at most so many rows is looked up by its keys (a tail step).
+TAIL_ROWS = 1000
+
 
 class StateStore(Protocol):
     keeps_layout: bool      # whether saved state is still hash-partitioned
@@ -69,6 +78,44 @@ class ParquetStore:
         return df.sparkSession.read.schema(df.schema).parquet(p)
 
 
+class BucketStore:
+    """Iteration state as tables hash-bucketed by ``key`` and sorted by it.
+
+    Reading a table back needs no shuffle in a plan of ``buckets`` shuffle
+    partitions.  With ``root`` the files are ``<root>/<name>/iteration_<i>`` and
+    stay; without, they lie in the shared checkpoint folder, ``drop`` deletes a
+    state that is no longer read and ``close`` all of them.
+    """
+
+    keeps_layout = True
+
+    def __init__(self, spark: SparkSession, key: str, buckets: int, root: str | None = None):
+        self.spark, self.key, self.buckets = spark, key, buckets
+        self.root = root.rstrip("/") if root else None
+        self.database = f"stepwise_{uuid.uuid4().hex}"
+        place = f"{checkpoint_dir(spark).rstrip('/')}/{self.database}"
+        spark.sql(f"CREATE DATABASE {self.database} LOCATION '{place}'")
+
+    def table(self, name: str, iteration: int) -> str:
+        return f"{self.database}.{name.replace('-', '_')}_{iteration}"
+
+    def save(self, df: DataFrame, name: str, iteration: int) -> DataFrame:
+        table = self.table(name, iteration)
+        writer = df.write.mode("overwrite").bucketBy(self.buckets, self.key).sortBy(self.key)
+        for k, v in PAGES.items():
+            writer = writer.option(k, v)
+        if self.root:
+            writer = writer.option("path", f"{self.root}/{name}/iteration_{iteration}")
+        writer.saveAsTable(table)
+        return self.spark.table(table)
+
+    def drop(self, name: str, iteration: int) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table(name, iteration)}")
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.database} CASCADE")
+
+
 class DriverStore:
     """State of a few rows (centers, parameters) kept on the driver.
 
@@ -86,7 +133,7 @@ class DriverStore:
     def save(self, df: DataFrame, name: str, iteration: int) -> DataFrame:
         if self.then:
             df = self.then.save(df.coalesce(1), name, iteration)
-        rows = df.collect()
+        rows = df.take(self.limit + 1)
         if len(rows) > self.limit:
             raise ValueError(f"{name}: more than {self.limit} rows for the driver")
         self.last = rows
@@ -128,11 +175,11 @@ class IterationResult:
 
 
 def save_counted(df: DataFrame, store: StateStore, name: str, iteration: int,
-                 flag: str | None = None) -> tuple[DataFrame, int, int | None]:
+                 flag: str | None = None, keep_flag: bool = False) -> tuple[DataFrame, int, int | None]:
     """Materialise ``df`` through ``store`` and count it in the same job.
 
     With ``flag`` (a boolean column) the number of true flags is observed as
-    well and the column is dropped from the returned state.
+    well and the column is dropped from the returned state unless kept.
     """
     metrics = [F.count(F.lit(1)).alias("rows")]
     if flag:
@@ -142,7 +189,7 @@ def save_counted(df: DataFrame, store: StateStore, name: str, iteration: int,
     got = obs.get
     if not flag:
         return saved, int(got["rows"]), None
-    return saved.drop(flag), int(got["rows"]), int(got.get("flagged") or 0)
+    return saved if keep_flag else saved.drop(flag), int(got["rows"]), int(got.get("flagged") or 0)
 
 
 def _extras(step, **offered) -> dict:
@@ -162,10 +209,11 @@ class Meter:
     def __init__(self):
         self._seen: list[tuple[str, Observation]] = []
 
-    def __call__(self, df: DataFrame, operator: str) -> DataFrame:
+    def __call__(self, df: DataFrame, operator: str, where=None) -> DataFrame:
+        """``df`` with its rows (those with ``where``) counted."""
         obs = Observation(f"{operator}_{next(_obs_ids)}")
         self._seen.append((operator, obs))
-        return df.observe(obs, F.count(F.lit(1)).alias("rows"))
+        return df.observe(obs, (F.count(F.lit(1)) if where is None else F.count_if(where)).alias("rows"))
 
     def take(self, iteration: int) -> list[tuple[str, int, int]]:
         """Counters since the last call."""
@@ -176,6 +224,16 @@ class Meter:
         return got
 
 
+class NoMeter:
+    """Stands for a ``Meter`` where nobody asks for counters; they cost a few percent of a step."""
+
+    def __call__(self, df: DataFrame, operator: str, where=None) -> DataFrame:
+        return df
+
+    def take(self, iteration: int) -> list:
+        return []
+
+
 @contextmanager
 def _conf(spark: SparkSession, **settings):
     """Session settings (dots written as ``__``) for the time of a step."""
@@ -283,64 +341,140 @@ def upsert(solution: DataFrame, delta: DataFrame, key: str) -> DataFrame:
         F.when(has_new, F.col("__new_" + c)).otherwise(F.col(c)).alias(c) for c in cols])
 
 
+def newest(log: list[DataFrame], key: str) -> DataFrame:
+    """One row per key of a log of deltas, the latest."""
+    if len(log) == 1:
+        return log[0]
+    cols = [c for c in log[0].columns if c != key]
+    tagged = [d.select(key, F.struct(*cols).alias("row"), F.lit(i).alias("at")) for i, d in enumerate(log)]
+    return (functools.reduce(DataFrame.unionByName, tagged).groupBy(key)
+            .agg(F.max_by("row", "at").alias("row")).select(key, "row.*"))
+
+
 def delta_iterate(solution: DataFrame, workset: DataFrame,
                   step: Callable[[DataFrame, DataFrame, int], tuple[DataFrame, DataFrame]],
                   max_iter: int, *, key: str,
                   merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+                  fold: Callable[[list[DataFrame]], DataFrame] | None = None,
+                  rewrite: Callable[[DataFrame, DataFrame, int], DataFrame] | None = None,
+                  tail: Callable[[DataFrame, list, int], list | None] | None = None,
                   store: StateStore | None = None,
-                  solution_every: int = 1,
+                  compact_share: float = 0.2,
+                  save_final: bool = True,
                   partitions: Callable[[int], int | None] | None = None,
                   layout: int | None = None,
+                  counters: bool = False,
                   partition_stats: bool = False,
                   initial_rows: int | None = None,
                   name: str = "delta") -> IterationResult:
     """Delta iteration (I3): keyed solution set plus a shrinking workset.
 
     ``step(solution, workset, i[, rows=n][, meter=m])`` returns ``(delta,
-    next_workset)``; the delta is merged into the solution by ``merge``
-    (default: upsert by key) and the loop ends when the next workset is empty,
-    or at ``max_iter``.  ``solution_every`` saves the merged solution only
-    every n-th step; in between it is a short chain of joins of the last saved
-    solution with the saved deltas, so a step writes no more than its delta.
-    The size of the first workset is counted too (``<name>-initial``, A9).
+    next_workset)``; the loop ends when the next workset is empty, or at
+    ``max_iter``.  The size of the first workset is counted too
+    (``<name>-initial``, A9); ``counters`` counts what the step meters as well.
+
+    The solution is a saved base and a log of saved deltas.  ``fold`` makes one
+    delta of the log (default: the latest row per key) and ``merge`` puts it
+    into the base (default: upsert by key) whenever the solution is read.  The
+    base is saved anew when the log has more rows than ``compact_share`` of the
+    solution (``initial_rows`` until it has been saved once; every step without
+    either), and, with ``save_final``, at the end.
+
+    Two forms of a step follow the size of the workset.  ``rewrite(solution,
+    workset, i)`` gives the whole next solution with a boolean column
+    ``changed``: for a workset above ``compact_share``, whose delta would
+    trigger a save anyway, solution and delta are written by one job.
+    ``tail(solution, rows, i)`` gets a workset of at most ``TAIL_ROWS`` rows on
+    the driver and returns the rows of the delta, or None to decline; such a
+    step can look its keys up instead of scanning, and writes nothing unless
+    the store is to keep every step (``keeps_steps``).
     """
     store = store or CheckpointStore()
     merge = merge or (lambda s, d: upsert(s, d, key))
+    fold = fold or (lambda log: newest(log, key))
     spark = solution.sparkSession
-    converged = dirty = False
-    i, n_ws = 0, initial_rows
-    counts, per_part, times, meter = [], [], [], Meter()
+    drop = getattr(store, "drop", lambda *_: None)
+    keeps_steps = isinstance(store, ParquetStore) or getattr(store, "root", None) is not None
+    converged = False
+    i, n_ws, n_base = 0, initial_rows, initial_rows
+    base, log, n_log, rows, held = solution, [], 0, None, []
+    counts, per_part, times = [], [], []
+    meter = Meter() if counters else NoMeter()
     if n_ws is not None:
         counts.append((name + "-initial", 0, n_ws))
+
+    def current() -> DataFrame:
+        return merge(base, fold(log)) if log else base
+
+    def compacted(df: DataFrame, step_no: int, flag: str | None = None):
+        """Save a new base; what it was made of is no longer read."""
+        nonlocal base, log, n_log, n_base, held
+        saved, n_base, flagged = save_counted(df, store, name + "-solution", step_no, flag, keep_flag=True)
+        counts.append((name + "-solution", step_no, n_base))
+        stale, held = held, [(name + "-solution", step_no)]
+        base, log, n_log = saved.drop(flag) if flag else saved, [], 0
+        return saved, flagged, stale
+
     for i in range(1, max_iter + 1):
         t0 = time.perf_counter()
+        stale, done = [], None
         with step_plan(spark, partitions, i, n_ws, layout if store.keeps_layout else None) as par:
-            delta, next_ws = step(solution, workset, i, **_extras(step, rows=n_ws, meter=meter))
-            same = next_ws is delta
-            delta, n_delta, _ = save_counted(delta, store, name + "-delta", i)
-            counts += meter.take(i) + [(name + "-delta", i, n_delta)]
-            if partition_stats:
-                per_part.append(partition_counts(delta, name + "-delta", i))
-            if same:
-                workset, n_ws = delta, n_delta
+            large = n_ws is None or n_base is None or n_ws > compact_share * n_base
+            if tail and rows is not None:
+                with _conf(spark, spark__sql__parquet__pushdown__inFilterThreshold=str(TAIL_ROWS)):
+                    done = tail(current(), rows, i, **_extras(tail, meter=meter))
+            if done is not None:
+                schema, rows, n_ws = workset.schema, done, len(done)
+                workset = spark.createDataFrame(done, schema)
+                if keeps_steps and n_ws:
+                    workset = store.save(workset.coalesce(1), name + "-delta", i)
+                counts += meter.take(i) + [(name + "-delta", i, n_ws)]
+                if partition_stats:
+                    per_part.append(partition_counts(workset, name + "-delta", i))
+                if n_ws:
+                    log, n_log = [*log, workset], n_log + n_ws
+                rows = rows if n_ws <= TAIL_ROWS else None
+            elif rewrite and large:
+                nxt = rewrite(current(), workset, i, **_extras(rewrite, rows=n_ws, meter=meter))
+                saved, n_ws, stale = compacted(nxt, i, "changed")
+                workset = saved.where("changed").drop("changed")
+                counts += meter.take(i) + [(name + "-delta", i, n_ws)]
+                if partition_stats:
+                    per_part.append(partition_counts(workset, name + "-delta", i))
             else:
-                workset, n_ws, _ = save_counted(next_ws, store, name + "-workset", i)
-                counts.append((name + "-workset", i, n_ws))
-            if n_delta:
-                solution, dirty = merge(solution, delta), True
-            if dirty and i % solution_every == 0:
-                solution, n_sol, _ = save_counted(solution, store, name + "-solution", i)
-                counts.append((name + "-solution", i, n_sol))
-                dirty = False
+                delta, next_ws = step(current(), workset, i, **_extras(step, rows=n_ws, meter=meter))
+                same = next_ws is delta
+                delta, n_delta, _ = save_counted(delta, store, name + "-delta", i)
+                held.append((name + "-delta", i))
+                counts += meter.take(i) + [(name + "-delta", i, n_delta)]
+                if partition_stats:
+                    per_part.append(partition_counts(delta, name + "-delta", i))
+                if same:
+                    workset, n_ws = delta, n_delta
+                else:
+                    workset, n_ws, _ = save_counted(next_ws, store, name + "-workset", i)
+                    counts.append((name + "-workset", i, n_ws))
+                if n_delta:
+                    log, n_log = [*log, delta], n_log + n_delta
+            if n_log and (n_base is None or n_log > compact_share * n_base):
+                _, _, stale = compacted(current(), i)
+                # the last delta is still read as the workset
+                held += [x for x in stale if x == (name + "-delta", i)]
+            if tail and done is None and n_ws <= TAIL_ROWS:
+                rows = workset.collect()
+            if not keeps_steps and not partition_stats:
+                for x in stale:
+                    if x not in held:
+                        drop(*x)
         times.append((i, int((time.perf_counter() - t0) * 1000), par))
         if n_ws == 0:
             converged = True
             break
-    if dirty:
+    if log and save_final:
         with step_plan(spark, partitions, i, n_ws, layout if store.keeps_layout else None):
-            solution, n_sol, _ = save_counted(solution, store, name + "-solution", i)
-        counts.append((name + "-solution", i, n_sol))
-    return IterationResult(solution, i, converged, counts, partition_counts=per_part,
+            compacted(current(), i)
+    return IterationResult(current(), i, converged, counts, partition_counts=per_part,
                            step_ms=times)
 
 

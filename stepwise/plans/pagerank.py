@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from stepwise.functions.columns import DAMPENING, DELTA_THRESHOLD, EPSILON
 from stepwise.operators import graph as g
 from stepwise.plans.iterate import (
-    IterationResult, ParquetStore, StateStore, bulk_iterate, by_rows, delta_iterate,
+    BucketStore, IterationResult, ParquetStore, StateStore, bulk_iterate, by_rows, delta_iterate,
 )
 
+# Rows of the delta log, as a multiple of the ranks, that are added up in one pass.
+LOG_SHARE = 4.0
+
 
 def pagerank_bulk(links: DataFrame, num_pages: int | None = None, max_iter: int = 10,
                   d: float = DAMPENING, eps: float = EPSILON,
@@ -45,17 +48,25 @@ def pagerank_bulk(links: DataFrame, num_pages: int | None = None, max_iter: int
 def pagerank_delta(links: DataFrame, num_pages: int | None = None, max_iter: int = 10,
                    threshold: float = DELTA_THRESHOLD, d: float = DAMPENING,
                    store: StateStore | None = None, prepared: g.Links | None = None,
-                   solution_every: int = 5,
+                   state_dir: str | None = None,
                    partitions: Callable[[int], int | None] | None = None,
-                   partition_stats: bool = False) -> IterationResult:
+                   counters: bool = False, partition_stats: bool = False) -> IterationResult:
     """E5: delta PageRank.
 
     The workset holds rank deltas; each step spreads ``d * delta / deg``,
     sums per page and keeps sums above ``threshold``.  Those deltas are added
     to the ranks of pages already in the solution (pages with out-links) and
     form the next workset, sinks included.  Ends on an empty workset.
+
+    Steps do not read the ranks, so deltas stay a log that is added up once it
+    is ``LOG_SHARE`` times the ranks, and when the result is read.  ``state_dir``
+    keeps the state in files: by hash bucket, read without a shuffle, unless
+    ``partitions`` are given or sources are hot.
     """
     lk = prepared or g.Links(links, count_vertices=num_pages is None)
+    if store is None and state_dir:
+        store = (BucketStore(links.sparkSession, "id", lk.layout, state_dir) if lk.layout and partitions is None
+                 else ParquetStore(state_dir))
     n = num_pages or lk.vertex_count or lk.count_vertices()
     ranks = lk.sources.select(F.col("src").alias("id"), F.lit(1.0).alias("rank"))
     deltas = g.delta_init(ranks, n)
@@ -66,9 +77,10 @@ def pagerank_delta(links: DataFrame, num_pages: int | None = None, max_iter: int
         return new, new
 
     try:
-        res = delta_iterate(ranks, deltas, step, max_iter, key="id", merge=g.add_deltas,
-                            store=store, solution_every=solution_every,
-                            partitions=partitions, layout=lk.layout, partition_stats=partition_stats,
+        res = delta_iterate(ranks, deltas, step, max_iter, key="id", merge=g.add_deltas, fold=g.fold_deltas,
+                            store=store, compact_share=LOG_SHARE,
+                            save_final=state_dir is not None, partitions=partitions, layout=lk.layout,
+                            counters=counters, partition_stats=partition_stats,
                             initial_rows=lk.n_sources, name="pagerank")
     finally:
         if prepared is None:
@@ -84,23 +96,21 @@ def pagerank_staged(links: DataFrame, state_dir: str, num_pages: int | None = No
                     adaptive_rows: int | None = None) -> IterationResult:
     """Delta PageRank, one job per step, state in Parquet per step.
 
-    The solution is upserted (not inner-joined) each step, so the result
-    equals ``pagerank_delta``; the stop test uses the delta count observed
-    while the delta is written.  ``adaptive_rows`` sets each step's
+    Every step writes its deltas, the ranks are written when the deltas outgrow
+    them and at the end, so the result equals ``pagerank_delta``; the stop test
+    uses the delta count observed while the delta is written.  ``adaptive_rows`` sets each step's
     parallelism from the previous step's workset (``by_rows``).
     """
     if adaptive_rows and partitions is None:
         partitions = by_rows(adaptive_rows)
-    return pagerank_delta(links, num_pages, max_iter, threshold, d,
-                          store=ParquetStore(state_dir), prepared=prepared,
-                          solution_every=1, partitions=partitions)
+    return pagerank_delta(links, num_pages, max_iter, threshold, d, state_dir=state_dir,
+                          prepared=prepared, partitions=partitions)
 
 
 def pagerank_delta_sweep(links: DataFrame, thresholds: list[float],
                          num_pages: int | None = None, max_iter: int = 10,
                          d: float = DAMPENING, store: StateStore | None = None,
-                         prepared: g.Links | None = None,
-                         solution_every: int = 5) -> IterationResult:
+                         prepared: g.Links | None = None) -> IterationResult:
     """E5 for several thresholds in one loop.
 
     Ranks and deltas are tagged with their threshold (``threshold, id``
@@ -122,8 +132,8 @@ def pagerank_delta_sweep(links: DataFrame, thresholds: list[float],
 
     try:
         res = delta_iterate(ranks, deltas, step, max_iter, key="id",
-                            merge=lambda s, dl: g.add_deltas(s, dl, keys),
-                            store=store, solution_every=solution_every, layout=lk.layout,
+                            merge=lambda s, dl: g.add_deltas(s, dl, keys), store=store,
+                            compact_share=0.0, layout=lk.layout,
                             initial_rows=lk.n_sources * len(thresholds), name="pagerank")
     finally:
         if prepared is None:
