@@ -547,13 +547,22 @@ def q_kmeans_bulk(spark, sf):
     return kmp.final_assignment(res.extra["points"], res).select("x", "y", "cluster")
 
 
-@query("kmeans_many_centers", sql.km_assignment(sql.MANY_CENTERS, 2))
-def q_kmeans_many_centers(spark, sf):
-    pts = _km_points(spark, sf)
-    start = tb.table(spark, sf, "customer").select(
+def _many_centers(spark, sf):
+    return tb.table(spark, sf, "customer").select(
         F.col("c_custkey").cast("int").alias("id"), (F.col("c_custkey") % 50 + 0.5).alias("x"),
         (F.col("c_custkey") % 97 + 0.25).alias("y"))
-    res = kmp.kmeans_bulk(pts, start, 2)
+
+
+@query("kmeans_many_centers", sql.km_assignment(sql.MANY_CENTERS, KM_STEPS))
+def q_kmeans_many_centers(spark, sf):
+    res = kmp.kmeans_bulk(_km_points(spark, sf), _many_centers(spark, sf), KM_STEPS)
+    return kmp.final_assignment(res.extra["points"], res).select("x", "y", "cluster")
+
+
+@query("kmeans_joined_centers", sql.km_assignment(sql.MANY_CENTERS, KM_STEPS))
+def q_kmeans_joined_centers(spark, sf):
+    """The same centers as a DataFrame that never reaches the driver, as any number of them would be."""
+    res = kmp.kmeans_bulk(_km_points(spark, sf), _many_centers(spark, sf), KM_STEPS, joined=True)
     return kmp.final_assignment(res.extra["points"], res).select("x", "y", "cluster")
 
 

@@ -1,5 +1,8 @@
 import math
 
+import numpy as np
+import pytest
+
 from conftest import SF001, rows
 from stepwise.operators import clustering as km
 from stepwise.operators import regression as lr
@@ -80,3 +83,56 @@ def test_regression_needs_start(spark):
     s = spark.createDataFrame(F7_POINTS, POINT_SCHEMA)
     with pytest.raises(ValueError):
         lrp.linreg_bulk(s, None, 1)
+
+
+def _odd_points_and_centers(seed, n, k):
+    """Clusters, far outliers, equal points, equal centers and non-finite values."""
+    r = np.random.default_rng(seed)
+    pts = np.concatenate((r.normal(0, 1, (n, 2)), r.normal(50, 0.01, (n, 2)), r.integers(-3, 4, (n, 2)),
+                          [(1e6, -1e6), (1e6, -1e6), (np.nan, 0.0), (np.inf, 1.0), (0.0, 0.0)]))
+    cen = np.concatenate((r.normal(0, 2, (k, 2)), r.normal(50, 0.02, (k, 2)), r.integers(-3, 4, (k, 2)),
+                          [(np.nan, 0.0), (-np.inf, 0.0), (9e5, -9e5)]))
+    ids = r.permutation(len(cen))
+    return pts, sorted((int(i), float(x), float(y)) for i, (x, y) in zip(ids, cen))
+
+
+def _brute_nearest(pts, centers):
+    out = []
+    for x, y in pts:
+        d = [(math.sqrt((x - cx) ** 2 + (y - cy) ** 2), i) for i, cx, cy in centers
+             if all(map(math.isfinite, (x, y, cx, cy)))]
+        out.append(min(d)[1] if d else -1)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_nearest_in_boxes(seed, monkeypatch):
+    monkeypatch.setattr(km, "BOX_CENTERS", 3)
+    monkeypatch.setattr(km, "BOX_POINTS", 2)
+    pts, centers = _odd_points_and_centers(seed, 150, 60)
+    ids, cx, cy = np.array(centers).T
+    got = km._nearest_in_boxes(pts[:, 0], pts[:, 1], ids.astype(np.int64), cx, cy)
+    assert got.tolist() == _brute_nearest(pts, centers)
+
+
+@pytest.mark.parametrize("n,k", [(80, 60), (3, 1), (80, 2)])
+def test_joined_centers_agree_with_all_pairs(spark, n, k):
+    pts, centers = _odd_points_and_centers(n + k, n, k)
+    points = spark.createDataFrame([(float(x), float(y), i) for i, (x, y) in enumerate(pts)], "x double, y double, row int")
+    frame = spark.createDataFrame(centers, CENTER_SCHEMA)
+    want = _brute_nearest(pts, centers)
+    got = {r.row: r.cluster for r in km.assign(points, frame).collect()}
+    assert [got[i] for i in range(len(pts))] == want
+    none = km.assign(points, frame.limit(0)).collect()
+    assert {r.cluster for r in none} == {-1} and len(none) == len(pts)
+    assert km.assign(points.limit(0), frame).count() == 0
+
+
+def test_joined_loop_agrees_with_broadcast_loop(spark):
+    r = np.random.default_rng(9)
+    points = spark.createDataFrame([tuple(map(float, p)) for p in r.normal(0, 10, (2000, 2))], "x double, y double")
+    start = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(r.normal(0, 12, (150, 2)))],
+                                  CENTER_SCHEMA)
+    a, b = (kmp.kmeans_bulk(points, start, 4, joined=j) for j in (False, True))
+    assert rows(a.df, nd=9) == rows(b.df, nd=9)
+    assert (rows(kmp.final_assignment(points, a), nd=9) == rows(kmp.final_assignment(points, b), nd=9))
