@@ -34,7 +34,9 @@ SPACE = "▁"                # written for a blank
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6     # piece types of the file format
 UNIGRAM, BPE = 1, 2                                                 # model types of the file format
 NO_MERGE = np.inf
-MEMO_WORDS = 400_000            # words a task remembers; the memo starts again beyond that
+MEMO_WORDS = 300_000            # words remembered; beyond that those used once are forgotten
+KEPT_WORDS = 60_000             # words used most that the worker keeps from task to task
+PAIR_BITS = 20                  # slots that remember whether two pieces are stable
 SLICE_BYTES = 4 << 20
 _INDEX_BITS = 20
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]*")
@@ -87,6 +89,7 @@ class Codec:
         self.power = tx.powers(self.longest + 1)[0].copy()
         self.worst = float(self.score.min()) - 10.0     # score of an unknown character
         self.memo = _Memo()
+        self.pair_of, self.pair_ok = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         if self.bpe:
             self._derive()
 
@@ -138,7 +141,27 @@ class Codec:
                 raise ValueError("a merge comes before its parts; not a trained vocabulary")
 
     def stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether pieces a and b (rows) stay two pieces side by side.
+        """Whether pieces a and b (rows) stay two pieces side by side; answers are remembered by pair."""
+        ok = np.ones(len(a), bool)
+        both = np.flatnonzero((a >= 0) & (b >= 0))     # unknown characters never merge
+        pair = a[both] * len(self.key) + b[both]
+        slot = (tx.mix64(pair) >> U64(64 - PAIR_BITS)).astype(np.int64)
+        known = self.pair_of[slot] == pair
+        new, back = np.unique(pair[~known], return_inverse=True)
+        answer = self.pair_ok[slot]
+        if len(new):
+            now = self._stable_now(new // len(self.key), new % len(self.key))
+            answer[~known] = now[back]
+            at = (tx.mix64(new) >> U64(64 - PAIR_BITS)).astype(np.int64)
+            # of two pairs for a slot the later write must set both arrays
+            last = np.unique(at[::-1], return_index=True)[1]
+            at, new, now = at[::-1][last], new[::-1][last], now[::-1][last]
+            self.pair_of[at], self.pair_ok[at] = new, now
+        ok[both] = answer
+        return ok
+
+    def _stable_now(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``stable`` for known pieces, worked out.
 
         Undoes both pieces' merges at the border, latest first.  Two parts
         that stand side by side between their forming and their next merge
@@ -146,8 +169,8 @@ class Codec:
         ranks the one further left comes first.
         """
         ok = np.ones(len(a), bool)
-        lane = np.flatnonzero((a >= 0) & (b >= 0))     # unknown characters never merge
-        x, y = a[lane], b[lane]
+        lane = np.arange(len(a))
+        x, y = a, b
         x_end, y_end = np.full(len(lane), NO_MERGE), np.full(len(lane), NO_MERGE)
         while len(lane):
             joint = self._joined(x, y)
@@ -275,7 +298,7 @@ class Codec:
         """
         memo = self.memo
         if len(memo.row) > MEMO_WORDS:
-            memo.clear()
+            memo.trim(MEMO_WORDS // 2)
         rows, ends = [], np.zeros(len(texts) + 1, np.int64)
         for i, text in enumerate(texts):
             words = self.words(text or "")
@@ -286,6 +309,7 @@ class Codec:
             ends[i + 1] = len(rows)
         memo.settle(self.encode_words)
         rows = np.array(rows, np.int64)
+        memo.used += np.bincount(rows, minlength=len(memo.used))
         count = memo.offsets[rows + 1] - memo.offsets[rows]
         total = np.concatenate(([0], np.cumsum(count)))
         return memo.ids[tx.spread(memo.offsets[rows], count)], total[ends]
@@ -320,6 +344,18 @@ class _Memo:
         self.new: list[str] = []
         self.ids = np.zeros(0, np.int32)
         self.offsets = np.zeros(1, np.int64)
+        self.used = np.zeros(0, np.int64)
+
+    def trim(self, most: int) -> None:
+        """Keep the words that came back, at most ``most`` of them: those used most."""
+        keep = np.flatnonzero(self.used > 1)
+        if len(keep) > most:
+            keep = np.sort(keep[np.argpartition(-self.used[keep], most)[:most]])
+        words, count = list(self.row), np.diff(self.offsets)[keep]      # words in the order of their rows
+        self.ids = self.ids[tx.spread(self.offsets[keep], count)]
+        self.offsets = np.concatenate(([0], np.cumsum(count)))
+        self.row = {words[k]: i for i, k in enumerate(keep.tolist())}
+        self.used = self.used[keep] // 2        # so that words of the past can go
 
     def wait(self, words: set[str]) -> None:
         """Give rows to words that are still to be segmented."""
@@ -332,6 +368,7 @@ class _Memo:
             ids, count = encode_words(self.new)
             self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
             self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum(count)))
+            self.used = np.concatenate((self.used, np.zeros(len(count), np.int64)))
             self.new = []
 
 
@@ -388,7 +425,7 @@ def encode_documents(docs: DataFrame, model: str, *, id_col: str = "doc_id",
                          pa.array([a == b.replace(SPACE, " ") for a, b in zip(decoded, texts)])],
                         ["id", "ids", "decoded", "exact"])
         finally:
-            codec.memo.clear()      # the worker lives on with other stages
+            codec.memo.trim(KEPT_WORDS)     # the worker lives on with other stages
 
     return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
             .mapInArrow(run, f"id {kind}, ids array<int>, decoded string, exact boolean")
