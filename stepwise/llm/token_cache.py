@@ -27,8 +27,8 @@ from stepwise.llm.textops import slices
 
 _CACHE = "version string, digest binary, n_tokens long"
 _BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
-# Words remembered by a task; the memo starts again beyond that.
-MEMO_WORDS = 400_000
+# Words of a memo's generation; of the generation before, those that come back are kept.
+MEMO_WORDS = 250_000
 
 
 @functools.lru_cache(maxsize=8)
@@ -91,15 +91,21 @@ class Counter:
             sp = sentencepiece.SentencePieceProcessor(model_file=path)
             self._encode = lambda xs: [len(e) for e in sp.encode(xs, num_threads=1)]
         self._memo: dict[str, int] = {"": 0}
+        self._older: dict[str, int] = {}
 
     def count(self, texts: list[str]) -> list[int]:
         """Where blanks only separate, each different word is encoded once."""
         if not self.blanks:
             return self._encode(texts)
         if len(self._memo) > MEMO_WORDS:
-            self._memo = {"": 0}
-        memo, split = self._memo, [t.split(" ") for t in texts]
-        new = list({w for ws in split for w in ws if w not in memo})
+            self._memo, self._older = {"": 0}, self._memo
+        memo, older, split = self._memo, self._older, [t.split(" ") for t in texts]
+        new = set()
+        for ws in split:
+            new |= set(ws).difference(memo)
+        for w in new.intersection(older):
+            memo[w] = older[w]
+        new = list(new.difference(older))
         for i in range(0, len(new), 4096):
             memo.update(zip(new[i:i + 4096], self._encode(new[i:i + 4096])))
         return [sum(map(memo.__getitem__, ws)) for ws in split]
