@@ -37,7 +37,7 @@ NO_MERGE = np.inf
 MEMO_WORDS = 300_000            # words remembered; beyond that those used once are forgotten
 KEPT_WORDS = 60_000             # words used most that the worker keeps from task to task
 PAIR_BITS = 20                  # slots that remember whether two pieces are stable
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 4 << 20           # text that advances together; less takes less memory and more time
 _INDEX_BITS = 20
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]*")
 
@@ -400,7 +400,7 @@ def load(path: str) -> Codec:
 
 
 def encode_documents(docs: DataFrame, model: str, *, id_col: str = "doc_id",
-                     text_col: str = "text") -> DataFrame:
+                     text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per document: id, ids (piece ids), decoded (text of the ids), exact.
 
     ``exact`` tells whether decoding gives the text back; U+2581 in a text
@@ -414,7 +414,7 @@ def encode_documents(docs: DataFrame, model: str, *, id_col: str = "doc_id",
         codec = load(model)
         try:
             for batch in batches:
-                for part in tx.slices(batch, "text", SLICE_BYTES):
+                for part in tx.slices(batch, "text", slice_bytes):
                     texts = [x or "" for x in part.column("text").to_pylist()]
                     ids, off = codec.encode(texts)
                     decoded = codec.decode(ids, off)

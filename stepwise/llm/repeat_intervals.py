@@ -41,7 +41,7 @@ WINDOWS = LENGTH - GRAM + 1
 DOC_BITS = 25               # of the filters over documents: 4 MB
 CROWD = 4096                # spans of one gram that are sorted in one task
 CHUNK_BYTES = 1 << 19       # text of one suffix array
-SLICE_BYTES = 1 << 20       # also the piece of a long text that is hashed at once
+SLICE_BYTES = 1 << 19       # also the piece of a long text that is hashed at once
 _POSITION = U64((1 << 24) - 1)      # a piece's places fit in 24 bits
 _END = 0xFF                 # no byte of UTF-8 text
 _CODE_2 = tx.mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -369,11 +369,11 @@ def _kept_bytes(buf: np.ndarray, off: np.ndarray, runs: pa.Array) -> tuple[np.nd
     runs = runs.fill_null([]) if runs.null_count else runs
     row = np.repeat(np.arange(len(off) - 1), np.diff(runs.offsets.to_numpy()))
     flat = runs.flatten()
-    depth = np.zeros(len(buf) + 1, np.int64)
+    depth = np.zeros(len(buf) + 1, np.int32)
     # ends of one text and starts of the next may share a place, so they cancel out
     np.add.at(depth, off[row] + flat.field("start").to_numpy(), 1)
     np.add.at(depth, off[row] + flat.field("end").to_numpy(), -1)
-    gone = np.cumsum(depth[:-1]) > 0
+    gone = np.cumsum(depth[:-1], dtype=np.int32) > 0
     a, b = tx.segments(gone, off)
     doc = tx.owners(off, a)
     merged = pa.ListArray.from_arrays(
