@@ -17,6 +17,9 @@ from stepwise.llm.storage import saved, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+# Text that is segmented at once: less than alone, as workers of earlier stages still hold memory.
+SLICE_BYTES = 1 << 20
+
 
 def _known(docs: DataFrame) -> DataFrame:
     """The columns of ``documents``; others are left behind."""
@@ -72,7 +75,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     key = F.struct("doc_id", "mix_slot", "mix_place")
     coded = piece_codec.encode_documents(_mixed(docs).withColumn("doc_id", key),
-                                         tokenizer_path("piece_bpe_32k.model"))
+                                         tokenizer_path("piece_bpe_32k.model"), slice_bytes=SLICE_BYTES)
     return coded.select("doc_id.doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "exact",
                         "doc_id.mix_slot", "doc_id.mix_place")
 
