@@ -138,11 +138,22 @@ def points_for_table(id_df: DataFrame, means: DataFrame, stddev: float = RELATIV
 def kmeans_points(spark: SparkSession, n: int, k: int, skew: list[int] | None = None,
                   partitions: int | None = None, stddev: float = RELATIVE_STDDEV,
                   value_range: float = DEFAULT_RANGE, seed: int = 0) -> DataFrame:
-    if not 1 <= k <= MAX_MEANS:
-        raise ValueError("between 1 and %d means are required" % MAX_MEANS)
+    """Points around k uniform means; beyond ``MAX_MEANS`` the means stay a table that is joined."""
+    if k < 1:
+        raise ValueError("at least one mean is required")
+    points = ids(spark, n, partitions)
+    if k > MAX_MEANS:
+        means = centers_for(ids(spark, k), value_range=value_range, seed=seed)
+        if skew and len(skew) == k:
+            first = means.agg(F.min("id")).first()[0]
+            weights = spark.createDataFrame([(first + i, int(w)) for i, w in enumerate(skew)], "id int, weight long")
+            means = means.join(weights, "id")
+        else:
+            means = means.withColumn("weight", F.lit(1).cast("long"))
+        return points_for_table(points, means, stddev, value_range, seed=seed)
     means = [(int(r["id"]), float(r["x"]), float(r["y"]))
              for r in uniform_centers(spark, k, value_range=value_range, seed=seed).collect()]   # k rows
-    return points_for(ids(spark, n, partitions), means, skew, stddev, value_range, seed=seed)
+    return points_for(points, means, skew, stddev, value_range, seed=seed)
 
 
 def samples_for(id_df: DataFrame, salt: str = "samples", seed: int = 0) -> DataFrame:

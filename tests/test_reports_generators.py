@@ -113,3 +113,13 @@ def test_proposal_without_samples(spark):
     jobs = spark.createDataFrame([("j", 32, 320), ("idle", 32, 320)], "job string, current int, slots int")
     got = {r.job: r.parallelism for r in rp.parallelism_proposal(s, jobs).collect()}
     assert got == {"j": 16, "idle": -1}
+
+
+def test_job_generator_takes_any_number_of_means(spark, monkeypatch):
+    """More means than a list may have: the same points from a joined table, with and without weights."""
+    for skew in (None, [1, 0, 5, 2, 1, 1, 9, 1, 1, 1, 1, 3]):
+        listed = rows(gen.kmeans_points(spark, 500, 12, skew, 3), nd=9)
+        with monkeypatch.context() as m:
+            m.setattr(gen, "MAX_MEANS", 4)
+            assert rows(gen.kmeans_points(spark, 500, 12, skew, 3), nd=9) == listed
+    assert gen.kmeans_points(spark, 300, 200_000).count() == 300
