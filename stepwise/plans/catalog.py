@@ -74,6 +74,13 @@ def _done(res):
     return res
 
 
+def _released(res) -> DataFrame:
+    """The result of a loop, checkpointed, and its state files given up."""
+    out = res.df.checkpoint()
+    res.extra["release"]()
+    return out
+
+
 @contextmanager
 def _folder(spark: SparkSession, name: str):
     """A scratch folder in the shared checkpoint folder, deleted at the end."""
@@ -285,7 +292,7 @@ def q_cc_delta_iter(spark, sf):
 @query("cc_staged", sql.components(CC_STEPS))
 def q_cc_staged(spark, sf):
     with _folder(spark, "cc") as path:
-        return _done(cc.components_staged(tb.cc_edges(spark, sf), path, CC_STEPS)).df.checkpoint()
+        return _released(_done(cc.components_staged(tb.cc_edges(spark, sf), path, CC_STEPS)))
 
 
 def _scale_links(edges: DataFrame, split_rows: int | None = None) -> g.Links:
@@ -319,9 +326,7 @@ def q_cc_counters(spark, sf):
 def q_cc_delta_lookup(spark, sf):
     """E2 as for large graphs: links and state in files by hash bucket, late steps look up their keys."""
     res = _done(cc.components_delta(tb.cc_edges(spark, sf), CC_STEPS, lookup=True))
-    out = res.df.checkpoint()
-    res.extra["release"]()
-    return out
+    return _released(res)
 
 
 @query("cc_lookup_counters", sql.cc_delta_counters(CC_STEPS))
@@ -413,7 +418,7 @@ def q_pagerank_delta(spark, sf):
 @query("pagerank_staged", sql.pagerank_delta(sql.PR_LINKS, PR_STEPS))
 def q_pagerank_staged(spark, sf):
     with _folder(spark, "pagerank") as path:
-        return _rounded_ranks(prp.pagerank_staged(tb.pr_links(spark, sf), path, max_iter=PR_STEPS).df).checkpoint()
+        return _rounded_ranks(_released(prp.pagerank_staged(tb.pr_links(spark, sf), path, max_iter=PR_STEPS)))
 
 
 def _delta_counts(res) -> list[tuple[int, int]]:

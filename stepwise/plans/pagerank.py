@@ -85,6 +85,7 @@ def pagerank_delta(links: DataFrame, num_pages: int | None = None, max_iter: int
     finally:
         if prepared is None:
             lk.unpersist()
+    res.extra["release"] = getattr(store, "close", lambda: None)
     res.extra["num_pages"] = n
     return res
 
