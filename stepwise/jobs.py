@@ -42,7 +42,7 @@ def run_pagerank(spark: SparkSession, a) -> None:
         res = pr.pagerank_delta(links, a.num_pages, a.max_iter, a.threshold, counters=True)
     else:
         res = pr.pagerank_staged(links, a.state, a.num_pages, a.max_iter, a.threshold,
-                                 adaptive_rows=a.adaptive_rows)
+                                 adaptive_rows=a.adaptive_rows, resume=a.resume)
     tx.write_rows(res.df.select("id", "rank"), a.out)
     _counters(res)
 
@@ -54,7 +54,7 @@ def run_components(spark: SparkSession, a) -> None:
     elif a.mode == "delta":
         res = cc.components_delta(edges, a.max_iter, counters=True)
     else:
-        res = cc.components_staged(edges, a.state, a.max_iter)
+        res = cc.components_staged(edges, a.state, a.max_iter, resume=a.resume)
     tx.write_rows(res.df.select("v", "comp"), a.out)
     _counters(res)
 
@@ -65,7 +65,8 @@ def run_kmeans(spark: SparkSession, a) -> None:
     if a.mode == "bulk":
         res = kmp.kmeans_bulk(points, centers, a.iterations)
     else:
-        res = kmp.kmeans_staged(points, centers, a.state, a.iterations, adaptive_rows=a.adaptive_rows)
+        res = kmp.kmeans_staged(points, centers, a.state, a.iterations, adaptive_rows=a.adaptive_rows,
+                                resume=a.resume)
     out = kmp.final_assignment(points, res).select("cluster", "x", "y")
     tx.write_rows(out, a.out, mode="overwrite" if a.overwrite else "errorifexists")
 
@@ -76,7 +77,7 @@ def run_linreg(spark: SparkSession, a) -> None:
     if a.mode == "bulk":
         res = lrp.linreg_bulk(samples, start, a.iterations, a.rate)
     else:
-        res = lrp.linreg_staged(samples, start, a.state, a.iterations, a.rate)
+        res = lrp.linreg_staged(samples, start, a.state, a.iterations, a.rate, resume=a.resume)
     tx.write_params(res.df, a.out)
 
 
@@ -103,6 +104,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--max-iter", type=int, default=10)
     s.add_argument("--threshold", type=float, default=0.1)
     s.add_argument("--state")
+    s.add_argument("--resume", action="store_true", help="go on from the state of a staged run")
     s.add_argument("--adaptive-rows", type=int, default=None)
     s.set_defaults(fn=run_pagerank)
 
@@ -112,6 +114,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--mode", choices=["bulk", "delta", "staged"], default="delta")
     s.add_argument("--max-iter", type=int, default=10)
     s.add_argument("--state")
+    s.add_argument("--resume", action="store_true", help="go on from the state of a staged run")
     s.set_defaults(fn=run_components)
 
     s = sub.add_parser("kmeans")
@@ -121,6 +124,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--mode", choices=["bulk", "staged"], default="bulk")
     s.add_argument("--iterations", type=int, default=10)
     s.add_argument("--state")
+    s.add_argument("--resume", action="store_true", help="go on from the state of a staged run")
     s.add_argument("--adaptive-rows", type=int, default=None)
     s.add_argument("--overwrite", action="store_true")
     s.set_defaults(fn=run_kmeans)
@@ -134,6 +138,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--iterations", type=int, default=10)
     s.add_argument("--rate", type=float, default=0.01)
     s.add_argument("--state")
+    s.add_argument("--resume", action="store_true", help="go on from the state of a staged run")
     s.set_defaults(fn=run_linreg)
 
     s = sub.add_parser("gen-kmeans")

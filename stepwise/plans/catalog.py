@@ -43,6 +43,7 @@ SPLIT_ROWS = 3          # of the salted variants: most test sources count as hot
 LIST_ROWS = 4           # of the adjacency lists: most sources span several chunks
 KM_STEPS = 10
 KM_START = [(1, 10.0, 10.0), (2, 20.0, 30.0), (3, 30.0, 50.0), (4, 40.0, 70.0), (5, 50.0, 90.0)]
+RESUME_AFTER = 3            # steps of the first run of a loop that is resumed
 LR_STEPS = 10
 LR_START = (0.0, 0.0)
 GEN_MEANS_K = 5
@@ -295,6 +296,15 @@ def q_cc_staged(spark, sf):
         return _released(_done(cc.components_staged(tb.cc_edges(spark, sf), path, CC_STEPS)))
 
 
+@query("cc_resumed", sql.components(CC_STEPS))
+def q_cc_resumed(spark, sf):
+    """A staged loop that ended after three steps goes on from its files."""
+    edges = tb.cc_edges(spark, sf)
+    with _folder(spark, "cc-resumed") as path:
+        cc.components_staged(edges, path, RESUME_AFTER).extra["release"]()
+        return _released(_done(cc.components_staged(edges, path, CC_STEPS, resume=True)))
+
+
 def _scale_links(edges: DataFrame, split_rows: int | None = None) -> g.Links:
     """Links as at scale: every state is shuffled, and with ``split_rows`` hot sources are salted."""
     lk = g.Links(edges, split_rows=split_rows, broadcast_state=False, count_vertices=True)
@@ -421,6 +431,26 @@ def q_pagerank_staged(spark, sf):
         return _rounded_ranks(_released(prp.pagerank_staged(tb.pr_links(spark, sf), path, max_iter=PR_STEPS)))
 
 
+@query("pagerank_resumed", sql.pagerank_delta(sql.PR_LINKS, PR_STEPS))
+def q_pagerank_resumed(spark, sf):
+    """The staged ranks, in two runs over one folder of state."""
+    links = tb.pr_links(spark, sf)
+    with _folder(spark, "pagerank-resumed") as path:
+        prp.pagerank_staged(links, path, max_iter=RESUME_AFTER).extra["release"]()
+        return _rounded_ranks(_released(prp.pagerank_staged(links, path, max_iter=PR_STEPS, resume=True)))
+
+
+@query("resumed_counters", sql.pagerank_counters(sql.PR_LINKS, PR_STEPS))
+def q_resumed_counters(spark, sf):
+    """M1 across a restart: the counters of both runs are those of one."""
+    links = tb.pr_links(spark, sf)
+    with _folder(spark, "counters-resumed") as path:
+        for steps in (RESUME_AFTER, PR_STEPS):
+            res = prp.pagerank_delta(links, max_iter=steps, state_dir=path, counters=True, resume=True)
+            res.extra["release"]()
+    return res.stats().where("operator <> 'pagerank-solution'")
+
+
 def _delta_counts(res) -> list[tuple[int, int]]:
     return [(i, n) for op, i, n in res.counts if op == "pagerank-delta"]
 

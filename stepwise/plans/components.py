@@ -44,7 +44,8 @@ def components_delta(edges: DataFrame, max_iter: int = 10, *, directed: bool = F
                      store: StateStore | None = None, prepared: g.Links | None = None,
                      state_dir: str | None = None, lookup: bool | None = None,
                      partitions: Callable[[int], int | None] | None = None,
-                     counters: bool = False, partition_stats: bool = False) -> IterationResult:
+                     counters: bool = False, partition_stats: bool = False,
+                     resume: bool = False) -> IterationResult:
     """Only vertices whose component changed offer it again.
 
     A step joins the workset to its links (J1), takes the minimum per target
@@ -57,7 +58,7 @@ def components_delta(edges: DataFrame, max_iter: int = 10, *, directed: bool = F
     ``LOOKUP_LINKS`` links on) links and state lie in files by hash bucket, and a
     workset of a few rows reads the links and components of its own keys only.
     Prepared links, hot sources and given ``partitions`` or stores scan all
-    links.  ``state_dir`` keeps all state files.
+    links.  ``state_dir`` keeps all state files, from which ``resume`` goes on.
     """
     und = edges if directed else g.undirected(edges)
     spark, files = edges.sparkSession, []
@@ -93,7 +94,8 @@ def components_delta(edges: DataFrame, max_iter: int = 10, *, directed: bool = F
         res = delta_iterate(init, init, step, max_iter, key="v", merge=g.cc_update, fold=g.cc_fold,
                             rewrite=rewrite, tail=tail if lk.in_files else None, store=store,
                             save_final=state_dir is not None, partitions=partitions, layout=lk.layout,
-                            counters=counters, partition_stats=partition_stats, initial_rows=lk.n_sources, name="components")
+                            counters=counters, partition_stats=partition_stats, initial_rows=lk.n_sources,
+                            resume=resume, name="components")
     finally:
         if prepared is None:
             lk.unpersist()
@@ -105,12 +107,14 @@ def components_delta(edges: DataFrame, max_iter: int = 10, *, directed: bool = F
 
 def components_staged(edges: DataFrame, state_dir: str, max_iter: int = 10, *,
                       directed: bool = False, prepared: g.Links | None = None,
-                      partitions: Callable[[int], int | None] | None = None) -> IterationResult:
+                      partitions: Callable[[int], int | None] | None = None,
+                      resume: bool = False) -> IterationResult:
     """The delta job with its state in files: the delta of every step that
     writes one (``components-delta``) and the merged solution whenever the
     deltas outgrow it and at the end (``components-solution``).
 
     Stops on an empty delta (the result is the same as running all steps).
+    ``resume`` goes on after the last finished step in ``state_dir``.
     """
     return components_delta(edges, max_iter, directed=directed, state_dir=state_dir, prepared=prepared,
-                            partitions=partitions)
+                            partitions=partitions, resume=resume)

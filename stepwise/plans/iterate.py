@@ -22,12 +22,14 @@ from __future__ import annotations
 import functools
 import inspect
 import itertools
+import json
 import time
 import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Callable, Protocol
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,10 @@ class ParquetStore:
         df.write.mode("overwrite").parquet(p)
         return df.sparkSession.read.schema(df.schema).parquet(p)
 
+    def load(self, spark: SparkSession, entry: dict) -> DataFrame:
+        """A state that an earlier loop saved, by its entry in a commit record."""
+        return spark.read.schema(entry["columns"]).parquet(self.path(entry["name"], entry["iteration"]))
+
 
 class BucketStore:
     """Iteration state as tables hash-bucketed by ``key`` and sorted by it.
@@ -109,6 +115,16 @@ class BucketStore:
         writer.saveAsTable(table)
         return self.spark.table(table)
 
+    def load(self, spark: SparkSession, entry: dict) -> DataFrame:
+        """A state that an earlier loop saved under ``root``, with the buckets it was written in."""
+        path = f"{self.root}/{entry['name']}/iteration_{entry['iteration']}"
+        if not entry["buckets"]:
+            return spark.read.schema(entry["columns"]).parquet(path)
+        table = self.table(entry["name"], entry["iteration"])
+        spark.sql(f"CREATE TABLE {table} ({entry['columns']}) USING parquet CLUSTERED BY ({self.key}) "
+                  f"SORTED BY ({self.key}) INTO {entry['buckets']} BUCKETS LOCATION '{path}'")
+        return spark.table(table)
+
     def drop(self, name: str, iteration: int) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table(name, iteration)}")
 
@@ -139,6 +155,74 @@ class DriverStore:
         self.last = rows
         return df.sparkSession.createDataFrame(rows, df.schema)
 
+    @property
+    def root(self) -> str | None:
+        return getattr(self.then, "root", None)
+
+    def load(self, spark: SparkSession, entry: dict) -> DataFrame:
+        df = self.then.load(spark, entry)
+        self.last = df.take(self.limit + 1)
+        return df
+
+
+class Commits:
+    """What a staged loop has finished, ``<root>/<name>-commits``.
+
+    A record is written after everything a superstep saves, and a superstep
+    overwrites no state that the record before it names; so the last record is
+    always a state to go on from, whenever the loop was stopped.  A record is
+    one row whatever the size of the state: counts, and for every state the
+    place, columns and buckets of its files.
+    """
+
+    SCHEMA = "iteration int, final boolean, record string"
+
+    def __init__(self, spark: SparkSession, root: str, name: str):
+        self.spark, self.path = spark, f"{root.rstrip('/')}/{name}-commits"
+
+    def _rows(self, n: int, *values) -> DataFrame:
+        named = zip(("iteration", "final", "record"), values)
+        return self.spark.range(0, n, 1, 1).select(*[F.lit(v).alias(c) for c, v in named])
+
+    def start(self) -> None:
+        """A new loop: earlier records in the folder no longer hold."""
+        self._rows(0, 0, False, "").write.mode("overwrite").parquet(self.path)
+
+    def write(self, iteration: int, final: bool = False, **record) -> None:
+        self._rows(1, iteration, final, json.dumps(record)).write.mode("append").parquet(self.path)
+
+    def last(self) -> dict | None:
+        """The last record; None if no superstep was finished."""
+        try:
+            got = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        row = got.orderBy(F.desc("iteration"), F.desc("final")).first()
+        return row and {"iteration": row["iteration"], **json.loads(row["record"])}
+
+    @staticmethod
+    def entry(store: StateStore, saved: DataFrame, name: str, iteration: int, flag: str | None = None) -> dict:
+        """How to find a saved state again; ``flag`` marks the rows that are the workset."""
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in saved.schema)
+        return {"name": name, "iteration": iteration, "columns": columns, "flag": flag,
+                "buckets": getattr(store, "buckets", None)}
+
+
+def _commits(spark: SparkSession, store: StateStore, name: str, resume: bool) -> tuple[Commits | None, dict | None]:
+    """The commit records of a loop, if its store keeps every step, and the record to go on from."""
+    root = getattr(store, "root", None)
+    if not root:
+        if resume:
+            raise ValueError("only a loop whose store keeps every step can be resumed")
+        return None, None
+    book = Commits(spark, root, name)
+    record = book.last() if resume else None
+    if record is None:
+        book.start()
+    return book, record
+
 
 @dataclass
 class IterationResult:
@@ -294,6 +378,7 @@ def bulk_iterate(initial: DataFrame,
                  partitions: Callable[[int], int | None] | None = None,
                  layout: int | None = None,
                  initial_rows: int | None = None,
+                 resume: bool = False,
                  name: str = "state") -> IterationResult:
     """Bulk iteration: the whole state is replaced every superstep.
 
@@ -302,12 +387,21 @@ def bulk_iterate(initial: DataFrame,
     step adds a boolean column of that name; the loop ends after the first
     step in which no row has it set (I2: "criterion data set is empty"), or at
     ``max_iter``.  Superstep numbers start at 1.
+
+    With a store that keeps every step, ``resume`` goes on after the last
+    superstep that was finished in its folder (from the start if none was);
+    ``counts`` include the earlier steps, ``step_ms`` does not.
     """
     store = store or CheckpointStore()
     state, rows, converged, i = initial, initial_rows, False, 0
     spark = initial.sparkSession
     counts, times, meter = [], [], Meter()
-    for i in range(1, max_iter + 1):
+    book, record = _commits(spark, store, name, resume)
+    if record:
+        i, rows, converged = record["iteration"], record["rows"], record["converged"]
+        counts = [tuple(c) for c in record["counts"]]
+        state = store.load(spark, record["state"])
+    for i in range(i + 1, i + 1 if converged else max_iter + 1):
         t0 = time.perf_counter()
         with step_plan(spark, partitions, i, rows, layout if store.keeps_layout else None) as par:
             nxt = step(state, i, **_extras(step, rows=rows, meter=meter))
@@ -316,9 +410,11 @@ def bulk_iterate(initial: DataFrame,
         counts += meter.take(i) + [(name, i, rows)]
         if stop_flag:
             counts.append((name + "-criterion", i, flagged))
-            if flagged == 0:
-                converged = True
-                break
+            converged = flagged == 0
+        if book:
+            book.write(i, rows=rows, converged=converged, counts=counts, state=book.entry(store, state, name, i))
+        if converged:
+            break
     return IterationResult(state, i, converged, counts, step_ms=times)
 
 
@@ -366,6 +462,7 @@ def delta_iterate(solution: DataFrame, workset: DataFrame,
                   counters: bool = False,
                   partition_stats: bool = False,
                   initial_rows: int | None = None,
+                  resume: bool = False,
                   name: str = "delta") -> IterationResult:
     """Delta iteration (I3): keyed solution set plus a shrinking workset.
 
@@ -389,13 +486,19 @@ def delta_iterate(solution: DataFrame, workset: DataFrame,
     the driver and returns the rows of the delta, or None to decline; such a
     step can look its keys up instead of scanning, and writes nothing unless
     the store is to keep every step (``keeps_steps``).
+
+    With a store that keeps every step, ``resume`` goes on after the last
+    superstep that was finished in its folder (from the start if none was):
+    base, log and workset are read from the files its commit record names.
+    The caller gives the same first solution and workset as before.  ``counts``
+    include the earlier steps, ``step_ms`` and ``partition_counts`` do not.
     """
     store = store or CheckpointStore()
     merge = merge or (lambda s, d: upsert(s, d, key))
     fold = fold or (lambda log: newest(log, key))
     spark = solution.sparkSession
     drop = getattr(store, "drop", lambda *_: None)
-    keeps_steps = isinstance(store, ParquetStore) or getattr(store, "root", None) is not None
+    keeps_steps = getattr(store, "root", None) is not None
     converged = False
     i, n_ws, n_base = 0, initial_rows, initial_rows
     base, log, n_log, rows, held = solution, [], 0, None, []
@@ -403,6 +506,34 @@ def delta_iterate(solution: DataFrame, workset: DataFrame,
     meter = Meter() if counters else NoMeter()
     if n_ws is not None:
         counts.append((name + "-initial", 0, n_ws))
+    # where base, log and workset lie, for the commit record
+    files = {"base": None, "log": [], "workset": None}
+    book, record = _commits(spark, store, name, resume)
+    if record:
+        i, converged, files = record["iteration"], record["converged"], record["files"]
+        counts = [tuple(c) for c in record["counts"]]
+        n_ws, n_base, n_log = record["sizes"]
+        loaded = {}
+
+        def load(entry: dict) -> DataFrame:
+            at = entry["name"], entry["iteration"]
+            if at not in loaded:
+                loaded[at] = store.load(spark, entry)
+            return loaded[at]
+
+        if files["base"]:
+            base = load(files["base"]).select(*solution.columns)
+        log = [load(e).select(*workset.columns) for e in files["log"]]
+        if files["workset"]:
+            flag = files["workset"]["flag"]
+            workset = load(files["workset"])
+            workset = workset.where(flag).drop(flag) if flag else workset
+        if tail and n_ws <= TAIL_ROWS:
+            rows = workset.collect()
+
+    def commit(final: bool = False) -> None:
+        if book:
+            book.write(i, final, converged=converged, counts=counts, sizes=[n_ws, n_base, n_log], files=files)
 
     def current() -> DataFrame:
         return merge(base, fold(log)) if log else base
@@ -414,9 +545,10 @@ def delta_iterate(solution: DataFrame, workset: DataFrame,
         counts.append((name + "-solution", step_no, n_base))
         stale, held = held, [(name + "-solution", step_no)]
         base, log, n_log = saved.drop(flag) if flag else saved, [], 0
+        files["base"], files["log"] = Commits.entry(store, saved, name + "-solution", step_no, flag), []
         return saved, flagged, stale
 
-    for i in range(1, max_iter + 1):
+    for i in range(i + 1, i + 1 if converged else max_iter + 1):
         t0 = time.perf_counter()
         stale, done = [], None
         with step_plan(spark, partitions, i, n_ws, layout if store.keeps_layout else None) as par:
@@ -429,6 +561,8 @@ def delta_iterate(solution: DataFrame, workset: DataFrame,
                 workset = spark.createDataFrame(done, schema)
                 if keeps_steps and n_ws:
                     workset = store.save(workset.coalesce(1), name + "-delta", i)
+                    files["workset"] = Commits.entry(store, workset, name + "-delta", i)
+                    files["log"] = [*files["log"], files["workset"]]
                 counts += meter.take(i) + [(name + "-delta", i, n_ws)]
                 if partition_stats:
                     per_part.append(partition_counts(workset, name + "-delta", i))
@@ -438,7 +572,7 @@ def delta_iterate(solution: DataFrame, workset: DataFrame,
             elif rewrite and large:
                 nxt = rewrite(current(), workset, i, **_extras(rewrite, rows=n_ws, meter=meter))
                 saved, n_ws, stale = compacted(nxt, i, "changed")
-                workset = saved.where("changed").drop("changed")
+                workset, files["workset"] = saved.where("changed").drop("changed"), files["base"]
                 counts += meter.take(i) + [(name + "-delta", i, n_ws)]
                 if partition_stats:
                     per_part.append(partition_counts(workset, name + "-delta", i))
@@ -450,13 +584,16 @@ def delta_iterate(solution: DataFrame, workset: DataFrame,
                 counts += meter.take(i) + [(name + "-delta", i, n_delta)]
                 if partition_stats:
                     per_part.append(partition_counts(delta, name + "-delta", i))
+                found = Commits.entry(store, delta, name + "-delta", i)
                 if same:
-                    workset, n_ws = delta, n_delta
+                    workset, n_ws, files["workset"] = delta, n_delta, found
                 else:
                     workset, n_ws, _ = save_counted(next_ws, store, name + "-workset", i)
                     counts.append((name + "-workset", i, n_ws))
+                    files["workset"] = Commits.entry(store, workset, name + "-workset", i)
                 if n_delta:
                     log, n_log = [*log, delta], n_log + n_delta
+                    files["log"] = [*files["log"], found]
             if n_log and (n_base is None or n_log > compact_share * n_base):
                 _, _, stale = compacted(current(), i)
                 # the last delta is still read as the workset
@@ -467,13 +604,15 @@ def delta_iterate(solution: DataFrame, workset: DataFrame,
                 for x in stale:
                     if x not in held:
                         drop(*x)
+        converged = n_ws == 0
+        commit()
         times.append((i, int((time.perf_counter() - t0) * 1000), par))
-        if n_ws == 0:
-            converged = True
+        if converged:
             break
     if log and save_final:
         with step_plan(spark, partitions, i, n_ws, layout if store.keeps_layout else None):
             compacted(current(), i)
+        commit(final=True)
     return IterationResult(current(), i, converged, counts, partition_counts=per_part,
                            step_ms=times)
 

@@ -56,7 +56,7 @@ def _by_place(points: DataFrame, partitions: int) -> DataFrame:
 
 
 def _run(points: DataFrame, centers: DataFrame, iterations: int, then: StateStore | None,
-         partitions: Callable | None, persist: bool, joined: bool | None) -> IterationResult:
+         partitions: Callable | None, persist: bool, joined: bool | None, resume: bool = False) -> IterationResult:
     start = centers.select("id", "x", "y")
     first = None if joined else km.collect_centers(start)
     boxes = first is not None and len(first) > km.MAX_UNROLLED_CENTERS
@@ -81,7 +81,7 @@ def _run(points: DataFrame, centers: DataFrame, iterations: int, then: StateStor
         return km.kmeans_step(part, current(state), grid, cells)
 
     store = (then or CheckpointStore()) if grid else DriverStore(km.MAX_BROADCAST_CENTERS, then)
-    res = bulk_iterate(start, step, iterations, store=store, name="centers")
+    res = bulk_iterate(start, step, iterations, store=store, resume=resume, name="centers")
     res.extra["centers"], res.extra["grid"] = current(res.df), grid
     if cells:
         cells.unpersist()
@@ -103,15 +103,16 @@ def kmeans_bulk(points: DataFrame, centers: DataFrame, iterations: int = 10, *,
 
 def kmeans_staged(points: DataFrame, centers: DataFrame, state_dir: str, iterations: int = 10, *,
                   partitions: Callable | None = None, adaptive_rows: int | None = None,
-                  persist: bool = True, joined: bool | None = None) -> IterationResult:
+                  persist: bool = True, joined: bool | None = None, resume: bool = False) -> IterationResult:
     """The same steps with centers written per step.
 
     ``adaptive_rows`` sizes every step by ``by_rows`` over the points.  The
-    final assignment uses the state of the last step.
+    final assignment uses the state of the last step.  ``resume`` goes on after
+    the last finished step in ``state_dir``.
     """
     if adaptive_rows and partitions is None:
         partitions = by_rows(adaptive_rows)
-    return _run(points, centers, iterations, ParquetStore(state_dir), partitions, persist, joined)
+    return _run(points, centers, iterations, ParquetStore(state_dir), partitions, persist, joined, resume)
 
 
 def final_assignment(points: DataFrame, result: IterationResult,

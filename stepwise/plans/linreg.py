@@ -12,7 +12,7 @@ from stepwise.sources.delimited import PARAMS_SCHEMA
 
 
 def _run(samples: DataFrame, start: tuple[float, float], iterations: int, rate: float,
-         then: StateStore | None, persist: bool) -> IterationResult:
+         then: StateStore | None, persist: bool, resume: bool = False) -> IterationResult:
     if start is None:
         raise ValueError("start parameters (theta0, theta1) are required")
     s, cached = spread(samples if samples.is_cached else samples.select("x", "y"), persist)
@@ -24,7 +24,7 @@ def _run(samples: DataFrame, start: tuple[float, float], iterations: int, rate:
     first = samples.sparkSession.createDataFrame([tuple(map(float, start))], PARAMS_SCHEMA)
     store = DriverStore(1, then)
     try:
-        res = bulk_iterate(first, step, iterations, store=store, name="params")
+        res = bulk_iterate(first, step, iterations, store=store, resume=resume, name="params")
     finally:
         if cached:
             s.unpersist()
@@ -40,6 +40,9 @@ def linreg_bulk(samples: DataFrame, start: tuple[float, float], iterations: int
 
 def linreg_staged(samples: DataFrame, start: tuple[float, float], state_dir: str,
                   iterations: int = 10, rate: float = LEARNING_RATE,
-                  persist: bool = True) -> IterationResult:
-    """The same steps with the parameters written per step (I4)."""
-    return _run(samples, start, iterations, rate, ParquetStore(state_dir), persist)
+                  persist: bool = True, resume: bool = False) -> IterationResult:
+    """The same steps with the parameters written per step (I4).
+
+    ``resume`` goes on after the last finished step in ``state_dir``.
+    """
+    return _run(samples, start, iterations, rate, ParquetStore(state_dir), persist, resume)

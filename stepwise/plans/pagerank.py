@@ -50,7 +50,8 @@ def pagerank_delta(links: DataFrame, num_pages: int | None = None, max_iter: int
                    store: StateStore | None = None, prepared: g.Links | None = None,
                    state_dir: str | None = None,
                    partitions: Callable[[int], int | None] | None = None,
-                   counters: bool = False, partition_stats: bool = False) -> IterationResult:
+                   counters: bool = False, partition_stats: bool = False,
+                   resume: bool = False) -> IterationResult:
     """E5: delta PageRank.
 
     The workset holds rank deltas; each step spreads ``d * delta / deg``,
@@ -61,7 +62,7 @@ def pagerank_delta(links: DataFrame, num_pages: int | None = None, max_iter: int
     Steps do not read the ranks, so deltas stay a log that is added up once it
     is ``LOG_SHARE`` times the ranks, and when the result is read.  ``state_dir``
     keeps the state in files: by hash bucket, read without a shuffle, unless
-    ``partitions`` are given or sources are hot.
+    ``partitions`` are given or sources are hot; ``resume`` goes on from them.
     """
     lk = prepared or g.Links(links, count_vertices=num_pages is None)
     if store is None and state_dir:
@@ -81,7 +82,7 @@ def pagerank_delta(links: DataFrame, num_pages: int | None = None, max_iter: int
                             store=store, compact_share=LOG_SHARE,
                             save_final=state_dir is not None, partitions=partitions, layout=lk.layout,
                             counters=counters, partition_stats=partition_stats,
-                            initial_rows=lk.n_sources, name="pagerank")
+                            initial_rows=lk.n_sources, resume=resume, name="pagerank")
     finally:
         if prepared is None:
             lk.unpersist()
@@ -94,18 +95,19 @@ def pagerank_staged(links: DataFrame, state_dir: str, num_pages: int | None = No
                     max_iter: int = 10, threshold: float = DELTA_THRESHOLD,
                     d: float = DAMPENING, prepared: g.Links | None = None,
                     partitions: Callable[[int], int | None] | None = None,
-                    adaptive_rows: int | None = None) -> IterationResult:
+                    adaptive_rows: int | None = None, resume: bool = False) -> IterationResult:
     """Delta PageRank, one job per step, state in Parquet per step.
 
     Every step writes its deltas, the ranks are written when the deltas outgrow
     them and at the end, so the result equals ``pagerank_delta``; the stop test
     uses the delta count observed while the delta is written.  ``adaptive_rows`` sets each step's
-    parallelism from the previous step's workset (``by_rows``).
+    parallelism from the previous step's workset (``by_rows``).  ``resume`` goes on
+    after the last finished step in ``state_dir``.
     """
     if adaptive_rows and partitions is None:
         partitions = by_rows(adaptive_rows)
     return pagerank_delta(links, num_pages, max_iter, threshold, d, state_dir=state_dir,
-                          prepared=prepared, partitions=partitions)
+                          prepared=prepared, partitions=partitions, resume=resume)
 
 
 def pagerank_delta_sweep(links: DataFrame, thresholds: list[float],
