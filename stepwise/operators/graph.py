@@ -6,10 +6,11 @@ edges into a multiplicity, ``deg`` is the out-degree counting parallel
 edges - hash-partitioned once on ``(src, salt)`` and persisted, so a
 superstep shuffles only the small state side and the contributions.
 
-Skew: a source with very many distinct targets is split over several
-``salt`` buckets; only those few hot sources have their state replicated
-per bucket.  The hot-source table is broadcast up to a checked size and
-joined by a shuffle beyond it.
+Skew: the links of a source with very many distinct targets lie in a table
+of their own, spread over all partitions; the state of these few hot sources
+is broadcast to it, while all others keep the partitioning of their state.
+Beyond a checked number of hot sources they are split over several ``salt``
+buckets instead, and their state is replicated per bucket by a shuffle.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ MIN_SPLIT_ROWS = 100_000
 MAX_LIST_NEIGHBORS = 100_000
 # Target rows of the link table per partition when no count is given.
 ROWS_PER_PARTITION = 4_000_000
-# Most rows of the hot-source table that are broadcast (two ints per row).
+# Most hot sources whose ids and state rows are broadcast.
 MAX_BROADCAST_HOT = 100_000
 # Most rows that a tail step, which looks up its keys, brings to the driver.
 MAX_TAIL_ROWS = 100_000
@@ -142,12 +143,17 @@ class Links:
     the state of every superstep, however small.  ``save`` (a function of a
     table, its key and the number of partitions) puts the table into files by
     hash bucket instead of the cache, where few sources can be looked up, if
-    there are at least ``save_from`` links; links of hot sources stay in the cache.
+    there are at least ``save_from`` links; with hot sources all stay in the cache.
+
+    Up to ``max_hot`` hot sources have their links in ``hot_table``,
+    spread by target, and the others in ``table`` (``two_way``); with more,
+    ``table`` holds all links, salted.
     """
 
     def __init__(self, edges: DataFrame, partitions: int | None = None,
                  split_rows: int | None = None, persist: bool = True,
-                 count_vertices: bool = False, broadcast_state: bool = True, save=None, save_from: int = 0):
+                 count_vertices: bool = False, broadcast_state: bool = True, save=None, save_from: int = 0,
+                 max_hot: int = MAX_BROADCAST_HOT):
         spark = edges.sparkSession
         self.broadcast_state = broadcast_state
         per_src = out_degree(edges)
@@ -167,15 +173,25 @@ class Links:
         # buckets of the hot sources: how many rows more a salted state can have
         self.n_hot, self.n_buckets = (int(x or 0) for x in self.hot.agg(
             F.count(F.lit(1)), F.sum("nsalt")).first()) if widest > split_rows else (0, 0)
-        self.keys = ["src", "salt"] if self.n_hot else ["src"]
+        self.two_way = 0 < self.n_hot <= max_hot
+        self.salted = self.n_hot > 0 and not self.two_way
+        self.hot_table = None
+        if self.two_way:
+            ids = F.broadcast(self.hot.select("src"))
+            few = F.broadcast(per_src.where(F.col("deg") > split_rows))
+            self.hot_table = (edges.select("src", "dst").join(ids, "src", "left_semi")
+                              .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
+                              .join(few, "src").select("src", F.lit(0).alias("salt"), "dst", "w", "deg"))
+            edges = edges.select("src", "dst").join(ids, "src", "left_anti")
+        self.keys = ["src", "salt"] if self.salted else ["src"]
         salted = self._with_salts(edges.select("src", "dst"), "src", F.pmod(
             F.xxhash64("dst"), F.coalesce("nsalt", F.lit(1))).cast("int"))
-        degs = self._explode_salts(per_src, "src") if self.n_hot else per_src.withColumn("salt", F.lit(0))
+        degs = self._explode_salts(per_src, "src") if self.salted else per_src.withColumn("salt", F.lit(0))
         table = (salted.repartition(self.partitions, *self.keys)
                  .groupBy("src", "salt", "dst").agg(F.count(F.lit(1)).alias("w"))
                  .join(degs.repartition(self.partitions, *self.keys).hint("shuffle_hash"),
-                       ["src", "salt"] if self.n_hot else "src")
-                 .select("src", salted["salt"] if self.n_hot else F.lit(0).alias("salt"), "dst", "w", "deg"))
+                       ["src", "salt"] if self.salted else "src")
+                 .select("src", salted["salt"] if self.salted else F.lit(0).alias("salt"), "dst", "w", "deg"))
         self.table = table
         # one row per source: (src, deg); the start set of PageRank and components
         self.sources = self._per_src = per_src
@@ -187,6 +203,9 @@ class Links:
                 self.vertex_count = self.count_vertices()
         elif persist:
             self.table = self.table.persist(StorageLevel.MEMORY_AND_DISK)
+            if self.two_way:
+                self.hot_table = self.hot_table.persist(StorageLevel.MEMORY_AND_DISK)
+                self.hot_table.count()
             if count_vertices:
                 self.vertex_count = self.count_vertices()   # this scan fills the cache
             else:
@@ -196,22 +215,21 @@ class Links:
     def layout(self) -> int | None:
         """Partitions by ``src`` that loop state can keep between supersteps.
 
-        None with hot sources: their state must be spread anew in each step.
+        None with salted sources: their state must be spread anew in each step.
         """
-        return None if self.n_hot else self.partitions
+        return None if self.salted else self.partitions
 
     def count_vertices(self) -> int:
         """Distinct ids among sources and targets (numPages)."""
-        t = self.table
+        t = self.table.unionByName(self.hot_table) if self.two_way else self.table
         return (t.select(F.col("src").alias("id")).union(t.select(F.col("dst").alias("id")))
                 .distinct().count())
 
     def _with_salts(self, df: DataFrame, key: str, salt) -> DataFrame:
         """``df`` plus a ``salt`` column, an expression over ``nsalt`` (null if not hot)."""
-        if not self.n_hot:
+        if not self.salted:
             return df.withColumn("salt", F.lit(0))
         h = self.hot.withColumnRenamed("src", "__hk")
-        h = F.broadcast(h) if self.n_hot <= MAX_BROADCAST_HOT else h
         j = df.join(h, df[key] == h["__hk"], "left")
         return j.select(*df.columns, salt.alias("salt"))
 
@@ -226,23 +244,29 @@ class Links:
         link table is never shuffled.  The state side is broadcast when its
         measured row count ``rows``, with what salting can add, fits the
         session's broadcast threshold (``broadcast_rows``); otherwise it is shuffled to the link partitioning
-        and used as the hash-join build side.
+        and used as the hash-join build side.  With ``two_way`` links that is the
+        way of the cold sources; the state rows of hot ones, at most one per hot
+        source (and tag), are broadcast to their own links.
         """
-        if self.n_hot:
+        if self.salted:
             state = self._explode_salts(state, key)
             out_cols = [c for c in state.columns if c != "salt"]
         else:
             out_cols = state.columns
         small = (self.broadcast_state and rows is not None
-                 and rows + self.n_buckets <= broadcast_rows(state.sparkSession))
+                 and rows + (self.n_buckets if self.salted else 0) <= broadcast_rows(state.sparkSession))
         s = F.broadcast(state) if small else state.hint("shuffle_hash")
         s, lt = s.alias("__s"), self.table.alias("__l")
         cond = F.col(f"__s.{key}") == F.col("__l.src")
-        if self.n_hot:
+        if self.salted:
             cond = cond & (F.col("__s.salt") == F.col("__l.salt"))
-        j = s.join(lt, cond)
-        return j.select(*[F.col(f"__s.{c}") for c in out_cols],
-                        F.col("__l.dst"), F.col("__l.w"), F.col("__l.deg"))
+        out = [*[F.col(f"__s.{c}") for c in out_cols], F.col("__l.dst"), F.col("__l.w"), F.col("__l.deg")]
+        found = s.join(lt, cond).select(*out)
+        if not self.two_way:
+            return found
+        ids = F.broadcast(self.hot.select(F.col("src").alias(key)))
+        hot = F.broadcast(state.join(ids, key, "left_semi").alias("__s"))
+        return found.unionByName(self.hot_table.alias("__l").join(hot, cond).select(*out))
 
     def few(self, rows: list) -> bool:
         """Whether the links of these state rows can be looked up and their targets brought to the driver."""
@@ -256,6 +280,8 @@ class Links:
 
     def unpersist(self):
         self.table.unpersist()
+        if self.two_way:
+            self.hot_table.unpersist()
         self.hot.unpersist()
         self._per_src.unpersist()
 

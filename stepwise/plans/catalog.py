@@ -305,11 +305,14 @@ def q_cc_resumed(spark, sf):
         return _released(_done(cc.components_staged(edges, path, CC_STEPS, resume=True)))
 
 
-def _scale_links(edges: DataFrame, split_rows: int | None = None) -> g.Links:
-    """Links as at scale: every state is shuffled, and with ``split_rows`` hot sources are salted."""
-    lk = g.Links(edges, split_rows=split_rows, broadcast_state=False, count_vertices=True)
-    if split_rows and not lk.n_hot:
-        raise RuntimeError("no source is hot; the salted plan would not run")
+def _scale_links(edges: DataFrame, split_rows: int | None = None, max_hot: int = 0) -> g.Links:
+    """Links as at scale: every state is shuffled, and with ``split_rows`` hot sources are salted.
+
+    Up to ``max_hot`` of them have a table of their own instead.
+    """
+    lk = g.Links(edges, split_rows=split_rows, broadcast_state=False, count_vertices=True, max_hot=max_hot)
+    if split_rows and not (lk.two_way if max_hot else lk.salted):
+        raise RuntimeError("no source is hot; the plan for hot sources would not run")
     return lk
 
 
@@ -325,6 +328,14 @@ def q_cc_delta_salted(spark, sf):
     return _done(cc.components_delta(und, CC_STEPS, directed=True, prepared=_scale_links(und, SPLIT_ROWS))).df
 
 
+@query("cc_delta_hot", sql.components(CC_STEPS))
+def q_cc_delta_hot(spark, sf):
+    """Hot sources by a broadcast, the others on the partitioning that their state keeps."""
+    und = g.undirected(tb.cc_edges(spark, sf))
+    lk = _scale_links(und, SPLIT_ROWS, g.MAX_BROADCAST_HOT)
+    return _done(cc.components_delta(und, CC_STEPS, directed=True, prepared=lk)).df
+
+
 @query("cc_counters", sql.cc_delta_counters(CC_STEPS))
 def q_cc_counters(spark, sf):
     """M1 of the components loop: rows in and out of every operator that ran."""
@@ -482,6 +493,13 @@ def q_pagerank_salted(spark, sf):
     return _rounded_ranks(prp.pagerank_delta(links, lk.vertex_count, PR_STEPS, prepared=lk).df)
 
 
+@query("pagerank_hot", sql.pagerank_delta(sql.PR_LINKS, PR_STEPS))
+def q_pagerank_hot(spark, sf):
+    links = tb.pr_links(spark, sf)
+    lk = _scale_links(links, SPLIT_ROWS, g.MAX_BROADCAST_HOT)
+    return _rounded_ranks(prp.pagerank_delta(links, lk.vertex_count, PR_STEPS, prepared=lk).df)
+
+
 @query("pagerank_threshold_sweep", sql.threshold_sweep(sql.SINK_LINKS, SWEEP_THRESHOLDS, SWEEP_STEPS))
 def q_threshold_sweep(spark, sf):
     res = _done(prp.pagerank_delta_sweep(tb.sink_links(spark, sf), SWEEP_THRESHOLDS, max_iter=SWEEP_STEPS))

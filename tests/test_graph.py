@@ -66,17 +66,20 @@ def test_f6_threshold_strict(spark):
     assert rows(g.sum_and_filter(sh, 0.5)) == []
 
 
-def test_salted_links_give_same_ranks(spark):
+@pytest.mark.parametrize("max_hot", [0, 100_000])
+def test_salted_links_give_same_ranks(spark, max_hot):
     links = tb.pr_links(spark, SF001)
     plain = g.Links(links)
-    salted = g.Links(links, split_rows=3)
+    salted = g.Links(links, split_rows=3, max_hot=max_hot)
     assert plain.n_hot == 0 and salted.n_hot > 0
+    assert (salted.salted, salted.two_way) == (max_hot == 0, max_hot > 0)
+    assert salted.count_vertices() == plain.count_vertices()
     a = pr.pagerank_delta(links, max_iter=5, prepared=plain).df
     b = pr.pagerank_delta(links, max_iter=5, prepared=salted).df
     assert rows(a, nd=9) == rows(b, nd=9)
     c1 = cc.components_delta(tb.cc_edges(spark, SF001), 20).df
     und = g.undirected(tb.cc_edges(spark, SF001))
-    c2 = cc.components_delta(tb.cc_edges(spark, SF001), 20, prepared=g.Links(und, split_rows=2)).df
+    c2 = cc.components_delta(tb.cc_edges(spark, SF001), 20, prepared=g.Links(und, split_rows=2, max_hot=max_hot)).df
     assert rows(c1) == rows(c2)
 
 
@@ -196,12 +199,12 @@ def test_late_steps_look_up_their_keys(spark):
     sol.close()
 
 
-def _exchanges(df):
+def _exchanges(df, kind="Exchange"):
     """Exchanges of a plan, not counting those behind a cached table."""
     seen, stack = 0, [df._jdf.queryExecution().executedPlan()]
     while stack:
         node = stack.pop()
-        seen += "Exchange" in node.nodeName()
+        seen += kind in node.nodeName()
         stack += [node.children().apply(i) for i in range(node.children().size())]
     return seen
 
@@ -221,6 +224,40 @@ def test_state_keeps_its_partitioning(spark):
         assert _exchanges(step(delta, g.cc_update(sol, delta))) == 1        # candidates to their targets
 
 
+def test_hot_sources_leave_the_layout(spark):
+    """One hub: the other vertices keep their partitioning, and the hub's links are spread."""
+    from stepwise.plans.iterate import CheckpointStore, step_plan
+    F = g.F
+    edges = (spark.range(1, 4000).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+             .union(spark.range(1, 3999).selectExpr("id AS src", "id + 1 AS dst")))
+    und = g.undirected(edges)
+    lk = g.Links(und, split_rows=100, broadcast_state=False)
+    assert lk.two_way and lk.n_hot == 1 and lk.layout == lk.partitions
+    per_part = lk.hot_table.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in per_part) == 3999
+    assert lk.table.where("src = 0").isEmpty()
+    save, step = CheckpointStore().save, lambda ws, sol: g.cc_delta(g.cc_min_candidate(g.cc_candidates(ws, lk)), sol)
+    with step_plan(spark, None, 1, None, lk.layout):
+        start = lk.sources.select(F.col("src").alias("v"), F.col("src").alias("comp"))
+        delta = save(step(start, start), "d", 1)
+        sol = save(g.cc_update(start, delta), "s", 1)
+        # candidates to their targets; the others are the two small broadcasts of the hot side
+        assert _exchanges(step(delta, sol)) - _exchanges(step(delta, sol), "BroadcastExchange") == 1
+    assert {r.comp for r in cc.components_delta(und, 9, directed=True, prepared=lk).df.collect()} == {0}
+
+
+def test_counters_with_hot_sources(spark):
+    links = tb.pr_links(spark, SF001)
+    drop = lambda res: [c for c in res.counts if c[0] not in ("pagerank-solution", "shares-out")]
+    plain = pr.pagerank_delta(links, max_iter=3, counters=True)
+    lk = g.Links(links, split_rows=3)
+    hot = pr.pagerank_delta(links, max_iter=3, counters=True, prepared=lk)
+    lk.unpersist()
+    assert drop(plain) == drop(hot)
+    shares = lambda res: [c for c in res.counts if c[0] == "shares-out"]
+    assert shares(plain) == shares(hot)
+
+
 def test_links_shuffle_the_edges_once(spark):
     lk = g.Links(tb.pr_links(spark, SF001), persist=False)
     plan = lk.table._jdf.queryExecution().executedPlan().toString()
