@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
 score = sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>) over the different terms
-of a text.  The pair part lets two harmless-looking terms count together
+of a text, with a slope for each part set on documents kept back.  The pair part lets two harmless-looking terms count together
 (an insult and a group mention), which additive weights cannot express.
 """
 
@@ -21,13 +21,13 @@ from stepwise.llm.storage import saved
 
 BITS = 20                   # hashed term space
 PREFIXES = (4, 5, 6)        # bytes of the word beginnings that are terms too
-FACTORS = 4
-MIN_DOCS = 5                # sample documents a term must occur in
-MAX_SHARE = 0.2             # share of the sample beyond which a term says nothing
-USUAL_SHARE = 0.05          # share from which a term is kept whatever its label counts
-RARE_CHI2 = 10.0            # a rarer term must go with a label: its 2 x 2 statistic
+FACTORS = 8
+MIN_DOCS = 5                # sample documents a term must occur in to get a weight
+PAIR_SHARE = 0.01           # share of the sample a term must occur in to get pair factors
 MAX_TRAIN_DOCS = 20_000     # labelled documents used for fitting
 EPOCHS = 30
+PAIR_EPOCHS = 20
+BATCH = 256                 # documents of a step
 SLICE_BYTES = 1 << 20
 
 # Terms are runs of letters, digits and bytes of non-ASCII characters.
@@ -41,7 +41,7 @@ class Model:
     slot: np.ndarray            # 2**BITS: row of a learned term, else -1
     linear: np.ndarray          # one weight per learned term
     pairs: np.ndarray           # learned terms x FACTORS
-    scale: tuple[float, float] = (1.0, 0.0)     # slope and shift before the sigmoid
+    scale: tuple[float, float, float] = (1.0, 1.0, 0.0)     # slopes of both parts, shift before the sigmoid
 
 
 def terms(buf: np.ndarray, off: np.ndarray, slot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -63,96 +63,128 @@ def terms(buf: np.ndarray, off: np.ndarray, slot: np.ndarray | None = None) -> t
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-def margins(model: Model, doc: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-    """Bias, linear part and pair part of every document's different learned terms."""
+def parts(model: Model, doc: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linear part (with the bias) and pair part of every document's different learned terms."""
     row = model.slot[term]
-    z = model.bias + np.bincount(doc, model.linear[row], n)
+    pair = np.zeros(n)
     for f in range(model.pairs.shape[1]):
         v = model.pairs[row, f]
-        z += 0.5 * (np.bincount(doc, v, n) ** 2 - np.bincount(doc, v * v, n))
-    return z
+        pair += 0.5 * (np.bincount(doc, v, n) ** 2 - np.bincount(doc, v * v, n))
+    return model.bias + np.bincount(doc, model.linear[row], n), pair
+
+
+def margins(model: Model, doc: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+    """Sum of both parts, before the slopes."""
+    linear, pair = parts(model, doc, term, n)
+    return linear + pair
 
 
 def scores(model: Model, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Probability of toxicity of every document of a batch."""
     doc, term = terms(buf, off, model.slot)
-    z = model.scale[0] * margins(model, doc, term, len(off) - 1) + model.scale[1]
+    linear, pair = parts(model, doc, term, len(off) - 1)
+    z = model.scale[0] * linear + model.scale[1] * pair + model.scale[2]
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
 def fit_arrays(doc: np.ndarray, term: np.ndarray, label: np.ndarray, seed: int = 7,
-               rate: float = 0.3, pair_rate: float = 0.01, decay: float = 3e-3,
-               pair_decay: float = 1e-2) -> Model:
-    """Adagrad on logistic loss over mini-batches of documents.
-
-    Terms of fewer than MIN_DOCS documents or of more than MAX_SHARE of them
-    get no weight, and neither do rare terms that go with neither label.
-    Every fifth document is kept to set slope and shift of the sigmoid.
-    Without both labels the model is the constant of the label share.
+               rate: float = 0.1, sparse: float = 1.5e-3, pair_rate: float = 0.05,
+               pair_sparse: float = 5e-3, start: float = 0.05) -> Model:
+    """Proximal Adagrad on logistic loss over mini-batches of documents.
+
+    Terms are chosen by frequency alone: those of MIN_DOCS documents get a
+    weight, those of PAIR_SHARE of them factors as well.  The weights are
+    learned first, then the factors on what the weights leave open.  Weights
+    are drawn to zero one by one, factors term by term, so a term that tells
+    nothing ends without.  Every fifth document is kept to set the slopes of both
+    parts and the shift of the sigmoid; a pair part that does not hold there
+    gets a slope near zero.  Without both labels the model is the constant of
+    the label share.
     """
-    n, size = len(label), 1 << BITS
+    n = len(label)
     share = (label.sum() + 0.5) / (n + 1.0)
-    model = Model(float(np.log(share / (1 - share))), np.full(size, -1, np.int32), np.zeros(0),
+    model = Model(float(np.log(share / (1 - share))), np.full(1 << BITS, -1, np.int32), np.zeros(0),
                   np.zeros((0, FACTORS)))
     if n == 0 or label.min() == label.max():
         return model
     learn = np.arange(n) % 5 > 0
-    ids = _useful(doc, term, label, learn)
+    found = np.bincount(term[learn[doc]], minlength=1 << BITS)
+    ids = np.flatnonzero(found >= MIN_DOCS)
     if not len(ids):
         return model
     model.slot[ids] = np.arange(len(ids))
     keep = model.slot[term] >= 0
     doc, term = doc[keep], model.slot[term[keep]]
     rng = np.random.default_rng(seed)
-    weight = min(4.0, max(1.0, (n - label.sum()) / label.sum()))       # toxic texts are rare
     fitted = np.flatnonzero(learn)
-    w, v = np.zeros(len(ids)), rng.normal(0, 0.01, (len(ids), FACTORS))
-    b, gb, gw, gv = model.bias, 1.0, np.full(len(ids), 1e-3), np.full((len(ids), FACTORS), 1e-1)
+    weight = np.where(label > 0, min(4.0, max(1.0, (n - label.sum()) / label.sum())), 1.0)   # toxic texts are rare
+
+    def slopes(z: np.ndarray, pick: np.ndarray) -> np.ndarray:
+        return (1.0 / (1.0 + np.exp(-np.clip(z, -40, 40))) - label[pick]) * weight[pick] / len(pick)
+
+    b, gb, w, gw = model.bias, 1.0, np.zeros(len(ids)), np.full(len(ids), 1e-3)
+    for pick, t, length in _steps(doc, term, fitted, n, EPOCHS, rng):
+        d = np.repeat(np.arange(len(pick)), length)
+        g = slopes(b + np.bincount(d, w[t], len(pick)), pick)
+        dw = np.bincount(t, g[d], len(w))
+        gw += dw ** 2
+        step = rate / np.sqrt(gw)
+        w -= step * dw
+        w = np.sign(w) * np.maximum(np.abs(w) - step * sparse, 0)
+        gb += g.sum() ** 2
+        b -= rate * g.sum() / np.sqrt(gb)
+    linear = b + np.bincount(doc, w[term], n)
+
+    may = np.flatnonzero(found[ids] >= PAIR_SHARE * len(fitted))
+    to = np.full(len(ids), -1)
+    to[may] = np.arange(len(may))
+    held = to[term] >= 0
+    v, gv = rng.normal(0, start, (len(may), FACTORS)), np.full((len(may), 1), 1e-2)
+    for pick, t, length in _steps(doc[held], to[term[held]], fitted, n, PAIR_EPOCHS, rng):
+        if not len(t):
+            continue
+        d, vt = np.repeat(np.arange(len(pick)), length), v[t]
+        sums = np.stack([np.bincount(d, vt[:, f], len(pick)) for f in range(FACTORS)], 1)
+        own = np.bincount(d, (vt * vt).sum(1), len(pick))
+        g = slopes(linear[pick] + 0.5 * ((sums ** 2).sum(1) - own), pick)[d]
+        dv = np.stack([np.bincount(t, g * (sums[d, f] - vt[:, f]), len(may)) for f in range(FACTORS)], 1)
+        gv += (dv ** 2).mean(1, keepdims=True)      # one step size per term, as it is drawn to zero as a whole
+        step = pair_rate / np.sqrt(gv)
+        v -= step * dv
+        size = np.sqrt((v * v).sum(1, keepdims=True))
+        v *= np.maximum(1.0 - step * pair_sparse / np.maximum(size, 1e-12), 0)
+    model.bias, model.linear, model.pairs = float(b), w, np.zeros((len(ids), FACTORS))
+    model.pairs[may] = v
+
+    rest = ~learn
+    if label[rest].size and label[rest].min() < label[rest].max():
+        at = rest[doc]
+        _, pair = parts(model, (np.cumsum(rest) - 1)[doc[at]], ids[term[at]], int(rest.sum()))
+        model.scale = _two_slopes(linear[rest], pair, label[rest])
+    return model
+
+
+def _steps(doc: np.ndarray, term: np.ndarray, fitted: np.ndarray, n: int, epochs: int, rng):
+    """(documents, their terms one after the other, number of terms) of every mini-batch."""
     first = np.searchsorted(doc, np.arange(n + 1))
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         order = rng.permutation(fitted)
-        for at in range(0, len(order), 256):
-            pick = order[at:at + 256]
+        for at in range(0, len(order), BATCH):
+            pick = order[at:at + BATCH]
             length = first[pick + 1] - first[pick]
-            t = term[tx.spread(first[pick], length)]
-            d = np.repeat(np.arange(len(pick)), length)
-            sums = np.stack([np.bincount(d, v[t, f], len(pick)) for f in range(FACTORS)], 1)
-            own = np.stack([np.bincount(d, v[t, f] ** 2, len(pick)) for f in range(FACTORS)], 1)
-            z = b + np.bincount(d, w[t], len(pick)) + 0.5 * (sums ** 2 - own).sum(1)
-            g = (1.0 / (1.0 + np.exp(-np.clip(z, -40, 40))) - label[pick]) / len(pick)
-            g *= np.where(label[pick] > 0, weight, 1.0)
-            u, inv = np.unique(t, return_inverse=True)
-            dw = np.bincount(inv, g[d], len(u)) + decay * w[u]
-            dv = np.stack([np.bincount(inv, g[d] * (sums[d, f] - v[t, f]), len(u))
-                           for f in range(FACTORS)], 1) + pair_decay * v[u]
-            gw[u] += dw ** 2
-            gv[u] += dv ** 2
-            w[u] -= rate * dw / np.sqrt(gw[u])
-            v[u] -= pair_rate * dv / np.sqrt(gv[u])
-            db = g.sum()
-            gb += db ** 2
-            b -= rate * db / np.sqrt(gb)
-    model.bias, model.linear, model.pairs = float(b), w, v
-    rest = np.flatnonzero(~learn)
-    length = first[rest + 1] - first[rest]
-    z = margins(model, np.repeat(np.arange(len(rest)), length),
-                ids[term[tx.spread(first[rest], length)]], len(rest))
-    if label[rest].min() < label[rest].max():
-        model.scale = labelled.logistic_fit(z, label[rest])
-    return model
+            yield pick, term[tx.spread(first[pick], length)], length
 
 
-def _useful(doc: np.ndarray, term: np.ndarray, label: np.ndarray, learn: np.ndarray) -> np.ndarray:
-    """Terms that get a weight, counted over the documents that are learned from."""
-    size, n, yes = 1 << BITS, learn.sum(), label[learn].sum()
-    at = learn[doc]
-    found = np.bincount(term[at], minlength=size).astype(float)
-    toxic = np.bincount(term[at], label[doc[at]], size)
-    expected = found * yes / n
-    spread = expected * (1 - yes / n) * (1 - found / n)
-    chi2 = np.divide((toxic - expected) ** 2, spread, out=np.zeros(size), where=spread > 0)
-    usual = found >= USUAL_SHARE * n
-    return np.flatnonzero((found >= MIN_DOCS) & (found <= MAX_SHARE * n) & (usual | (chi2 >= RARE_CHI2)))
+def _two_slopes(linear: np.ndarray, pair: np.ndarray, label: np.ndarray) -> tuple[float, float, float]:
+    """Slopes of both parts (linear above zero, pair not below) and shift of a logistic fit."""
+    x = np.stack([linear, pair, np.ones(len(label))], 1)
+    at = np.array([1.0, 1.0, 0.0])
+    for _ in range(200):
+        q = 1.0 / (1.0 + np.exp(-np.clip(x @ at, -40, 40)))
+        hess = (x * np.maximum(q * (1 - q), 1e-6)[:, None]).T @ x / len(label) + 1e-3 * np.eye(3)
+        at = at + 0.5 * np.linalg.solve(hess, x.T @ (label - q) / len(label) - 1e-3 * at * [1, 1, 0])
+        at[:2] = np.maximum(at[:2], [1e-3, 0.0])
+    return tuple(float(a) for a in at)
 
 
 def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +201,8 @@ def _term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, *, max_docs: int = MAX_TRAIN_DOCS) -> Model:
     """Fit on at most ``max_docs`` labelled documents for which ``keep`` holds.
 
-    Terms are counted over the sample on the cluster; only those neither rare
-    nor common come to the driver, which fits the model.
+    Terms are counted over the sample on the cluster; those of MIN_DOCS
+    documents and more come to the driver, which fits the model.
     """
     sample = labelled.sample_texts(docs, labels, "toxic", keep, max_docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -178,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, *, max_docs: int = MAX
     found = saved(sample.mapInArrow(_term_batches, shape), "terms")
     n = found.count()
     usual = (found.select(F.explode("terms").alias("term")).groupBy("term").count()
-             .where((F.col("count") >= MIN_DOCS) & (F.col("count") <= MAX_SHARE * n)).toArrow())
+             .where(F.col("count") >= MIN_DOCS).toArrow())
     known = np.zeros(1 << BITS, bool)
     known[usual.column("term").to_numpy()] = True
     got = found.mapInArrow(_only(known), shape).orderBy("label_id").toArrow().combine_chunks()

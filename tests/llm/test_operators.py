@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import sys
 import zlib
 from fractions import Fraction
@@ -341,20 +342,51 @@ def test_machine_value_by_pairs():
         assert toxicity_fm.margins(m, np.zeros(n, np.int64), used[:n], 1)[0] == pytest.approx(want)
 
 
-def test_pairs_that_linear_weights_cannot_tell():
-    r = random.Random(0)
-    texts, label = [], []
-    for i in range(3000):
-        a, b = r.random() < .5, r.random() < .5
-        texts.append(" ".join(["filler%d" % r.randrange(50)] + ["insultword"] * a + ["groupname"] * b))
-        label.append(float(a == b))         # neither term tells anything alone
+def _texts_with_pairs(rule, share_a, share_b, seed, n=3000):
+    """Texts of 40 usual words, of which some hold ``insultword``, ``groupname`` or both."""
+    r = random.Random(seed)
+    texts, label, both = [], [], []
+    for _ in range(n):
+        a, b = r.random() < share_a, r.random() < share_b
+        words = ["w%da" % int(400 * r.random() ** 2) for _ in range(40)] + ["insultword"] * a + ["groupname"] * b
+        r.shuffle(words)
+        texts.append(" ".join(words))
+        label.append(float(rule(a, b)))
+        both.append(a and b)
+    return tx.flat(pa.array(texts)), np.array(label), np.array(both)
+
+
+@pytest.mark.parametrize("rule,share_a,share_b,gain", [
+    (lambda a, b: a == b, .5, .5, 0.3),             # neither word tells anything alone
+    (lambda a, b: a != b, .15, .15, 0.01),          # both together mean the opposite of each
+    (lambda a, b: a and not b, .25, .06, 0.0)])     # a rare word that makes the other harmless
+def test_pairs_that_linear_weights_cannot_tell(rule, share_a, share_b, gain):
+    """Learned from one set of texts with the operator's own values, judged on another."""
+    texts, label, _ = _texts_with_pairs(rule, share_a, share_b, 0)
+    model = toxicity_fm.fit_arrays(*toxicity_fm.terms(*texts), label)
+    texts, label, both = _texts_with_pairs(rule, share_a, share_b, 1)
+    right = (toxicity_fm.scores(model, *texts) >= .5) == label
+    assert right.mean() > 0.97 and right[both].mean() > 0.9
+    model.pairs = model.pairs * 0
+    linear = (toxicity_fm.scores(model, *texts) >= .5) == label
+    assert right.mean() >= linear.mean() + gain
+
+
+def test_terms_are_words_and_their_beginnings():
+    """The naive form: runs of letters, digits and other bytes, each once, with its first 4, 5 and 6 bytes."""
+    texts = ["Idiotic  idiotic-IDIOT", "", "a_b aé 漢字漢字 x1", "Foolish", None]
     doc, term = toxicity_fm.terms(*tx.flat(pa.array(texts)))
-    monkey = pytest.MonkeyPatch()
-    monkey.setattr(toxicity_fm, "MAX_SHARE", 1.0)
-    model = toxicity_fm.fit_arrays(doc, term, np.array(label), pair_rate=0.1, pair_decay=1e-4)
-    monkey.undo()
-    p = toxicity_fm.scores(model, *tx.flat(pa.array(texts)))
-    assert ((p >= .5) == np.array(label)).mean() > 0.95
+    same = {}
+    for i, text in enumerate(texts):
+        want = set()
+        for word in re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower()):
+            want |= {(0, word)} | {(n, word[:n]) for n in toxicity_fm.PREFIXES if len(word) > n}
+        got = set(term[doc == i].tolist())
+        assert len(got) == len(want) == (doc == i).sum()
+        same[i] = got
+    assert len(same[0] & same[3]) == 0 and not same[1] and not same[4]
+    alone = [set(toxicity_fm.terms(*tx.flat(pa.array([w])))[1].tolist()) for w in ("idiotic", "IDIOT")]
+    assert same[0] == alone[0] | alone[1]
 
 
 # -- vectors ---------------------------------------------------------------------------------
