@@ -24,6 +24,7 @@ from stepwise.plans import kmeans as kmp
 from stepwise.plans import linreg as lrp
 from stepwise.plans import oracle as sql
 from stepwise.plans import pagerank as prp
+from stepwise.plans.utilization import Measured
 from stepwise.session import scratch_dir
 from stepwise.sources import delimited as dl
 from stepwise.sources import generated as gen
@@ -82,6 +83,11 @@ def _released(res) -> DataFrame:
     return out
 
 
+def _measured(spark: SparkSession) -> Measured:
+    """Parallelism by CPU use, from a quarter of the cores on and down to one task."""
+    return Measured(spark, max(1, spark.sparkContext.defaultParallelism // 4), minimum=1)
+
+
 @contextmanager
 def _folder(spark: SparkSession, name: str):
     """A scratch folder in the shared checkpoint folder, deleted at the end."""
@@ -548,6 +554,14 @@ def q_pagerank_adaptive(spark, sf):
         return _rounded_ranks(res.df).checkpoint()
 
 
+@query("pagerank_measured", sql.pagerank_delta(sql.PR_LINKS, PR_STEPS))
+def q_pagerank_measured(spark, sf):
+    """The same for the steps of the staged delta loop."""
+    with _folder(spark, "pagerank-measured") as path:
+        res = prp.pagerank_staged(tb.pr_links(spark, sf), path, max_iter=PR_STEPS, partitions=_measured(spark))
+        return _rounded_ranks(res.df).checkpoint()
+
+
 @query("duplicate_value",
        f"SELECT DISTINCT id AS v, id AS comp FROM (SELECT src AS id FROM ({sql.PR_LINKS}) a "
        f"UNION ALL SELECT dst AS id FROM ({sql.PR_LINKS}) b) u")
@@ -627,6 +641,15 @@ def q_kmeans_adaptive(spark, sf):
     return kmp.final_assignment(res.extra["points"], res).select("x", "y", "cluster")
 
 
+@query("kmeans_measured", sql.km_assignment(KM_START, KM_STEPS))
+def q_kmeans_measured(spark, sf):
+    """The CPU use of a step sets the parallelism of the next, from a quarter of the cores on."""
+    pts = _km_points(spark, sf)
+    with _folder(spark, "kmeans") as path:
+        res = kmp.kmeans_staged(pts, _start_centers(spark), path, KM_STEPS, partitions=_measured(spark))
+    return kmp.final_assignment(res.extra["points"], res).select("x", "y", "cluster")
+
+
 @query("kmeans_staged", sql.km_assignment(KM_START, KM_STEPS))
 def q_kmeans_staged(spark, sf):
     pts = _km_points(spark, sf)

@@ -25,7 +25,7 @@ import itertools
 import json
 import time
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass, field
 from typing import Callable, Protocol
 
@@ -339,7 +339,8 @@ def step_plan(spark: SparkSession, partitions, i: int, prev_rows: int | None = N
 
     ``partitions`` is ``f(i)`` or ``f(i, rows of the previous step)``; its
     value is the ``spark.sql.shuffle.partitions`` used while the step is
-    planned and run (AQE may still coalesce), restored afterwards.  Without
+    planned and run (AQE may still coalesce), restored afterwards; its
+    ``watch(i, n)``, if it has one, goes around the step.  Without
     one, ``layout`` plans the step for exactly that many partitions and
     without adaptive execution, so saved state keeps its partitioning and the
     next step does not shuffle it again.
@@ -349,7 +350,8 @@ def step_plan(spark: SparkSession, partitions, i: int, prev_rows: int | None = N
         takes_rows = len(inspect.signature(partitions).parameters) >= 2
         n = partitions(i, prev_rows) if takes_rows else partitions(i)
     if n:
-        with _conf(spark, spark__sql__shuffle__partitions=str(int(n))):
+        watch = getattr(partitions, "watch", lambda *_: nullcontext())
+        with _conf(spark, spark__sql__shuffle__partitions=str(int(n))), watch(i, int(n)):
             yield int(n)
     elif layout:
         with _conf(spark, spark__sql__shuffle__partitions=str(layout), spark__sql__adaptive__enabled="false"):

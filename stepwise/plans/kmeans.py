@@ -71,17 +71,25 @@ def _run(points: DataFrame, centers: DataFrame, iterations: int, then: StateStor
             return state
         return first if store.last is None else km.center_rows(store.last)
 
+    def choose(i: int) -> int | None:
+        both = len(inspect.signature(partitions).parameters) >= 2
+        n = partitions(i, n_points) if both else partitions(i)
+        chosen[0] = min(n, base) if n else base
+        return chosen[0] if n else None
+
+    # tasks of this step: cached partitions are merged without a shuffle, points are never reshuffled;
+    # there is at least one for every core, so the number can rise again as well
+    chosen = [base]
+    if hasattr(partitions, "watch"):
+        choose.watch = partitions.watch
+
     def step(state: DataFrame, i: int) -> DataFrame:
-        part = pts
-        if partitions is not None:
-            both = len(inspect.signature(partitions).parameters) >= 2
-            n = partitions(i, n_points) if both else partitions(i)
-            # fewer tasks: merge cached partitions without a shuffle; never reshuffle points
-            part = pts.coalesce(n) if n and n < base else pts
+        part = pts.coalesce(chosen[0]) if chosen[0] < base else pts
         return km.kmeans_step(part, current(state), grid, cells)
 
     store = (then or CheckpointStore()) if grid else DriverStore(km.MAX_BROADCAST_CENTERS, then)
-    res = bulk_iterate(start, step, iterations, store=store, resume=resume, name="centers")
+    res = bulk_iterate(start, step, iterations, store=store, resume=resume, name="centers",
+                       partitions=choose if partitions is not None else None)
     res.extra["centers"], res.extra["grid"] = current(res.df), grid
     if cells:
         cells.unpersist()
@@ -106,7 +114,8 @@ def kmeans_staged(points: DataFrame, centers: DataFrame, state_dir: str, iterati
                   persist: bool = True, joined: bool | None = None, resume: bool = False) -> IterationResult:
     """The same steps with centers written per step.
 
-    ``adaptive_rows`` sizes every step by ``by_rows`` over the points.  The
+    ``adaptive_rows`` sizes every step by ``by_rows`` over the points;
+    ``partitions=Measured(spark, start)`` by the CPU use of the step before.  The
     final assignment uses the state of the last step.  ``resume`` goes on after
     the last finished step in ``state_dir``.
     """

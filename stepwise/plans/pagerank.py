@@ -101,8 +101,8 @@ def pagerank_staged(links: DataFrame, state_dir: str, num_pages: int | None = No
     Every step writes its deltas, the ranks are written when the deltas outgrow
     them and at the end, so the result equals ``pagerank_delta``; the stop test
     uses the delta count observed while the delta is written.  ``adaptive_rows`` sets each step's
-    parallelism from the previous step's workset (``by_rows``).  ``resume`` goes on
-    after the last finished step in ``state_dir``.
+    parallelism from the previous step's workset (``by_rows``),
+    ``partitions=Measured(spark, start)`` from its CPU use.  ``resume`` goes on after the last finished step in ``state_dir``.
     """
     if adaptive_rows and partitions is None:
         partitions = by_rows(adaptive_rows)
