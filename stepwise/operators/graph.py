@@ -9,8 +9,10 @@ superstep shuffles only the small state side and the contributions.
 Skew: the links of a source with very many distinct targets lie in a table
 of their own, spread over all partitions; the state of these few hot sources
 is broadcast to it, while all others keep the partitioning of their state.
-Beyond a checked number of hot sources they are split over several ``salt``
-buckets instead, and their state is replicated per bucket by a shuffle.
+Beyond a checked number of hot sources the hottest are taken: any other has
+at most one link in ``MAX_BROADCAST_HOT``, too few to slow a partition.
+Without broadcast (``max_hot=0``) hot sources are split over several ``salt``
+buckets, and their state is replicated per bucket by a shuffle.
 """
 
 from __future__ import annotations
@@ -145,9 +147,9 @@ class Links:
     hash bucket instead of the cache, where few sources can be looked up, if
     there are at least ``save_from`` links; with hot sources all stay in the cache.
 
-    Up to ``max_hot`` hot sources have their links in ``hot_table``,
-    spread by target, and the others in ``table`` (``two_way``); with more,
-    ``table`` holds all links, salted.
+    The hot sources, the hottest ``max_hot`` if there are more, have their links
+    in ``hot_table``, spread by target, and the others in ``table``
+    (``two_way``); with ``max_hot=0`` ``table`` holds all links, salted.
     """
 
     def __init__(self, edges: DataFrame, partitions: int | None = None,
@@ -168,17 +170,21 @@ class Links:
             split_rows = max(MIN_SPLIT_ROWS, math.ceil(total / self.partitions))
         self.split_rows = split_rows
         hot = (per_src.where(F.col("deg") > split_rows)
-               .select("src", F.ceil(F.col("deg") / split_rows).cast("int").alias("nsalt")))
+               .select("src", F.ceil(F.col("deg") / split_rows).cast("int").alias("nsalt"), "deg"))
         self.hot = hot.persist(StorageLevel.MEMORY_AND_DISK) if persist else hot
         # buckets of the hot sources: how many rows more a salted state can have
-        self.n_hot, self.n_buckets = (int(x or 0) for x in self.hot.agg(
-            F.count(F.lit(1)), F.sum("nsalt")).first()) if widest > split_rows else (0, 0)
+        self.n_hot, self.n_buckets = self._hot_counts() if widest > split_rows else (0, 0)
+        if self.n_hot > max_hot > 0:
+            self.hot.unpersist()
+            hot = hot.orderBy(F.desc("deg"), "src").limit(max_hot)
+            self.hot = hot.persist(StorageLevel.MEMORY_AND_DISK) if persist else hot
+            self.n_hot, self.n_buckets = self._hot_counts()
         self.two_way = 0 < self.n_hot <= max_hot
         self.salted = self.n_hot > 0 and not self.two_way
         self.hot_table = None
         if self.two_way:
             ids = F.broadcast(self.hot.select("src"))
-            few = F.broadcast(per_src.where(F.col("deg") > split_rows))
+            few = F.broadcast(self.hot.select("src", "deg"))
             self.hot_table = (edges.select("src", "dst").join(ids, "src", "left_semi")
                               .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("w"))
                               .join(few, "src").select("src", F.lit(0).alias("salt"), "dst", "w", "deg"))
@@ -219,6 +225,10 @@ class Links:
         """
         return None if self.salted else self.partitions
 
+    def _hot_counts(self) -> tuple[int, int]:
+        n, buckets = self.hot.agg(F.count(F.lit(1)), F.sum("nsalt")).first()
+        return int(n or 0), int(buckets or 0)
+
     def count_vertices(self) -> int:
         """Distinct ids among sources and targets (numPages)."""
         t = self.table.unionByName(self.hot_table) if self.two_way else self.table
@@ -229,7 +239,7 @@ class Links:
         """``df`` plus a ``salt`` column, an expression over ``nsalt`` (null if not hot)."""
         if not self.salted:
             return df.withColumn("salt", F.lit(0))
-        h = self.hot.withColumnRenamed("src", "__hk")
+        h = self.hot.select(F.col("src").alias("__hk"), "nsalt")
         j = df.join(h, df[key] == h["__hk"], "left")
         return j.select(*df.columns, salt.alias("salt"))
 

@@ -2,6 +2,7 @@ import pytest
 
 from conftest import SF001, rows
 from stepwise.operators import graph as g
+from stepwise.plans import catalog
 from stepwise.plans import components as cc
 from stepwise.plans import pagerank as pr
 from stepwise.plans.iterate import ParquetStore
@@ -284,3 +285,19 @@ def test_summary_has_one_row_per_step(spark, edges_t):
     s = res.summary().orderBy("iteration").collect()
     assert [r.iteration for r in s] == [1, 2, 3]
     assert s[0].rows["pagerank-delta"] == 3 and all(r.runtime_ms >= 0 for r in s)
+
+
+def test_more_hot_sources_than_can_be_broadcast(spark, monkeypatch):
+    links = tb.pr_links(spark, SF001)
+    lk = g.Links(links, split_rows=3, max_hot=5)
+    assert lk.two_way and not lk.salted and lk.n_hot == 5 and lk.layout == lk.partitions
+    degrees = {r["src"]: r["deg"] for r in g.out_degree(links).collect()}
+    hottest = sorted(degrees, key=lambda s: (-degrees[s], s))[:5]
+    assert rows(lk.hot_table.select("src").distinct()) == sorted((s,) for s in hottest)
+    every = lk.table.unionByName(lk.hot_table).select("src", "dst", "w", "deg")
+    assert rows(every) == rows(g.Links(links).table.select("src", "dst", "w", "deg"))
+    lk.unpersist()
+    monkeypatch.setattr(g, "MAX_BROADCAST_HOT", 5)      # the queries hand it on
+    assert rows(catalog.QUERIES["cc_delta_hot"](spark, SF001)) == rows(catalog.QUERIES["cc_delta_iter"](spark, SF001))
+    assert rows(catalog.QUERIES["pagerank_hot"](spark, SF001), nd=5) == rows(
+        catalog.QUERIES["pagerank_delta"](spark, SF001), nd=5)
