@@ -150,20 +150,24 @@ class Links:
     The hot sources, the hottest ``max_hot`` if there are more, have their links
     in ``hot_table``, spread by target, and the others in ``table``
     (``two_way``); with ``max_hot=0`` ``table`` holds all links, salted.
+    ``symmetric`` says that every edge is there in both directions.
     """
 
     def __init__(self, edges: DataFrame, partitions: int | None = None,
                  split_rows: int | None = None, persist: bool = True,
                  count_vertices: bool = False, broadcast_state: bool = True, save=None, save_from: int = 0,
-                 max_hot: int = MAX_BROADCAST_HOT):
+                 max_hot: int = MAX_BROADCAST_HOT, symmetric: bool = False):
         spark = edges.sparkSession
         self.broadcast_state = broadcast_state
         per_src = out_degree(edges)
         if persist:
             per_src = per_src.persist(StorageLevel.MEMORY_AND_DISK)
-        total, widest, n_src = per_src.agg(F.sum("deg"), F.max("deg"), F.count(F.lit(1))).first()
+        total, widest, n_src, no_src = per_src.agg(
+            F.sum("deg"), F.max("deg"), F.count(F.lit(1)), F.count_if(F.col("src").isNull())).first()
         total, widest = total or 0, widest or 0
         self.n_sources, self.widest = int(n_src or 0), int(widest)
+        # links of null sources are dropped, those to null targets are not
+        self.symmetric = symmetric and not no_src
         self.partitions = partitions or max(default_partitions(spark),
                                             math.ceil(total / ROWS_PER_PARTITION))
         if split_rows is None:
@@ -225,13 +229,17 @@ class Links:
         """
         return None if self.salted else self.partitions
 
+    def rows(self) -> DataFrame:
+        """All links."""
+        return self.table.unionByName(self.hot_table) if self.two_way else self.table
+
     def _hot_counts(self) -> tuple[int, int]:
         n, buckets = self.hot.agg(F.count(F.lit(1)), F.sum("nsalt")).first()
         return int(n or 0), int(buckets or 0)
 
     def count_vertices(self) -> int:
         """Distinct ids among sources and targets (numPages)."""
-        t = self.table.unionByName(self.hot_table) if self.two_way else self.table
+        t = self.rows()
         return (t.select(F.col("src").alias("id")).union(t.select(F.col("dst").alias("id")))
                 .distinct().count())
 
@@ -391,6 +399,15 @@ def cc_candidates(components: DataFrame, links: Links, rows: int | None = None)
     return j.select(F.col("dst").alias("v"), "comp")
 
 
+def cc_first_candidates(links: Links) -> DataFrame:
+    """J1 of the first step, when every vertex is its own component, on symmetric links.
+
+    The offers along all links are then the links themselves read backwards, and
+    lie on the partitioning of their vertex.
+    """
+    return links.rows().select(F.col("src").alias("v"), F.col("dst").alias("comp"))
+
+
 def cc_min_candidate(candidates: DataFrame) -> DataFrame:
     """A1: smallest candidate per vertex; partial minima combine map-side."""
     return candidates.groupBy("v").agg(F.min("comp").alias("comp"))
@@ -441,24 +458,17 @@ def cc_update(solution: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def cc_relax_step(solution: DataFrame, candidates: DataFrame, flag: str = "changed", meter=None) -> DataFrame:
-    """A1 + J2 + J3 in one aggregation, for the bulk loop.
+    """A1 + J2 + J3 as one job: the next solution and which rows of it changed.
 
-    The solution's own rows (tagged) and the candidates are grouped together:
-    ``min`` over all of them is the new component, the own row is the old
-    one, so one shuffle (partial minima combine map-side) replaces the
-    min aggregation plus a join with the solution.  Candidates for vertices
+    Only the candidates are shuffled (partial minima combine map-side) where the
+    solution keeps its partitioning between steps.  Candidates for vertices
     outside the solution are dropped, as the inner join of J2 does.  ``meter``
     counts the vertices that got an offer (the minima of A1).
     """
-    own = solution.select("v", "comp", F.col("comp").alias("__old"))
-    cand = candidates.select("v", "comp", F.lit(None).cast(solution.schema["comp"].dataType)
-                             .alias("__old"))
-    both = own.unionByName(cand)
-    least, old = F.min("comp").alias("comp"), F.max("__old").alias("__old")
-    if meter is None:
-        agg = both.groupBy("v").agg(least, old)
-    else:
-        agg = meter(both.groupBy("v").agg(least, old, F.bool_or(F.col("__old").isNull()).alias("__offered")),
-                    "minima-out", F.col("__offered"))
-    return agg.where(F.col("__old").isNotNull()).select(
-        "v", "comp", smaller("comp", "__old").alias(flag))
+    least = cc_min_candidate(candidates)
+    if meter is not None:
+        least = meter(least, "minima-out")
+    offered = least.select("v", F.col("comp").alias("__new")).hint("shuffle_hash")
+    better = F.coalesce(smaller("__new", "comp"), F.lit(False))
+    return (solution.where(F.col("comp").isNotNull()).join(offered, "v", "left")
+            .select("v", F.when(better, F.col("__new")).otherwise(F.col("comp")).alias("comp"), better.alias(flag)))

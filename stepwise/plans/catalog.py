@@ -311,12 +311,14 @@ def q_cc_resumed(spark, sf):
         return _released(_done(cc.components_staged(edges, path, CC_STEPS, resume=True)))
 
 
-def _scale_links(edges: DataFrame, split_rows: int | None = None, max_hot: int = 0) -> g.Links:
+def _scale_links(edges: DataFrame, split_rows: int | None = None, max_hot: int = 0,
+                 symmetric: bool = False) -> g.Links:
     """Links as at scale: every state is shuffled, and with ``split_rows`` hot sources are salted.
 
     Up to ``max_hot`` of them have a table of their own instead.
     """
-    lk = g.Links(edges, split_rows=split_rows, broadcast_state=False, count_vertices=True, max_hot=max_hot)
+    lk = g.Links(edges, split_rows=split_rows, broadcast_state=False, count_vertices=True, max_hot=max_hot,
+                 symmetric=symmetric)
     if split_rows and not (lk.two_way if max_hot else lk.salted):
         raise RuntimeError("no source is hot; the plan for hot sources would not run")
     return lk
@@ -325,20 +327,21 @@ def _scale_links(edges: DataFrame, split_rows: int | None = None, max_hot: int =
 @query("cc_delta_shuffled", sql.components(CC_STEPS))
 def q_cc_delta_shuffled(spark, sf):
     und = g.undirected(tb.cc_edges(spark, sf))
-    return _done(cc.components_delta(und, CC_STEPS, directed=True, prepared=_scale_links(und))).df
+    return _done(cc.components_delta(und, CC_STEPS, directed=True, prepared=_scale_links(und, symmetric=True))).df
 
 
 @query("cc_delta_salted", sql.components(CC_STEPS))
 def q_cc_delta_salted(spark, sf):
     und = g.undirected(tb.cc_edges(spark, sf))
-    return _done(cc.components_delta(und, CC_STEPS, directed=True, prepared=_scale_links(und, SPLIT_ROWS))).df
+    lk = _scale_links(und, SPLIT_ROWS, symmetric=True)
+    return _done(cc.components_delta(und, CC_STEPS, directed=True, prepared=lk)).df
 
 
 @query("cc_delta_hot", sql.components(CC_STEPS))
 def q_cc_delta_hot(spark, sf):
     """Hot sources by a broadcast, the others on the partitioning that their state keeps."""
     und = g.undirected(tb.cc_edges(spark, sf))
-    lk = _scale_links(und, SPLIT_ROWS, g.MAX_BROADCAST_HOT)
+    lk = _scale_links(und, SPLIT_ROWS, g.MAX_BROADCAST_HOT, symmetric=True)
     return _done(cc.components_delta(und, CC_STEPS, directed=True, prepared=lk)).df
 
 

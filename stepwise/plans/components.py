@@ -15,7 +15,12 @@ from stepwise.plans.iterate import (
 
 def _prepare(edges: DataFrame, prepared: g.Links | None, directed: bool):
     und = edges if directed else g.undirected(edges)
-    return und, (prepared or g.Links(und))
+    return und, (prepared or g.Links(und, symmetric=not directed))
+
+
+def _useful(offers: DataFrame) -> DataFrame:
+    """Offers that may be smaller than the component of their vertex, which is never above its id."""
+    return offers.where(F.col("comp") < F.col("v"))
 
 
 def components_bulk(edges: DataFrame, max_iter: int = 10, *, directed: bool = False,
@@ -28,7 +33,8 @@ def components_bulk(edges: DataFrame, max_iter: int = 10, *, directed: bool = Fa
     und, lk = _prepare(edges, prepared, directed)
 
     def step(sol: DataFrame, i: int, rows: int | None = None) -> DataFrame:
-        return g.cc_relax_step(sol, g.cc_candidates(sol, lk, rows))
+        first = i == 1 and lk.symmetric
+        return g.cc_relax_step(sol, _useful(g.cc_first_candidates(lk) if first else g.cc_candidates(sol, lk, rows)))
 
     init = lk.sources.select(F.col("src").alias("v"), F.col("src").alias("comp"))
     try:
@@ -69,7 +75,7 @@ def components_delta(edges: DataFrame, max_iter: int = 10, *, directed: bool = F
 
     own = prepared is None and store is None and partitions is None
     lk = prepared or g.Links(und, save=in_files if own and lookup is not False else None,
-                             save_from=0 if lookup else g.LOOKUP_LINKS)
+                             save_from=0 if lookup else g.LOOKUP_LINKS, symmetric=not directed)
     if store is None and own and lk.layout and (state_dir or lk.in_files):
         store = BucketStore(spark, "v", lk.layout, state_dir)
         files.append(store)
@@ -78,13 +84,17 @@ def components_delta(edges: DataFrame, max_iter: int = 10, *, directed: bool = F
     init = lk.sources.select(F.col("src").alias("v"), F.col("src").alias("comp"))
 
     def offers(ws: DataFrame, rows, meter) -> DataFrame:
-        return meter(g.cc_candidates(meter(ws, "workset-in"), lk, rows), "candidates-out")
+        made = meter(g.cc_candidates(meter(ws, "workset-in"), lk, rows), "candidates-out")
+        return made if counters else _useful(made)      # counters tell of every offer
 
     def step(sol: DataFrame, ws: DataFrame, i: int, rows: int | None = None, meter=None):
         delta = g.cc_delta(meter(g.cc_min_candidate(offers(ws, rows, meter)), "minima-out"), sol)
         return delta, delta
 
     def rewrite(sol: DataFrame, ws: DataFrame, i: int, rows: int | None = None, meter=None):
+        if i == 1 and lk.symmetric:     # workset and solution are the same rows
+            made = meter(g.cc_first_candidates(lk), "candidates-out")
+            return g.cc_relax_step(meter(ws, "workset-in"), made if counters else _useful(made), meter=meter)
         return g.cc_relax_step(sol, offers(ws, rows, meter), meter=meter)
 
     def tail(sol: DataFrame, rows: list, i: int, meter=None):

@@ -1,11 +1,12 @@
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF001, rows
 from stepwise.operators import graph as g
 from stepwise.plans import catalog
 from stepwise.plans import components as cc
 from stepwise.plans import pagerank as pr
-from stepwise.plans.iterate import ParquetStore
+from stepwise.plans.iterate import ParquetStore, _conf
 from stepwise.sources import tables as tb
 
 
@@ -301,3 +302,27 @@ def test_more_hot_sources_than_can_be_broadcast(spark, monkeypatch):
     assert rows(catalog.QUERIES["cc_delta_hot"](spark, SF001)) == rows(catalog.QUERIES["cc_delta_iter"](spark, SF001))
     assert rows(catalog.QUERIES["pagerank_hot"](spark, SF001), nd=5) == rows(
         catalog.QUERIES["pagerank_delta"](spark, SF001), nd=5)
+
+
+@pytest.mark.parametrize("links", [{}, {"split_rows": 2}, {"split_rows": 2, "max_hot": 0}])
+def test_first_candidates_are_the_offers_of_all_vertices(spark, links):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 3), (1, 2), (9, 1), (7, 8)], "src long, dst long")
+    lk = g.Links(g.undirected(edges), symmetric=True, **links)
+    init = lk.sources.select(F.col("src").alias("v"), F.col("src").alias("comp"))
+    assert lk.symmetric and rows(g.cc_first_candidates(lk)) == rows(g.cc_candidates(init, lk))
+    lk.unpersist()
+    some = g.Links(g.undirected(edges.union(spark.createDataFrame([(None, 5)], "src long, dst long"))), symmetric=True)
+    assert not some.symmetric       # a link of a null source is dropped, its counterpart is not
+    some.unpersist()
+
+
+def test_relax_shuffles_candidates_only(spark):
+    with _conf(spark, spark__sql__adaptive__enabled="false", spark__sql__shuffle__partitions="4",
+               spark__sql__autoBroadcastJoinThreshold="-1"):
+        sol = spark.createDataFrame([(v, v) for v in range(20)] + [(None, None)], "v long, comp long")
+        sol = sol.repartition(4, "v").checkpoint()
+        cand = spark.createDataFrame([(5, 3), (5, 2), (6, 9), (99, 1), (None, 1)], "v long, comp long")
+        out = g.cc_relax_step(sol, cand)
+        assert rows(out) == sorted((v, 2 if v == 5 else v, v == 5) for v in range(20))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
