@@ -23,6 +23,9 @@ def stage_loads(spark: SparkSession, tag: str) -> list[tuple[int, int, int]]:
     store, out = context.statusStore(), {}
     for job in context.statusTracker().getJobIdsForTag(tag):
         for stage in spark.sparkContext.statusTracker().getJobInfo(job).stageIds:
+            # the store forgets skipped stages first
+            if spark.sparkContext.statusTracker().getStageInfo(stage) is None:
+                continue
             data = store.lastStageAttempt(stage)
             # skipped stages have no times
             if data.submissionTime().isDefined() and data.completionTime().isDefined():
