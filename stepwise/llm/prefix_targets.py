@@ -5,8 +5,9 @@ are the context and only its text is trained on.  The examples of one
 conversation share their contexts, so a row holds what its example adds: the
 turns since the row before, the reply last, and the place where the row
 starts in the conversation's formatted text.  The context of an example is the
-texts of all rows before; ``whole_examples`` writes it out, whose size grows
-with the square of a conversation's length.  Stored rows grow with the input.
+texts of all rows before; ``whole_examples`` puts it in front of every target,
+which grows with the square of a conversation's length.  Stored rows grow with
+the input.
 
 A formatted turn is ``### role``, a line feed, the escaped text, ``</turn>``
 and a line feed.  In texts ``\\``, ``#`` and ``</`` get a backslash, and roles
@@ -89,15 +90,20 @@ def format_conversations(turns: DataFrame, *, id_col: str = "conv_id", turn_col:
             .select(F.col("id").alias(id_col), "block", "example", "start", "text", "loss_start", "loss_end"))
 
 
-def whole_examples(rows: DataFrame, *, id_col: str = "conv_id") -> DataFrame:
+def whole_examples(rows: DataFrame, *, id_col: str = "conv_id", rest: bool = False) -> DataFrame:
     """Every example written out: id, block, example, text (context and reply), loss_start, loss_end.
 
-    For training files of conversations of ordinary length.
+    With ``rest`` the turns after a conversation's last reply make one more
+    example, without target.  A task holds one conversation and one example at a time.
     """
     before = Window.partitionBy(id_col).orderBy("block", "example").rowsBetween(Window.unboundedPreceding,
                                                                                Window.currentRow)
-    return (rows.withColumn("whole", F.array_join(F.collect_list("text").over(before), ""))
-            .where(F.col("loss_start").isNotNull())
+    kept = F.col("loss_start").isNotNull()
+    if rest:
+        after = F.lead(F.lit(True)).over(Window.partitionBy(id_col).orderBy("block", "example"))
+        rows, kept = rows.withColumn("ends", after.isNull()), kept | F.col("ends")
+    return (rows.withColumn("parts", F.collect_list("text").over(before)).where(kept)
+            .withColumn("whole", F.array_join("parts", ""))
             .select(id_col, "block", "example", F.col("whole").alias("text"),
                     (F.col("start") + F.col("loss_start")).alias("loss_start"),
                     (F.col("start") + F.col("loss_end")).alias("loss_end")))
@@ -141,3 +147,29 @@ def read_back(rows: DataFrame, *, id_col: str = "conv_id") -> DataFrame:
             .select(F.col("id").alias(id_col), "n_turns", joined("turns").alias("turns"), joined("loss").alias("loss"),
                     (F.col("examples") + F.when(F.col("last.reply"), 0).otherwise(F.col("last.end")))
                     .alias("formatted_chars")))
+
+
+def expand_conversations(turns: DataFrame, **columns: str) -> DataFrame:
+    """Prefix-target expansion: every example with its whole context, see ``whole_examples``."""
+    made = format_conversations(turns, **columns)
+    return whole_examples(made, id_col=columns.get("id_col", "conv_id"), rest=True)
+
+
+def read_examples(examples: DataFrame, *, id_col: str = "conv_id") -> DataFrame:
+    """The columns of ``read_back``, read from whole examples alone.
+
+    Turns come from the last example, which holds all of them; the loss is the
+    targets in order, and every example counts with all its characters.
+    """
+    one = examples.select(
+        F.col(id_col).alias("id"), F.struct("block", "example").alias("place"), "text",
+        F.struct("block", "example", F.coalesce(read_loss(examples), F.lit("")).alias("loss")).alias("part"))
+    turns = read_turns(F.col("last"))
+    line = lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))
+    return (one.groupBy("id").agg(
+                F.max_by("text", "place").alias("last"), F.sort_array(F.collect_list("part")).alias("parts"),
+                F.sum(F.length("text")).cast("long").alias("formatted_chars"))
+            .withColumn("all", turns)
+            .select(F.col("id").alias(id_col), F.size("all").cast("long").alias("n_turns"),
+                    F.array_join(F.transform("all", line), "").alias("turns"),
+                    F.array_join(F.transform("parts", lambda x: x["loss"]), "").alias("loss"), "formatted_chars"))

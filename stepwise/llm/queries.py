@@ -114,7 +114,7 @@ def op13_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(CONTROL_TEXT).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    back = prefix_targets.read_back(prefix_targets.format_conversations(turns))
+    back = prefix_targets.read_examples(prefix_targets.expand_conversations(turns))
     return back.select("conv_id", "n_turns", F.sha2("turns", 256).alias("turns_sha256"),
                        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
                        "formatted_chars")

@@ -244,3 +244,22 @@ def test_chat_round_trip(spark):
 def test_chat_plan_is_native(spark):
     plan = queries.op13_prefix_targets(spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "ExistingRDD"))
+
+
+def test_chat_examples_are_expanded(spark):
+    rows = [r for r in TURNS if r[0] != 5] + [(8, i, "assistant" if i % 3 else "user", f"t{i}#") for i in range(40)]
+    rows += [(9, 1, "user", "a"), (9, 1 << 13, "user", "b"), (9, 1 << 14, "assistant", "c"), (9, 1 << 15, "user", "d")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = prefix_targets.format_conversations(df)
+    examples = prefix_targets.expand_conversations(df).collect()
+    stored = {}
+    for r in made.orderBy("conv_id", "block", "example").collect():
+        stored[r.conv_id] = stored.get(r.conv_id, "") + r.text
+    replies = Counter(c for c, _, role, _ in rows if role == "assistant")
+    assert Counter(r.conv_id for r in examples if r.loss_start is not None) == replies
+    for r in examples:      # whole context in front of every target
+        assert stored[r.conv_id].startswith(r.text)
+        assert r.loss_start is not None or r.text == stored[r.conv_id]
+    columns = ["conv_id", "n_turns", "turns", "loss", "formatted_chars"]
+    got = prefix_targets.read_examples(prefix_targets.expand_conversations(df)).select(columns)
+    assert sorted(got.collect(), key=str) == sorted(prefix_targets.read_back(made).select(columns).collect(), key=str)
