@@ -35,8 +35,9 @@ _FAR = 1.7976931348623157e308   # Double.MAX_VALUE: no finite distance -> -1
 def collect_centers(centers: DataFrame, limit: int | None = None) -> list[tuple[int, float, float]] | None:
     """The centers as driver-side tuples, sorted by id; None if there are more than ``limit``."""
     limit = MAX_BROADCAST_CENTERS if limit is None else limit
-    rows = centers.select("id", "x", "y").take(limit + 1)
-    return center_rows(rows) if len(rows) <= limit else None
+    start = centers.select("id", "x", "y")
+    # counted first, so that too many never reach the driver
+    return center_rows(start.take(limit)) if start.limit(limit + 1).count() <= limit else None
 
 
 def center_rows(rows) -> list[tuple[int, float, float]]:
@@ -173,7 +174,8 @@ def cell_candidates(cells: DataFrame, centers: DataFrame, grid: Grid) -> DataFra
     center, which is then no farther than twice the block's cells in each
     direction; all centers so near lie in the block two levels up.  Of these
     stay those whose least distance to the cell is not above the least of all
-    greatest distances.
+    greatest distances.  All joins are shuffled: a broadcast would bring its side
+    to the driver, once for every step.
     """
     spots = grid.cells(_finite(centers).groupBy("x", "y").agg(F.min("id").alias("id")))   # ties: the lowest id
     top = grid.levels + 3
@@ -182,10 +184,10 @@ def cell_candidates(cells: DataFrame, centers: DataFrame, grid: Grid) -> DataFra
         "id", "x", "y", "level", F.expr("shiftright(i, level)").alias("bi"), F.expr("shiftright(j, level)").alias("bj"))
     taken = by_level.select("level", "bi", "bj").distinct()
     first = (cells.select("i", "j", level).select("i", "j", "level", _block(F.col("level")))
-             .select("i", "j", "level", "block.bi", "block.bj").join(taken, ["level", "bi", "bj"])
+             .select("i", "j", "level", "block.bi", "block.bj").join(taken.hint("shuffle_hash"), ["level", "bi", "bj"])
              .groupBy("i", "j").agg(F.least(F.min("level") + 2, F.lit(top)).alias("level")))
     pairs = (first.select("i", "j", "level", _block(F.col("level"))).select("i", "j", "level", "block.bi", "block.bj")
-             .join(by_level, ["level", "bi", "bj"]))
+             .join(by_level.hint("merge"), ["level", "bi", "bj"]))
     margin = 1e-6 * grid.size           # above the rounding of cell numbers
 
     def ranges(c: str, n: str, origin: float):
@@ -198,7 +200,7 @@ def cell_candidates(cells: DataFrame, centers: DataFrame, grid: Grid) -> DataFra
     pairs = pairs.select("i", "j", "id", "x", "y", (near_x * near_x + near_y * near_y).alias("least"),
                          (far_x * far_x + far_y * far_y).alias("most"))
     bound = pairs.groupBy("i", "j").agg((F.min("most") * (1 + 1e-9)).alias("bound"))
-    return (pairs.join(bound, ["i", "j"]).where("least <= bound")
+    return (pairs.join(bound.hint("shuffle_hash"), ["i", "j"]).where("least <= bound")
             .groupBy("i", "j").agg(F.collect_list(F.struct("id", "x", "y")).alias("near")))
 
 
@@ -214,7 +216,7 @@ def assign_joined(points: DataFrame, centers: DataFrame, grid: Grid, out: str =
     near = cell_candidates(occupied_cells(points, grid) if cells is None else cells, centers, grid)
     best = F.array_min(F.transform("near", lambda c: F.struct(
         distance(F.col("x"), F.col("y"), c["x"], c["y"]).alias("d"), c["id"].alias("id"))))
-    return (placed.join(near, ["i", "j"], "left")
+    return (placed.join(near.hint("shuffle_hash"), ["i", "j"], "left")
             .withColumn("__best", best)
             .select(*points.columns, F.when(F.col("__best.d") < F.lit(_FAR), F.col("__best.id"))
                     .otherwise(F.lit(-1)).cast("int").alias(out)))

@@ -136,3 +136,19 @@ def test_joined_loop_agrees_with_broadcast_loop(spark):
     a, b = (kmp.kmeans_bulk(points, start, 4, joined=j) for j in (False, True))
     assert rows(a.df, nd=9) == rows(b.df, nd=9)
     assert (rows(kmp.final_assignment(points, a), nd=9) == rows(kmp.final_assignment(points, b), nd=9))
+
+
+def test_joined_centers_are_never_broadcast(spark):
+    pts = spark.range(500).selectExpr("cast(id % 25 as double) as x", "cast(id % 20 as double) as y")
+    centers = spark.range(50).selectExpr("cast(id as int) as id", "cast(id % 7 as double) as x", "cast(id % 11 as double) as y")
+    out = km.assign_joined(pts, centers, km.Grid.of(pts, centers))
+    assert out.count() == 500
+    out.collect()       # the adaptive plan is final now
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_too_many_centers_stay_off_the_driver(spark):
+    centers = spark.range(50).selectExpr("cast(id as int) as id", "cast(id as double) as x", "cast(id * 2 as double) as y")
+    assert km.collect_centers(centers, 49) is None
+    assert km.collect_centers(centers, 50) == [(i, i * 1.0, i * 2.0) for i in range(50)]
