@@ -151,12 +151,16 @@ class Links:
     in ``hot_table``, spread by target, and the others in ``table``
     (``two_way``); with ``max_hot=0`` ``table`` holds all links, salted.
     ``symmetric`` says that every edge is there in both directions.
+
+    With ``lists`` symmetric links lie in ``table`` as ``(src, salt, neighbors)``,
+    up to about ``MAX_LIST_NEIGHBORS`` different targets a row and neither ``w`` nor
+    ``deg``: a superstep then joins one row per vertex instead of one per link.
     """
 
     def __init__(self, edges: DataFrame, partitions: int | None = None,
                  split_rows: int | None = None, persist: bool = True,
                  count_vertices: bool = False, broadcast_state: bool = True, save=None, save_from: int = 0,
-                 max_hot: int = MAX_BROADCAST_HOT, symmetric: bool = False):
+                 max_hot: int = MAX_BROADCAST_HOT, symmetric: bool = False, lists: bool = False):
         spark = edges.sparkSession
         self.broadcast_state = broadcast_state
         per_src = out_degree(edges)
@@ -168,6 +172,7 @@ class Links:
         self.n_sources, self.widest = int(n_src or 0), int(widest)
         # links of null sources are dropped, those to null targets are not
         self.symmetric = symmetric and not no_src
+        self.lists = lists and self.symmetric       # a list holds no null targets
         self.partitions = partitions or max(default_partitions(spark),
                                             math.ceil(total / ROWS_PER_PARTITION))
         if split_rows is None:
@@ -196,12 +201,15 @@ class Links:
         self.keys = ["src", "salt"] if self.salted else ["src"]
         salted = self._with_salts(edges.select("src", "dst"), "src", F.pmod(
             F.xxhash64("dst"), F.coalesce("nsalt", F.lit(1))).cast("int"))
-        degs = self._explode_salts(per_src, "src") if self.salted else per_src.withColumn("salt", F.lit(0))
-        table = (salted.repartition(self.partitions, *self.keys)
-                 .groupBy("src", "salt", "dst").agg(F.count(F.lit(1)).alias("w"))
-                 .join(degs.repartition(self.partitions, *self.keys).hint("shuffle_hash"),
-                       ["src", "salt"] if self.salted else "src")
-                 .select("src", salted["salt"] if self.salted else F.lit(0).alias("salt"), "dst", "w", "deg"))
+        if self.lists:
+            table = self._listed(salted, per_src)
+        else:
+            degs = self._explode_salts(per_src, "src") if self.salted else per_src.withColumn("salt", F.lit(0))
+            table = (salted.repartition(self.partitions, *self.keys)
+                     .groupBy("src", "salt", "dst").agg(F.count(F.lit(1)).alias("w"))
+                     .join(degs.repartition(self.partitions, *self.keys).hint("shuffle_hash"),
+                           ["src", "salt"] if self.salted else "src")
+                     .select("src", salted["salt"] if self.salted else F.lit(0).alias("salt"), "dst", "w", "deg"))
         self.table = table
         # one row per source: (src, deg); the start set of PageRank and components
         self.sources = self._per_src = per_src
@@ -216,10 +224,10 @@ class Links:
             if self.two_way:
                 self.hot_table = self.hot_table.persist(StorageLevel.MEMORY_AND_DISK)
                 self.hot_table.count()
+            if not count_vertices or self.symmetric:
+                self.table.count()
             if count_vertices:
                 self.vertex_count = self.count_vertices()   # this scan fills the cache
-            else:
-                self.table.count()
 
     @property
     def layout(self) -> int | None:
@@ -230,8 +238,27 @@ class Links:
         return None if self.salted else self.partitions
 
     def rows(self) -> DataFrame:
-        """All links."""
-        return self.table.unionByName(self.hot_table) if self.two_way else self.table
+        """All links; those of lists without ``w`` and ``deg``."""
+        table = self._one_by_one(self.table) if self.lists else self.table
+        return table.unionByName(self.hot_table.select(*table.columns)) if self.two_way else table
+
+    def _listed(self, salted: DataFrame, per_src: DataFrame) -> DataFrame:
+        """The links as lists of different targets, on the partitioning of their source."""
+        chunk = F.lit(0)
+        if self.widest > MAX_LIST_NEIGHBORS:        # no more sources than links / MAX_LIST_NEIGHBORS
+            wide = per_src.where(F.col("deg") > MAX_LIST_NEIGHBORS).select(
+                F.col("src").alias("__wide"), F.ceil(F.col("deg") / MAX_LIST_NEIGHBORS).alias("__chunks"))
+            salted = salted.join(F.broadcast(wide), salted["src"] == wide["__wide"], "left")
+            # another seed than that of the salt, which is a remainder of the same hash
+            chunk = F.pmod(F.xxhash64("dst", F.lit(1)), F.coalesce("__chunks", F.lit(1)))
+        keyed = salted.select("src", "salt", chunk.cast("int").alias("__chunk"), "dst")
+        return (keyed.repartition(self.partitions, *self.keys).groupBy("src", "salt", "__chunk")
+                .agg(F.collect_set("dst").alias("neighbors")).select("src", "salt", "neighbors"))
+
+    @staticmethod
+    def _one_by_one(listed: DataFrame) -> DataFrame:
+        """Lists as one row per target ``dst``."""
+        return listed.select(*[c for c in listed.columns if c != "neighbors"], F.explode("neighbors").alias("dst"))
 
     def _hot_counts(self) -> tuple[int, int]:
         n, buckets = self.hot.agg(F.count(F.lit(1)), F.sum("nsalt")).first()
@@ -239,6 +266,8 @@ class Links:
 
     def count_vertices(self) -> int:
         """Distinct ids among sources and targets (numPages)."""
+        if self.symmetric:      # every target is a source
+            return self.n_sources
         t = self.rows()
         return (t.select(F.col("src").alias("id")).union(t.select(F.col("dst").alias("id")))
                 .distinct().count())
@@ -255,10 +284,12 @@ class Links:
         n = F.coalesce(F.col("nsalt"), F.lit(1))
         return self._with_salts(df, key, F.explode(F.sequence(F.lit(0), n - 1)))
 
-    def join_state(self, state: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+    def join_state(self, state: DataFrame, key: str, rows: int | None = None, alike: str | None = None) -> DataFrame:
         """Join per-vertex state (keyed by ``key``) to its out-links.
 
-        Output carries the state columns plus ``dst, w, deg``.  The persisted
+        Output carries the state columns plus ``dst, w, deg`` (of lists ``dst`` only,
+        those with a like value of ``alike`` next to each other, which makes what is
+        shuffled of them smaller).  The persisted
         link table is never shuffled.  The state side is broadcast when its
         measured row count ``rows``, with what salting can add, fits the
         session's broadcast threshold (``broadcast_rows``); otherwise it is shuffled to the link partitioning
@@ -278,8 +309,14 @@ class Links:
         cond = F.col(f"__s.{key}") == F.col("__l.src")
         if self.salted:
             cond = cond & (F.col("__s.salt") == F.col("__l.salt"))
-        out = [*[F.col(f"__s.{c}") for c in out_cols], F.col("__l.dst"), F.col("__l.w"), F.col("__l.deg")]
-        found = s.join(lt, cond).select(*out)
+        kept = [F.col(f"__s.{c}") for c in out_cols]
+        out = [*kept, F.col("__l.dst")] if self.lists else [
+            *kept, F.col("__l.dst"), F.col("__l.w"), F.col("__l.deg")]
+        if self.lists:
+            found = s.join(lt, cond).select(*kept, "__l.neighbors")
+            found = self._one_by_one(found.sortWithinPartitions(alike) if alike and not small else found)
+        else:
+            found = s.join(lt, cond).select(*out)
         if not self.two_way:
             return found
         ids = F.broadcast(self.hot.select(F.col("src").alias(key)))
@@ -293,8 +330,10 @@ class Links:
     def of(self, rows: DataFrame, key: str, keys: list) -> DataFrame:
         """As ``join_state`` for a few rows with the given keys: reads the buckets and pages of these keys only."""
         found = self.table.where(F.col("src").isin(keys))
-        return (found.join(F.broadcast(rows), found["src"] == rows[key])
-                .select(*[rows[c] for c in rows.columns], "dst", "w", "deg"))
+        found = found.join(F.broadcast(rows), found["src"] == rows[key])
+        kept = [rows[c] for c in rows.columns]
+        return self._one_by_one(found.select(*kept, "neighbors")) if self.lists else found.select(
+            *kept, "dst", "w", "deg")
 
     def unpersist(self):
         self.table.unpersist()
@@ -395,7 +434,7 @@ def add_deltas(solution: DataFrame, deltas: DataFrame,
 
 def cc_candidates(components: DataFrame, links: Links, rows: int | None = None) -> DataFrame:
     """Every neighbour of a vertex may take its component (``v, comp``)."""
-    j = links.join_state(components.withColumnRenamed("v", "__v"), "__v", rows)
+    j = links.join_state(components.withColumnRenamed("v", "__v"), "__v", rows, alike="comp")
     return j.select(F.col("dst").alias("v"), "comp")
 
 
@@ -408,6 +447,16 @@ def cc_first_candidates(links: Links) -> DataFrame:
     return links.rows().select(F.col("src").alias("v"), F.col("dst").alias("comp"))
 
 
+def cc_first_least(links: Links) -> DataFrame:
+    """The smallest offers of ``cc_first_candidates``: of lists one a list, without reading them out."""
+    if not links.lists:
+        return cc_first_candidates(links)
+    least = links.table.select(F.col("src").alias("v"), F.array_min("neighbors").alias("comp"))
+    if not links.two_way:
+        return least
+    return least.unionByName(links.hot_table.select(F.col("src").alias("v"), F.col("dst").alias("comp")))
+
+
 def cc_min_candidate(candidates: DataFrame) -> DataFrame:
     """A1: smallest candidate per vertex; partial minima combine map-side."""
     return candidates.groupBy("v").agg(F.min("comp").alias("comp"))

@@ -318,7 +318,7 @@ def _scale_links(edges: DataFrame, split_rows: int | None = None, max_hot: int =
     Up to ``max_hot`` of them have a table of their own instead.
     """
     lk = g.Links(edges, split_rows=split_rows, broadcast_state=False, count_vertices=True, max_hot=max_hot,
-                 symmetric=symmetric)
+                 symmetric=symmetric, lists=symmetric)
     if split_rows and not (lk.two_way if max_hot else lk.salted):
         raise RuntimeError("no source is hot; the plan for hot sources would not run")
     return lk

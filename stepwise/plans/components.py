@@ -15,7 +15,7 @@ from stepwise.plans.iterate import (
 
 def _prepare(edges: DataFrame, prepared: g.Links | None, directed: bool):
     und = edges if directed else g.undirected(edges)
-    return und, (prepared or g.Links(und, symmetric=not directed))
+    return und, (prepared or g.Links(und, symmetric=not directed, lists=True))
 
 
 def _useful(offers: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def components_bulk(edges: DataFrame, max_iter: int = 10, *, directed: bool = Fa
 
     def step(sol: DataFrame, i: int, rows: int | None = None) -> DataFrame:
         first = i == 1 and lk.symmetric
-        return g.cc_relax_step(sol, _useful(g.cc_first_candidates(lk) if first else g.cc_candidates(sol, lk, rows)))
+        return g.cc_relax_step(sol, _useful(g.cc_first_least(lk) if first else g.cc_candidates(sol, lk, rows)))
 
     init = lk.sources.select(F.col("src").alias("v"), F.col("src").alias("comp"))
     try:
@@ -75,7 +75,7 @@ def components_delta(edges: DataFrame, max_iter: int = 10, *, directed: bool = F
 
     own = prepared is None and store is None and partitions is None
     lk = prepared or g.Links(und, save=in_files if own and lookup is not False else None,
-                             save_from=0 if lookup else g.LOOKUP_LINKS, symmetric=not directed)
+                             save_from=0 if lookup else g.LOOKUP_LINKS, symmetric=not directed, lists=True)
     if store is None and own and lk.layout and (state_dir or lk.in_files):
         store = BucketStore(spark, "v", lk.layout, state_dir)
         files.append(store)
@@ -93,8 +93,8 @@ def components_delta(edges: DataFrame, max_iter: int = 10, *, directed: bool = F
 
     def rewrite(sol: DataFrame, ws: DataFrame, i: int, rows: int | None = None, meter=None):
         if i == 1 and lk.symmetric:     # workset and solution are the same rows
-            made = meter(g.cc_first_candidates(lk), "candidates-out")
-            return g.cc_relax_step(meter(ws, "workset-in"), made if counters else _useful(made), meter=meter)
+            made = meter(g.cc_first_candidates(lk), "candidates-out") if counters else _useful(g.cc_first_least(lk))
+            return g.cc_relax_step(meter(ws, "workset-in"), made, meter=meter)
         return g.cc_relax_step(sol, offers(ws, rows, meter), meter=meter)
 
     def tail(sol: DataFrame, rows: list, i: int, meter=None):

@@ -326,3 +326,49 @@ def test_relax_shuffles_candidates_only(spark):
         assert rows(out) == sorted((v, 2 if v == 5 else v, v == 5) for v in range(20))
         plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("links", [{}, {"split_rows": 3}, {"split_rows": 3, "max_hot": 0}])
+def test_links_in_lists_are_the_same_links(spark, monkeypatch, links):
+    """One row per vertex instead of one per link; wide lists are split; offers of like value come together."""
+    monkeypatch.setattr(g, "MAX_LIST_NEIGHBORS", 4)
+    edges = spark.createDataFrame([(1, d) for d in range(2, 30)] + [(2, 3), (3, 3), (1, 2), (40, 41)],
+                                  "src long, dst long")
+    und = g.undirected(edges)
+    plain, listed = (g.Links(und, symmetric=True, count_vertices=True, lists=x, **links) for x in (False, True))
+    assert listed.lists and not plain.lists and "dst" not in listed.table.columns
+    assert listed.table.count() < plain.table.count() and listed.vertex_count == g.num_vertices(edges) == 31
+    assert rows(listed.rows(), "src", "dst") == rows(plain.rows(), "src", "dst")
+    assert listed.table.agg(F.max(F.size("neighbors"))).first()[0] < 28     # those of vertex 1 are in several lists
+    sol = plain.sources.select(F.col("src").alias("v"), (F.col("src") % 5).alias("comp"))
+    assert rows(g.cc_candidates(sol, listed)) == rows(g.cc_candidates(sol, plain))
+    assert rows(g.cc_first_candidates(listed)) == rows(g.cc_first_candidates(plain))
+    assert rows(g.cc_min_candidate(g.cc_first_least(listed))) == rows(g.cc_min_candidate(g.cc_first_least(plain)))
+    plain.unpersist()
+    listed.unpersist()
+    some = g.Links(und.union(spark.createDataFrame([(None, 5)], "src long, dst long")), symmetric=True, lists=True)
+    assert not some.lists       # a list would lose a null target
+    some.unpersist()
+
+
+def test_lists_join_one_row_per_vertex_sorted_by_offer(spark):
+    edges = spark.createDataFrame([(i, 100 + i % 7) for i in range(90)], "src long, dst long")
+    lk = g.Links(g.undirected(edges), symmetric=True, lists=True, broadcast_state=False)
+    sol = lk.sources.select(F.col("src").alias("v"), F.col("src").alias("comp"))
+    assert lk.table.count() == lk.n_sources == 97
+    plan = g.cc_min_candidate(g.cc_candidates(sol, lk))._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [comp" in plan         # kept below the minima, so that their shuffle packs better
+    lk.unpersist()
+
+
+def test_late_steps_look_up_their_lists(spark):
+    from stepwise.plans.iterate import BucketStore
+    files = BucketStore(spark, "src", 4)
+    chain = _chain(spark, 12, extra=30_000)
+    lk = g.Links(g.undirected(chain), save=lambda t, k, n: files.save(t, "links", 0), symmetric=True, lists=True)
+    ws = spark.createDataFrame([(10_500, 1), (40_000, 2)], "__v long, comp long")
+    got = lk.of(ws, "__v", [10_500, 40_000])
+    assert rows(got, "__v", "comp", "dst") == [(10_500, 1, 10_501), (40_000, 2, 40_001)]
+    assert _scanned(got) <= 4 * 512 < lk.table.count()
+    lk.unpersist()
+    files.close()
