@@ -190,6 +190,10 @@ class Links:
             self.n_hot, self.n_buckets = self._hot_counts()
         self.two_way = 0 < self.n_hot <= max_hot
         self.salted = self.n_hot > 0 and not self.two_way
+        if self.salted:         # by source, as the states that are spread over its buckets lie
+            self.hot.unpersist()
+            hot = hot.repartition(self.partitions, "src")
+            self.hot = hot.persist(StorageLevel.MEMORY_AND_DISK) if persist else hot
         self.hot_table = None
         if self.two_way:
             ids = F.broadcast(self.hot.select("src"))
@@ -233,9 +237,10 @@ class Links:
     def layout(self) -> int | None:
         """Partitions by ``src`` that loop state can keep between supersteps.
 
-        None with salted sources: their state must be spread anew in each step.
+        With salted sources what a step reads of it is spread over their buckets
+        anew, but it meets the table of buckets and the offers where it lies.
         """
-        return None if self.salted else self.partitions
+        return self.partitions
 
     def rows(self) -> DataFrame:
         """All links; those of lists without ``w`` and ``deg``."""

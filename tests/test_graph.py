@@ -372,3 +372,16 @@ def test_late_steps_look_up_their_lists(spark):
     assert _scanned(got) <= 4 * 512 < lk.table.count()
     lk.unpersist()
     files.close()
+
+
+def test_salted_sources_keep_the_layout(spark):
+    """A state is spread over the buckets and the offers go to their targets; nothing else is shuffled."""
+    from stepwise.plans.iterate import CheckpointStore, step_plan
+    und = g.undirected(tb.cc_edges(spark, SF001))
+    lk = g.Links(und, split_rows=3, max_hot=0, broadcast_state=False, symmetric=True, lists=True)
+    assert lk.salted and lk.layout == lk.partitions
+    with step_plan(spark, None, 1, None, lk.layout), _conf(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        start = lk.sources.select(F.col("src").alias("v"), F.col("src").alias("comp"))
+        sol = CheckpointStore().save(g.cc_relax_step(start, g.cc_first_candidates(lk)).drop("changed"), "s", 1)
+        assert _exchanges(g.cc_relax_step(sol, g.cc_candidates(sol, lk))) == 2
+    lk.unpersist()
