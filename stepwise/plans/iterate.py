@@ -37,8 +37,9 @@ from stepwise.session import checkpoint_dir
 
 _obs_ids = itertools.count()
 
-# Small pages, so that a filter on few keys of sorted files skips most rows.
-PAGES = {"parquet.page.row.count.limit": "512"}
+# Small pages, so that a filter on few keys of sorted files skips most rows; sorted
+# keys are stored as differences, as a state is written anew in every large step.
+PAGES = {"parquet.page.row.count.limit": "512", "parquet.writer.version": "v2", "compression": "zstd"}
 # A workset of at most so many rows is looked up by its keys (a tail step).
 TAIL_ROWS = 1000
 
