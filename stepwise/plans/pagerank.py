@@ -62,7 +62,7 @@ def pagerank_delta(links: DataFrame, num_pages: int | None = None, max_iter: int
     Steps do not read the ranks, so deltas stay a log that is added up once it
     is ``LOG_SHARE`` times the ranks, and when the result is read.  ``state_dir``
     keeps the state in files: by hash bucket, read without a shuffle, unless
-    ``partitions`` are given or sources are hot; ``resume`` goes on from them.
+    ``partitions`` are given; ``resume`` goes on from them.
     """
     lk = prepared or g.Links(links, count_vertices=num_pages is None)
     if store is None and state_dir:
