@@ -24,6 +24,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -128,7 +129,7 @@ def _dealt(spark, shares: list[int], total: int, blocks: list[int]) -> DataFrame
             for _ in range(batch.num_rows):                 # one row
                 deal, more = _deal(shares, total, blocks), True
                 while more:
-                    some = [x for x, _ in zip(deal, range(DEAL_BATCH))]
+                    some = list(islice(deal, DEAL_BATCH))
                     more = len(some) == DEAL_BATCH
                     cols = np.array(some, np.int64).reshape(-1, len(names)).T
                     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cols], names)

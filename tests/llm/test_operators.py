@@ -268,6 +268,29 @@ def test_mix_stays_within_a_block_of_the_true_weights(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+@pytest.mark.parametrize("batch", [None, 1, 7, 100])
+def test_no_block_is_lost_between_batches_of_the_schedule(spark, monkeypatch, batch):
+    shares, total = pfair_mix.exact_weights({"a": 1.0, "b": 2.5, "c": 0.3})
+    blocks = [150_000, 40_000, 3] if batch is None else [60, 37, 3]      # more than two batches; 100 in all
+    if batch:
+        monkeypatch.setattr(pfair_mix, "DEAL_BATCH", batch)
+    want = list(pfair_mix._deal(list(shares.values()), total, blocks))
+    assert len(want) == sum(blocks)
+    got = pfair_mix._dealt(spark, list(shares.values()), total, blocks)
+    assert [tuple(r) for r in got.collect()] == want
+
+
+def test_mix_over_several_batches_places_every_document_once(spark, monkeypatch):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 7 % 4).alias("source"))
+    weights = pfair_mix.temperature_weights(df, queries.MIX_ALPHA)
+    want = sorted(pfair_mix.mix_sources(df, weights).collect())         # one batch
+    monkeypatch.setattr(pfair_mix, "DEAL_BATCH", 10)
+    assert sorted(pfair_mix.mix_sources(df, weights).collect()) == want and len(want) == 5000
+    # ranges of a single block, where a lost block takes its documents along
+    want = sorted(pfair_mix.mix_sources(df, weights, block_docs=1).collect())
+    assert len({r.mix_slot for r in want}) == len(want) == 5000
+
+
 # -- repeats -------------------------------------------------------------------------
 
 def _repeating(n=60, seed=3):
