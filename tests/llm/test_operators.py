@@ -501,6 +501,17 @@ def test_pipeline_stage_by_stage(spark, texts):
     assert len(out) == len(kept) and all(r.exact and r.n_pieces == len(r.ids) for r in out)
 
 
+def test_mix_stages_keep_every_document_over_several_batches(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted(r.doc_id for r in docs.select("doc_id").collect())
+    places = lambda out: sorted(map(tuple, out.select("doc_id", "mix_slot", "mix_place").collect()))
+    whole = places(corpus_pipeline.pieces(spark, docs, SF))              # one batch
+    monkeypatch.setattr(pfair_mix, "DEAL_BATCH", 3)
+    mixed = corpus_pipeline.mix(spark, docs, SF)
+    assert sorted(r.doc_id for r in mixed.collect()) == want
+    assert places(corpus_pipeline.pieces(spark, docs, SF)) == whole and [i for i, *_ in whole] == want
+
+
 def test_pipeline_rows_carry_the_mixture(spark):
     out = corpus_pipeline.run(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source")
